@@ -4,8 +4,8 @@ A classifier learnt from a labelled table gives each document a posterior over d
 or more) are then fitted by projected-gradient least squares, so that the expected tokens of each domain, that is the
 sum over documents of rate * tokens * posterior, meet the targets. A step needs one sum per domain over all documents;
 with the squared errors divided by the domains' own sizes, the gradient of a document is a product of its posterior with
-a vector that all documents share. A document's rate is thus a chain of arithmetic on its posterior, compiled into the
-scan, and nothing but a few sums reaches the driver in each step.
+a vector that all documents share. A document's rate is thus a chain of arithmetic on its posterior, computed where the
+document is, and nothing but a few sums reaches the driver in each step.
 
 The classifier is a multinomial naive Bayes over hashed words, counted on the executors from at most SAMPLE labelled
 documents (the first by a hash of their key) and reduced to the words that tell domains apart. Tokens are words.
@@ -32,8 +32,13 @@ SAMPLE, BUCKETS, TELLING, MOST_DOMAINS = 20_000, 1 << 16, 4_096, 256
 #: A word counts if its texts in some domain are so many standard deviations from its share; pseudo-texts of each domain.
 DEVIATIONS, SMOOTH = 4.0, 5.0
 
-#: Steps of the fit, and the pull of each rate towards 1 that makes the solution unique.
-STEPS, RIDGE = 60, 1e-3
+#: Steps of the fit at most, the error (in shares of all tokens) at which it ends, and the steps after which rates are
+#: written down, so that a step recomputes few others.
+STEPS, CLOSE, SAVE_EVERY = 60, 1e-3, 8
+
+#: The pull of each rate towards 1 that makes the solution unique, and the step: the curvature is 1 + RIDGE at most.
+RIDGE = 1e-3
+STEP = 1 / (1 + RIDGE)
 
 Model = tuple[list[str], np.ndarray, np.ndarray]  # domains, log weights (BUCKETS + 1 x domains), log prior
 
@@ -102,24 +107,31 @@ def members(spark: SparkSession, docs: DataFrame, model: Model, text: str = "tex
     return docs.withColumn(name, classify(F.col(text).cast("binary")))
 
 
-def rate_column(p: list[Column], gradients: list[list[float]], step: float) -> Column:
-    """The rate after the given steps: r <- max(0, r - step * (p . g + RIDGE * (r - 1))), from 1."""
-    rate = F.lit(1.0)
-    for g in gradients:
-        move = sum((x * F.lit(float(y)) for x, y in zip(p, g, strict=True)), F.lit(-RIDGE))
-        rate = F.greatest(F.lit(0.0), rate * F.lit(1 - step * RIDGE) - move * F.lit(step))
-    return rate
+def rate_column(p: list[Column], gradients: list[list[float]], start: Column | None = None) -> Column:
+    """The rate after the given steps: r <- max(0, r - STEP * (p . g + RIDGE * (r - 1))), from 1 or start.
+
+    Gradients are one constant array, so that the code Spark generates is the same after any number of steps.
+    """
+    start = F.lit(1.0) if start is None else start
+    if not gradients:
+        return start
+
+    def step(rate: Column, g: Column) -> Column:
+        move = sum((x * F.get(g, F.lit(d)) for d, x in enumerate(p)), F.lit(-RIDGE))
+        return F.greatest(F.lit(0.0), rate * F.lit(1 - STEP * RIDGE) - move * F.lit(STEP))
+
+    return F.aggregate(F.array(*(F.array(*(F.lit(float(x)) for x in g)) for g in gradients)), start, step)
 
 
-def fit(seen: DataFrame, n: int, names: list[str], weights: dict[str, float], total: float | None = None) -> list[list[float]]:
+def fit(scratch: Scratch, seen: DataFrame, n: int, names: list[str], weights: dict[str, float], total: float | None = None) -> list[list[float]]:
     """Gradient vectors of the steps. seen: tokens and p_0, p_1, ...; total: tokens wanted in all (default: as many as there are)."""
     p = [F.col(f"p_{d}") for d in range(n)]
 
-    def sums(rate: Column) -> np.ndarray:
-        row = seen.agg(*(F.sum(F.col("tokens") * rate * x) for x in p)).first()
+    def sums(frame: DataFrame, rate: Column) -> np.ndarray:
+        row = frame.select("tokens", *p, rate.alias("rate")).agg(*(F.sum(F.col("tokens") * F.col("rate") * x) for x in p)).first()
         return np.array([float(x or 0.0) for x in row])
 
-    now = sums(F.lit(1.0))
+    now = sums(seen, F.lit(1.0))
     all_tokens = now.sum()
     if all_tokens <= 0:
         return []
@@ -128,24 +140,27 @@ def fit(seen: DataFrame, n: int, names: list[str], weights: dict[str, float], to
     if want.sum() <= 0:
         return []
     target = want / want.sum() * (total or all_tokens) / all_tokens
-    scale = np.maximum(share, 1e-9)
     gradients: list[list[float]] = []
+    frame, since = seen.withColumn("start", F.lit(1.0)), 0
     for _ in range(STEPS):
         error = now / all_tokens - target
-        if np.abs(error).max() < 1e-3:
+        if np.abs(error).max() < CLOSE:
             break
-        gradients.append(list(error / scale))
-        now = sums(rate_column(p, gradients, 1 / (1 + RIDGE)))
+        if len(gradients) - since == SAVE_EVERY:
+            frame = scratch.save(frame.withColumn("start", rate_column(p, gradients[since:], F.col("start"))))
+            since = len(gradients)
+        gradients.append(list(error / np.maximum(share, 1e-9)))
+        now = sums(frame, rate_column(p, gradients[since:], F.col("start")))
     return gradients
 
 
 def rates(spark: SparkSession, docs: DataFrame, model: Model, weights: dict[str, float], key: str = "doc_id", text: str = "text", total: float | None = None) -> tuple[DataFrame, list[list[float]]]:
     """(key, tokens, p_0, ..., rate) of each row of docs, and the gradients that give a posterior its rate."""
-    n = len(model[0])
+    n, scratch = len(model[0]), Scratch(spark, "mixing")
     seen = members(spark, docs.select(F.col(key), F.col(text)), model, text)
-    seen = Scratch(spark, "mixing").save(seen.select(key, F.col("_member.tokens").alias("tokens"), *(F.get("_member.p", F.lit(d)).alias(f"p_{d}") for d in range(n))))
-    gradients = fit(seen, n, model[0], weights, total)
-    return seen.withColumn("rate", rate_column([F.col(f"p_{d}") for d in range(n)], gradients, 1 / (1 + RIDGE))), gradients
+    seen = scratch.save(seen.select(key, F.col("_member.tokens").alias("tokens"), *(F.get("_member.p", F.lit(d)).alias(f"p_{d}") for d in range(n))))
+    gradients = fit(scratch, seen, n, model[0], weights, total)
+    return seen.withColumn("rate", rate_column([F.col(f"p_{d}") for d in range(n)], gradients)), gradients
 
 
 def copies(rate: Column, key: Column, seed: int = 17) -> Column:
@@ -158,7 +173,7 @@ def mix(spark: SparkSession, docs: DataFrame, model: Model, weights: dict[str, f
     """Rows of docs, each as often as its rate says; the posterior is computed again beside the text, so texts don't shuffle."""
     _, gradients = rates(spark, docs, model, weights, key, text, total)
     member, n = free_name(docs, "_member"), len(model[0])
-    rate = rate_column([F.get(F.col(member)["p"], F.lit(d)) for d in range(n)], gradients, 1 / (1 + RIDGE))
+    rate = rate_column([F.get(F.col(member)["p"], F.lit(d)) for d in range(n)], gradients)
     out = members(spark, docs, model, text, member).withColumn(member, copies(rate, F.col(key)))
     again = free_name(docs, "_copy")
     out = out.where(F.col(member) > 0).withColumn(again, F.explode(F.sequence(F.lit(1).cast("long"), F.col(member))))

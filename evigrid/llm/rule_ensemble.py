@@ -106,15 +106,16 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 7) -> tuple[
     return bias, [(rule, float(w)) for (rule, _), w in zip(kept, weights, strict=True) if abs(w) > 1e-6]
 
 
-def compile_rules(model: tuple[float, list[tuple[Rule, float]]], stats: str) -> Column:
+def compile_rules(model: tuple[float, list[tuple[Rule, float]]], columns: dict[str, Column]) -> Column:
+    """The score over feature columns. Weights stand in one array, which Spark compiles term by term: a long sum would outgrow a method."""
     bias, rules = model
-    columns, total = features(stats), F.lit(bias)
+    terms = [F.lit(bias)]
     for rule, weight in rules:
         hit = F.lit(True)
         for name, above, cut in rule:
             hit = hit & (columns[name] > cut if above else columns[name] <= cut)
-        total = total + F.when(hit, weight).otherwise(0.0)
-    return 1 / (1 + F.exp(-total))
+        terms.append(F.when(hit, weight).otherwise(0.0))
+    return 1 / (1 + F.exp(-F.aggregate(F.array(*terms), F.lit(0.0), lambda a, x: a + x)))
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> tuple[float, list[tuple[Rule, float]]]:
@@ -129,6 +130,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "d
 
 def score(docs: DataFrame, model: tuple[float, list[tuple[Rule, float]]], text: str = "text", name: str = "score") -> DataFrame:
     """docs and the probability of label 1."""
-    stats = free_name(docs, "_stats")
+    stats, values = free_name(docs, "_stats"), free_name(docs, "_features")
     out = with_stats(docs, text, stats, repeats=False)
-    return out.withColumn(name, compile_rules(model, stats)).drop(stats)
+    out = out.withColumn(values, F.struct(*(c.alias(n) for n, c in features(stats).items())))
+    columns = {n: F.col(values)[n] for n in features(stats)}
+    return out.withColumn(name, compile_rules(model, columns)).drop(stats, values)
