@@ -12,8 +12,12 @@ Work is kept linear in the documents and in the links between different texts:
   the map side, so that a group of copies with a third of all rows shuffles as one row per task;
 * no bucket emits all its pairs. First every class meets the most popular class of its buckets only (in a group of near
   copies the original is in most buckets). Buckets that then hold one component need no more work: a pair inside a
-  component can't change the result. In the others a growing number of members (8, 64, 512, ... in a round) meets the
-  members of other components, until each pair of different components in a bucket has been tested;
+  component can't change the result;
+* what is left are mostly documents that share a passage. Their candidates are dealt again by rare shingles: with the
+  shingles of these documents in order of frequency, two sets of the wanted similarity must share one of their first
+  n - ceil(0.75 n) + 1, and a common passage isn't among these unless it is most of both documents. In these buckets a
+  growing number of members (8, 64, 512, ... in a round) meets the members of other components, until each pair of
+  different components in a bucket has been tested;
 * texts are read again only for classes that share a band with another one.
 
 Every round is a written table in the shared folder, so lost executors recompute one round at most; links, labels and
@@ -152,6 +156,17 @@ def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * F.col("common") >= PERCENT * (F.size("set_a") + F.size("set_b") - F.col("common"))).select("a", "b")
 
 
+def rare_buckets(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(band, rep, n, pop) of members dealt by the rarest of their shingles: as many as exactness needs, without those that one class has."""
+    one = members.groupBy("rep").agg(F.first("n").alias("n"), F.first("pop").alias("pop"))
+    items = sets.join(one, F.col("id") == F.col("rep")).select("rep", "n", "pop", F.explode("shingles").alias("band"))
+    common = items.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    ranked = items.join(common, "band").groupBy("rep", "n", "pop").agg(F.sort_array(F.collect_list(F.struct("size", "band"))).alias("common"))
+    needed = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - (F.col("n") - F.size("common"))
+    ranked = ranked.withColumn("needed", needed.cast("int")).where("needed > 0")
+    return ranked.select(F.explode(F.slice("common", F.lit(1), F.col("needed"))).alias("at"), "rep", "n", "pop").select("at.band", "rep", "n", "pop")
+
+
 def _alike(n: str, m: str):
     """Set sizes that allow the similarity."""
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
@@ -189,7 +204,9 @@ def cluster(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str
         mixed = left.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
         return scratch.save(left.join(mixed, "band").select("band", "rep", "n", "pop", "comp"))
 
-    left, slots, turn = unsettled(members), 8, 0
+    mixed = unsettled(members)
+    left, slots, turn = unsettled(rare_buckets(mixed, sets)), 8, 0
+    scratch.drop(mixed)
     while left.limit(1).count():
         slot = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(slots))
         chosen = F.max(F.struct("pop", (-F.col("rep")).alias("minus"), F.col("n").alias("m"), F.col("comp").alias("other"))).alias("top")
