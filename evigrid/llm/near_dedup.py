@@ -13,11 +13,13 @@ Work is kept linear in the documents and in the links between different texts:
 * no bucket emits all its pairs. First every class meets the most popular class of its buckets only (in a group of near
   copies the original is in most buckets). Buckets that then hold one component need no more work: a pair inside a
   component can't change the result;
-* what is left are mostly documents that share a passage. Their candidates are dealt again by rare shingles: with the
-  shingles of these documents in order of frequency, two sets of the wanted similarity must share one of their first
-  n - ceil(0.75 n) + 1, and a common passage isn't among these unless it is most of both documents. In these buckets a
-  growing number of members (8, 64, 512, ... in a round) meets the members of other components, until each pair of
-  different components in a bucket has been tested;
+* what is left are documents that share a passage, or miss the wanted similarity with a popular text by little. Their
+  candidates are dealt again by rare shingles: with the shingles of these documents in order of frequency, two sets of
+  n and m shingles that share ceil(3/7 (n + m)), as similarity 0.75 demands, must share one of their first
+  n - ceil(3/7 (n + m)) + 1. Sizes are put in classes 3 % wide, and each pair of classes has buckets of its own, so that
+  m is known well. A common passage, or the text that near misses were made from, is rare enough for such a bucket only
+  in documents that mostly consist of it. In these buckets a growing number of members (8, 64, 512, ... in a round)
+  meets the members of other components, until each pair of different components in a bucket has been tested;
 * texts are read again only for classes that share a band with another one.
 
 Every round is a written table in the shared folder, so lost executors recompute one round at most; links, labels and
@@ -31,6 +33,8 @@ result; ties don't matter since components don't depend on the order of tests.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +45,9 @@ from .hashing import mix, utf8, word_hashes
 
 SHINGLE, ROWS, BANDS, PERCENT = 5, 5, 48, 75
 
+#: Set sizes of one class differ by this factor at most.
+CLASS_WIDTH = 1.03
+
 #: Shingles whose coordinates are computed at once.
 BLOCK = 1024
 
@@ -157,14 +164,25 @@ def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def rare_buckets(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(band, rep, n, pop) of members dealt by the rarest of their shingles: as many as exactness needs, without those that one class has."""
+    """(band, side, rep, n, pop): members dealt by pairs of size classes and the rarest of their shingles, as many as exactness needs.
+
+    side: 0 for the smaller size class of the bucket's pair, 1 for the larger, 2 if both are the same; only different
+    sides meet, but for 2. Shingles that one class of texts alone has count among the rarest, but need no bucket.
+    """
     one = members.groupBy("rep").agg(F.first("n").alias("n"), F.first("pop").alias("pop"))
-    items = sets.join(one, F.col("id") == F.col("rep")).select("rep", "n", "pop", F.explode("shingles").alias("band"))
-    common = items.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    ranked = items.join(common, "band").groupBy("rep", "n", "pop").agg(F.sort_array(F.collect_list(F.struct("size", "band"))).alias("common"))
-    needed = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - (F.col("n") - F.size("common"))
-    ranked = ranked.withColumn("needed", needed.cast("int")).where("needed > 0")
-    return ranked.select(F.explode(F.slice("common", F.lit(1), F.col("needed"))).alias("at"), "rep", "n", "pop").select("at.band", "rep", "n", "pop")
+    items = sets.join(one, F.col("id") == F.col("rep")).select("rep", "n", "pop", F.explode("shingles").alias("shingle"))
+    common = items.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    ranked = items.join(common, "shingle").groupBy("rep", "n", "pop").agg(F.sort_array(F.collect_list(F.struct("size", "shingle"))).alias("common"))
+    size_class = lambda n: F.floor(F.log(n) / math.log(CLASS_WIDTH)).cast("int")
+    least = F.ceil(F.col("n") * PERCENT / 100)
+    paired = ranked.withColumn("own", size_class(F.col("n")))
+    paired = paired.withColumn("other", F.explode(F.sequence(size_class(least), size_class(F.floor(F.col("n") * 100 / PERCENT)))))
+    partner = F.greatest(least, F.floor(F.pow(F.lit(CLASS_WIDTH), F.col("other"))))
+    overlap = F.ceil((F.col("n") + partner) * PERCENT / (100 + PERCENT))
+    paired = paired.withColumn("needed", (F.size("common") - overlap + 1).cast("int")).where("needed > 0")
+    dealt = paired.select("rep", "n", "pop", "own", "other", F.explode(F.slice("common", F.lit(1), F.col("needed"))).alias("at"))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    return dealt.select(F.xxhash64("at.shingle", F.least("own", "other"), F.greatest("own", "other")).alias("band"), side.alias("side"), "rep", "n", "pop")
 
 
 def _alike(n: str, m: str):
@@ -199,20 +217,22 @@ def cluster(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str
     labels = scratch.save(relabel(members.select(F.col("rep").alias("id"), F.col("rep").alias("comp")).distinct(), found))
 
     def unsettled(left: DataFrame) -> DataFrame:
-        """Rows (band, rep, n, pop), with comp, of buckets that hold several components."""
+        """Rows (band, side, rep, n, pop), with comp, of buckets that hold several components and can have pairs."""
         left = left.join(labels.select(F.col("id").alias("rep"), "comp"), "rep")
-        mixed = left.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
-        return scratch.save(left.join(mixed, "band").select("band", "rep", "n", "pop", "comp"))
+        mixed = left.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("side").alias("first"), F.max("side").alias("last"))
+        mixed = mixed.where("low < high AND (first < last OR first = 2)").select("band")
+        return scratch.save(left.join(mixed, "band").select("band", "side", "rep", "n", "pop", "comp"))
 
-    mixed = unsettled(members)
+    mixed = unsettled(members.withColumn("side", F.lit(2)))
     left, slots, turn = unsettled(rare_buckets(mixed, sets)), 8, 0
     scratch.drop(mixed)
     while left.limit(1).count():
         slot = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(slots))
         chosen = F.max(F.struct("pop", (-F.col("rep")).alias("minus"), F.col("n").alias("m"), F.col("comp").alias("other"))).alias("top")
-        centers = scratch.save(left.groupBy("band", slot.alias("slot")).agg(chosen).select("band", (-F.col("top.minus")).alias("center"), "top.m", "top.other"))
-        pairs = left.join(centers, "band").where((F.col("comp") != F.col("other")) & _alike("n", "m"))
-        pairs = pairs.select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b")).distinct()
+        centers = left.groupBy("band", "side", slot.alias("slot")).agg(chosen)
+        centers = scratch.save(centers.select("band", F.col("side").alias("facing"), (-F.col("top.minus")).alias("center"), "top.m", "top.other"))
+        meets = (F.col("comp") != F.col("other")) & ((F.col("side") == 2) | (F.col("side") != F.col("facing"))) & _alike("n", "m")
+        pairs = left.join(centers, "band").where(meets).select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b")).distinct()
         ends = [labels.select(F.col("id").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab"]
         edges = links(pairs, sets).join(ends[0], "a").join(ends[1], "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct()
         edges = scratch.save(edges)
