@@ -16,8 +16,8 @@ Work is kept linear in the documents and in the links between different texts:
 * what is left are documents that share a passage, or miss the wanted similarity with a popular text by little. Their
   candidates are dealt again by rare shingles: with the shingles of these documents in order of frequency, two sets of
   n and m shingles that share ceil(3/7 (n + m)), as similarity 0.75 demands, must share one of their first
-  n - ceil(3/7 (n + m)) + 1. Sizes are put in classes 3 % wide, and each pair of classes has buckets of its own, so that
-  m is known well. A common passage, or the text that near misses were made from, is rare enough for such a bucket only
+  n - ceil(3/7 (n + m)) + 1. Sizes are put in classes 8 % wide, and each pair of classes has buckets of its own, so that
+  m is known well; two members meet only if enough shingles follow the shared one in both. A common passage, or the text that near misses were made from, is rare enough for such a bucket only
   in documents that mostly consist of it. In these buckets a growing number of members (8, 64, 512, ... in a round)
   meets the members of other components, until each pair of different components in a bucket has been tested;
 * texts are read again only for classes that share a band with another one.
@@ -46,7 +46,7 @@ from .hashing import mix, utf8, word_hashes
 SHINGLE, ROWS, BANDS, PERCENT = 5, 5, 48, 75
 
 #: Set sizes of one class differ by this factor at most.
-CLASS_WIDTH = 1.03
+CLASS_WIDTH = 1.08
 
 #: Shingles whose coordinates are computed at once.
 BLOCK = 1024
@@ -164,25 +164,32 @@ def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def rare_buckets(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(band, side, rep, n, pop): members dealt by pairs of size classes and the rarest of their shingles, as many as exactness needs.
+    """(band, side, rep, n, pop, left): members dealt by pairs of size classes and the rarest of their shingles.
 
     side: 0 for the smaller size class of the bucket's pair, 1 for the larger, 2 if both are the same; only different
-    sides meet, but for 2. Shingles that one class of texts alone has count among the rarest, but need no bucket.
+    sides meet, but for 2. left: shingles from this one on, in order of frequency. Shingles that one class of texts alone
+    has count among the rarest, but need no bucket.
     """
     one = members.groupBy("rep").agg(F.first("n").alias("n"), F.first("pop").alias("pop"))
-    items = sets.join(one, F.col("id") == F.col("rep")).select("rep", "n", "pop", F.explode("shingles").alias("shingle"))
+    items = sets.join(one.select(F.col("rep").alias("id")), "id").select("id", F.explode("shingles").alias("shingle"))
     common = items.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    ranked = items.join(common, "shingle").groupBy("rep", "n", "pop").agg(F.sort_array(F.collect_list(F.struct("size", "shingle"))).alias("common"))
+    ranked = items.join(common, "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("size", "shingle"))).alias("common"))
+    ranked = ranked.join(one, F.col("id") == F.col("rep"))
     size_class = lambda n: F.floor(F.log(n) / math.log(CLASS_WIDTH)).cast("int")
     least = F.ceil(F.col("n") * PERCENT / 100)
     paired = ranked.withColumn("own", size_class(F.col("n")))
     paired = paired.withColumn("other", F.explode(F.sequence(size_class(least), size_class(F.floor(F.col("n") * 100 / PERCENT)))))
     partner = F.greatest(least, F.floor(F.pow(F.lit(CLASS_WIDTH), F.col("other"))))
-    overlap = F.ceil((F.col("n") + partner) * PERCENT / (100 + PERCENT))
-    paired = paired.withColumn("needed", (F.size("common") - overlap + 1).cast("int")).where("needed > 0")
-    dealt = paired.select("rep", "n", "pop", "own", "other", F.explode(F.slice("common", F.lit(1), F.col("needed"))).alias("at"))
+    paired = paired.withColumn("needed", (F.size("common") - _overlap(F.col("n"), partner) + 1).cast("int")).where("needed > 0")
+    dealt = paired.select("rep", "n", "pop", "own", "other", F.size("common").alias("k"), F.posexplode(F.slice("common", F.lit(1), F.col("needed"))).alias("i", "at"))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    return dealt.select(F.xxhash64("at.shingle", F.least("own", "other"), F.greatest("own", "other")).alias("band"), side.alias("side"), "rep", "n", "pop")
+    band = F.xxhash64("at.shingle", F.least("own", "other"), F.greatest("own", "other"))
+    return dealt.select(band.alias("band"), side.alias("side"), "rep", "n", "pop", (F.col("k") - F.col("i")).cast("long").alias("left"))
+
+
+def _overlap(n, m):
+    """Shingles that sets of n and m must share."""
+    return F.ceil((n + m) * PERCENT / (100 + PERCENT))
 
 
 def _alike(n: str, m: str):
@@ -199,11 +206,11 @@ def cluster(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str
     rows = scratch.save(texts.mapInArrow(sketch, "id long, n long, h1 long, h2 long, bands array<long>"))
     classes = scratch.save(rows.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands")))
 
-    banded = classes.select("rep", "n", F.explode("bands").alias("band"))
+    banded = classes.select("rep", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = scratch.save(banded.join(shared, "band"))
     popular = members.groupBy("rep").agg(F.sum("size").alias("pop"))
-    members = scratch.save(members.join(popular, "rep").select("band", "rep", "n", "pop"))
+    members = scratch.save(members.join(popular.join(classes.select("rep", "n"), "rep"), "rep").select("band", "rep", "n", "pop"))
 
     wanted = members.select("rep").distinct().join(classes.select("rep", "h1"), "rep").withColumnRenamed("rep", "id")
     sets = texts.join(wanted, "id").select("id", "text", "h1").mapInArrow(full_sets, "id long, shingles array<long>")
@@ -217,21 +224,22 @@ def cluster(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str
     labels = scratch.save(relabel(members.select(F.col("rep").alias("id"), F.col("rep").alias("comp")).distinct(), found))
 
     def unsettled(left: DataFrame) -> DataFrame:
-        """Rows (band, side, rep, n, pop), with comp, of buckets that hold several components and can have pairs."""
+        """Rows (band, side, rep, n, pop, left), with comp, of buckets that hold several components and can have pairs."""
         left = left.join(labels.select(F.col("id").alias("rep"), "comp"), "rep")
         mixed = left.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("side").alias("first"), F.max("side").alias("last"))
         mixed = mixed.where("low < high AND (first < last OR first = 2)").select("band")
-        return scratch.save(left.join(mixed, "band").select("band", "side", "rep", "n", "pop", "comp"))
+        return scratch.save(left.join(mixed, "band").select("band", "side", "rep", "n", "pop", "left", "comp"))
 
-    mixed = unsettled(members.withColumn("side", F.lit(2)))
+    mixed = unsettled(members.withColumn("side", F.lit(2)).withColumn("left", F.col("n")))
     left, slots, turn = unsettled(rare_buckets(mixed, sets)), 8, 0
     scratch.drop(mixed)
     while left.limit(1).count():
         slot = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(slots))
-        chosen = F.max(F.struct("pop", (-F.col("rep")).alias("minus"), F.col("n").alias("m"), F.col("comp").alias("other"))).alias("top")
+        chosen = F.max(F.struct("pop", (-F.col("rep")).alias("minus"), F.col("n").alias("m"), F.col("comp").alias("other"), F.col("left").alias("right"))).alias("top")
         centers = left.groupBy("band", "side", slot.alias("slot")).agg(chosen)
-        centers = scratch.save(centers.select("band", F.col("side").alias("facing"), (-F.col("top.minus")).alias("center"), "top.m", "top.other"))
+        centers = scratch.save(centers.select("band", F.col("side").alias("facing"), (-F.col("top.minus")).alias("center"), "top.m", "top.other", "top.right"))
         meets = (F.col("comp") != F.col("other")) & ((F.col("side") == 2) | (F.col("side") != F.col("facing"))) & _alike("n", "m")
+        meets = meets & (F.least("left", "right") >= _overlap(F.col("n"), F.col("m")))  # else this is not their first common shingle, or they share too few
         pairs = left.join(centers, "band").where(meets).select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b")).distinct()
         ends = [labels.select(F.col("id").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab"]
         edges = links(pairs, sets).join(ends[0], "a").join(ends[1], "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct()
