@@ -135,3 +135,14 @@ def score(docs: DataFrame, model: tuple[float, list[tuple[Rule, float]]], text:
     out = out.withColumn(values, F.struct(*(c.alias(n) for n, c in features(stats).items())))
     columns = {n: F.col(values)[n] for n in features(stats)}
     return out.withColumn(name, compile_rules(model, columns)).drop(stats, values)
+
+
+def keep_good(docs: DataFrame, model: tuple[float, list[tuple[Rule, float]]], text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs with a score of least or more.
+
+    The row number in the condition keeps the filter above the projections: pushed below them, it would compute the
+    statistics anew for every rule.
+    """
+    name, row = free_name(docs, "_score"), free_name(docs, "_row")
+    out = score(docs, model, text, name).withColumn(row, F.monotonically_increasing_id())
+    return out.where((F.col(name) >= least) & (F.col(row) >= 0)).select(*docs.columns)
