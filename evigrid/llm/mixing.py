@@ -29,8 +29,12 @@ from .hashing import utf8, word_hashes
 
 SAMPLE, BUCKETS, TELLING, MOST_DOMAINS = 20_000, 1 << 16, 4_096, 256
 
-#: A word counts if its texts in some domain are so many standard deviations from its share; pseudo-texts of each domain.
-DEVIATIONS, SMOOTH = 4.0, 5.0
+#: A word counts if the texts of some domain that hold it are so many standard deviations from the expected number.
+DEVIATIONS = 4.0
+
+#: ... and if that share is so far from the expected one (a difference of logarithms): in long texts, many slight hints
+#: would outvote the clear ones.
+CLEAR = 1.0
 
 #: Steps of the fit at most, the error (in shares of all tokens) at which it ends, and the steps after which rates are
 #: written down, so that a step recomputes few others.
@@ -54,7 +58,7 @@ def train(spark: SparkSession, docs: DataFrame, labelled: DataFrame, key: str =
     ship(spark)
     bounded_batches(spark)
     own = labelled.where(F.col(domain).isNotNull()).select(F.col(key).alias("_k"), F.col(domain).alias("domain")).orderBy(F.xxhash64(key), "_k", "domain").limit(SAMPLE)
-    rows = docs.join(F.broadcast(own), F.col(key) == F.col("_k")).select("domain", F.col(text).cast("binary").alias("text"))
+    rows = docs.join(F.broadcast(own), F.col(key) == F.col("_k")).select("domain", F.col(text).cast("binary").alias("text")).distinct()
 
     def count(batches):
         totals: dict[str, np.ndarray] = {}
@@ -77,11 +81,11 @@ def train(spark: SparkSession, docs: DataFrame, labelled: DataFrame, key: str =
     counts = np.zeros((BUCKETS + 1, len(names)))
     np.add.at(counts, (got["bucket"].to_numpy(), [names.index(x) for x in got["domain"].to_pylist()]), got["n"].to_numpy())
     texts, counts = counts[-1], counts[:-1]
-    mean = (counts.sum(axis=1, keepdims=True) + 0.5) / (texts.sum() + 1)
-    logs = np.log((counts + SMOOTH * mean) / (texts + SMOOTH) / mean)
-    expected = counts.sum(axis=1, keepdims=True) * texts / texts.sum()
+    # A word's share among the distinct words of a domain's texts: unlike a share of texts, it doesn't rise with their length.
+    expected = counts.sum(axis=1, keepdims=True) * counts.sum(axis=0) / max(1.0, counts.sum())
+    logs = np.log((counts + 1) / (expected + 1))
     telling = (np.abs(counts - expected) / np.sqrt(expected + 1)).max(axis=1)
-    logs[(telling < DEVIATIONS) | (np.argsort(np.argsort(-telling, kind="stable")) >= TELLING)] = 0
+    logs[(telling < DEVIATIONS) | (np.abs(logs).max(axis=1) < CLEAR) | (np.argsort(np.argsort(-telling, kind="stable")) >= TELLING)] = 0
     return names, logs, np.log(texts / texts.sum())
 
 
