@@ -102,3 +102,17 @@ def fuse_masses(p: Column, u: Column, q: Column, v: Column) -> tuple[Column, Col
     conflict = total(a) * total(b) - total(agree)
     joint = F.zip_with(a, b, lambda x, y: x * y + x * v + u * y)
     return F.transform(joint, lambda x: x / total(joint)), conflict
+
+
+def remap(c: Column, relevant: list[int]) -> Column:
+    """Position among the sorted relevant classes; the next number for all others."""
+    order = sorted(set(relevant))
+    out = F.lit(len(order))
+    for k, v in enumerate(order):
+        out = F.when(c == v, k).otherwise(out)
+    return out.cast("int")
+
+
+def spread(c: Column, confidence: Column, classes: int) -> Column:
+    """A distribution with the confidence at class c and the rest shared equally."""
+    return F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda k: F.round(F.when(k == c, confidence).otherwise((1 - confidence) / (classes - 1)), 6))

@@ -58,3 +58,17 @@ def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, tie:
     w = Window.partitionBy(key).orderBy(ts, "side", "tie").rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("found", F.last(value, ignorenulls=True).over(w)).where("side = 1 AND found IS NOT NULL")
     return out.select(key, F.col("tie").alias(tie), F.col("found").alias(value))
+
+
+def time_sync(left: DataFrame, right: DataFrame, key: str, ts: str, tie: str, most: int) -> DataFrame:
+    """Each row of left with the row of right nearest in time, at most `most` microseconds away, per key: left_id, right_id, gap.
+
+    Times are put in slots of that width; a row of right stands in three, so the join is an equi-join on key and slot.
+    """
+    at = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts).cast("timestamp_ntz"))
+    a = left.select(key, F.col(tie).alias("left_id"), at.alias("s")).withColumn("slot", F.floor(F.col("s") / most))
+    b = right.select(key, F.col(tie).alias("right_id"), at.alias("t"))
+    b = b.withColumn("slot", F.explode(F.array(*(F.floor(F.col("t") / most) + d for d in (-1, 0, 1)))))
+    gap = F.abs(F.col("s") - F.col("t"))
+    near = a.join(b, [key, "slot"]).where(gap <= most).groupBy("left_id").agg(F.min(F.struct(gap.alias("gap"), F.col("right_id"))).alias("m"))
+    return near.select("left_id", "m.right_id", "m.gap")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import folds, maps, metrics, spatial
+from ..operators import folds, graph, maps, metrics, spatial
 from ..sources.tables import points, table, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -303,3 +303,49 @@ def f2_adaptive_gate(spark, sf_dir):
     p = points(spark, sf_dir)
     gate = p.groupBy("class").agg(F.least(F.lit(0.8), F.percentile("u", F.lit(0.9))).alias("gate"))
     return p.join(F.broadcast(gate), "class").where("u <= gate").groupBy("class", F.round("gate", 6).alias("gate")).agg(F.count(F.lit(1)).alias("kept"))
+
+
+@query("""WITH c AS (SELECT event_id AS click, user_id, epoch_us(ts) AS s FROM events WHERE event_type = 'click'), v AS (SELECT event_id AS view, user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'view'),
+  p AS (SELECT click, view, abs(s - t) AS gap, row_number() OVER (PARTITION BY click ORDER BY abs(s - t), view) AS k FROM c JOIN v ON c.user_id = v.user_id AND abs(s - t) <= 3600000000) SELECT click, view, gap FROM p WHERE k = 1""")
+def j1_time_sync(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return folds.time_sync(e.where("event_type = 'click'"), e.where("event_type = 'view'"), "user_id", "ts", "event_id", 3_600_000_000).select(F.col("left_id").alias("click"), F.col("right_id").alias("view"), "gap")
+
+
+@query(
+    f"""WITH RECURSIVE {VECTORS}, e AS (SELECT a.id AS a, b.id AS b FROM vec a JOIN vec b ON a.id <> b.id AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) < 0.05*0.05),
+  r AS (SELECT a AS id, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON r.id = e.a) SELECT id, min(c) AS component FROM r GROUP BY id"""
+)
+def i7_components(spark, sf_dir):
+    v = vectors(spark, sf_dir).select("id", "x", "y", "z")
+    pairs = spatial.radius_pairs(v, v, 0.05).where("id < other_id")
+    return graph.components(pairs.select(F.col("id").alias("a"), F.col("other_id").alias("b")))
+
+
+PALETTE = [(0, 0, 0), (128, 0, 0), (0, 128, 0), (0, 0, 128), (128, 128, 0), (200, 200, 200)]
+
+
+@query("WITH c AS (SELECT p_partkey AS id, CAST(p_partkey * 37 % 256 AS INT) AS r, CAST(p_partkey * 91 % 256 AS INT) AS g, CAST(p_partkey * 53 % 256 AS INT) AS b FROM part), d AS (SELECT id, k, (r-x)*(r-x)+(g-y)*(g-y)+(b-z)*(b-z) AS d2 FROM c, (VALUES " + ", ".join(f"({k},{r},{g},{b})" for k, (r, g, b) in enumerate(PALETTE)) + ") p(k, x, y, z)) SELECT id, CAST(min(d2 * 100 + k) % 100 AS INT) AS class FROM d GROUP BY id")
+def j21_nearest_colour(spark, sf_dir):
+    key = F.col("p_partkey")
+    c = table(spark, sf_dir, "part").select(key.alias("id"), *((key * m % 256).cast("double").alias(n) for n, m in zip("xyz", (37, 91, 53), strict=True)))
+    return spatial.assign(c, [tuple(map(float, p)) for p in PALETTE]).select("id", F.col("cluster").alias("class"))
+
+
+@query("SELECT p_partkey AS id, CAST(CASE p_size WHEN 3 THEN 0 WHEN 7 THEN 1 WHEN 19 THEN 2 ELSE 3 END AS INT) AS class, list_transform(range(4), lambda k: round(CASE WHEN k = CASE p_size WHEN 3 THEN 0 WHEN 7 THEN 1 WHEN 19 THEN 2 ELSE 3 END THEN 0.7 ELSE 0.1 END, 6)::DOUBLE) AS p FROM part")
+def p5_p8_remap(spark, sf_dir):
+    """Relevant classes to 0..k-1, others to k; then the distribution that a confidence of 0.7 stands for."""
+    new = S.remap(F.col("p_size"), [7, 3, 19])
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), new.alias("class"), S.spread(new, F.lit(0.7), 4).alias("p"))
+
+
+@query("SELECT event_id, count(*) OVER w AS frames, round(sum(value) OVER w, 4) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def w9_running_totals(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, sf_dir, "events").select("event_id", F.count(F.lit(1)).over(w).alias("frames"), F.round(F.sum("value").over(w), 4).alias("total"))
+
+
+@query("SELECT user_id, arg_max(value, ts) AS last, max(ts) AS ts FROM events GROUP BY user_id")
+def w7_last_per_key(spark, sf_dir):
+    latest = F.max_by("value", F.struct("ts", "event_id"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(latest.alias("last"), F.max("ts").alias("ts"))
