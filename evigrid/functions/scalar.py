@@ -116,3 +116,22 @@ def remap(c: Column, relevant: list[int]) -> Column:
 def spread(c: Column, confidence: Column, classes: int) -> Column:
     """A distribution with the confidence at class c and the rest shared equally."""
     return F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda k: F.round(F.when(k == c, confidence).otherwise((1 - confidence) / (classes - 1)), 6))
+
+
+def observation_length(u: Column, base: float = 0.3, beta: float = 0.5, gamma: float = 3.0) -> Column:
+    """Length scale of one observation: the surer, the longer."""
+    return F.greatest(base * beta * F.exp(1 - gamma * u), F.lit(1e-3))
+
+
+def total_cost(cost: Column, u: Column, overhead: Column, floor: Column, factor: float = 0.2) -> Column:
+    """3-D cost with an uncertainty penalty: a tenth above the robot, none on the floor near the ground."""
+    return clamp((cost + factor * u) * F.when(overhead, 0.1).when(floor, 0.0).otherwise(1.0))
+
+
+def from_log_odds(h: Column, prior: float) -> Column:
+    """Probability of a class with log-odds h over its prior, against all others."""
+    return prior / (prior + (1 - prior) * F.exp(-h))
+
+
+def decay(h: Column, rate: float) -> Column:
+    return F.zip_with(h, softmax(h), lambda x, p: x * (1 - rate * (1 - p)))

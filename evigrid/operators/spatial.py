@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
@@ -88,3 +88,11 @@ def primitives(df: DataFrame, by: str, ridge: float = 0.001) -> DataFrame:
     mean = {a: F.col(f"s{a}") / F.col("w") for a in "xyz"}
     cov = [F.round(F.col(f"s{a}{b}") / F.col("w") - mean[a] * mean[b] + (ridge if a == b else 0.0), 4).alias(f"c{a}{b}") for a, b in pairs]
     return g.select(by, "n", F.round("u", 6).alias("u"), *(F.round(mean[a], 4).alias(a) for a in "xyz"), *cov)
+
+
+def order_statistic(df: DataFrame, by: str, value: str, share: float) -> DataFrame:
+    """(by, value): the value of rank ceil(share * n) of each group. Equal values are counted first, so a group's window holds its different values only."""
+    counts = df.groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(by)
+    ranked = counts.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("rank", F.ceil(share * F.sum("c").over(w)))
+    return ranked.where("upto >= rank").groupBy(by).agg(F.min(value).alias("value"))
