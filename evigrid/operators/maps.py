@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from . import spatial
 
 
 def column_costs(cells: DataFrame, costs: dict[int, int], least: float = 0.3) -> DataFrame:
@@ -69,3 +72,80 @@ def region(cells: DataFrame, low: tuple[int, int, int], high: tuple[int, int, in
     for k, a, b in zip("xyz", low, high, strict=True):
         inside = inside & F.col(f"i{k}").between(a, b)
     return cells.where(inside & (F.col("confidence") >= least)).groupBy("class").agg(F.count(F.lit(1)).alias("cells"), F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.sum("n").alias("observations"))
+
+
+def inside(low: tuple[int, int, int], high: tuple[int, int, int]) -> Column:
+    """Cells of a box, both ends included."""
+    return reduce(lambda a, b: a & b, (F.col(f"i{k}").between(a, b) for k, a, b in zip("xyz", low, high, strict=True)))
+
+
+def reset(cells: DataFrame, low: tuple[int, int, int], high: tuple[int, int, int]) -> DataFrame:
+    """The map without a box."""
+    return cells.where(~inside(low, high))
+
+
+def moving_costs(points: DataFrame, size: tuple[float, float, float], costs: dict[int, int], alpha: float = 0.3) -> DataFrame:
+    """Cost, uncertainty and class of voxels, averaged in order of time (ts, class, u). A class replaces the last one if it is surer than the new average. A voxel's rows are folded in one row."""
+    cost = F.lit(0.5)
+    for k, c in costs.items():
+        cost = F.when(F.col("class") == k, c / 100).otherwise(cost)
+    seen = F.sort_array(F.collect_list(F.struct("ts", "class", "u", cost.alias("cost"))))
+    grid = spatial.voxelise(points, size).groupBy("ix", "iy", "iz").agg(seen.alias("seen"), F.count(F.lit(1)).alias("n"))
+    state = lambda c, u, k: F.struct(c.alias("cost"), u.alias("u"), k.alias("class"))
+
+    def step(s: Column, e: Column) -> Column:
+        u = alpha * e["u"] + (1 - alpha) * s["u"]
+        return state(alpha * e["cost"] + (1 - alpha) * s["cost"], u, F.when(e["u"] < u, e["class"]).otherwise(s["class"]))
+
+    first = F.col("seen")[0]
+    folded = F.aggregate(F.slice("seen", F.lit(2), F.size("seen")), state(first["cost"], first["u"], first["class"]), step)
+    return grid.withColumn("s", folded).select("ix", "iy", "iz", "n", "s.cost", "s.u", "s.class")
+
+
+def project_costs(voxels: DataFrame, low: int, high: int, robot: int, ground: int, floor: int = 1) -> DataFrame:
+    """Highest total cost of a column between two layers, from 0 to 100."""
+    total = scalar.total_cost(F.col("cost"), F.col("u"), F.col("iz") > robot, (F.col("iz") < ground) & (F.col("class") == floor))
+    return voxels.where(F.col("iz").between(low, high)).groupBy("ix", "iy").agg(F.max((100 * total).cast("int")).alias("cost"))
+
+
+def occupancy(cells: DataFrame, free: list[int], least: float = 0.3) -> DataFrame:
+    """0 free, 100 obstacle (the highest of a column), -1 where nothing is confident."""
+    cost = F.when(F.col("confidence") >= least, F.when(F.col("class").isin(*free), 0).otherwise(100))
+    return cells.groupBy("ix", "iy").agg(F.coalesce(F.max(cost), F.lit(-1)).alias("cost"))
+
+
+def dense_rows(grid: DataFrame, unknown: int = -1) -> DataFrame:
+    """(iy, row): costs of all cells between the smallest and largest ix, for each iy in the grid's range. Rows stay apart, so no task holds the whole grid."""
+    b = grid.agg(F.min("ix").alias("x0"), F.max("ix").alias("x1"), F.min("iy").alias("y0"), F.max("iy").alias("y1"))
+    rows = grid.groupBy("iy").agg(F.map_from_entries(F.collect_list(F.struct("ix", "cost"))).alias("known"))
+    full = b.where("x0 IS NOT NULL").select("x0", "x1", F.explode(F.sequence("y0", "y1")).alias("iy")).join(rows, "iy", "left")
+    at = F.transform(F.sequence("x0", "x1"), lambda i: F.coalesce(F.try_element_at("known", i), F.lit(unknown)))
+    return full.select("iy", at.alias("row"))
+
+
+def query_points(points: DataFrame, cells: DataFrame, obstacles: DataFrame) -> DataFrame:
+    """For each point (id, x, y, z in cells): the cell that holds it, and the distance to the nearest obstacle's centre."""
+    at = points.select("id", *(F.floor(k).cast("int").alias(f"i{k}") for k in "xyz"))
+    centres = obstacles.select((F.monotonically_increasing_id()).alias("id"), *((F.col(f"i{k}") + 0.5).alias(k) for k in "xyz"))
+    near = spatial.nearest_of_all(points.select("id", "x", "y", "z"), centres, 2.0)
+    found = at.join(cells.select("ix", "iy", "iz", "class", "confidence", "n"), ["ix", "iy", "iz"], "left")
+    return found.join(near.select("id", F.col("distance").alias("obstacle")), "id", "left").select("id", "class", "confidence", F.coalesce("n", F.lit(0)).alias("n"), "obstacle")
+
+
+def get_map(cells: DataFrame, low: tuple[int, int, int], high: tuple[int, int, int], least: float, seen: int, factor: int, most: int) -> DataFrame:
+    """Up to `most` cells of a box at a coarser resolution, each with the class of its surest part; the surest first, then by index."""
+    part = cells.where(inside(low, high) & (F.col("confidence") >= least) & (F.col("n") >= seen))
+    coarse = part.groupBy(*(F.floor(F.col(f"i{k}") / factor).cast("int").alias(f"i{k}") for k in "xyz"))
+    best = F.max(F.struct("confidence", (-F.col("class")).alias("minus")))
+    out = coarse.agg(best.alias("b"), F.sum("n").alias("n")).select("ix", "iy", "iz", (-F.col("b.minus")).alias("class"), "b.confidence", "n")
+    return out.orderBy(F.desc("confidence"), "ix", "iy", "iz").limit(most)
+
+
+def best_by_strategy(goals: DataFrame, k: int, far: float) -> DataFrame:
+    """The k best goals (id, gain, d, size) by gain, nearness, size, and gain less a share of the distance; ties by id."""
+    scores = {"emi": F.col("gain"), "nearest": -F.col("d"), "largest": F.col("size"), "hybrid": F.col("gain") - 0.3 * F.col("d") / far}
+    tops = []
+    for name, score in scores.items():
+        top = goals.select(F.lit(name).alias("strategy"), "id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+        tops.append(top.withColumn("rank", F.row_number().over(Window.partitionBy("strategy").orderBy(F.desc("score"), "id"))))
+    return reduce(DataFrame.unionByName, tops).select("strategy", "rank", "id", "score")

@@ -96,3 +96,23 @@ def order_statistic(df: DataFrame, by: str, value: str, share: float) -> DataFra
     w = Window.partitionBy(by)
     ranked = counts.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("rank", F.ceil(share * F.sum("c").over(w)))
     return ranked.where("upto >= rank").groupBy(by).agg(F.min(value).alias("value"))
+
+
+def nearest_of_all(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
+    """Each id of left with the nearest id of right (the smallest of equals), however far: id, nearest, distance.
+
+    Radius doubles each round for the points that met nothing yet; what meets something in a radius has its nearest there.
+    Ends when right's box lies within the radius of every point. Each round is cut by checkpoint().
+    """
+    span = lambda df: [f(k).alias(f"{n}{k}") for k in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]
+    box = left.select("x", "y", "z").union(right.select("x", "y", "z")).agg(*span(left)).first()
+    wide = sum((box[f"hi{k}"] - box[f"lo{k}"]) ** 2 for k in "xyz") ** 0.5 if box["lox"] is not None else 0.0
+    done, rest = None, left.select("id", "x", "y", "z")
+    while True:
+        found = nearest(rest, right, radius).checkpoint()
+        met = found.where("nearest IS NOT NULL")
+        done = met if done is None else done.union(met)
+        rest = rest.join(met, "id", "left_anti").checkpoint()
+        if radius > wide or rest.isEmpty():
+            return done
+        radius *= 2
