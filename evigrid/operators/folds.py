@@ -72,3 +72,31 @@ def time_sync(left: DataFrame, right: DataFrame, key: str, ts: str, tie: str, mo
     gap = F.abs(F.col("s") - F.col("t"))
     near = a.join(b, [key, "slot"]).where(gap <= most).groupBy("left_id").agg(F.min(F.struct(gap.alias("gap"), F.col("right_id"))).alias("m"))
     return near.select("left_id", "m.right_id", "m.gap")
+
+
+def dynamic_status(df: DataFrame, key: str, item: str, ts: str, ties: list[str], window: float, alpha: float = 0.1) -> DataFrame:
+    """Per key, in order: changes of item less than `window` seconds after the last change (the first change never counts, as time starts at 0), dynamic from two on, and the occupancy average.
+
+    The counter depends on the last change, so a key's rows are folded in one row.
+    """
+    seconds = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts).cast("timestamp_ntz")) / 1e6
+    items = F.sort_array(F.collect_list(F.struct(F.col(ts), *ties, F.col(item).alias("c"), seconds.alias("t"))))
+    state = lambda c, last, n, o: F.struct(c.alias("c"), last.alias("last"), n.alias("n"), o.alias("o"))
+
+    def step(s: Column, e: Column) -> Column:
+        changed = e["c"] != s["c"]
+        near = changed & (e["t"] - s["last"] < window)
+        return state(e["c"], F.when(changed, e["t"]).otherwise(s["last"]), s["n"] + near.cast("long"), alpha + (1 - alpha) * s["o"])
+
+    g = df.groupBy(key).agg(items.alias("items"))
+    first = state(F.col("items")[0]["c"], F.lit(0.0), F.lit(0).cast("long"), F.lit(alpha))
+    s = g.withColumn("s", F.aggregate(F.slice("items", F.lit(2), F.size("items")), first, step))
+    return s.select(key, F.size("items").cast("long").alias("frames"), F.col("s.n").alias("transitions"), (F.col("s.n") >= 2).alias("dynamic"), F.round("s.o", 6).alias("occupancy"))
+
+
+def evict(df: DataFrame, key: str, ts: str, tie: str, age: str, most: int) -> DataFrame:
+    """Rows not older than age, counted from the newest of all, and at most the newest of each key."""
+    cut = df.agg((F.max(ts) - F.expr(f"INTERVAL {age}")).alias("cut"))
+    recent = df.where(F.col(ts) > cut.scalar())
+    newest = Window.partitionBy(key).orderBy(F.desc(ts), F.desc(tie))
+    return recent.withColumn("newest", F.row_number().over(newest)).where(F.col("newest") <= most).drop("newest")

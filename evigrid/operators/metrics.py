@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,39 @@ def summary(df: DataFrame, by: str, value: str, threshold: float) -> DataFrame:
     v = F.col(value)
     q = [F.round(F.percentile(v, F.lit(p)), 6).alias(f"p{round(100 * p)}") for p in (0.05, 0.25, 0.5, 0.75, 0.95)]
     return df.groupBy(by).agg(F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.avg((v > threshold).cast("double")), 6).alias("above"), *q)
+
+
+#: Score ranges of the precision-recall curve; running sums are taken within one, after those of the ranges above.
+RANGES = 4096
+
+
+def auprc(df: DataFrame, p: str, label: str) -> DataFrame:
+    """Area under each class's precision-recall curve, one against the rest, by trapezoids over different scores.
+
+    255 is no label; classes without a positive are left out. Counts per score come first; then running sums within ranges
+    of scores, so that no task orders all scores of a class. At most RANGES rows per class are broadcast.
+    """
+    each = df.where(F.col(label) != 255).select(F.col(label).alias("gt"), F.posexplode(p).alias("class", "score"))
+    s = each.groupBy("class", "score").agg(F.count_if(F.col("gt") == F.col("class")).alias("pos"), F.count(F.lit(1)).alias("n"))
+    s = s.withColumn("range", F.least(F.floor(F.col("score") * RANGES), F.lit(RANGES - 1)))
+    high = Window.partitionBy("class").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = s.groupBy("class", "range").agg(F.sum("pos").alias("rp"), F.sum("n").alias("rn"))
+    above = ranges.select("class", "range", *(F.coalesce(F.sum(c).over(high), F.lit(0)).alias(f"above_{c}") for c in ("rp", "rn")), F.sum("rp").over(Window.partitionBy("class")).alias("total"))
+    within = Window.partitionBy("class", "range").orderBy(F.desc("score"))
+    c = s.join(F.broadcast(above.where("total > 0")), ["class", "range"])
+    c = c.withColumn("tp", F.sum("pos").over(within) + F.col("above_rp")).withColumn("cnt", F.sum("n").over(within) + F.col("above_rn"))
+    before = F.when(F.col("cnt") > F.col("n"), (F.col("tp") - F.col("pos")) / (F.col("cnt") - F.col("n"))).otherwise(1.0)
+    area = F.col("pos") / F.col("total") * (F.col("tp") / F.col("cnt") + before) / 2
+    return c.groupBy("class").agg(F.round(F.sum(area), 6).alias("auprc"), F.max("total").alias("positives"))
+
+
+def resize_join(gt: DataFrame, pred: DataFrame, size: tuple[int, int], pred_size: tuple[int, int], image: list[str] | None = None) -> DataFrame:
+    """Pixels (u, v) of gt with the nearest pixel of pred, an image of another size; image: further columns that name the image."""
+    at = gt.withColumns({f"p{k}": F.floor(F.col(k) * p / s).cast("bigint") for k, s, p in zip("uv", size, pred_size, strict=True)})
+    other = pred.select(*(image or []), F.col("u").cast("bigint").alias("pu"), F.col("v").cast("bigint").alias("pv"), "pred")
+    return at.join(other, [*(image or []), "pu", "pv"]).drop("pu", "pv")
+
+
+def csv_matrix(confusion_table: DataFrame, classes: int) -> DataFrame:
+    """Confusion counts as one row per true class and one column per predicted class."""
+    return confusion_table.groupBy("gt").pivot("pred", list(range(classes))).agg(F.sum("n")).na.fill(0).orderBy("gt")

@@ -116,3 +116,10 @@ def nearest_of_all(left: DataFrame, right: DataFrame, radius: float) -> DataFram
         if radius > wide or rest.isEmpty():
             return done
         radius *= 2
+
+
+def given_neighbours(df: DataFrame, ids: str) -> DataFrame:
+    """(id, n, same): existing neighbours among the listed ids, and those of the same label. Rows without one are left out."""
+    each = df.select("id", "label", F.explode(ids).alias("other")).where("other >= 0 AND other <> id")
+    other = df.select(F.col("id").alias("other"), F.col("label").alias("other_label"))
+    return each.join(other, "other").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == F.col("other_label")).alias("same"))

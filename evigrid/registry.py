@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import geometric, mapping  # noqa: F401  (registers its queries)
+from .plans import geometric, mapping, sequences  # noqa: F401  (registers its queries)
 from .plans.queries import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "voxel_map"

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from evigrid.operators.spatial import voxelise
 from evigrid.sources.tables import points
+from evigrid.streaming import state
 from evigrid.streaming.voxels import keep_map
 
 SF, SIZE = "/root/testdata/sf0.001", (5.0, 10.0, 2.0)
@@ -18,3 +19,58 @@ def test_stream_ends_with_the_counts_of_the_batch(spark, tmp_path):
     want = voxelise(batch, SIZE).groupBy("ix", "iy", "iz", "class").agg(F.count(F.lit(1)).alias("n"))
     got = spark.table("voxel_counts").select("ix", "iy", "iz", "class", "n")
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def run(stream, name, path, mode):
+    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(path)).trigger(availableNow=True).start()
+    ended = query.awaitTermination(120)
+    query.stop()
+    assert ended and query.exception() is None
+
+
+def feed(spark, folder, schema, *batches):
+    """A stream of one file a trigger, in order."""
+    import os
+
+    for i, rows in enumerate(batches):
+        path = folder / f"{i}.parquet"
+        spark.createDataFrame(rows, schema).toPandas().to_parquet(path, coerce_timestamps="us", allow_truncated_timestamps=True)
+        os.utime(path, (1e9 + i, 1e9 + i))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def at(second):
+    from datetime import datetime, timedelta
+
+    return datetime(2024, 1, 1) + timedelta(seconds=second)
+
+
+def test_status_is_kept_across_batches(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = feed(spark, tmp_path / "in", "key string, ts timestamp, class int", [("a", at(0), 1), ("a", at(1), 2), ("b", at(0), 1)], [("a", at(2), 1), ("a", at(3), 2), ("b", at(1), 1)])
+    run(state.status(stream), "status", tmp_path / "ck", "update")
+    got = {(r["key"], r["frames"]): (r["transitions"], r["dynamic"], r["u"]) for r in spark.table("status").collect()}
+    assert got[("a", 4)] == (2, True, 0.5) and got[("b", 2)] == (0, False, 0.0) and got[("b", 1)] == (0, False, 0.5)
+
+
+def test_near_goals_are_not_sent_again(spark, tmp_path):
+    """A single batch a run: with a processing-time timeout a query has batches without end."""
+    (tmp_path / "in").mkdir()
+    schema = "robot string, ts timestamp, x double, y double"
+    rows = [("r", at(0), 0.0, 0.0), ("r", at(1), 0.1, 0.0)], [("r", at(2), 0.2, 0.0), ("r", at(3), 2.0, 0.0)]
+    for i in (1, 2):
+        goals = state.accepted_goals(feed(spark, tmp_path / "in", schema, *rows[:i]), timeout_ms=3_600_000)
+        out = goals.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).option("path", str(tmp_path / "out"))
+        query = out.trigger(once=True).start()
+        assert query.awaitTermination(120) and query.exception() is None
+    assert [(r["x"], r["action"]) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("x").collect()] == [(0.0, "send"), (2.0, "send")]
+
+
+def test_streams_pair_within_the_skew(spark, tmp_path):
+    (tmp_path / "l").mkdir()
+    (tmp_path / "r").mkdir()
+    schema = "key string, ts timestamp, id long"
+    left = feed(spark, tmp_path / "l", schema, [("k", at(0), 1), ("k", at(5), 2)])
+    right = feed(spark, tmp_path / "r", schema, [("k", at(0.3), 7), ("k", at(9), 8), ("other", at(5), 9)])
+    run(state.sync(left, right, "key", "500 milliseconds", "10 seconds"), "pairs", tmp_path / "ck", "append")
+    assert [(r["left_id"], r["right_id"], r["gap"]) for r in spark.table("pairs").collect()] == [(1, 7, 0.3)]
