@@ -149,3 +149,20 @@ def test_replay_window_and_topics(spark):
     df = spark.sql("SELECT timestamp_seconds(100 + id) AS ts, concat('t', id % 2) AS topic FROM range(10)")
     got = frames.replay(df, "ts", 2, 4, rate=2.0, rename={"t0": "a"}, topic="topic").orderBy("ts").collect()
     assert [(r["topic"], r["play_at"]) for r in got] == [("a", 0.0), ("t1", 0.5), ("a", 1.0)]
+
+
+def test_kmeans_finds_centres_of_separate_groups(spark):
+    rows = [(100 * j + i, 50.0 * j + i / 100, 0.0, 0.0, 0.1) for j in range(2) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double, u double")
+    clustered, centres = spatial.kmeans(df, 2)
+    assert len(centres) == 2 and sum(r["count"] for r in clustered.groupBy("cluster").count().collect()) == 60
+    for r in clustered.collect():  # each point has its nearest centre
+        assert min(range(2), key=lambda j: (r["x"] - centres[j][0]) ** 2) == r["cluster"]
+
+
+def test_update_renews_and_adds(spark):
+    prior = spark.createDataFrame([(5, 0.0, 0.0, 0.0), (6, 30.0, 0.0, 0.0)], "id long, x double, y double, z double")
+    rows = [(i, i / 100, 0.0, 0.0, 0.1) for i in range(10)] + [(100 + i, 30.0, 0.0, 0.0, 0.1) for i in range(3)] + [(200 + i, 60.0 + i / 100, 0.0, 0.0, 0.1) for i in range(8)]
+    points = spark.createDataFrame(rows, "id long, x double, y double, z double, u double")
+    got = primitives.update(prior, points, 1.0, 5, 1).collect()
+    assert sorted((r["prim"], r["n"], r["kept"]) for r in got) == [(-1, 11, False), (5, 10, True)]  # prior 6 has too few points
