@@ -6,8 +6,9 @@ reports how many tokens it holds before its first, between its, and after its la
 block reports (running sums in file order) then gives each block the number of the documents before it and the tokens
 that its first document already has, so that documents which span blocks are counted once and whole.
 
-A file is read by Spark as one row, so it may not exceed MOST_BYTES; corpora are written as many files anyway. Blocks
-are cut in the JVM and only they go to Python.
+Files may have any size: only their paths and lengths are listed, and tasks read the byte ranges of their own blocks.
+Arrow reads them where it can open the store. Elsewhere Spark's fixed-length records of one token do, which is slower but
+needs nothing that Spark lacks.
 
 An empty file has no documents; two separators in a row enclose a document of 0 tokens; tokens after the last separator
 are a document that lacks its end, and count as one. A file whose size isn't a multiple of the width raises an error.
@@ -16,8 +17,13 @@ write_flat() writes null and empty texts as documents of 0 tokens, and an empty
 
 from __future__ import annotations
 
+import re
+from itertools import groupby
+from urllib.parse import quote
+
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +31,10 @@ from pyspark.sql import types as T
 from . import bpe
 from .common import bounded_batches, ship, whole
 
-BLOCK_TOKENS, MOST_BYTES, FILE_DOCUMENTS = 1 << 18, 1 << 28, 10_000
+BLOCK_TOKENS, FILE_DOCUMENTS = 1 << 18, 10_000
+
+#: Bytes of files that a task reads, block by block.
+TASK_BYTES = 1 << 26
 
 LITTLE_ENDIAN = {2: "<u2", 4: "<u4"}
 
@@ -48,15 +57,68 @@ def write_flat(spark: SparkSession, docs: DataFrame, path: str, ranks_path: str,
     rows.write.option("encoding", "ISO-8859-1").option("lineSep", separator).option("compression", "none").option("maxRecordsPerFile", FILE_DOCUMENTS).text(path)
 
 
+def locate(file: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system and path of a file as Spark names it."""
+    scheme, root, path = re.fullmatch(r"(?s)(\w[\w+.-]*):(//[^/]*)?(.*)", file).groups()
+    return (fs.LocalFileSystem(), path) if scheme == "file" else fs.FileSystem.from_uri(f"{scheme}:{root or ''}{quote(path)}")
+
+
+def opens(file: str, length: int) -> bool:
+    """Whether Arrow finds the file."""
+    try:
+        store, path = locate(file)
+        return store.get_file_info(path).size == length
+    except (OSError, ValueError, NotImplementedError):
+        return False
+
+
+def read_ranges(size: int):
+    """Rows of file, length and block to the blocks' contents."""
+
+    def run(batches):
+        for batch in batches:
+            for file, rows in groupby(batch.to_pylist(), key=lambda r: r["file"]):
+                store, path = locate(file)
+                with store.open_input_file(path) as stream:
+                    for row in rows:
+                        start = row["block"] * size
+                        content = stream.read_at(min(size, row["length"] - start), start)
+                        if len(content) != min(size, row["length"] - start):
+                            raise OSError(f"{file}: shorter than listed")
+                        yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([row["block"]], pa.int32()), pa.array([content], pa.binary())], ["file", "block", "content"])
+
+    return run
+
+
+def read_records(spark: SparkSession, files: list[str], width: int, block_tokens: int) -> DataFrame:
+    """Blocks by Spark's reader of fixed-length records, in any store that Spark reads. Splits begin with blocks."""
+    reader, span = "org.apache.spark.input.FixedLengthBinaryInputFormat", str(max(1, TASK_BYTES // (block_tokens * width)) * block_tokens * width)
+    conf = {f"{reader}.recordLength": str(width)} | {f"mapreduce.input.fileinputformat.split.{k}size": span for k in ("min", "max")}
+
+    def cut(file: str):
+        def run(rows):
+            for block, own in groupby(rows, key=lambda r: r[0] // block_tokens):
+                yield file, block, b"".join(token for _, token in own)
+
+        return run
+
+    read = lambda file: spark.sparkContext.newAPIHadoopFile(file, reader, "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=conf)
+    return spark.createDataFrame(spark.sparkContext.union([read(file).mapPartitions(cut(file)) for file in files]), "file string, block int, content binary")
+
+
 def blocks(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(file, block, content): the files under a path, cut into blocks."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length", "content")
+    """(file, block, content): the files under a path, cut into blocks. Lists the files at once, reads them later."""
+    ship(spark)
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length").where("length > 0")
     size = block_tokens * width
-    fits = F.when((F.col("length") % width == 0) & (F.col("length") <= MOST_BYTES), F.ceil(F.col("length") / size).cast("int"))
-    wrong = F.raise_error(F.format_string("%s: %d bytes are no whole number of tokens, or too many for one file", "file", "length")).cast("int")
-    files = files.withColumn("n", F.coalesce(fits, wrong)).where("n > 0")
-    cut = files.select("file", "content", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
-    return cut.select("file", "block", F.substring("content", F.col("block") * size + 1, F.lit(size)).alias("content"))
+    wrong = F.raise_error(F.format_string("%s: %d bytes are no whole number of tokens", "file", "length")).cast("int")
+    files = files.withColumn("n", F.when(F.col("length") % width == 0, F.ceil(F.col("length") / size).cast("int")).otherwise(wrong))
+    first = files.agg(F.min(F.struct("file", "length")).alias("file"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.max("n")).first()
+    if first["file"] and not opens(*first["file"]):
+        return read_records(spark, [r["file"] for r in files.select("file").collect()], width, block_tokens)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-first["bytes"] // TASK_BYTES))
+    cut = files.select("file", "length", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
+    return cut.repartition(tasks, "file", "block").mapInArrow(read_ranges(size), "file string, block int, content binary")
 
 
 def search(end: int, width: int):

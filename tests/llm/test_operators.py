@@ -222,6 +222,28 @@ def test_token_files(spark, docs, rows, tmp_path):
     assert [(r["start"], r["n_tokens"]) for r in got] == [(0, 2), (3, 0), (4, 3), (8, 1)]
 
 
+@pytest.mark.parametrize("arrow", [True, False])
+def test_token_files_cut_into_ranges(spark, tmp_path, monkeypatch, arrow):
+    """A file over 256 MB by Arrow's ranges; a short one, in more than one split, by records."""
+    tokens = (1 << 27) + 1001 if arrow else 70_001
+    ends = [0, 1, 9999, (1 << 15) - 1, 1 << 15, 65_536, tokens - 500]
+    with open(tmp_path / "a b,c%20.bin" if arrow else tmp_path / "a.bin", "wb") as file:
+        file.truncate(2 * tokens)
+        for at in ends:
+            file.seek(2 * at)
+            file.write((9).to_bytes(2, "little"))
+    if not arrow:
+        monkeypatch.setattr(token_scan, "opens", lambda *_: False)
+        monkeypatch.setattr(token_scan, "TASK_BYTES", 1 << 16)
+    cut = token_scan.blocks(spark, str(tmp_path), block_tokens=1 << 18 if arrow else 1 << 13)
+    got = token_scan.count_tokens(spark, cut, 9).orderBy("document").collect()
+    starts = [0, *(at + 1 for at in ends)]
+    assert [(r["start"], r["n_tokens"]) for r in got] == [(a, b - a) for a, b in zip(starts, [*ends, tokens], strict=True)]
+    (tmp_path / "odd.bin").write_bytes(b"abc")
+    with pytest.raises(Exception, match="no whole number of tokens"):
+        token_scan.count_tokens(spark, token_scan.blocks(spark, str(tmp_path)), 9).collect()
+
+
 def test_language_id(spark):
     words = {"aa": "the of and to in", "bb": "der die und ist das", "cc": "que los una por con"}
     rng = random.Random(2)
