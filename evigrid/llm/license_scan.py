@@ -26,25 +26,55 @@ from .common import bounded_batches, free_name, ship
 
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: (label, template).
+MIT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction "
+    "including without limitation [[on]] the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+    "subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software "
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+    "in no event shall {{20}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise "
+    "arising from out of or in connection with the software or the use or other dealings in the software"
+)
+ISC = (
+    "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+    "the software is provided as is and {{20}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+    "in no event shall {{20}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+    "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+)
+BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "[[1]] [[a]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "[[2]] [[b]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+BSD_NAMES = "[[3]] [[c]] neither the name of {{20}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+BSD_DISCLAIMER = (
+    "this software is provided by {{20}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+    "in no event shall {{20}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services "
+    "loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise "
+    "arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+
+#: (label, template). Licences that are given by their wording have all of it: conditions and disclaimers too.
 TEMPLATES = (
     ("mit", "[[this {{3}} is]] released under the mit license"),
-    (
-        "mit",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction "
-        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so",
-    ),
+    ("mit", MIT),
+    ("mit", MIT.replace("noninfringement", "non infringement")),
     ("apache-2", "licensed under the apache license version 2 0 [[the license]]"),
     ("gpl-3", "this {{3}} is [[free software]] licensed under the [[terms of the]] gnu general public license [[gpl]] version 3"),
     ("gpl-3", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or [[at your option]] any later version"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("bsd-2", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by", "licensed under [[a]] creative commons attribution {{1}} international license"),
+    ("isc", ISC),
+    ("isc", ISC.replace("disclaims", "disclaim")),
+    ("bsd-2", f"{BSD} {BSD_DISCLAIMER}"),
+    ("bsd-3", f"{BSD} {BSD_NAMES} {BSD_DISCLAIMER}"),
+    # The version only: three words of any kind would take in "NonCommercial 4.0" and "ShareAlike 4.0".
+    ("cc-by", "licensed under [[a]] [[the]] creative commons attribution [[cc by]] [[4]] [[0]] international [[public]] license"),
 )
 
 #: A-Z to a-z, other ASCII characters but a-z and 0-9 to blanks, all other bytes as they are.
 WORD_BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in bytes(range(256)).lower())
 
+#: U+2018 to U+201F in UTF-8.
+QUOTES = re.compile(rb"\xe2\x80[\x98-\x9f]")
+
 
 @dataclass(frozen=True)
 class Automaton:
@@ -131,6 +161,9 @@ def scan_text(text: bytes, phrases: tuple = tuple(PHRASES.items()), templates: t
             seen = at
             hits.append((label, "base", k, k + phrase.count(" ") + 1))
             at = joined.find(want, at + 1)
+    if b"\xe2\x80" in joined:  # typographic quotes count as part of words, but templates have none
+        words = [QUOTES.sub(b"", w) for w in words]
+        joined = b" %b " % b" ".join(words)
     for own in automata(templates):
         if b" %b " % own.anchor in joined:
             hits += [(own.label, "template", a, b) for a, b in own.find(words)]

@@ -173,6 +173,57 @@ def test_templates():
     assert labels("Licensed under Creative Commons Attribution 4 International License") == {"cc-by"}
 
 
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+{a}. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+{b}. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+{more}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS {q[0]}AS IS{q[1]} AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
+BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT
+SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE
+OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+NAMES = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission."""
+ADVERTISING = """3. All advertising materials mentioning features or use of this software must display the following acknowledgement:
+This product includes software developed by the organization.
+4."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy,
+modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software
+is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES
+OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+
+
+def test_templates_of_whole_licences():
+    labels = lambda text: [h[0] for h in license_scan.scan_text(text.encode())[1] if h[1] == "template"]
+    bsd = lambda more="", a="1", b="2", q='""': BSD.format(more=more, a=a, b=b, q=q)
+    assert labels(bsd()) == labels(bsd(a="*", b="*")) == labels(bsd(q="“”")) == ["bsd-2"]
+    assert labels(f"Copyright 2020\n{bsd(NAMES)}\n") == labels(bsd(NAMES.replace("the copyright holder", "Example Ltd."))) == ["bsd-3"]
+    assert labels(bsd(ADVERTISING + NAMES[2:])) == labels(bsd().split("{")[0].split("\n1.")[0]) == []
+    assert labels(MIT) == labels(MIT.replace("NONINFRINGEMENT", "NON-INFRINGEMENT")) == ["mit"] and labels(ISC) == labels(ISC.replace("AUTHOR DISCLAIMS", "AUTHORS DISCLAIM")) == ["isc"]
+    for text in (MIT, ISC, bsd(), bsd(NAMES)):  # disclaimers cut, conditions changed
+        assert labels(text[:-60]) == labels(text.split("\n\n")[0][:400]) == labels(text.replace("copyright notice", "logo")) == []
+    assert labels("licensed under a Creative Commons Attribution 4.0 International License.") == ["cc-by"]
+    for other in ("NonCommercial", "ShareAlike", "NoDerivatives", "NonCommercial-ShareAlike"):
+        assert labels(f"licensed under a Creative Commons Attribution-{other} 4.0 International License.") == []
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://A.Example.NET/en/x?q", "http://example.net/enx", "http://a.org/fr/1", "http://b.example.com/de/", "http://xexample.com/de/", "ftp://Host.com#f", "http://net", "http://a.b/c://d/e"]
     urls += [f"http://h{i}.com/p{i}" for i in range(300)]
