@@ -72,5 +72,6 @@ def deduplicate(spark: SparkSession, docs: DataFrame, index: DigestIndex, batch:
     keep = decide(spark, docs, index, batch, key, text).where("kept").select(F.col("digest").alias("_d"), F.col("doc_id").alias("_k"))
     d = free_name(docs, "_digest")
     rows = docs.withColumn(d, digest(F.col(text))).join(keep, (F.col(d) == F.col("_d")) & F.col(key).eqNullSafe(F.col("_k")), "left_semi")
-    one = rows.groupBy(d, key).agg(F.max_by(F.struct(*(F.col(c) for c in docs.columns)), F.col(text)).alias("_row"))
+    # The text in a struct, which is never null: max_by ignores rows whose ordering value is.
+    one = rows.groupBy(d, key).agg(F.max_by(F.struct(*(F.col(c) for c in docs.columns)), F.struct(F.col(text))).alias("_row"))
     return one.select(*(F.col("_row")[c].alias(c) for c in docs.columns))

@@ -125,6 +125,13 @@ def test_exact_dedup(spark, docs, rows):
     index.drop()
 
 
+def test_exact_dedup_keeps_a_row_without_text(spark):
+    df = spark.createDataFrame([(1, "", "a"), (7, None, "b"), (3, "x", "c"), (4, "X", "d")], "doc_id long, text string, lang string")
+    index = exact_dedup.DigestIndex(spark, "digests_null", 4)
+    assert {tuple(r) for r in exact_dedup.deduplicate(spark, df, index, "first").collect()} == {(7, None, "b"), (4, "X", "d")}
+    index.drop()
+
+
 def test_quality_statistics(spark, docs, rows):
     got = quality_rules.judge(spark, docs).collect()
     assert len(got) == len(rows)
