@@ -27,8 +27,9 @@ sets never visit the driver, which only learns counts.
 
 Null texts and texts without words have an empty set and are linked with nothing. A text shorter than SHINGLE words is
 one shingle. Rows without a key are returned with a null component and kept. Rows with the same key and text are one
-document, returned once for each row; a key with several texts is linked by any of them. An empty table gives an empty
-result; ties don't matter since components don't depend on the order of tests.
+document, returned once for each row; a key with several texts is linked by any of them, and joins their components.
+Classes have numbers of their own (rep), so that keys may repeat; components get their smallest key at the end. An empty
+table gives an empty result; ties don't matter since components don't depend on the order of tests.
 """
 
 from __future__ import annotations
@@ -124,7 +125,7 @@ def sketch(batches):
 
 
 def full_sets(batches):
-    """(id, text, h1) to id and the shingle hashes, for the text that h1 names."""
+    """(rep, text, h1) to id (the class) and the shingle hashes, for the text that h1 names."""
     for batch in batches:
         own = [np.sort(s.view(np.int64)) for s in shingle_sets(*utf8(batch.column(1)))]
         h1 = batch.column(2).to_numpy()
@@ -204,7 +205,7 @@ def cluster(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str
     scratch = Scratch(spark, "near_dedup")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     rows = scratch.save(texts.mapInArrow(sketch, "id long, n long, h1 long, h2 long, bands array<long>"))
-    classes = scratch.save(rows.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands")))
+    classes = scratch.save(rows.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("key"), F.any_value("bands").alias("bands")).withColumn("rep", F.monotonically_increasing_id()))
 
     banded = classes.select("rep", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -212,8 +213,8 @@ def cluster(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str
     popular = members.groupBy("rep").agg(F.sum("size").alias("pop"))
     members = scratch.save(members.join(popular.join(classes.select("rep", "n"), "rep"), "rep").select("band", "rep", "n", "pop"))
 
-    wanted = members.select("rep").distinct().join(classes.select("rep", "h1"), "rep").withColumnRenamed("rep", "id")
-    sets = texts.join(wanted, "id").select("id", "text", "h1").mapInArrow(full_sets, "id long, shingles array<long>")
+    wanted = members.select("rep").distinct().join(classes.select("rep", "h1", F.col("key").alias("id")), "rep")
+    sets = texts.join(wanted, "id").select("rep", "text", "h1").mapInArrow(full_sets, "id long, shingles array<long>")
     sets = scratch.save(sets)
 
     # First round: each class meets the most popular class among its buckets.
@@ -252,10 +253,22 @@ def cluster(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str
         slots, turn = slots * 8, turn + 1
     scratch.drop(members, sets, left)
 
-    reps = classes.select("h1", "h2", "n", "rep")
-    out = rows.select("id", "n", "h1", "h2").join(reps, ["h1", "h2", "n"], "left")
-    out = out.join(labels.select(F.col("id").alias("rep"), "comp"), "rep", "left")
-    return out.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("comp", "rep", "id")).alias("component"))
+    known = classes.drop("bands").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    several = rows.where("id IS NOT NULL").groupBy("id").agg(*(f(c).alias(f"{k}_{c}") for k, f in (("low", F.min), ("high", F.max)) for c in ("n", "h1", "h2")))
+    several = scratch.save(several.where("low_n < high_n OR low_h1 < high_h1 OR low_h2 < high_h2").select("id"))
+    repeats = several.limit(1).count() > 0
+    if repeats:
+        own = scratch.save(rows.join(several, "id").join(known, ["h1", "h2", "n"]).select("id", "comp").distinct())
+        edges = own.groupBy("id").agg(F.min("comp").alias("a")).join(own.withColumnRenamed("comp", "b"), "id").where("a < b").select("a", "b").distinct()
+        found = components(scratch, scratch.save(edges)).select(F.col("id").alias("comp"), F.col("comp").alias("to"))
+        known = known.join(found, "comp", "left").withColumn("comp", F.coalesce("to", "comp"))
+    names = known.groupBy("comp").agg(F.min("key").alias("component"))
+    named = known.join(names, "comp").select("h1", "h2", "n", "component")
+    out = rows.select("id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left")
+    if repeats:  # rows without words go where their key's other texts are
+        own = out.join(several, "id").groupBy("id").agg(F.min("component").alias("other"))
+        out = out.join(own, "id", "left").withColumn("component", F.coalesce("component", "other"))
+    return out.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

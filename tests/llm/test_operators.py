@@ -94,6 +94,28 @@ def test_near_duplicates_that_only_a_chain_links(spark):
     assert got == brute_components(texts) and len({c for _, c in got.values()}) == 1
 
 
+def test_near_duplicates_of_repeated_keys(spark):
+    """Keys with several texts: every pair of rows is linked by its key or its texts, and components follow the links."""
+    rng = random.Random(4)
+    bases = [[f"w{b}_{i}" for i in range(60 + 40 * (b % 3))] for b in range(6)]
+    texts = [(50, " ".join(bases[0])), (20, " ".join(bases[0])), (50, " ".join(bases[1])), (9, " ".join(bases[1])), (50, None), (8, ""), (77, "")]
+    texts += [(5, " ".join(bases[2])), (5, " ".join(bases[3])), (60, " ".join(bases[2][:-3])), (61, " ".join(bases[3][:-2]))]  # the smallest key of two classes
+    texts += [(rng.randrange(100, 115), " ".join(bases[4 + k % 2][: 50 + k])) for k in range(20)]
+    sets = [brute_shingles(t) for _, t in texts]
+    comp, changed = [i for i, _ in texts], True
+    while changed:
+        changed = False
+        for a in range(len(texts)):
+            for b in range(a):
+                alike = sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+                if (alike or texts[a][0] == texts[b][0]) and comp[a] != comp[b]:
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+                    changed = True
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = Counter((r["id"], r["n"], r["component"]) for r in near_dedup.cluster(spark, df).collect())
+    assert got == Counter((i, len(s), c) for (i, _), s, c in zip(texts, sets, comp, strict=True))
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
