@@ -5,7 +5,9 @@ or more) are then fitted by projected-gradient least squares, so that the expect
 sum over documents of rate * tokens * posterior, meet the targets. A step needs one sum per domain over all documents;
 with the squared errors divided by the domains' own sizes, the gradient of a document is a product of its posterior with
 a vector that all documents share. A document's rate is thus a chain of arithmetic on its posterior, computed where the
-document is, and nothing but a few sums reaches the driver in each step.
+document is, and nothing but a few sums reaches the driver in each step. Multipliers (the sums of all errors so far) join
+the errors, else the pull of the rates towards 1 would keep small domains off their targets. The fit ends when each domain
+is within CLOSE of its own target; where that isn't reached, the closest rates are taken and a warning names the errors.
 
 The classifier is a multinomial naive Bayes over hashed words, counted on the executors from at most SAMPLE labelled
 documents (the first by a hash of their key) and reduced to the words that tell domains apart. Tokens are words.
@@ -18,6 +20,8 @@ Columns of docs keep their names.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,9 +40,9 @@ DEVIATIONS = 4.0
 #: would outvote the clear ones.
 CLEAR = 1.0
 
-#: Steps of the fit at most, the error (in shares of all tokens) at which it ends, and the steps after which rates are
-#: written down, so that a step recomputes few others.
-STEPS, CLOSE, SAVE_EVERY = 60, 1e-3, 8
+#: Steps of the fit at most, the error at which it ends (as a part of the domain's target, or of all tokens where that is 0),
+#: and the steps after which rates are written down, so that a step recomputes few others.
+STEPS, CLOSE, SAVE_EVERY = 240, 1e-3, 8
 
 #: The pull of each rate towards 1 that makes the solution unique, and the step: the curvature is 1 + RIDGE at most.
 RIDGE = 1e-3
@@ -128,7 +132,7 @@ def rate_column(p: list[Column], gradients: list[list[float]], start: Column | N
 
 
 def fit(scratch: Scratch, seen: DataFrame, n: int, names: list[str], weights: dict[str, float], total: float | None = None) -> list[list[float]]:
-    """Gradient vectors of the steps. seen: tokens and p_0, p_1, ...; total: tokens wanted in all (default: as many as there are)."""
+    """Gradient vectors of the steps to the closest rates. seen: tokens and p_0, p_1, ...; total: tokens wanted in all (default: as many as there are)."""
     p = [F.col(f"p_{d}") for d in range(n)]
 
     def sums(frame: DataFrame, rate: Column) -> np.ndarray:
@@ -146,16 +150,25 @@ def fit(scratch: Scratch, seen: DataFrame, n: int, names: list[str], weights: di
     target = want / want.sum() * (total or all_tokens) / all_tokens
     gradients: list[list[float]] = []
     frame, since = seen.withColumn("start", F.lit(1.0)), 0
-    for _ in range(STEPS):
+    multipliers, best, closest = np.zeros(n), np.inf, 0
+    while True:
         error = now / all_tokens - target
-        if np.abs(error).max() < CLOSE:
+        off = np.abs(error) / np.where(target > 0, target, 1.0)
+        if off.max() < best:
+            best, closest, worst = off.max(), len(gradients), dict(zip(names, off, strict=True))
+        if best <= CLOSE:
+            break
+        if len(gradients) == STEPS:
+            warnings.warn(f"mixing stopped after {len(gradients)} steps off its targets; errors as parts of them: " + ", ".join(f"{k} {v:.2g}" for k, v in worst.items()), stacklevel=2)
             break
         if len(gradients) - since == SAVE_EVERY:
             frame = scratch.save(frame.withColumn("start", rate_column(p, gradients[since:], F.col("start"))))
             since = len(gradients)
-        gradients.append(list(error / np.maximum(share, 1e-9)))
+        relative = error / np.maximum(share, 1e-9)
+        multipliers += relative
+        gradients.append(list(relative + multipliers))
         now = sums(frame, rate_column(p, gradients[since:], F.col("start")))
-    return gradients
+    return gradients[:closest]
 
 
 def rates(spark: SparkSession, docs: DataFrame, model: Model, weights: dict[str, float], key: str = "doc_id", text: str = "text", total: float | None = None) -> tuple[DataFrame, list[list[float]]]:

@@ -362,6 +362,25 @@ def test_mixing(spark):
     assert mixing.mix(spark, df.limit(0), model, {"good": 1.0}).count() == 0
 
 
+def test_mixing_meets_small_targets(spark, monkeypatch):
+    """Every target relative to itself, with overlapping posteriors; targets out of reach are told."""
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([4, 0.4, 0.3], 600)
+    seen = spark.createDataFrame([(int(t), *map(float, x)) for t, x in zip(rng.integers(10, 200, 600), p, strict=True)], "tokens long, p_0 double, p_1 double, p_2 double")
+    want = {"a": 0.9905, "b": 0.009, "c": 0.0005}
+    seen = seen.where("p_0 > 0.99 OR p_1 > 0.6 OR p_2 > 0.6")
+    feasible = seen.union(spark.createDataFrame([(5000, 1.0, 0.0, 0.0), (50, 0.0, 1.0, 0.0), (50, 0.0, 0.0, 1.0)], seen.schema))
+    gradients = mixing.fit(mixing.Scratch(spark, "small"), feasible, 3, list(want), want)
+    rate = mixing.rate_column([F.col(f"p_{d}") for d in range(3)], gradients)
+    got = feasible.withColumn("r", rate).agg(F.sum("tokens"), *(F.sum(F.col("tokens") * F.col("r") * F.col(f"p_{d}")) for d in range(3))).first()
+    for d, share in enumerate(want.values()):
+        assert got[d + 1] / got[0] == pytest.approx(share, rel=2e-3)
+    monkeypatch.setattr(mixing, "STEPS", 10)
+    with pytest.warns(UserWarning, match="off its targets"):
+        flat = spark.createDataFrame([(10, 0.5, 0.5)] * 3, "tokens long, p_0 double, p_1 double")
+        mixing.fit(mixing.Scratch(spark, "flat"), flat, 2, ["a", "b"], {"a": 0.9, "b": 0.1})
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
