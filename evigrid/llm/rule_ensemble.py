@@ -5,7 +5,7 @@ thresholds. A logistic regression with an L1 penalty weighs these rules, most of
 one Spark column, so that scoring is part of the scan and never leaves the JVM.
 
 Training takes at most SAMPLE labelled rows, those with the smallest hash of their id: their statistics (not their
-texts) come to the driver. All documents are scored on whole texts.
+texts) come to the driver. Each tree draws as many of them as there are, with replacement. All documents are scored on whole texts.
 
 Null and empty texts have statistics of 0 and a score like others. Without labelled rows, or with one class only, the
 score is that class's share (0.5 without rows). Rows are scored one by one: repeated rows get equal scores. Labels that
@@ -94,7 +94,7 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 7) -> tuple[
         return math.log(share / (1 - share)), []
     rng, found = np.random.default_rng(seed), set()
     for _ in range(TREES):
-        grow(x, y, names, rng, rng.integers(0, len(y), min(len(y), 5_000)), DEPTH, (), found)
+        grow(x, y, names, rng, rng.integers(0, len(y), len(y)), DEPTH, (), found)
     rules = sorted(found)
     columns: dict[bytes, tuple[Rule, np.ndarray]] = {}
     for rule in rules:  # of rules that hold for the same rows, the first and shortest

@@ -348,6 +348,13 @@ def test_rule_ensemble(spark):
     assert [r["score"] for r in rule_ensemble.score(df, constant).collect()] == [0.5] * 3
 
 
+def test_trees_draw_all_labelled_rows(monkeypatch):
+    drawn = []
+    monkeypatch.setattr(rule_ensemble, "grow", lambda x, y, names, rng, rows, depth, path, out: (drawn.append(len(rows)), out.add((("a", True, 0.5),))))
+    rule_ensemble.fit(np.random.default_rng(1).random((6000, 1)), np.arange(6000) % 2.0, ["a"])
+    assert drawn == [6000] * rule_ensemble.TREES
+
+
 def test_mixing(spark):
     rows = [(i, ("good word here " if i % 4 else "bad stuff now ") * (5 + i % 3) + f"n{i}") for i in range(400)]  # copies would count once + [(None, None), (500, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
