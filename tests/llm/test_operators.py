@@ -397,3 +397,21 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns, name
+
+
+def test_pipeline_stages_that_drop_copies(spark, rows, docs):
+    """Rows kept by the two dedup stages in turn, against plain Python, with null texts and keys, and copies."""
+    import corpus_pipeline
+
+    last = {}
+    for r in rows:  # of equal texts the largest id, null ids being the smallest
+        k = lower(r[1])
+        if k not in last or (r[0] is not None and (last[k][0] is None or r[0] > last[k][0])):
+            last[k] = r
+    first = corpus_pipeline.drop_copies(spark, docs, "").collect()
+    assert Counter((r["doc_id"], lower(r["text"])) for r in first) == Counter((r[0], k) for k, r in last.items())
+    own = [(r["doc_id"], r["text"]) for r in first]
+    component = brute_components(own)
+    want = Counter(i for i, _ in own if i is None or component[i][1] == i)
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(own, "doc_id long, text string"), "")
+    assert Counter(r["doc_id"] for r in kept.collect()) == want
