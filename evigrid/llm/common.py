@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 #: Rows of one Arrow batch that is sent to a Python worker; texts can be long, so batches are kept short.
 ARROW_ROWS = 256
 
+#: Bytes of one such batch, about: a batch of long texts ends before its rows do.
+ARROW_BYTES = 1 << 24
+
 #: ASCII white space, as the contracts define it.
 SPACES = r"[ \t-\r]+"
 
@@ -25,10 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the number of rows of an Arrow batch to ARROW_ROWS; a smaller setting of the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Lower the rows and bytes of an Arrow batch to ARROW_ROWS and ARROW_BYTES; smaller settings of the session stay."""
+    for name, most in (("Records", ARROW_ROWS), ("Bytes", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.max{name}PerBatch"
+        if not 0 < int(re.match(r"-?\d+", spark.conf.get(key))[0]) <= most:
+            spark.conf.set(key, str(most))
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -63,6 +68,9 @@ class Scratch:
         for df in saved:
             delete(self.spark, df.scratch_path)
 
+    def drop_all(self) -> None:
+        delete(self.spark, self.path)
+
 
 def delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -97,6 +105,25 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+#: A key is hot if it holds more than this part of all rows (so at most HOT keys are), and more rows than LEAST.
+HOT, LEAST = 1000, 256
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], sizes: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """left joined with right on columns, with the rows of a hot key dealt to many tasks.
+
+    sizes: on and size, the number of rows of left for each key. Rows of left that have a hot key get one of several salts by a
+    hash of the column `by`; rows of right that have one are there once for each salt. Only the list of hot keys is broadcast,
+    which has HOT rows at most, since each holds more than 1 / HOT of all rows.
+    """
+    salt, parts = (max((free_name(df, x) for df in (left, right)), key=len) for x in ("_salt", "_parts"))
+    cut = sizes.agg(F.greatest(F.lit(LEAST), F.ceil(F.sum("size") / HOT)).alias("cut")).scalar()
+    hot = sizes.withColumn(parts, F.ceil(F.col("size") / cut).cast("int")).where(F.col(parts) > 1).select(*on, parts)
+    dealt = left.join(F.broadcast(hot), on, "left").withColumn(salt, F.pmod(F.xxhash64(by), F.coalesce(parts, F.lit(1))).cast("int")).drop(parts)
+    copied = right.join(F.broadcast(hot), on, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))).drop(parts)
+    return dealt.join(copied.hint("merge"), [*on, salt], how).drop(salt)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers once per context, so that they need no copy of their own."""
     context = spark.sparkContext

@@ -2,25 +2,31 @@
 
 A classifier learnt from a labelled table gives each document a posterior over domains. Rates (copies of a document, 0
 or more) are then fitted by projected-gradient least squares, so that the expected tokens of each domain, that is the
-sum over documents of rate * tokens * posterior, meet the targets. A step needs one sum per domain over all documents;
-with the squared errors divided by the domains' own sizes, the gradient of a document is a product of its posterior with
-a vector that all documents share. A document's rate is thus a chain of arithmetic on its posterior, computed where the
-document is, and nothing but a few sums reaches the driver in each step. Multipliers (the sums of all errors so far) join
-the errors, else the pull of the rates towards 1 would keep small domains off their targets. The fit ends when each domain
-is within CLOSE of its own target; where that isn't reached, the closest rates are taken and a warning names the errors.
-
-The classifier is a multinomial naive Bayes over hashed words, counted on the executors from at most SAMPLE labelled
-documents (the first by a hash of their key) and reduced to the words that tell domains apart. Tokens are words.
-
-Null and empty texts have 0 tokens and the domains' prior as posterior. Repeated rows get equal rates and are drawn
+sum over documents of rate * tokens * posterior, meet the targets.
+
+Posteriors are whole multiples of 1 / GRID that sum to 1, and documents of one posterior have one rate, so one aggregation
+(with partial sums on the map side) turns the corpus into cells, and every step is a pass over that much smaller table: numpy
+sums on the executors, of which a few numbers per task reach the driver. A step measures the errors e of the domains' tokens
+and moves each rate from r to max(0, r - p . g), where g = inverse(H) e and H is the sum of tokens * p p' over the documents
+whose rate is above 0: the gradient step for errors weighted by H. If that doesn't lessen the error (rates at 0 may return, and
+H doesn't know them), the step is taken again with H over all documents, for which less error is certain. Rates begin at 1, so
+that the mixture stays near the corpus. The fit ends when each domain is within CLOSE of its own target; targets that no rates
+can meet (no document is sure enough of a domain) show by steps that gain nothing, and a warning names the errors left.
+
+The classifier is a logistic regression with an L1 penalty over the presence of words and of word shapes ("SPAM!!" is "A!"),
+hashed; it sees the TELLING buckets that tell domains apart best, in at most SAMPLE distinct labelled texts (the first by a
+hash). Whole texts are read. Tokens are words.
+
+Null and empty texts have 0 tokens and the posterior of a text without words. Repeated rows get equal rates and are drawn
 alike. Without labelled rows there is one domain, "all", and targets for other domains are left out. A domain that no
 document belongs to can't be reached: its target is spread over the others. An empty table gives an empty result.
-Columns of docs keep their names.
+Columns of docs keep their names, whatever they are.
 """
 
 from __future__ import annotations
 
 import warnings
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,155 +35,259 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, bounded_batches, free_name, ship
-from .hashing import utf8, word_hashes
+from .hashing import IS_SPACE, utf8, word_hashes
+
+SAMPLE, BUCKETS, TELLING, MOST_DOMAINS = 10_000, 1 << 16, 768, 64
 
-SAMPLE, BUCKETS, TELLING, MOST_DOMAINS = 20_000, 1 << 16, 4_096, 256
+#: Weight of the L1 penalty, and steps of the regression.
+PENALTY, ROUNDS = 3e-4, 200
 
-#: A word counts if the texts of some domain that hold it are so many standard deviations from the expected number.
-DEVIATIONS = 4.0
+#: Posteriors are multiples of 1 / GRID.
+GRID = 512
 
-#: ... and if that share is so far from the expected one (a difference of logarithms): in long texts, many slight hints
-#: would outvote the clear ones.
-CLEAR = 1.0
+#: Steps of the fit at most, and the error at which it ends (as a part of the domain's target, or of all tokens where that is 0).
+STEPS, CLOSE = 60, 1e-3
 
-#: Steps of the fit at most, the error at which it ends (as a part of the domain's target, or of all tokens where that is 0),
-#: and the steps after which rates are written down, so that a step recomputes few others.
-STEPS, CLOSE, SAVE_EVERY = 240, 1e-3, 8
+#: A step that lessens the error by less than this part gains nothing.
+STALL = 1e-3
 
-#: The pull of each rate towards 1 that makes the solution unique, and the step: the curvature is 1 + RIDGE at most.
-RIDGE = 1e-3
-STEP = 1 / (1 + RIDGE)
+#: What a byte counts for in a word's shape: letters (and all beyond ASCII) as a or A, digits as 0, others as they are.
+SHAPE = np.arange(256, dtype=np.uint8)
+SHAPE[97:123] = SHAPE[128:] = ord("a")
+SHAPE[65:91], SHAPE[48:58], SHAPE[IS_SPACE] = ord("A"), ord("0"), ord(" ")
 
-Model = tuple[list[str], np.ndarray, np.ndarray]  # domains, log weights (BUCKETS + 1 x domains), log prior
 
+@dataclass(frozen=True)
+class Model:
+    names: list[str]
+    features: np.ndarray  # the buckets that count
+    weights: np.ndarray  # features x domains
+    bias: np.ndarray
 
-def text_words(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each word, and each text's first word."""
-    h, first = word_hashes(*utf8(array))
-    return (h >> np.uint64(48)).astype(np.int64), first
+    def posterior(self, present: np.ndarray) -> np.ndarray:
+        """Multiples of 1 / GRID for texts (rows) that have features (columns) or not. What rounding down leaves goes to the likeliest domain."""
+        total = present @ self.weights + self.bias
+        p = np.exp(total - total.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        grid = np.floor(p * GRID).astype(np.int16)
+        grid[np.arange(len(p)), p.argmax(axis=1)] += (GRID - grid.sum(axis=1)).astype(np.int16)
+        return grid
+
+
+def shapes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words' shapes: runs of one kind of character are one character."""
+    kind = SHAPE[data]
+    keep = np.ones(len(kind), bool)
+    keep[1:] = kind[1:] != kind[:-1]
+    keep[offsets[:-1][offsets[:-1] < len(kind)]] = True
+    return word_hashes(kind[keep], np.concatenate([[0], np.cumsum(keep)])[offsets], lower=False)
+
+
+def buckets(array: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each text the distinct buckets of its words and their shapes, and its number of words."""
+    text = utf8(array)
+    (h, first), (s, _) = word_hashes(*text), shapes(*text)
+    both = [(x >> np.uint64(48)).astype(np.int32) for x in (h, s)]
+    return [np.unique(np.concatenate([x[a:b] for x in both])) for a, b in zip(first[:-1], first[1:], strict=True)], np.diff(first)
+
+
+def presence(texts: list[np.ndarray], features: np.ndarray) -> np.ndarray:
+    """A row of 0 and 1 for each text."""
+    place = np.full(BUCKETS, -1, np.int32)
+    place[features] = np.arange(len(features))
+    out = np.zeros((len(texts), len(features)), np.float32)
+    for row, own in zip(out, texts, strict=True):
+        at = place[own]
+        row[at[at >= 0]] = 1
+    return out
+
+
+def regress(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases of an L1 logistic regression over domains (y: one column each), by accelerated proximal gradient steps."""
+    n, top = len(x), np.ones(x.shape[1], np.float32)
+    for _ in range(20):  # the largest curvature, by power iteration
+        top = x.T @ (x @ top)
+        size = float(np.linalg.norm(top))
+        top /= max(size, 1e-9)
+    rate = 1 / (0.5 * (size / n + 1))
+    w = z = np.zeros((x.shape[1], y.shape[1]), np.float32)
+    b = c = np.log(y.mean(axis=0) + 1e-9).astype(np.float32)
+    momentum = 1.0
+    for _ in range(rounds):
+        total = x @ z + c
+        p = np.exp(total - total.max(axis=1, keepdims=True))
+        p = p / p.sum(axis=1, keepdims=True) - y
+        step = z - x.T @ p * np.float32(rate / n)
+        new = np.sign(step) * np.maximum(np.abs(step) - np.float32(rate * penalty), 0)
+        bias = c - p.mean(axis=0) * np.float32(rate)
+        after = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
+        pull = np.float32((momentum - 1) / after)
+        z, c, w, b, momentum = new + pull * (new - w), bias + pull * (bias - b), new, bias, after
+    return w.astype(np.float64), b.astype(np.float64)
 
 
 def train(spark: SparkSession, docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", domain: str = "domain") -> Model:
-    """labelled: key and domain."""
+    """labelled: key and domain. Equal texts of one domain count once."""
     ship(spark)
     bounded_batches(spark)
-    own = labelled.where(F.col(domain).isNotNull()).select(F.col(key).alias("_k"), F.col(domain).alias("domain")).orderBy(F.xxhash64(key), "_k", "domain").limit(SAMPLE)
-    rows = docs.join(F.broadcast(own), F.col(key) == F.col("_k")).select("domain", F.col(text).cast("binary").alias("text")).distinct()
+    scratch = Scratch(spark, "mixing_model")
+    own = labelled.where(F.col(domain).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(domain).alias("domain")).orderBy(F.xxhash64("k"), "k", "domain").limit(SAMPLE).distinct()
+    texts = docs.select(F.col(key).alias("id"), F.col(text).cast("binary").alias("text"))
+    rows = texts.join(F.broadcast(own), F.col("id") == F.col("k")).select("domain", F.sha2(F.coalesce("text", F.lit(b"")), 256).alias("digest"), "text")
 
-    def count(batches):
-        totals: dict[str, np.ndarray] = {}
+    def sketch(batches):
         for batch in batches:
-            at, first = text_words(batch["text"])
-            for j, name in enumerate(batch["domain"].to_pylist()):
-                total = totals.setdefault(name, np.zeros(BUCKETS + 1, np.int64))
-                total[np.unique(at[first[j] : first[j + 1]])] += 1
-                total[-1] += 1  # texts
-        for name, total in totals.items():
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(total[some])], ["domain", "bucket", "n"])
-
-    got = rows.mapInArrow(count, "domain string, bucket int, n long").groupBy("domain", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    names = sorted(set(got["domain"].to_pylist()))
+            found, _ = buckets(batch["text"])
+            ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *found]), pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch["domain"], batch["digest"], lists], ["domain", "digest", "buckets"])
+
+    seen = rows.mapInArrow(sketch, "domain string, digest string, buckets array<int>").dropDuplicates(["domain", "digest"])
+    seen = scratch.save(seen.orderBy("digest", "domain").limit(SAMPLE).drop("digest"))
+    sizes = {r["domain"]: r["n"] for r in seen.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy("domain").limit(MOST_DOMAINS + 1).collect()}
+    names = list(sizes)
     if len(names) > MOST_DOMAINS:
-        raise ValueError(f"{len(names)} domains; the model is made for {MOST_DOMAINS} at most")
-    if not names:
-        return ["all"], np.zeros((BUCKETS, 1)), np.zeros(1)
-    counts = np.zeros((BUCKETS + 1, len(names)))
+        raise ValueError(f"over {MOST_DOMAINS} domains; the model is made for {MOST_DOMAINS} at most")
+    if len(names) < 2:
+        scratch.drop_all()
+        return Model(names or ["all"], np.zeros(0, np.int64), np.zeros((0, 1)), np.zeros(1))
+    got = seen.select("domain", F.explode("buckets").alias("bucket")).groupBy("domain", "bucket").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    counts = np.zeros((BUCKETS, len(names)))
     np.add.at(counts, (got["bucket"].to_numpy(), [names.index(x) for x in got["domain"].to_pylist()]), got["n"].to_numpy())
-    texts, counts = counts[-1], counts[:-1]
-    # A word's share among the distinct words of a domain's texts: unlike a share of texts, it doesn't rise with their length.
+    # A bucket's share among the distinct buckets of a domain's texts: unlike a share of texts, it doesn't rise with their length.
     expected = counts.sum(axis=1, keepdims=True) * counts.sum(axis=0) / max(1.0, counts.sum())
-    logs = np.log((counts + 1) / (expected + 1))
     telling = (np.abs(counts - expected) / np.sqrt(expected + 1)).max(axis=1)
-    logs[(telling < DEVIATIONS) | (np.abs(logs).max(axis=1) < CLEAR) | (np.argsort(np.argsort(-telling, kind="stable")) >= TELLING)] = 0
-    return names, logs, np.log(texts / texts.sum())
+    features = np.sort(np.argsort(-telling, kind="stable")[:TELLING])
+    features = features[telling[features] > 0]
 
-
-def members(spark: SparkSession, docs: DataFrame, model: Model, text: str = "text", name: str = "_member") -> DataFrame:
-    """docs with a struct column: tokens, and p, the posterior of each domain in the model's order."""
+    def pack(batches):
+        for batch in batches:
+            bits = np.packbits(presence([np.asarray(x, np.int32) for x in batch["buckets"].to_pylist()], features) > 0, axis=1)
+            yield pa.RecordBatch.from_arrays([batch["domain"], pa.array([r.tobytes() for r in bits], pa.binary())], ["domain", "bits"])
+
+    got = seen.mapInArrow(pack, "domain string, bits binary").toArrow()
+    scratch.drop_all()
+    packed = sorted(zip(got["domain"].to_pylist(), got["bits"].to_pylist(), strict=True))
+    bits = np.frombuffer(b"".join(b for _, b in packed), np.uint8).reshape(len(packed), -1)
+    x = np.unpackbits(bits, axis=1, count=len(features)).astype(np.float32)
+    y = (np.array([d for d, _ in packed])[:, None] == np.array(names)).astype(np.float32)
+    weights, bias = regress(x, y)
+    some = np.abs(weights).max(axis=1) > 0
+    return Model(names, features[some], weights[some], bias)
+
+
+def members(spark: SparkSession, docs: DataFrame, model: Model, text: str = "text", name: str = "_member", gradients: list[list[float]] = ()) -> DataFrame:
+    """docs with a struct column: tokens, p (the posterior of each domain in the model's order as multiples of 1 / GRID) and rate."""
     ship(spark)
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
-    @F.arrow_udf(T.StructType([T.StructField("tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))]))
+    @F.arrow_udf(T.StructType([T.StructField("tokens", T.LongType()), T.StructField("p", T.ArrayType(T.ShortType())), T.StructField("rate", T.DoubleType())]))
     def classify(texts: pa.Array) -> pa.Array:
-        names, logs, prior = shared.value
-        at, first = text_words(texts)
-        tokens = np.diff(first)
-        total = np.tile(prior, (len(tokens), 1))
-        for j in range(len(tokens)):
-            total[j] += logs[np.unique(at[first[j] : first[j + 1]])].sum(axis=0)
-        p = np.exp(total - total.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * len(names), pa.int32()), pa.array(p.ravel()))
-        return pa.StructArray.from_arrays([pa.array(tokens, pa.int64()), lists], ["tokens", "p"])
+        own = shared.value
+        found, tokens = buckets(texts)
+        p = own.posterior(presence(found, own.features))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * len(own.names), pa.int32()), pa.array(p.ravel(), pa.int16()))
+        return pa.StructArray.from_arrays([pa.array(tokens, pa.int64()), lists, pa.array(chain(p, gradients))], ["tokens", "p", "rate"])
 
     return docs.withColumn(name, classify(F.col(text).cast("binary")))
 
 
-def rate_column(p: list[Column], gradients: list[list[float]], start: Column | None = None) -> Column:
-    """The rate after the given steps: r <- max(0, r - STEP * (p . g + RIDGE * (r - 1))), from 1 or start.
+def chain(p: np.ndarray, gradients: list[list[float]]) -> np.ndarray:
+    """Rates after the steps: r <- max(0, r - p . g), from 1. p: one row per document, in multiples of 1 / GRID."""
+    rate, share = np.ones(len(p)), p / GRID
+    for g in gradients:
+        rate = np.maximum(0.0, rate - share @ np.asarray(g))
+    return rate
 
-    Gradients are one constant array, so that the code Spark generates is the same after any number of steps.
-    """
-    start = F.lit(1.0) if start is None else start
-    if not gradients:
-        return start
 
-    def step(rate: Column, g: Column) -> Column:
-        move = sum((x * F.get(g, F.lit(d)) for d, x in enumerate(p)), F.lit(-RIDGE))
-        return F.greatest(F.lit(0.0), rate * F.lit(1 - STEP * RIDGE) - move * F.lit(STEP))
+def rows_of(p: pa.Array, n: int) -> np.ndarray:
+    """Posteriors as a matrix."""
+    return p.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
 
-    return F.aggregate(F.array(*(F.array(*(F.lit(float(x)) for x in g)) for g in gradients)), start, step)
 
+def rate_udf(model: Model, gradients: list[list[float]]):
+    """The rate of a posterior."""
+    n = len(model.names)
 
-def fit(scratch: Scratch, seen: DataFrame, n: int, names: list[str], weights: dict[str, float], total: float | None = None) -> list[list[float]]:
-    """Gradient vectors of the steps to the closest rates. seen: tokens and p_0, p_1, ...; total: tokens wanted in all (default: as many as there are)."""
-    p = [F.col(f"p_{d}") for d in range(n)]
+    @F.arrow_udf(T.DoubleType())
+    def rate(p: pa.Array) -> pa.Array:
+        return pa.array(chain(rows_of(p, n), gradients))
 
-    def sums(frame: DataFrame, rate: Column) -> np.ndarray:
-        row = frame.select("tokens", *p, rate.alias("rate")).agg(*(F.sum(F.col("tokens") * F.col("rate") * x) for x in p)).first()
-        return np.array([float(x or 0.0) for x in row])
+    return rate
 
-    now = sums(seen, F.lit(1.0))
-    all_tokens = now.sum()
-    if all_tokens <= 0:
-        return []
-    share = now / all_tokens
-    want = np.array([weights.get(x, 0.0) for x in names]) * (share > 1e-9)
+
+def measure(cells: DataFrame, n: int, gradients: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Expected tokens of each domain after the steps, and the sum of tokens * p p' over documents whose rate is above 0."""
+
+    def part(batches):
+        now, gram = np.zeros(n), np.zeros((n, n))
+        for batch in batches:
+            p = rows_of(batch["p"], n)
+            tokens, rate, share = batch["tokens"].to_numpy().astype(float), chain(p, gradients), p / GRID
+            now += share.T @ (tokens * rate)
+            gram += share.T @ (share * (tokens * (rate > 0))[:, None])
+        yield pa.RecordBatch.from_arrays([pa.array([list(now)], pa.list_(pa.float64())), pa.array([list(gram.ravel())], pa.list_(pa.float64()))], ["now", "gram"])
+
+    got = cells.select("p", "tokens").mapInArrow(part, "now array<double>, gram array<double>").collect()
+    return sum((np.array(r["now"]) for r in got), np.zeros(n)), sum((np.array(r["gram"]) for r in got), np.zeros(n * n)).reshape(n, n)
+
+
+def fit(cells: DataFrame, names: list[str], weights: dict[str, float], total: float | None = None) -> tuple[list[list[float]], dict[str, float]]:
+    """Gradient vectors of the steps to the closest rates, and the shares of the wanted tokens that they reach.
+
+    cells: p (multiples of 1 / GRID) and tokens; total: tokens wanted in all (default: as many as there are).
+    """
+    n = len(names)
+    now, full = measure(cells, n, [])
+    tokens = now.sum()
+    if tokens <= 0:
+        return [], {}
+    want = np.array([weights.get(x, 0.0) for x in names]) * (now > 1e-9 * tokens)
     if want.sum() <= 0:
-        return []
-    target = want / want.sum() * (total or all_tokens) / all_tokens
+        return [], {}
+    wanted = float(total or tokens)
+    target, gram = want / want.sum() * wanted, full
+    step_of = lambda h, e: np.linalg.pinv(h / tokens, rcond=1e-10) @ e / tokens
     gradients: list[list[float]] = []
-    frame, since = seen.withColumn("start", F.lit(1.0)), 0
-    multipliers, best, closest = np.zeros(n), np.inf, 0
-    while True:
-        error = now / all_tokens - target
-        off = np.abs(error) / np.where(target > 0, target, 1.0)
-        if off.max() < best:
-            best, closest, worst = off.max(), len(gradients), dict(zip(names, off, strict=True))
-        if best <= CLOSE:
-            break
-        if len(gradients) == STEPS:
-            warnings.warn(f"mixing stopped after {len(gradients)} steps off its targets; errors as parts of them: " + ", ".join(f"{k} {v:.2g}" for k, v in worst.items()), stacklevel=2)
+    error = now - target
+    loss, certain = float(error @ step_of(full, error)), True
+    for _ in range(STEPS):
+        if (np.abs(error) / np.where(target > 0, target, wanted)).max() <= CLOSE:
             break
-        if len(gradients) - since == SAVE_EVERY:
-            frame = scratch.save(frame.withColumn("start", rate_column(p, gradients[since:], F.col("start"))))
-            since = len(gradients)
-        relative = error / np.maximum(share, 1e-9)
-        multipliers += relative
-        gradients.append(list(relative + multipliers))
-        now = sums(frame, rate_column(p, gradients[since:], F.col("start")))
-    return gradients[:closest]
+        step = list(step_of(full if certain else gram, error))
+        now, after = measure(cells, n, [*gradients, step])
+        new = float((now - target) @ step_of(full, now - target))
+        gain = loss - new
+        if gain <= STALL * loss:
+            if certain:  # not even a step of certain descent gains anything
+                break
+            certain = True
+            continue
+        gradients.append(step)
+        error, gram, loss, certain = now - target, after, new, False
+    off = np.abs(error) / np.where(target > 0, target, wanted)
+    if off.max() > CLOSE:
+        warnings.warn(f"no rates found that meet the targets; after {len(gradients)} steps the errors as parts of them are " + ", ".join(f"{k} {v:.2g}" for k, v in zip(names, off, strict=True)), stacklevel=2)
+    return gradients, dict(zip(names, ((error + target) / wanted).tolist(), strict=True))
+
+
+def solve(spark: SparkSession, docs: DataFrame, model: Model, weights: dict[str, float], key: str, text: str, total: float | None) -> tuple[Scratch, DataFrame, list[list[float]]]:
+    """A table of key, tokens and p, and the gradients that give a posterior its rate."""
+    scratch = Scratch(spark, "mixing")
+    seen = members(spark, docs.select(F.col(key).alias("key"), F.col(text).alias("text")), model)
+    seen = scratch.save(seen.select("key", "_member.tokens", "_member.p"))
+    cells = scratch.save(seen.groupBy("p").agg(F.sum("tokens").alias("tokens")))
+    gradients, _ = fit(cells, model.names, weights, total)
+    scratch.drop(cells)
+    return scratch, seen, gradients
 
 
 def rates(spark: SparkSession, docs: DataFrame, model: Model, weights: dict[str, float], key: str = "doc_id", text: str = "text", total: float | None = None) -> tuple[DataFrame, list[list[float]]]:
     """(key, tokens, p_0, ..., rate) of each row of docs, and the gradients that give a posterior its rate."""
-    n, scratch = len(model[0]), Scratch(spark, "mixing")
-    seen = members(spark, docs.select(F.col(key), F.col(text)), model, text)
-    seen = scratch.save(seen.select(key, F.col("_member.tokens").alias("tokens"), *(F.get("_member.p", F.lit(d)).alias(f"p_{d}") for d in range(n))))
-    gradients = fit(scratch, seen, n, model[0], weights, total)
-    return seen.withColumn("rate", rate_column([F.col(f"p_{d}") for d in range(n)], gradients)), gradients
+    _, seen, gradients = solve(spark, docs, model, weights, key, text, total)
+    posterior = [(F.get("p", F.lit(d)) / F.lit(float(GRID))).alias(f"p_{d}") for d in range(len(model.names))]
+    return seen.select(F.col("key").alias(key), "tokens", *posterior, rate_udf(model, gradients)("p").alias("rate")), gradients
 
 
 def copies(rate: Column, key: Column, seed: int = 17) -> Column:
@@ -187,11 +297,13 @@ def copies(rate: Column, key: Column, seed: int = 17) -> Column:
 
 
 def mix(spark: SparkSession, docs: DataFrame, model: Model, weights: dict[str, float], key: str = "doc_id", text: str = "text", total: float | None = None) -> DataFrame:
-    """Rows of docs, each as often as its rate says; the posterior is computed again beside the text, so texts don't shuffle."""
-    _, gradients = rates(spark, docs, model, weights, key, text, total)
-    member, n = free_name(docs, "_member"), len(model[0])
-    rate = rate_column([F.get(F.col(member)["p"], F.lit(d)) for d in range(n)], gradients)
-    out = members(spark, docs, model, text, member).withColumn(member, copies(rate, F.col(key)))
-    again = free_name(docs, "_copy")
-    out = out.where(F.col(member) > 0).withColumn(again, F.explode(F.sequence(F.lit(1).cast("long"), F.col(member))))
+    """Rows of docs, each as often as its rate says. The posterior is computed again beside the text, so texts don't shuffle.
+
+    Rows of no copies go by the empty array, not by a filter: Spark would push a filter below the projection, and classify twice.
+    """
+    scratch, _, gradients = solve(spark, docs, model, weights, key, text, total)
+    scratch.drop_all()
+    member, again = free_name(docs, "_member"), free_name(docs, "_copy")
+    out = members(spark, docs, model, text, member, gradients)
+    out = out.withColumn(again, F.explode(F.array_repeat(F.lit(True), copies(F.col(member)["rate"], F.col(key)).cast("int"))))
     return out.select(*docs.columns)
