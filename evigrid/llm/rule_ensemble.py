@@ -7,8 +7,8 @@ one Spark column, so that scoring is part of the scan and never leaves the JVM.
 Training takes at most SAMPLE labelled rows, those with the smallest hash of their id: their statistics (not their
 texts) come to the driver. Each tree draws as many of them as there are, with replacement. All documents are scored on whole texts.
 
-Null and empty texts have statistics of 0 and a score like others. Without labelled rows, or with one class only, the
-score is that class's share (0.5 without rows). Rows are scored one by one: repeated rows get equal scores. Labels that
+Null and empty texts have statistics of 0 and a score like others. Without labelled rows, with one class only, or with fewer
+rows than a tree divides (20), the score is the share of label 1, from 0.01 to 0.99 (0.5 without rows). Rows are scored one by one: repeated rows get equal scores. Labels that
 aren't 0 or 1 are left out. Columns of docs keep their names.
 """
 
@@ -89,12 +89,12 @@ def lasso(r: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps: int = S
 
 def fit(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 7) -> tuple[float, list[tuple[Rule, float]]]:
     """Intercept, and the rules with weights other than 0."""
-    if not len(y) or y.min() == y.max():
-        share = min(0.99, max(0.01, float(y.mean()))) if len(y) else 0.5
-        return math.log(share / (1 - share)), []
     rng, found = np.random.default_rng(seed), set()
-    for _ in range(TREES):
+    for _ in range(TREES if len(y) else 0):
         grow(x, y, names, rng, rng.integers(0, len(y), len(y)), DEPTH, (), found)
+    if not found:
+        share = min(0.99, max(0.01, float(y.mean()))) if len(y) else 0.5
+        return math.log(share / (1 - share)), []
     rules = sorted(found)
     columns: dict[bytes, tuple[Rule, np.ndarray]] = {}
     for rule in rules:  # of rules that hold for the same rows, the first and shortest
@@ -121,7 +121,7 @@ def compile_rules(model: tuple[float, list[tuple[Rule, float]]], columns: dict[s
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> tuple[float, list[tuple[Rule, float]]]:
     """The model from labels (key, label): at most SAMPLE of them, the first by a hash of the key."""
     own = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_k"), F.col(label).cast("double").alias("_y")).orderBy(F.xxhash64(key), "_k", "_y").limit(SAMPLE)
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(own), F.col("_key") == F.col("_k"))
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(own), F.col("_key") == F.col("_k")).select("_k", "_y", "text")
     columns = features("stats")
     got = with_stats(rows, "text", repeats=False).select("_k", "_y", *(c.alias(n) for n, c in columns.items())).orderBy(F.xxhash64("_k"), "_k", "_y", *columns).limit(SAMPLE).toArrow()
     x = np.stack([got[n].to_numpy() for n in columns], 1) if got.num_rows else np.zeros((0, len(columns)))
@@ -129,7 +129,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "d
 
 
 def score(docs: DataFrame, model: tuple[float, list[tuple[Rule, float]]], text: str = "text", name: str = "score") -> DataFrame:
-    """docs and the probability of label 1."""
+    """docs and the probability of label 1 (with underscores after its name if docs has that name)."""
+    name = free_name(docs, name)
     stats, values = free_name(docs, "_stats"), free_name(docs, "_features")
     out = with_stats(docs, text, stats, repeats=False)
     out = out.withColumn(values, F.struct(*(c.alias(n) for n, c in features(stats).items())))
