@@ -8,10 +8,10 @@ Posteriors are whole multiples of 1 / GRID that sum to 1, and documents of one p
 (with partial sums on the map side) turns the corpus into cells, and every step is a pass over that much smaller table: numpy
 sums on the executors, of which a few numbers per task reach the driver. A step measures the errors e of the domains' tokens
 and moves each rate from r to max(0, r - p . g), where g = inverse(H) e and H is the sum of tokens * p p' over the documents
-whose rate is above 0: the gradient step for errors weighted by H. If that doesn't lessen the error (rates at 0 may return, and
-H doesn't know them), the step is taken again with H over all documents, for which less error is certain. Rates begin at 1, so
-that the mixture stays near the corpus. The fit ends when each domain is within CLOSE of its own target; targets that no rates
-can meet (no document is sure enough of a domain) show by steps that gain nothing, and a warning names the errors left.
+whose rate is above 0: the gradient step for errors weighted by the inverse of H, shortened if it doesn't lessen them. Rates begin
+at 1, so that the mixture stays near the corpus. The fit ends when each domain is within CLOSE of its own target. Where targets
+can't be met (no document is sure enough of a domain), such steps turn in circles; then the best rates so far go on with H over all
+documents, which makes less error certain, until a step gains nothing, and a warning names the errors left.
 
 The classifier is a logistic regression with an L1 penalty over the presence of words and of word shapes ("SPAM!!" is "A!"),
 hashed; it sees the TELLING buckets that tell domains apart best, in at most SAMPLE distinct labelled texts (the first by a
@@ -48,6 +48,9 @@ GRID = 512
 #: Steps of the fit at most, and the error at which it ends (as a part of the domain's target, or of all tokens where that is 0).
 STEPS, CLOSE = 60, 1e-3
 
+#: Steps without less error after which the fit goes on in steps of certain descent.
+PATIENCE = 6
+
 #: A step that lessens the error by less than this part gains nothing.
 STALL = 1e-3
 
@@ -249,23 +252,32 @@ def fit(cells: DataFrame, names: list[str], weights: dict[str, float], total: fl
     wanted = float(total or tokens)
     target, gram = want / want.sum() * wanted, full
     step_of = lambda h, e: np.linalg.pinv(h / tokens, rcond=1e-10) @ e / tokens
+    loss = lambda e, h: float(e @ step_of(h, e))
+    done = lambda e: (np.abs(e) / np.where(target > 0, target, wanted)).max() <= CLOSE
     gradients: list[list[float]] = []
     error = now - target
-    loss, certain = float(error @ step_of(full, error)), True
-    for _ in range(STEPS):
-        if (np.abs(error) / np.where(target > 0, target, wanted)).max() <= CLOSE:
-            break
-        step = list(step_of(full if certain else gram, error))
-        now, after = measure(cells, n, [*gradients, step])
-        new = float((now - target) @ step_of(full, now - target))
-        gain = loss - new
-        if gain <= STALL * loss:
-            if certain:  # not even a step of certain descent gains anything
+    best, gain_at = (loss(error, full), [], error, gram), 0
+    while not done(error) and len(gradients) < STEPS and len(gradients) - gain_at < PATIENCE:
+        for part in (1.0, 0.25, 0.0625):  # the longest step that lessens the error as these rates weigh it
+            step = list(part * step_of(gram, error))
+            now, after = measure(cells, n, [*gradients, step])
+            if loss(now - target, gram) < (1 - STALL) * loss(error, gram):
                 break
-            certain = True
-            continue
+        else:
+            break
         gradients.append(step)
-        error, gram, loss, certain = now - target, after, new, False
+        error, gram = now - target, after
+        if loss(error, full) < best[0]:
+            best, gain_at = (loss(error, full), list(gradients), error, gram), len(gradients)
+    if not done(error):  # from the best rates so far by steps of certain descent
+        least, gradients, error, _ = best
+        while not done(error) and len(gradients) < 2 * STEPS:
+            step = list(step_of(full, error))
+            now, _ = measure(cells, n, [*gradients, step])
+            if (new := loss(now - target, full)) > (1 - STALL) * least:
+                break
+            gradients.append(step)
+            error, least = now - target, new
     off = np.abs(error) / np.where(target > 0, target, wanted)
     if off.max() > CLOSE:
         warnings.warn(f"no rates found that meet the targets; after {len(gradients)} steps the errors as parts of them are " + ", ".join(f"{k} {v:.2g}" for k, v in zip(names, off, strict=True)), stacklevel=2)

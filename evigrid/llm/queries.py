@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, language_id, license_scan, mixing, near_dedup, quality_rules, rule_ensemble, token_scan, url_filter
-from .common import scratch_root, table
+from .common import LOWER, UPPER, scratch_root, table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
@@ -31,6 +32,26 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
+#: Links by a plain join on shared shingles; components by ids that spread along them.
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM w
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), link AS MATERIALIZED (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+), edge AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach AS (SELECT a AS doc_id, a AS r FROM edge UNION SELECT edge.b, reach.r FROM reach JOIN edge ON reach.doc_id = edge.a
+), low AS (SELECT doc_id, min(r) AS r FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(r, doc_id) AS component_id, coalesce(r, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)
+"""
+
+
 #: Wanted shares of tokens: good prose most, low quality and toxic text a little.
 MIX = {"good": 0.95, "low": 0.04, "toxic": 0.01}
 
@@ -45,7 +66,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = mixing.train(spark, docs, domains(table(spark, sf_dir, "labels")))
     out, _ = mixing.rates(spark, docs, model, MIX)
-    posterior = [F.col(f"p_{d}").alias(f"p_{name}") for d, name in enumerate(model[0])]
+    posterior = [F.col(f"p_{d}").alias(f"p_{name}") for d, name in enumerate(model.names)]
     return out.select("doc_id", F.col("tokens").alias("n_tokens"), *posterior, "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"))
 
 
@@ -55,10 +76,11 @@ END = 50256
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens in flat files that are written from documents."""
-    path = f"{scratch_root(spark)}/tokens-{uuid.uuid4().hex}"
-    token_scan.write_flat(spark, table(spark, sf_dir, "documents"), path, *tokenizer(), END)
+    path, docs = f"{scratch_root(spark)}/tokens-{uuid.uuid4().hex}", table(spark, sf_dir, "documents")
+    token_scan.write_flat(spark, docs, path, *tokenizer(), END)
     out = token_scan.count_tokens(spark, token_scan.blocks(spark, path), END)
-    return out.select(F.regexp_extract("file", r"([^/]+)$", 1).alias("file"), "document", "start", "n_tokens")
+    out = token_scan.keyed(out, token_scan.writers(docs, "doc_id"))
+    return out.select(F.col("key").alias("doc_id"), "n_tokens", "part", "place", F.col("start").alias("start_in_file"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +131,37 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _template_regex(template: str) -> str:
+    """A template as a regular expression over words with a blank before each."""
+    out = ""
+    for part in re.findall(r"\[\[|\]\]|\{\{\d+\}\}|[^\s\[\]{}]+", template):
+        out += "(?:" if part == "[[" else ")?" if part == "]]" else f"(?: [^ ]*){{0,{part[2:-2]}}}" if part[0] == "{" else f" {part}"
+    return f"{out} "
+
+
+def _op6_sql() -> str:
+    """Base places by comparing runs of words, templates by regular expressions."""
+    places = " UNION ALL ".join(
+        f"SELECT doc_id, '{label}' AS label, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + {len(p.split())}] = {p.split()})) AS place FROM w" for p, label in license_scan.PHRASES.items()
+    )
+    matched = " UNION ".join(f"SELECT doc_id, '{label}' AS label FROM j WHERE regexp_matches(j, '{_template_regex(t)}')" for label, t in license_scan.TEMPLATES)
+    return rf"""
+WITH w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), j AS MATERIALIZED (SELECT doc_id, regexp_replace(' ' || array_to_string(w, ' ') || ' ', '[\x{{2018}}-\x{{201F}}]', '', 'g') AS j FROM w
+), hit AS ({places}
+), base AS (SELECT doc_id, count(*) AS n, min(place) AS low, max(place) AS high, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM hit GROUP BY doc_id
+), template AS ({matched}
+), every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM hit UNION SELECT doc_id, label FROM template) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(base.n, 0) AS n_base, low AS first_word, high AS last_word, coalesce(base.labels, '') AS base_labels, coalesce(every.labels, '') AS labels,
+  CASE WHEN doc_id IN (SELECT doc_id FROM template) THEN 1.0 WHEN base.n > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id)
+"""
+
+
+OP6_SQL = _op6_sql()
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = rule_ensemble.train(spark, docs, labels.where(~language_id.held_out(F.col("doc_id"), 3, 1)))
@@ -134,10 +187,15 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Batches in which op10 takes documents in, the largest ids first.
+BATCHES = 2
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over an index of its own, which is dropped once the decisions are made."""
-    index = exact_dedup.DigestIndex(spark, f"digests_{uuid.uuid4().hex}")
-    out = exact_dedup.decide(spark, table(spark, sf_dir, "documents"), index, "documents")
+    """Batches against an index that the earlier ones filled; it is the query's own and is dropped once the decisions are made."""
+    docs = table(spark, sf_dir, "documents")
+    index = exact_dedup.DigestIndex(spark, f"digests_{uuid.uuid4().hex}", docs.count())
+    out = exact_dedup.decide_batches(spark, exact_dedup.descending(docs, BATCHES), index, "documents")
     index.drop()
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
@@ -153,4 +211,4 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_mixing, op4_token_counts, op5_url_filter, op6_license_scan, op7_quality_classifier, op8_language_id, op9_bpe, op10_exact_dedup)}
 
-ORACLE_SQL = {"op5_url_filter": OP5_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLE_SQL = {"op2_near_dedup": OP2_SQL, "op5_url_filter": OP5_SQL, "op6_license_scan": OP6_SQL, "op10_exact_dedup": OP10_SQL}
