@@ -20,7 +20,8 @@ Work is kept linear in the documents and in the links between different texts:
   m is known well; two members meet only if enough shingles follow the shared one in both. A common passage, or the text that near misses were made from, is rare enough for such a bucket only
   in documents that mostly consist of it. In these buckets a growing number of members (8, 64, 512, ... in a round)
   meets the members of other components, until each pair of different components in a bucket has been tested;
-* texts are read again only for classes that share a band with another one.
+* texts are read again only for classes that share a band with another one;
+* joins on a bucket, a class that many others meet, or a class with many rows deal a hot key to many tasks (spread_join).
 
 Every round is a written table in the shared folder, so lost executors recompute one round at most; links, labels and
 sets never visit the driver, which only learns counts.
@@ -41,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches, free_name, ship
+from .common import Scratch, bounded_batches, free_name, ship, spread_join
 from .hashing import mix, utf8, word_hashes
 
 SHINGLE, ROWS, BANDS, PERCENT = 5, 5, 48, 75
@@ -133,34 +134,40 @@ def full_sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good, pa.int64())), _lists([own[j] for j in good])], ["id", "shingles"])
 
 
+def sizes_of(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("size"))
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(id, comp): the smallest id of each id's component, for the ids of edges (a, b). Labels spread along edges and jump."""
     both = scratch.save(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = scratch.save(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("comp")))
+    ends = scratch.save(sizes_of(both, "b"))
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
-        spread = labels.join(near, F.col("id") == F.col("a")).select("id", "comp", F.least("comp", "near").alias("to"))
+        near = spread_join(both, labels.select(F.col("id").alias("b"), "comp"), ["b"], ends, "a").groupBy("a").agg(F.min("comp").alias("near"))
+        spread = scratch.save(labels.join(near, F.col("id") == F.col("a")).select("id", "comp", F.least("comp", "near").alias("to")))
         jump = labels.select(F.col("id").alias("to"), F.col("comp").alias("jump"))
-        new = scratch.save(spread.join(jump, "to").select("id", F.col("comp").alias("old"), F.least("to", "jump").alias("comp")))
+        new = scratch.save(spread_join(spread, jump, ["to"], sizes_of(spread, "to"), "id").select("id", F.col("comp").alias("old"), F.least("to", "jump").alias("comp")))
         same = not new.where(F.col("old") != F.col("comp")).limit(1).count()
         old, labels = labels, new.select("id", "comp")
         labels.scratch_path = new.scratch_path
-        scratch.drop(old)
+        scratch.drop(old, spread)
         if same:
-            scratch.drop(both)
+            scratch.drop(both, ends)
             return labels
 
 
 def relabel(labels: DataFrame, found: DataFrame) -> DataFrame:
-    """labels (id, comp) after the components found among comps."""
+    """labels (id, comp), a written table, after the components found among comps."""
     found = found.select(F.col("id").alias("comp"), F.col("comp").alias("to"))
-    return labels.join(found, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+    return spread_join(labels, found, ["comp"], sizes_of(labels, "comp"), "id", "left").select("id", F.coalesce("to", "comp").alias("comp"))
 
 
 def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough."""
+    """Pairs (a, b), a written table, whose full sets are similar enough. A class that many others meet is met in many tasks."""
     left, right = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
+    both = spread_join(pairs, left, ["a"], sizes_of(pairs, "a"), "b")
+    both = spread_join(both, right, ["b"], sizes_of(pairs, "b"), "a").withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
     return both.where(100 * F.col("common") >= PERCENT * (F.size("set_a") + F.size("set_b") - F.col("common"))).select("a", "b")
 
 
@@ -208,8 +215,8 @@ def cluster(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str
     classes = scratch.save(rows.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("key"), F.any_value("bands").alias("bands")).withColumn("rep", F.monotonically_increasing_id()))
 
     banded = classes.select("rep", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = scratch.save(banded.join(shared, "band"))
+    shared = scratch.save(sizes_of(banded, "band").where("size > 1"))
+    members = scratch.save(spread_join(banded, shared, ["band"], shared, "rep"))
     popular = members.groupBy("rep").agg(F.sum("size").alias("pop"))
     members = scratch.save(members.join(popular.join(classes.select("rep", "n"), "rep"), "rep").select("band", "rep", "n", "pop"))
 
@@ -219,20 +226,23 @@ def cluster(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str
 
     # First round: each class meets the most popular class among its buckets.
     top = members.groupBy("band").agg(F.max(F.struct("pop", (-F.col("rep")).alias("minus"), F.col("n").alias("m"))).alias("top"))
-    met = members.join(top, "band").where((F.col("rep") != -F.col("top.minus")) & _alike("n", "top.m"))
+    met = spread_join(members, top, ["band"], shared, "rep").where((F.col("rep") != -F.col("top.minus")) & _alike("n", "top.m"))
     first = met.groupBy("rep").agg(F.max("top").alias("top")).select((-F.col("top.minus")).alias("a"), F.col("rep").alias("b"))
+    first = scratch.save(first)
     found = components(scratch, scratch.save(links(first, sets)))
-    labels = scratch.save(relabel(members.select(F.col("rep").alias("id"), F.col("rep").alias("comp")).distinct(), found))
+    own = scratch.save(members.select(F.col("rep").alias("id"), F.col("rep").alias("comp")).distinct())
+    labels = scratch.save(relabel(own, found))
 
-    def unsettled(left: DataFrame) -> DataFrame:
-        """Rows (band, side, rep, n, pop, left), with comp, of buckets that hold several components and can have pairs."""
+    def unsettled(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows (band, side, rep, n, pop, left), with comp, of buckets that hold several components and can have pairs; and the buckets' sizes."""
         left = left.join(labels.select(F.col("id").alias("rep"), "comp"), "rep")
-        mixed = left.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("side").alias("first"), F.max("side").alias("last"))
-        mixed = mixed.where("low < high AND (first < last OR first = 2)").select("band")
-        return scratch.save(left.join(mixed, "band").select("band", "side", "rep", "n", "pop", "left", "comp"))
+        mixed = left.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("side").alias("first"), F.max("side").alias("last"), F.count(F.lit(1)).alias("size"))
+        mixed = scratch.save(mixed.where("low < high AND (first < last OR first = 2)").select("band", "size"))
+        return scratch.save(spread_join(left, mixed.select("band"), ["band"], mixed, "rep").select("band", "side", "rep", "n", "pop", "left", "comp")), mixed
 
-    mixed = unsettled(members.withColumn("side", F.lit(2)).withColumn("left", F.col("n")))
-    left, slots, turn = unsettled(rare_buckets(mixed, sets)), 8, 0
+    mixed, sizes = unsettled(members.withColumn("side", F.lit(2)).withColumn("left", F.col("n")))
+    scratch.drop(members, sizes)
+    (left, sizes), slots, turn = unsettled(scratch.save(rare_buckets(mixed, sets))), 8, 0
     scratch.drop(mixed)
     while left.limit(1).count():
         slot = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(slots))
@@ -241,17 +251,18 @@ def cluster(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str
         centers = scratch.save(centers.select("band", F.col("side").alias("facing"), (-F.col("top.minus")).alias("center"), "top.m", "top.other", "top.right"))
         meets = (F.col("comp") != F.col("other")) & ((F.col("side") == 2) | (F.col("side") != F.col("facing"))) & _alike("n", "m")
         meets = meets & (F.least("left", "right") >= _overlap(F.col("n"), F.col("m")))  # else this is not their first common shingle, or they share too few
-        pairs = left.join(centers, "band").where(meets).select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b")).distinct()
+        pairs = spread_join(left, centers, ["band"], sizes, "rep").where(meets).select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b")).distinct()
+        pairs = scratch.save(pairs)
         ends = [labels.select(F.col("id").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab"]
         edges = links(pairs, sets).join(ends[0], "a").join(ends[1], "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct()
         edges = scratch.save(edges)
         if edges.limit(1).count():
             labels = scratch.save(relabel(labels, components(scratch, edges)))
         rest = left.drop("comp").join(centers.select("band", F.col("center").alias("rep")), ["band", "rep"], "left_anti")
-        old, left = left, unsettled(rest)
-        scratch.drop(old, centers)
-        slots, turn = slots * 8, turn + 1
-    scratch.drop(members, sets, left)
+        old, (left, now) = left, unsettled(rest)
+        scratch.drop(old, centers, pairs, edges, sizes)
+        sizes, slots, turn = now, slots * 8, turn + 1
+    scratch.drop(sets, left, sizes)
 
     known = classes.drop("bands").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     several = rows.where("id IS NOT NULL").groupBy("id").agg(*(f(c).alias(f"{k}_{c}") for k, f in (("low", F.min), ("high", F.max)) for c in ("n", "h1", "h2")))
@@ -262,9 +273,14 @@ def cluster(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str
         edges = own.groupBy("id").agg(F.min("comp").alias("a")).join(own.withColumnRenamed("comp", "b"), "id").where("a < b").select("a", "b").distinct()
         found = components(scratch, scratch.save(edges)).select(F.col("id").alias("comp"), F.col("comp").alias("to"))
         known = known.join(found, "comp", "left").withColumn("comp", F.coalesce("to", "comp"))
+    known = scratch.save(known.select("h1", "h2", "n", "key", "comp"))
     names = known.groupBy("comp").agg(F.min("key").alias("component"))
-    named = known.join(names, "comp").select("h1", "h2", "n", "component")
-    out = rows.select("id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left")
+    named = spread_join(known, names, ["comp"], sizes_of(known, "comp"), "key").select("h1", "h2", "n", "component")
+    own = rows.select("id", "n", "h1", "h2")
+    some = "n > 0 AND id IS NOT NULL"
+    full, none = own.where(some), own.where(f"NOT ({some})").withColumn("component", F.lit(None).cast("long"))
+    sizes = full.groupBy("h1", "h2", "n").agg(F.count(F.lit(1)).alias("size"))
+    out = spread_join(full, named, ["h1", "h2", "n"], sizes, "id").unionByName(none)
     if repeats:  # rows without words go where their key's other texts are
         own = out.join(several, "id").groupBy("id").agg(F.min("component").alias("other"))
         out = out.join(own, "id", "left").withColumn("component", F.coalesce("component", "other"))
