@@ -2,9 +2,9 @@
 
 A file is a run of fixed-width token ids; each document ends with one end-of-document id and nothing else says where
 documents begin. Files are cut into blocks of equal size; each block is searched for separators at once in numpy, and
-reports how many tokens it holds before its first, between its, and after its last separator. A prefix scan over the
-block reports (running sums in file order) then gives each block the number of the documents before it and the tokens
-that its first document already has, so that documents which span blocks are counted once and whole.
+reports its length and where its separators are. A prefix scan over the
+block reports (running sums in file order) then gives each block the number of the documents before it and where
+its first document begins, so that documents which span blocks are counted once and whole.
 
 Files may have any size: only their paths and lengths are listed, and tasks read the byte ranges of their own blocks.
 Arrow reads them where it can open the store. Elsewhere Spark's fixed-length records of one token do, which is slower but
@@ -12,7 +12,8 @@ needs nothing that Spark lacks.
 
 An empty file has no documents; two separators in a row enclose a document of 0 tokens; tokens after the last separator
 are a document that lacks its end, and count as one. A file whose size isn't a multiple of the width raises an error.
-write_flat() writes null and empty texts as documents of 0 tokens, and an empty table as no file.
+write_flat() writes null and empty texts as documents of 0 tokens, and an empty table as no file. Keys may repeat or be null;
+columns of docs may have any names. What a file holds says nothing of keys: writers() lists them by their place in the files.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from .common import bounded_batches, ship, whole
+from .common import Scratch, bounded_batches, ship, whole
 
 BLOCK_TOKENS, FILE_DOCUMENTS = 1 << 18, 10_000
 
@@ -57,6 +58,21 @@ def write_flat(spark: SparkSession, docs: DataFrame, path: str, ranks_path: str,
     rows.write.option("encoding", "ISO-8859-1").option("lineSep", separator).option("compression", "none").option("maxRecordsPerFile", FILE_DOCUMENTS).text(path)
 
 
+def writers(docs: DataFrame, key: str) -> DataFrame:
+    """(part, place, key): where write_flat puts the rows of docs. docs must be read from files, so that its partitions and their order are the same each time."""
+    place = F.monotonically_increasing_id()
+    return docs.select(F.spark_partition_id().alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("place"), F.col(key).alias("key"))
+
+
+def keyed(counted: DataFrame, known: DataFrame) -> DataFrame:
+    """count_tokens() of files from write_flat with part, place and key, by the names that Spark gives the files of a task. A document without a key, or the other way round, is an error."""
+    number = lambda pattern: F.regexp_extract("file", pattern, 1).cast("long")
+    at = counted.withColumn("part", number(r"part-(\d+)-[^/]*$").cast("int")).withColumn("place", number(r"-c(\d+)[^/]*$") * FILE_DOCUMENTS + F.col("document"))
+    both = at.join(known.withColumn("known", F.lit(True)), ["part", "place"], "full")
+    odd = F.col("known").isNull() | F.col("n_tokens").isNull()
+    return both.withColumn("n_tokens", F.when(odd, F.raise_error(F.lit("files and documents don't match"))).otherwise(F.col("n_tokens"))).drop("known")
+
+
 def locate(file: str) -> tuple[fs.FileSystem, str]:
     """Arrow's file system and path of a file as Spark names it."""
     scheme, root, path = re.fullmatch(r"(?s)(\w[\w+.-]*):(//[^/]*)?(.*)", file).groups()
@@ -122,41 +138,40 @@ def blocks(spark: SparkSession, path: str, width: int = 2, block_tokens: int = B
 
 
 def search(end: int, width: int):
-    """Block contents to reports: tokens, separators, tokens before the first and after the last, lengths between."""
+    """Block contents to reports: tokens, and the places of separators."""
 
     def run(batches):
         for batch in batches:
-            tokens, seps, head, tail, inner = [], [], [], [], []
+            tokens, ends = [], []
             for content in batch["content"]:
                 ids = np.frombuffer(content.as_buffer(), LITTLE_ENDIAN[width])
-                at = np.flatnonzero(ids == end)
                 tokens.append(len(ids))
-                seps.append(len(at))
-                head.append(int(at[0]) if len(at) else len(ids))
-                tail.append(len(ids) - int(at[-1]) - 1 if len(at) else len(ids))
-                inner.append(np.diff(at) - 1)
-            columns = [batch["file"], batch["block"], *(pa.array(x, pa.int64()) for x in (tokens, seps, head, tail)), pa.array(inner, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["file", "block", "tokens", "seps", "head", "tail", "inner"])
+                ends.append(np.flatnonzero(ids == end))
+            yield pa.RecordBatch.from_arrays([batch["file"], batch["block"], pa.array(tokens, pa.int64()), pa.array(ends, pa.list_(pa.int64()))], ["file", "block", "tokens", "ends"])
 
     return run
 
 
 def count_tokens(spark: SparkSession, cut: DataFrame, end: int, width: int = 2) -> DataFrame:
-    """One row per document of the blocks: file, document (from 0), start (token), n_tokens."""
+    """One row per document of the blocks: file, document (from 0), start (token), n_tokens.
+
+    The prefix scan runs over one short row per block; documents stay with the reports of their blocks.
+    """
     ship(spark)
     bounded_batches(spark)
-    reports = cut.mapInArrow(search(end, width), "file string, block int, tokens long, seps long, head long, tail long, inner array<long>")
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.when(F.col("seps") > 0, F.col("at") + F.col("tokens") - F.col("tail"))  # where the document after the last separator begins
-    placed = reports.withColumn("at", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
-    placed = placed.withColumn("opened", last).withColumn("done", F.coalesce(F.sum("seps").over(before), F.lit(0)))
-    placed = placed.withColumn("begun", F.coalesce(F.max("opened").over(before), F.lit(0)))
-    placed = placed.withColumn("final", F.lead("block").over(Window.partitionBy("file").orderBy("block")).isNull())
-    first = F.col("at") + F.col("head") - F.col("begun")
-    lengths = F.when(F.col("seps") > 0, F.concat(F.array(first), "inner")).otherwise(F.array().cast("array<bigint>"))
-    since = F.col("at") + F.col("tokens") - F.coalesce("opened", "begun")
-    lengths = F.when(F.col("final") & (since > 0), F.concat(lengths, F.array(since))).otherwise(lengths)
-    rows = placed.select("file", "done", "begun", lengths.alias("lengths")).select("file", "done", "begun", F.posexplode(F.col("lengths")).alias("k", "n_tokens"))
-    inside = Window.partitionBy("file").orderBy("document").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.select("file", (F.col("done") + F.col("k")).alias("document"), "n_tokens")
-    return rows.withColumn("start", F.coalesce(F.sum(F.col("n_tokens") + 1).over(inside), F.lit(0)))
+    reports = Scratch(spark, "token_scan").save(cut.mapInArrow(search(end, width), "file string, block int, tokens long, ends array<long>"))
+    brief = reports.select("file", "block", "tokens", F.size("ends").cast("long").alias("seps"), F.try_element_at("ends", F.lit(-1)).alias("last"))
+    order = Window.partitionBy("file").orderBy("block")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    brief = brief.withColumn("at", F.coalesce(F.sum("tokens").over(before), F.lit(0))).withColumn("done", F.coalesce(F.sum("seps").over(before), F.lit(0)))
+    brief = brief.withColumn("begun", F.coalesce(F.max(F.col("at") + F.col("last") + 1).over(before), F.lit(0)))
+    brief = brief.withColumn("final", F.lead("block").over(order).isNull()).select("file", "block", "at", "done", "begun", "final")
+    placed = reports.join(brief, ["file", "block"])
+    stops = F.transform("ends", lambda e: F.col("at") + e)
+    over = F.col("at") + F.col("tokens")
+    opened = F.coalesce(F.col("at") + F.try_element_at("ends", F.lit(-1)) + 1, F.col("begun"))  # where the block's last document begins
+    stops = F.when(F.col("final") & (opened < over), F.concat(stops, F.array(over))).otherwise(stops)
+    rows = placed.select("file", "done", "begun", stops.alias("stops")).select("file", "done", "begun", "stops", F.posexplode("stops").alias("k", "stop"))
+    start = F.when(F.col("k") > 0, F.get("stops", F.col("k") - 1) + 1).otherwise(F.col("begun"))
+    rows = rows.select("file", (F.col("done") + F.col("k")).alias("document"), start.alias("start"), "stop")
+    return rows.select("file", "document", "start", (F.col("stop") - F.col("start")).alias("n_tokens"))
