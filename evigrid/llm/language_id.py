@@ -22,7 +22,7 @@ from .common import bounded_batches, free_name, ship
 
 BUCKETS, ORDERS, SAMPLE, MOST_LANGUAGES = 1 << 15, (1, 2, 3), 20_000, 512
 
-#: Characters scored at once; longer texts are summed piece by piece, without the n-grams that two pieces share.
+#: Characters scored at once, about. Longer texts are summed piece by piece; the n-grams that two pieces share count once.
 CHARS = 1 << 17
 
 _FACTORS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
@@ -33,6 +33,12 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
 
 
+def cut(chars: np.ndarray, size: int):
+    """Pieces of size, each with the characters after it that its last n-grams reach, and its own number of characters."""
+    for at in range(0, len(chars), size):
+        yield chars[at : at + size + max(ORDERS) - 1], min(size, len(chars) - at)
+
+
 def buckets(chars: np.ndarray) -> list[np.ndarray]:
     """For each order, the bucket of the n-gram that starts at each character; the last ones have no n-gram."""
     out = []
@@ -49,8 +55,9 @@ def buckets(chars: np.ndarray) -> list[np.ndarray]:
 def count_texts(texts: list[str]) -> np.ndarray:
     total = np.zeros(BUCKETS, np.int64)
     for text in texts:
-        for h in buckets(codes(text)):
-            total += np.bincount(h, minlength=BUCKETS)
+        for piece, own in cut(codes(text), CHARS):
+            for h in buckets(piece):
+                total += np.bincount(h[:own], minlength=BUCKETS)
     return total
 
 
@@ -59,35 +66,35 @@ def score_texts(texts: list[str | None], logs: np.ndarray, prior: np.ndarray) ->
     best, score = np.full(len(texts), -1), np.zeros(len(texts))
     sums = np.zeros((len(texts), len(prior)))
     real = [j for j, t in enumerate(texts) if t and LETTER.search(t)] if len(prior) else []
-    group: list[tuple[int, np.ndarray]] = []
+    group: list[tuple[int, np.ndarray, int]] = []  # text, characters, how many of them are its own
 
     def flush() -> None:
         if not group:
             return
-        chars = np.concatenate([c for _, c in group])
-        ends = np.cumsum([len(c) for _, c in group])
-        starts = ends - [len(c) for _, c in group]
+        chars = np.concatenate([c for _, c, _ in group])
+        ends = np.cumsum([len(c) for _, c, _ in group])
+        starts = ends - [len(c) for _, c, _ in group]
+        last = np.repeat([s + own for s, (_, _, own) in zip(starts, group, strict=True)], [len(c) for _, c, _ in group])
         for order, h in zip(ORDERS, buckets(chars), strict=True):
             rows = logs[h]
-            for k in range(1, order):  # n-grams that reach into the next text
+            rows[np.arange(len(rows)) >= last[: len(rows)]] = 0  # n-grams that begin after the piece's own characters
+            for k in range(1, order):  # n-grams that reach into the next piece
                 over = ends[:-1] - k
                 rows[over[over >= 0]] = 0
             if len(rows):
                 at = np.minimum(starts, len(rows) - 1)
                 part = np.add.reduceat(rows, at, axis=0)
                 part[starts >= len(rows)] = 0
-                np.add.at(sums, [j for j, _ in group], part)
+                np.add.at(sums, [j for j, _, _ in group], part)
         group.clear()
 
     size = 0
     for j in real:
-        own = codes(texts[j])
-        for at in range(0, len(own), CHARS):
-            piece = own[at : at + CHARS]
+        for piece, own in cut(codes(texts[j]), CHARS):
             if size + len(piece) > CHARS:
                 flush()
                 size = 0
-            group.append((j, piece))
+            group.append((j, piece, own))
             size += len(piece)
     flush()
     if real:
@@ -101,9 +108,9 @@ def train(spark: SparkSession, labelled: DataFrame, key: str = "doc_id", text: s
     """Languages, log probabilities (BUCKETS x languages, float32) and log priors."""
     ship(spark)
     bounded_batches(spark)
-    order = F.xxhash64(key)
-    ids = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_k"), order.alias("_o")).orderBy("_o", "_k").limit(SAMPLE).select("_k").distinct()
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).join(F.broadcast(ids), F.col(key) == F.col("_k"), "left_semi").select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    some = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    ids = some.select("key", F.xxhash64("key").alias("o")).orderBy("o", "key").limit(SAMPLE).select("key").distinct()
+    rows = some.join(F.broadcast(ids), "key", "left_semi").select("lang", "text")
 
     def count(batches):
         totals: dict[str, np.ndarray] = {}

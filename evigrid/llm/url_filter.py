@@ -88,8 +88,9 @@ class Cascade:
     def contains(self, df: DataFrame, key: str, name: str) -> DataFrame:
         """df and a boolean column."""
         if self.levels is None:
-            listed = self.keys.where("listed").select(F.col("key").alias("_listed"))
-            return df.join(listed, F.col(key) == F.col("_listed"), "left").withColumn(name, F.col("_listed").isNotNull()).drop("_listed")
+            own = free_name(df, "_listed")
+            listed = self.keys.where("listed").select(F.col("key").alias(own))
+            return df.join(listed, df[key] == listed[own], "left").withColumn(name, F.col(own).isNotNull()).drop(own)
         inside = F.lit(len(self.levels) % 2 == 1)
         for level in reversed(range(len(self.levels))):
             filter_, bits = self.levels[level]
