@@ -8,17 +8,29 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 
 
-def clamped_fold(df: DataFrame, key: str, order: list[str], amount: Column, bound: float = 10.0) -> DataFrame:
-    """h <- clamp(h + amount) in order, per key. The rows of a key are folded inside one row."""
+def clamped_fold(df: DataFrame, key: str, order: list[str], amount: Column, bound: float = 10.0, part: Column | None = None) -> DataFrame:
+    """h <- clamp(h + amount) in order, per key.
+
+    A run of such steps is itself a step h -> clamp(h + a, low, high), so the rows of a key are folded part by part (part must
+    rise with the order, e.g. a day), and a key's few parts one after the other: no row holds more than one part of a key.
+    """
     items = F.sort_array(F.collect_list(F.struct(*order, amount.alias("a"))))
-    fold = F.aggregate(items, F.lit(0.0), lambda h, e: scalar.clamp(h + e["a"], -bound, bound))
-    return df.groupBy(key).agg(F.round(fold, 6).alias("h"), F.count(F.lit(1)).alias("n"))
+    state = lambda a, low, high: F.struct(a.alias("a"), low.alias("low"), high.alias("high"))
+    step = lambda s, e: state(s["a"] + e["a"], scalar.clamp(s["low"] + e["a"], -bound, bound), scalar.clamp(s["high"] + e["a"], -bound, bound))
+    parts = df.groupBy(key, (F.lit(0) if part is None else part).alias("part")).agg(items.alias("items"), F.count(F.lit(1)).alias("n"))
+    parts = parts.select(key, "part", "n", F.aggregate("items", state(F.lit(0.0), F.lit(-bound), F.lit(bound)), step).alias("s"))
+    runs = F.sort_array(F.collect_list(F.struct("part", "s.a", "s.low", "s.high")))
+    fold = F.aggregate(runs, F.lit(0.0), lambda h, s: F.least(F.greatest(h + s["a"], s["low"]), s["high"]))
+    return parts.groupBy(key).agg(F.round(fold, 6).alias("h"), F.sum("n").alias("n"))
 
 
-def moving_average(df: DataFrame, key: str, order: list[str], value: Column, alpha: float) -> DataFrame:
-    """Exponential moving average from 0, in order, per key."""
+def moving_average(df: DataFrame, key: str, order: list[str], value: Column, alpha: float, part: Column | None = None) -> DataFrame:
+    """Exponential moving average from 0, in order, per key. Parts as in clamped_fold(): m steps take h to (1 - alpha)^m h + b."""
     items = F.sort_array(F.collect_list(F.struct(*order, value.alias("v"))))
-    return df.groupBy(key).agg(F.round(F.aggregate(items, F.lit(0.0), lambda m, e: (1 - alpha) * m + alpha * e["v"]), 6).alias("ema"))
+    parts = df.groupBy(key, (F.lit(0) if part is None else part).alias("part")).agg(items.alias("items"), F.count(F.lit(1)).alias("n"))
+    parts = parts.select(key, "part", "n", F.aggregate("items", F.lit(0.0), lambda m, e: (1 - alpha) * m + alpha * e["v"]).alias("b"))
+    runs = F.sort_array(F.collect_list(F.struct("part", "n", "b")))
+    return parts.groupBy(key).agg(F.round(F.aggregate(runs, F.lit(0.0), lambda h, s: F.pow(F.lit(1 - alpha), s["n"]) * h + s["b"]), 6).alias("ema"))
 
 
 def dirichlet_update(df: DataFrame, keys: list[str], weight: Column, classes: int) -> DataFrame:
@@ -34,12 +46,6 @@ def running_mode(df: DataFrame, key: str, item: str, order: list[str]) -> DataFr
     return out.withColumn("u_temporal", F.round(F.when(F.col("n") == 1, 0.5).otherwise(1 - F.col("most") / F.col("n")), 6)).drop("seen")
 
 
-def transitions(df: DataFrame, key: str, item: str, order: list[str]) -> DataFrame:
-    """Changes of item per key, and whether there are 3 or more."""
-    before = F.lag(item).over(Window.partitionBy(key).orderBy(*order))
-    return df.withColumn("changed", (before != F.col(item)).cast("long")).groupBy(key).agg(F.coalesce(F.sum("changed"), F.lit(0)).alias("changes"), (F.coalesce(F.sum("changed"), F.lit(0)) >= 3).alias("dynamic"))
-
-
 def rolling_rate(df: DataFrame, key: str, ts: str, tie: str, rows: int = 30) -> DataFrame:
     """Rows per second over the last rows of a key, and the mean gap."""
     w = Window.partitionBy(key).orderBy(ts, tie)
@@ -91,12 +97,49 @@ def dynamic_status(df: DataFrame, key: str, item: str, ts: str, ties: list[str],
     g = df.groupBy(key).agg(items.alias("items"))
     first = state(F.col("items")[0]["c"], F.lit(0.0), F.lit(0).cast("long"), F.lit(alpha))
     s = g.withColumn("s", F.aggregate(F.slice("items", F.lit(2), F.size("items")), first, step))
-    return s.select(key, F.size("items").cast("long").alias("frames"), F.col("s.n").alias("transitions"), (F.col("s.n") >= 2).alias("dynamic"), F.round("s.o", 6).alias("occupancy"))
-
-
-def evict(df: DataFrame, key: str, ts: str, tie: str, age: str, most: int) -> DataFrame:
-    """Rows not older than age, counted from the newest of all, and at most the newest of each key."""
-    cut = df.agg((F.max(ts) - F.expr(f"INTERVAL {age}")).alias("cut"))
-    recent = df.where(F.col(ts) > cut.scalar())
-    newest = Window.partitionBy(key).orderBy(F.desc(ts), F.desc(tie))
-    return recent.withColumn("newest", F.row_number().over(newest)).where(F.col("newest") <= most).drop("newest")
+    return s.select(key, F.size("items").cast("long").alias("frames"), F.col("s.n").alias("transitions"), (F.col("s.n") >= 2).alias("dynamic"), F.round("s.o", 6).alias("occupancy"), F.col("s.last").alias("last_change"))
+
+
+def decay_transitions(status: DataFrame, now: Column, window: float, period: float) -> DataFrame:
+    """status after a call every `period` seconds up to now: each that comes more than window after the last change takes one transition away, down to 0; below two nothing is dynamic."""
+    calls = F.greatest(F.ceil(now / period) - 1 - F.floor((F.col("last_change") + window) / period), F.lit(0))
+    left = F.greatest(F.col("transitions") - calls, F.lit(0)).cast("long")
+    return status.withColumn("transitions", left).withColumn("dynamic", F.col("dynamic") & (F.col("transitions") >= 2))
+
+
+def evict(df: DataFrame, key: str, ts: str, age: str, most: int) -> DataFrame:
+    """Rows of the histories that stay: keys touched within age of the newest row, and of those the `most` touched last (the largest key of equals)."""
+    last = df.groupBy(key).agg(F.max(ts).alias("last"))
+    fresh = last.where(F.col("last") >= df.agg(F.max(ts) - F.expr(f"INTERVAL {age}")).scalar())
+    kept = fresh.orderBy(F.desc("last"), F.desc(key)).limit(most)
+    return df.join(kept.select(key), key, "left_semi")
+
+
+def sync_many(frames: list[DataFrame], key: str, ts: str, tie: str, most: int) -> DataFrame:
+    """Tuples of three or more inputs: each row of the first with the nearest row of every other one, at most `most` microseconds away; rows that lack one go. Columns id_0, id_1, ..., and spread (the largest gap)."""
+    out = frames[0].select(F.col(tie).alias("left_id"))
+    for k, other in enumerate(frames[1:], 1):
+        near = time_sync(frames[0], other, key, ts, tie, most).select("left_id", F.col("right_id").alias(f"id_{k}"), F.col("gap").alias(f"gap_{k}"))
+        out = out.join(near, "left_id")
+    gaps = [F.col(f"gap_{k}") for k in range(1, len(frames))]
+    return out.select(F.col("left_id").alias("id_0"), *(f"id_{k}" for k in range(1, len(frames))), (F.greatest(*gaps) if len(gaps) > 1 else gaps[0]).alias("spread"))
+
+
+def latest_per_trigger(df: DataFrame, key: str, ts: str, tie: str, seconds: int) -> DataFrame:
+    """Under load only the newest row of a key in each trigger of so many seconds is worked on; dropped: how many went."""
+    trigger = F.window(ts, f"{seconds} seconds")["start"].alias("trigger")
+    return df.groupBy(key, trigger).agg(F.max(F.struct(ts, tie))[tie].alias(tie), (F.count(F.lit(1)) - 1).alias("dropped"))
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, tie: str, seconds: float, fallback: DataFrame | None = None) -> DataFrame:
+    """as_of() with a timeout: values older than so many seconds don't count. Then rows take the value of their key in fallback (key, value), and go if that has none either."""
+    stamped = right.withColumn(value, F.struct(F.col(ts).alias("at"), F.col(value).alias("v")))
+    both = left.select(key, ts, F.col(tie).alias("tie"), F.lit(None).cast(stamped.schema[value].dataType).alias(value), F.lit(1).alias("side"))
+    both = both.unionByName(stamped.select(key, ts, F.lit(0).cast("bigint").alias("tie"), value, F.lit(0).alias("side")))
+    w = Window.partitionBy(key).orderBy(ts, "side", value, "tie").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("found", F.last(value, ignorenulls=True).over(w)).where("side = 1")
+    age = F.timestamp_diff("MICROSECOND", F.col("found.at").cast("timestamp_ntz"), F.col(ts).cast("timestamp_ntz")) / 1e6
+    out = out.select(key, F.col("tie").alias(tie), F.when(age <= seconds, F.col("found.v")).alias(value))
+    if fallback is not None:
+        out = out.join(fallback.select(key, F.col(value).alias("otherwise")), key, "left").withColumn(value, F.coalesce(value, "otherwise")).drop("otherwise")
+    return out.where(F.col(value).isNotNull())

@@ -11,13 +11,26 @@ from ..functions import scalar
 from . import spatial
 
 
-def column_costs(cells: DataFrame, costs: dict[int, int], least: float = 0.3) -> DataFrame:
-    """2-D grid: the highest cost of a column; -1 where no cell is confident."""
-    cost = F.lit(50)
+def cost_grids(points: DataFrame, order: list[str], costs: dict[int, int], free: list[int], blocked: list[int], least: float = 0.3, band: tuple[int, int] | None = None) -> DataFrame:
+    """2-D grids (ix, iy): `cost`, 0 or 100 by the last sure point of a free or blocked class in order, 50 where there is none;
+    and `semantic`, the highest cost of the points' classes, each drawn towards 50 by doubt (-1 without a class that has one).
+
+    band: layers iz that count, both ends included.
+    """
+    if band:
+        points = points.where(F.col("iz").between(*band))
+    sure = F.when(F.col("confidence") > least, F.when(F.col("class").isin(*free), 0).when(F.col("class").isin(*blocked), 100))
+    own = F.lit(None).cast("int")
     for k, c in costs.items():
-        cost = F.when(F.col("class") == k, c).otherwise(cost)
-    blended = (cost * F.col("confidence") + 50 * (1 - F.col("confidence"))).cast("int")
-    return cells.groupBy("ix", "iy").agg(F.max(F.when(F.col("confidence") >= least, blended).otherwise(-1)).alias("cost"))
+        own = F.when(F.col("class") == k, c).otherwise(own)
+    blended = (own * F.col("confidence") + 50 * (1 - F.col("confidence"))).cast("int")
+    last = F.max_by(sure, F.when(sure.isNotNull(), F.struct(*order)))
+    return points.groupBy("ix", "iy").agg(F.coalesce(last, F.lit(50)).alias("cost"), F.coalesce(F.max(blended), F.lit(-1)).alias("semantic"))
+
+
+def traversability(cost: Column) -> Column:
+    """Unknown stays -1; below 50 is free (0), all else an obstacle (100)."""
+    return F.when(cost < 0, -1).when(cost < 50, 0).otherwise(100)
 
 
 def inflate(grid: DataFrame, radius: int, obstacle: int) -> DataFrame:
@@ -35,6 +48,12 @@ def inflate(grid: DataFrame, radius: int, obstacle: int) -> DataFrame:
 FACES = ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))
 
 
+def cell_key() -> Column:
+    """ix, iy and iz, each from -2^20 to 2^20 - 1, in one number."""
+    i = [F.col(f"i{k}").cast("long") + F.lit(1 << 20) for k in "xyz"]
+    return (i[0] * F.lit(1 << 21) + i[1]) * F.lit(1 << 21) + i[2]
+
+
 def frontier(cells: DataFrame) -> DataFrame:
     """Cells with unknown face neighbours, and their number."""
     faces = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip("abc", f, strict=True))) for f in FACES))
@@ -51,8 +70,13 @@ def rank_goals(goals: DataFrame, k: int) -> DataFrame:
 
 
 def cap_cells(cells: DataFrame, most: int) -> DataFrame:
-    """Drop cells whose confidence is below that of the most-th cell; equals stay, so a few more may remain."""
-    cut = cells.orderBy(F.desc("confidence")).limit(most).agg(F.min("confidence").alias("cut"))
+    """Drop cells whose confidence is below that of the most-th cell; equals stay, so a few more may remain.
+
+    Counts per confidence (six digits, so a million values at most) come first: no task sorts cells.
+    """
+    counts = cells.groupBy("confidence").agg(F.count(F.lit(1)).alias("c"))
+    upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy(F.desc("confidence"))))
+    cut = upto.where(F.col("upto") - F.col("c") < most).agg(F.min("confidence").alias("cut"))
     return cells.where(F.col("confidence") >= cut.scalar())
 
 
@@ -108,19 +132,21 @@ def project_costs(voxels: DataFrame, low: int, high: int, robot: int, ground: in
     return voxels.where(F.col("iz").between(low, high)).groupBy("ix", "iy").agg(F.max((100 * total).cast("int")).alias("cost"))
 
 
-def occupancy(cells: DataFrame, free: list[int], least: float = 0.3) -> DataFrame:
-    """0 free, 100 obstacle (the highest of a column), -1 where nothing is confident."""
+def occupancy(cells: DataFrame, free: list[int], least: float = 0.3, band: tuple[int, int] | None = None) -> DataFrame:
+    """0 free, 100 obstacle (the highest of a column), -1 where nothing is confident. band: layers iz that count, both ends included."""
+    if band:
+        cells = cells.where(F.col("iz").between(*band))
     cost = F.when(F.col("confidence") >= least, F.when(F.col("class").isin(*free), 0).otherwise(100))
     return cells.groupBy("ix", "iy").agg(F.coalesce(F.max(cost), F.lit(-1)).alias("cost"))
 
 
-def dense_rows(grid: DataFrame, unknown: int = -1) -> DataFrame:
-    """(iy, row): costs of all cells between the smallest and largest ix, for each iy in the grid's range. Rows stay apart, so no task holds the whole grid."""
+def dense_rows(grid: DataFrame, unknown: int = -1, layers: tuple[str, ...] = ("cost",)) -> DataFrame:
+    """(iy, one row of values for each layer): all cells between the smallest and largest ix, for each iy in the grid's range. Rows stay apart, so no task holds the whole grid."""
     b = grid.agg(F.min("ix").alias("x0"), F.max("ix").alias("x1"), F.min("iy").alias("y0"), F.max("iy").alias("y1"))
-    rows = grid.groupBy("iy").agg(F.map_from_entries(F.collect_list(F.struct("ix", "cost"))).alias("known"))
+    rows = grid.groupBy("iy").agg(*(F.map_from_entries(F.collect_list(F.struct("ix", c))).alias(f"known_{c}") for c in layers))
     full = b.where("x0 IS NOT NULL").select("x0", "x1", F.explode(F.sequence("y0", "y1")).alias("iy")).join(rows, "iy", "left")
-    at = F.transform(F.sequence("x0", "x1"), lambda i: F.coalesce(F.try_element_at("known", i), F.lit(unknown)))
-    return full.select("iy", at.alias("row"))
+    at = lambda c: F.transform(F.sequence("x0", "x1"), lambda i: F.coalesce(F.try_element_at(f"known_{c}", i), F.lit(unknown)))
+    return full.select("iy", *(at(c).alias("row" if c == "cost" and len(layers) == 1 else c) for c in layers))
 
 
 def query_points(points: DataFrame, cells: DataFrame, obstacles: DataFrame) -> DataFrame:

@@ -5,25 +5,67 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spatial import nearest_of_all
 
-def confusion(df: DataFrame) -> DataFrame:
-    """Counts per gt and pred; 255 is no label."""
-    return df.where("gt <> 255 AND gt >= 0 AND pred >= 0").groupBy("gt", "pred").agg(F.count(F.lit(1)).alias("n"))
 
+def labelled(df: DataFrame, classes: int = 255) -> DataFrame:
+    """Rows whose gt and pred are classes; 255 is no label."""
+    return df.where((F.col("gt") != 255) & F.col("gt").between(0, classes - 1) & F.col("pred").between(0, classes - 1))
 
-def class_iou(df: DataFrame) -> DataFrame:
+
+def confusion(df: DataFrame, classes: int = 255) -> DataFrame:
+    """Counts per gt and pred."""
+    return labelled(df, classes).groupBy("gt", "pred").agg(F.count(F.lit(1)).alias("n"))
+
+
+def class_iou(df: DataFrame, classes: int = 255) -> DataFrame:
     """Per class: intersection, union, IoU and recall, from one confusion table."""
-    c = confusion(df)
+    c = confusion(df, classes)
     sides = c.select(F.col("gt").alias("class"), (F.col("n") * (F.col("gt") == F.col("pred")).cast("long")).alias("hit"), F.col("n").alias("gt_n"), F.lit(0).cast("long").alias("pred_n"))
     sides = sides.unionByName(c.select(F.col("pred").alias("class"), F.lit(0).cast("long").alias("hit"), F.lit(0).cast("long").alias("gt_n"), F.col("n").alias("pred_n")))
     g = sides.groupBy("class").agg(*(F.sum(k).alias(k) for k in ("hit", "gt_n", "pred_n")))
     union = F.col("gt_n") + F.col("pred_n") - F.col("hit")
-    return g.select("class", F.col("hit").alias("intersection"), union.alias("union_n"), F.round(F.col("hit") / union, 6).alias("iou"), F.round(F.when(F.col("gt_n") > 0, F.col("hit") / F.col("gt_n")), 6).alias("recall"))
+    return g.select("class", F.col("hit").alias("intersection"), union.alias("union_n"), "gt_n", F.round(F.col("hit") / union, 6).alias("iou"), F.round(F.when(F.col("gt_n") > 0, F.col("hit") / F.col("gt_n")), 6).alias("recall"))
+
+
+def scores(df: DataFrame, classes: int) -> DataFrame:
+    """One row: accuracy, mean class accuracy, and mean IoU over three sets of classes.
+
+    miou: classes that gt or pred has; miou_gt: classes that gt has; miou_all: all, with an IoU of 0 for the absent ones.
+    """
+    hit, iou, has_gt = F.col("intersection"), F.col("intersection") / F.col("union_n"), F.col("gt_n") > 0
+    return class_iou(df, classes).agg(
+        F.round(F.coalesce(F.sum(hit) / F.nullif(F.sum("gt_n"), F.lit(0)), F.lit(0.0)), 6).alias("accuracy"),
+        F.round(F.avg(F.when(has_gt, hit / F.col("gt_n"))), 6).alias("class_accuracy"),
+        F.round(F.avg(iou), 6).alias("miou"),
+        F.round(F.avg(F.when(has_gt, iou)), 6).alias("miou_gt"),
+        F.round(F.coalesce(F.sum(iou), F.lit(0.0)) / classes, 6).alias("miou_all"),
+    )
+
+
+def position_rmse(pred: DataFrame, gt: DataFrame, res: float, reach: float) -> DataFrame:
+    """One row for two clouds (id, x, y, z): matched, rmse_matched and rmse_nearest.
+
+    Matched are the points of pred and gt in one voxel (nearest index; the last id of each side). rmse_nearest goes from each
+    point of gt to the nearest of pred, however far; reach is where that search begins.
+    """
+    at = [F.rint(F.col(k) / res).cast("long").alias(f"i{k}") for k in "xyz"]
+    last = lambda df, name: df.groupBy(*at).agg(F.max_by(F.struct("x", "y", "z"), "id").alias(name))
+    both = last(pred, "p").join(last(gt, "g"), ["ix", "iy", "iz"])
+    d2 = sum(((F.col(f"p.{k}") - F.col(f"g.{k}")) ** 2 for k in "xyz"), F.lit(0.0))
+    matched = both.agg(F.count(F.lit(1)).alias("matched"), F.round(F.sqrt(F.avg(d2)), 6).alias("rmse_matched"))
+    far = nearest_of_all(gt.select("id", "x", "y", "z"), pred.select("id", "x", "y", "z"), reach)
+    return matched.withColumn("rmse_nearest", far.agg(F.round(F.sqrt(F.avg(F.col("distance") ** 2)), 5)).scalar())
+
+
+def comparison(results: DataFrame, metrics: list[str]) -> DataFrame:
+    """A benchmark's table: one row per method, one column per metric, of rows (method, metric, value); the mean of repeated runs."""
+    return results.groupBy("method").pivot("metric", metrics).agg(F.round(F.avg("value"), 6))
 
 
 def calibration(df: DataFrame, bins: int = 15) -> DataFrame:
-    """Expected and maximum calibration error over equal bins (low, high] of confidence."""
-    b = df.where("confidence > 0").withColumn("bin", F.ceil(F.col("confidence") * bins))
+    """Expected and maximum calibration error over equal bins (low, high] of confidence. 255 is no label."""
+    b = df.where("confidence > 0 AND gt <> 255").withColumn("bin", F.ceil(F.col("confidence") * bins))
     g = b.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.abs(F.avg("confidence") - F.avg((F.col("gt") == F.col("pred")).cast("double"))).alias("gap"))
     return g.agg(F.round(F.sum(F.col("n") * F.col("gap")) / F.sum("n"), 6).alias("ece"), F.round(F.max("gap"), 6).alias("mce"), F.sum("n").alias("n"))
 
@@ -49,7 +91,7 @@ def auprc(df: DataFrame, p: str, label: str) -> DataFrame:
     255 is no label; classes without a positive are left out. Counts per score come first; then running sums within ranges
     of scores, so that no task orders all scores of a class. At most RANGES rows per class are broadcast.
     """
-    each = df.where(F.col(label) != 255).select(F.col(label).alias("gt"), F.posexplode(p).alias("class", "score"))
+    each = df.where((F.col(label) != 255) & (F.col(label) >= 0) & (F.col(label) < F.size(p))).select(F.col(label).alias("gt"), F.posexplode(p).alias("class", "score"))
     s = each.groupBy("class", "score").agg(F.count_if(F.col("gt") == F.col("class")).alias("pos"), F.count(F.lit(1)).alias("n"))
     s = s.withColumn("range", F.least(F.floor(F.col("score") * RANGES), F.lit(RANGES - 1)))
     high = Window.partitionBy("class").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)

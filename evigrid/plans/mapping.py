@@ -146,13 +146,13 @@ def j17_nearest_of_all(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {CELLS}, f6(a, b, c) AS (VALUES (1,0,0), (-1,0,0), (0,1,0), (0,-1,0), (0,0,1), (0,0,-1)),
-  fr AS (SELECT ix * 1000000::BIGINT + iy * 1000 + iz AS id, ix, iy, iz, count(*) AS gain FROM cells s, f6 WHERE confidence < 0.4 AND NOT EXISTS (SELECT 1 FROM cells t WHERE t.confidence < 0.4 AND t.ix = s.ix + a AND t.iy = s.iy + b AND t.iz = s.iz + c) GROUP BY ALL HAVING count(*) >= 4),
+  fr AS (SELECT ((ix + 1048576)::BIGINT * 2097152 + iy + 1048576) * 2097152 + iz + 1048576 AS id, ix, iy, iz, count(*) AS gain FROM cells s, f6 WHERE confidence < 0.4 AND NOT EXISTS (SELECT 1 FROM cells t WHERE t.confidence < 0.4 AND t.ix = s.ix + a AND t.iy = s.iy + b AND t.iz = s.iz + c) GROUP BY ALL HAVING count(*) >= 4),
   ed AS (SELECT p.id AS a, q.id AS b FROM fr p JOIN fr q ON (p.ix-q.ix)**2 + (p.iy-q.iy)**2 + (p.iz-q.iz)**2 < 2.25), re AS (SELECT id AS id, id AS c FROM fr UNION SELECT ed.b, re.c FROM re JOIN ed ON re.id = ed.a), co AS (SELECT id, min(c) AS component FROM re GROUP BY id)
   SELECT component, count(*) AS cells, CAST(sum(gain) AS BIGINT) AS gain, round(avg(ix), 6) AS x, round(avg(iy), 6) AS y, round(avg(iz), 6) AS z FROM fr JOIN co USING (id) GROUP BY component HAVING count(*) >= 2""")
 def a18_i7_frontiers(spark, sf_dir):
     """Frontier cells of the doubtful part of the map, joined if nearer than 1.5: size, unknown faces and centre of each group of two or more."""
     edge = maps.frontier(cells(spark, sf_dir).where("confidence < 0.4")).where("unknown >= 4")
-    key = F.col("ix") * F.lit(1000000).cast("long") + F.col("iy") * 1000 + F.col("iz")
+    key = maps.cell_key()
     at = edge.select(key.alias("id"), *(F.col(f"i{k}").cast("double").alias(k) for k in "xyz"), "unknown")
     pairs = spatial.radius_pairs(at.select("id", "x", "y", "z"), at.select("id", "x", "y", "z"), 1.5).where("id < other_id")
     groups = at.join(graph.components(pairs.select(F.col("id").alias("a"), F.col("other_id").alias("b"))), "id")
@@ -179,11 +179,11 @@ def a17_m26_project_costs(spark, sf_dir):
     return maps.project_costs(v, 1, 8, 7, 2)
 
 
-@query(f"""WITH {CELLS}, b AS (SELECT min(ix) AS x0, max(ix) AS x1, min(iy) AS y0, max(iy) AS y1 FROM cells), g AS (SELECT ix, iy, min(CASE WHEN class IN (0, 2) THEN 0 WHEN confidence < 0.3 THEN NULL ELSE 100 END) AS low, max(CASE WHEN confidence < 0.3 THEN NULL WHEN class IN (0, 2) THEN 0 ELSE 100 END) AS cost FROM cells GROUP BY ix, iy),
+@query(f"""WITH {CELLS}, b AS (SELECT min(ix) AS x0, max(ix) AS x1, min(iy) AS y0, max(iy) AS y1 FROM cells WHERE iz BETWEEN 1 AND 8), g AS (SELECT ix, iy, max(CASE WHEN confidence < 0.3 THEN NULL WHEN class IN (0, 2) THEN 0 ELSE 100 END) AS cost FROM cells WHERE iz BETWEEN 1 AND 8 GROUP BY ix, iy),
   xs AS (SELECT unnest(range(x0, x1 + 1)) AS ix FROM b), ys AS (SELECT unnest(range(y0, y1 + 1)) AS iy FROM b), xy AS (SELECT ix, iy FROM xs, ys), d AS (SELECT xy.iy, xy.ix, coalesce(cost, -1) AS cost FROM xy LEFT JOIN g ON xy.ix = g.ix AND xy.iy = g.iy) SELECT CAST(iy AS INT) AS iy, list(CAST(cost AS INT) ORDER BY ix) AS row FROM d GROUP BY iy""")
-def a13_a15_k6_occupancy(spark, sf_dir):
+def a13_f11_occupancy(spark, sf_dir):
     """Occupancy grid: 0 free, 100 obstacle, -1 unknown, one dense row of cells per y."""
-    grid = maps.occupancy(cells(spark, sf_dir), [0, 2])
+    grid = maps.occupancy(cells(spark, sf_dir), [0, 2], band=(1, 8))
     return maps.dense_rows(grid)
 
 

@@ -47,12 +47,16 @@ def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pred, gt and confidence of the class probabilities."""
-    p = probabilities(spark, sf_dir)
-    return p.select("id", S.argmax(F.col("p")).alias("pred"), F.col("label").alias("gt"), F.round(F.array_max("p"), 9).alias("confidence"))
+    """pred, gt and confidence of the class probabilities. Some gt are 255 (no label) or 12, some pred 11: classes go from 0 to 9."""
+    p, i = probabilities(spark, sf_dir), F.col("id")
+    gt = F.when(i % 11 == 0, 255).when(i % 17 == 0, 12).otherwise(F.col("label")).cast("int")
+    pred = F.when(i % 13 == 0, 11).otherwise(S.argmax(F.col("p"))).cast("int")
+    return p.select("id", pred.alias("pred"), gt.alias("gt"), F.round(F.array_max("p"), 9).alias("confidence"))
 
 
-JUDGED = f"{VECTORS}, jud AS (SELECT id, CAST(list_position(p, list_max(p)) - 1 AS INT) AS pred, label AS gt, round(list_max(p), 9) AS confidence FROM soft)"
+JUDGED = f"""{VECTORS}, jud AS (SELECT id, CAST(CASE WHEN id % 13 = 0 THEN 11 ELSE list_position(p, list_max(p)) - 1 END AS INT) AS pred,
+  CAST(CASE WHEN id % 11 = 0 THEN 255 WHEN id % 17 = 0 THEN 12 ELSE label END AS INT) AS gt, round(list_max(p), 9) AS confidence FROM soft),
+  ok AS (SELECT * FROM jud WHERE gt <> 255 AND gt BETWEEN 0 AND 9 AND pred BETWEEN 0 AND 9)"""
 
 
 @query(f"WITH {CELLS} SELECT * FROM cells")
@@ -170,13 +174,13 @@ def a4_dempster_shafer(spark, sf_dir):
 @query("""WITH o AS (SELECT user_id, list(ln(greatest(value, 0.01) / 100) ORDER BY ts, event_id) AS a, count(*) AS n FROM events GROUP BY user_id)
   SELECT user_id, round(list_reduce(list_prepend(CAST(0 AS DOUBLE), a), lambda h, x: least(greatest(h + x, -10), 10)), 6) AS h, n FROM o""")
 def a8_log_odds_fold(spark, sf_dir):
-    return folds.clamped_fold(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.ln(F.greatest(F.col("value"), F.lit(0.01)) / 100))
+    return folds.clamped_fold(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.ln(F.greatest(F.col("value"), F.lit(0.01)) / 100), part=F.to_date("ts"))
 
 
 @query("""WITH o AS (SELECT user_id, list(CASE WHEN event_type = 'click' THEN 1.0 ELSE 0.0 END::DOUBLE ORDER BY ts, event_id) AS a FROM events GROUP BY user_id)
   SELECT user_id, round(list_reduce(list_prepend(CAST(0 AS DOUBLE), a), lambda m, x: 0.9 * m + 0.1 * x), 6) AS ema FROM o""")
 def w3_moving_average(spark, sf_dir):
-    return folds.moving_average(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.when(F.col("event_type") == "click", 1.0).otherwise(0.0), 0.1)
+    return folds.moving_average(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.when(F.col("event_type") == "click", 1.0).otherwise(0.0), 0.1, F.to_date("ts"))
 
 
 @query(f"WITH {VECTORS} SELECT label, round(1 + sum(0.5 * p[1]), 6) AS alpha0, round(1 + sum(0.5 * p[2]), 6) AS alpha1, round(1 + sum(0.5 * p[3]), 6) AS alpha2 FROM soft GROUP BY label")
@@ -190,12 +194,6 @@ def w1_running_mode(spark, sf_dir):
     return folds.running_mode(table(spark, sf_dir, "events"), "user_id", "event_type", ["ts", "event_id"]).select("event_id", "n", "most", "u_temporal")
 
 
-@query("""WITH l AS (SELECT user_id, event_type <> lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS c FROM events)
-  SELECT user_id, count(*) FILTER (c) AS changes, count(*) FILTER (c) >= 3 AS dynamic FROM l GROUP BY user_id""")
-def w2_transitions(spark, sf_dir):
-    return folds.transitions(table(spark, sf_dir, "events"), "user_id", "event_type", ["ts", "event_id"])
-
-
 @query("""WITH g AS (SELECT event_id, user_id, ts, epoch_us(ts) / 1e6 AS s, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)
   SELECT user_id, event_id, round(CASE WHEN max(s) OVER w > min(s) OVER w THEN (count(*) OVER w - 1) / (max(s) OVER w - min(s) OVER w) END, 9) AS rate, round(avg(gap) OVER w, 3) AS mean_gap FROM g
   WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""")
@@ -211,24 +209,53 @@ def j3_as_of(spark, sf_dir):
     return folds.as_of(e.where("event_type = 'click'").select("user_id", "ts", "event_id"), right, "user_id", "ts", "found_id", "event_id").withColumnRenamed("found_id", "found")
 
 
-@query(f"WITH {JUDGED} SELECT gt, pred, count(*) AS n FROM jud GROUP BY gt, pred")
-def a20_confusion(spark, sf_dir):
-    return metrics.confusion(judged(spark, sf_dir))
+@query(f"WITH {JUDGED} SELECT gt, pred, count(*) AS n FROM ok GROUP BY gt, pred")
+def a20_f14_confusion(spark, sf_dir):
+    return metrics.confusion(judged(spark, sf_dir), 10)
 
 
-@query(
-    f"""WITH {JUDGED}, k AS (SELECT unnest(range(10))::INT AS class), g AS (SELECT class, count(*) FILTER (gt = class AND pred = class) AS intersection, count(*) FILTER (gt = class OR pred = class) AS union_n, count(*) FILTER (gt = class) AS gt_n FROM jud, k GROUP BY class)
-  SELECT class, intersection, union_n, round(intersection / union_n, 6) AS iou, round(CASE WHEN gt_n > 0 THEN intersection / gt_n END, 6) AS recall FROM g WHERE union_n > 0"""
-)
+CLASS_SUMS = "k AS (SELECT unnest(range(10))::INT AS class), g AS (SELECT class, count(*) FILTER (gt = class AND pred = class) AS hit, count(*) FILTER (gt = class OR pred = class) AS union_n, count(*) FILTER (gt = class) AS gt_n FROM ok, k GROUP BY class)"
+
+
+@query(f"WITH {JUDGED}, {CLASS_SUMS} SELECT class, hit AS intersection, union_n, gt_n, round(hit / union_n, 6) AS iou, round(CASE WHEN gt_n > 0 THEN hit / gt_n END, 6) AS recall FROM g WHERE union_n > 0")
 def a20_class_iou(spark, sf_dir):
-    return metrics.class_iou(judged(spark, sf_dir))
+    return metrics.class_iou(judged(spark, sf_dir), 10)
+
 
+@query(f"""WITH {JUDGED}, {CLASS_SUMS} SELECT round(sum(hit) / sum(gt_n), 6) AS accuracy, round(avg(hit / gt_n) FILTER (gt_n > 0), 6) AS class_accuracy, round(avg(hit / union_n) FILTER (union_n > 0), 6) AS miou,
+  round(avg(hit / union_n) FILTER (gt_n > 0), 6) AS miou_gt, round(sum(hit / greatest(union_n, 1)) / 10, 6) AS miou_all FROM g""")
+def a20_scores(spark, sf_dir):
+    """Accuracy, class accuracy and the three means of IoU."""
+    return metrics.scores(judged(spark, sf_dir), 10)
 
-@query(f"WITH {JUDGED}, b AS (SELECT ceil(confidence * 15) AS bin, count(*) AS n, abs(avg(confidence) - avg(CASE WHEN gt = pred THEN 1.0 ELSE 0 END)) AS gap FROM jud WHERE confidence > 0 GROUP BY 1) SELECT round(sum(n * gap) / sum(n), 6) AS ece, round(max(gap), 6) AS mce, CAST(sum(n) AS BIGINT) AS n FROM b")
+
+@query(f"WITH {JUDGED}, b AS (SELECT ceil(confidence * 15) AS bin, count(*) AS n, abs(avg(confidence) - avg(CASE WHEN gt = pred THEN 1.0 ELSE 0 END)) AS gap FROM jud WHERE confidence > 0 AND gt <> 255 GROUP BY 1) SELECT round(sum(n * gap) / sum(n), 6) AS ece, round(max(gap), 6) AS mce, CAST(sum(n) AS BIGINT) AS n FROM b")
 def a21_calibration(spark, sf_dir):
     return metrics.calibration(judged(spark, sf_dir))
 
 
+@query(
+    f"""WITH {VECTORS}, g AS (SELECT round_even(x / 0.1, 0)::BIGINT AS i, round_even(y / 0.1, 0)::BIGINT AS j, round_even(z / 0.1, 0)::BIGINT AS k, arg_max({{'x': x, 'y': y, 'z': z}}, id) AS g FROM vec WHERE label < 5 GROUP BY ALL),
+  p AS (SELECT round_even(x / 0.1, 0)::BIGINT AS i, round_even(y / 0.1, 0)::BIGINT AS j, round_even(z / 0.1, 0)::BIGINT AS k, arg_max({{'x': x, 'y': y, 'z': z}}, id) AS p FROM vec WHERE label >= 5 GROUP BY ALL),
+  m AS (SELECT (g.x-p.x)**2 + (g.y-p.y)**2 + (g.z-p.z)**2 AS d2 FROM g JOIN p USING (i, j, k)), n AS (SELECT g.id, min((g.x-p.x)**2 + (g.y-p.y)**2 + (g.z-p.z)**2) AS d2 FROM vec g, vec p WHERE g.label < 5 AND p.label >= 5 GROUP BY g.id)
+  SELECT (SELECT count(*) FROM m) AS matched, (SELECT round(sqrt(avg(d2)), 6) FROM m) AS rmse_matched, (SELECT round(sqrt(avg(d2)), 5) FROM n) AS rmse_nearest"""
+)
+def a23_position_rmse(spark, sf_dir):
+    """Positions of two clouds: matched by voxel, and by the nearest point."""
+    v = vectors(spark, sf_dir)
+    return metrics.position_rmse(v.where("label >= 5"), v.where("label < 5"), 0.1, 0.05)
+
+
+METHODS = ", ".join(f"round(avg(value) FILTER (event_type = '{m}'), 6) AS {m}" for m in ("click", "view", "purchase"))
+
+
+@query(f"SELECT user_id % 5 AS method, {METHODS} FROM events GROUP BY 1")
+def k15_comparison(spark, sf_dir):
+    """A benchmark's table of methods by metrics."""
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("method"), F.col("event_type").alias("metric"), "value")
+    return metrics.comparison(e, ["click", "view", "purchase"])
+
+
 @query("SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS low, max(value) AS high, count(value) AS n, round(1000 / avg(value), 6) AS per_second FROM events GROUP BY event_type")
 def a24_timing(spark, sf_dir):
     return metrics.timing(table(spark, sf_dir, "events"), "event_type", "value")
@@ -239,22 +266,47 @@ def a26_summary(spark, sf_dir):
     return metrics.summary(table(spark, sf_dir, "events"), "event_type", "value", 100.0)
 
 
-COST_CASE = "CASE class " + " ".join(f"WHEN {k} THEN {v}" for k, v in COSTS.items()) + " ELSE 50 END"
-GRID = f"{CELLS}, grid AS (SELECT ix, iy, max(CASE WHEN confidence >= 0.3 THEN CAST(trunc(({COST_CASE}) * confidence + 50 * (1 - confidence)) AS INT) ELSE -1 END) AS cost FROM cells GROUP BY ix, iy)"
+COST_CASE = "CASE class " + " ".join(f"WHEN {k} THEN {v}" for k, v in COSTS.items()) + " END"
+FREE, BLOCKED = [0, 2], [3, 5]
+#: Points of a column in order of height.
+GRIDS = f"""{CELLS}, grids AS (SELECT ix, iy,
+  coalesce(arg_max(CASE WHEN class IN (0, 2) THEN 0 ELSE 100 END, iz) FILTER (confidence > 0.3 AND class IN (0, 2, 3, 5)), 50) AS cost,
+  coalesce(max(CAST(trunc(({COST_CASE}) * confidence + 50 * (1 - confidence)) AS INT)), -1) AS semantic FROM cells WHERE iz BETWEEN 0 AND 8 GROUP BY ix, iy)"""
+
+
+def grids(spark, sf_dir):
+    return maps.cost_grids(cells(spark, sf_dir), ["iz"], COSTS, FREE, BLOCKED, 0.3, (0, 8))
 
 
-@query(f"WITH {GRID} SELECT ix, iy, cost FROM grid")
-def a14_cost_grid(spark, sf_dir):
-    return maps.column_costs(cells(spark, sf_dir), COSTS)
+@query(f"WITH {GRIDS} SELECT ix, iy, cost, semantic FROM grids")
+def a14_f11_cost_grids(spark, sf_dir):
+    """The binary grid by the last sure point of a column, and the semantic one by the highest cost, within a band of heights."""
+    return grids(spark, sf_dir)
+
+
+@query(f"WITH {GRIDS} SELECT ix, iy, CAST(CASE WHEN cost < 0 THEN -1 WHEN cost < 50 THEN 0 ELSE 100 END AS INT) AS traversable FROM grids")
+def a15_traversability(spark, sf_dir):
+    return grids(spark, sf_dir).select("ix", "iy", maps.traversability(F.col("cost")).alias("traversable"))
+
+
+@query(
+    f"""WITH {GRIDS}, b AS (SELECT min(ix) AS x0, max(ix) AS x1, min(iy) AS y0, max(iy) AS y1 FROM grids), xy AS (SELECT * FROM (SELECT unnest(range(x0, x1 + 1)) AS ix FROM b), (SELECT unnest(range(y0, y1 + 1)) AS iy FROM b)),
+  d AS (SELECT xy.iy, xy.ix, coalesce(cost, -1) AS c, coalesce(semantic, -1) AS s FROM xy LEFT JOIN grids USING (ix, iy))
+  SELECT CAST(iy AS INT) AS iy, list(CAST(c AS INT) ORDER BY ix) AS cost, list(CAST(s AS INT) ORDER BY ix) AS semantic, list(CAST(CASE WHEN c < 0 THEN -1 WHEN c < 50 THEN 0 ELSE 100 END AS INT) ORDER BY ix) AS traversable FROM d GROUP BY iy"""
+)
+def k6_occupancy_grids(spark, sf_dir):
+    """Dense rows of the three grids: cost, semantic cost, traversability; -1 where nothing is known."""
+    g = grids(spark, sf_dir).withColumn("traversable", maps.traversability(F.col("cost")))
+    return maps.dense_rows(g, layers=("cost", "semantic", "traversable"))
 
 
 @query(
-    f"""WITH {GRID}, o AS (SELECT i, j FROM (SELECT unnest(range(-2, 3))::INT AS i), (SELECT unnest(range(-2, 3))::INT AS j) WHERE i * i + j * j > 0 AND i * i + j * j < 9 AND i * i + j * j < 3 * 3),
-  near AS (SELECT ix + i AS ix, iy + j AS iy, max(CAST(trunc(100 * exp(-10 * sqrt(i * i + j * j) / 3.0)) AS INT)) AS c FROM grid, o WHERE cost >= 60 GROUP BY ALL)
-  SELECT ix, iy, CASE WHEN cost < 0 OR cost >= 60 THEN cost ELSE greatest(cost, coalesce(c, 0)) END AS cost FROM grid LEFT JOIN near USING (ix, iy)"""
+    f"""WITH {GRIDS}, o AS (SELECT i, j FROM (SELECT unnest(range(-2, 3))::INT AS i), (SELECT unnest(range(-2, 3))::INT AS j) WHERE i * i + j * j > 0 AND i * i + j * j < 3 * 3),
+  near AS (SELECT ix + i AS ix, iy + j AS iy, max(CAST(trunc(100 * exp(-10 * sqrt(i * i + j * j) / 3.0)) AS INT)) AS c FROM grids, o WHERE cost >= 100 GROUP BY ALL)
+  SELECT ix, iy, CASE WHEN cost < 0 OR cost >= 100 THEN cost ELSE greatest(cost, coalesce(c, 0)) END AS cost FROM grids LEFT JOIN near USING (ix, iy)"""
 )
 def j14_inflation(spark, sf_dir):
-    return maps.inflate(maps.column_costs(cells(spark, sf_dir), COSTS), 3, 60)
+    return maps.inflate(grids(spark, sf_dir).select("ix", "iy", "cost"), 3, 100)
 
 
 @query(
@@ -290,12 +342,12 @@ def q6_merge_maps(spark, sf_dir):
     return maps.merge(*_halves(spark, sf_dir))
 
 
-@query(f"WITH {POINTS}, l AS ({_HALF.format('>')}), r AS ({_HALF.format('<=')}) SELECT count(*) AS cells, count(*) FILTER (l.class = r.class) AS agree, round(sqrt(avg((l.confidence - r.confidence) ** 2)), 6) AS rmse FROM l JOIN r USING (ix, iy, iz)")
-def j16_a23_compare_maps(spark, sf_dir):
+@query(f"WITH {POINTS}, l AS ({_HALF.format('>')}), r AS ({_HALF.format('<=')}) SELECT count(*) AS cells, count(*) FILTER (l.class = r.class) AS agree FROM l JOIN r USING (ix, iy, iz)")
+def j16_o8_compare_maps(spark, sf_dir):
+    """Cells that both maps know, and those of the same class."""
     a, b = _halves(spark, sf_dir)
-    both = a.join(b.select("ix", "iy", "iz", F.col("class").alias("other"), F.col("confidence").alias("c")), ["ix", "iy", "iz"])
-    gap = F.col("confidence") - F.col("c")
-    return both.agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.col("class") == F.col("other")).alias("agree"), F.round(F.sqrt(F.avg(gap * gap)), 6).alias("rmse"))
+    both = a.join(b.select("ix", "iy", "iz", F.col("class").alias("other")), ["ix", "iy", "iz"])
+    return both.agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.col("class") == F.col("other")).alias("agree"))
 
 
 @query(f"WITH {POINTS}, q AS (SELECT class, least(0.8, quantile_cont(u, 0.9)) AS gate FROM pts GROUP BY class) SELECT class, round(gate, 6) AS gate, count(*) AS kept FROM pts JOIN q USING (class) WHERE u <= gate GROUP BY class, gate")

@@ -9,6 +9,7 @@ from ..functions import geometry as G
 from ..functions import scalar as S
 from ..operators import folds, metrics, spatial
 from ..operators import primitives as P
+from ..sources import frames
 from ..sources.tables import table, vectors
 from .queries import VECTORS, probabilities, query
 
@@ -103,21 +104,79 @@ def a22_auprc(spark, sf_dir):
 
 @query("""WITH it AS (SELECT user_id, list({'c': event_type, 't': epoch_us(ts) / 1e6, 'last': 0.0::DOUBLE, 'n': 0::BIGINT, 'o': 0.1::DOUBLE} ORDER BY ts, event_id) AS a FROM events GROUP BY user_id),
   fo AS (SELECT user_id, len(a) AS frames, list_reduce(a, lambda s, e: {'c': e.c, 't': e.t, 'last': CASE WHEN e.c <> s.c THEN e.t ELSE s.last END, 'n': s.n + CASE WHEN e.c <> s.c AND e.t - s.last < 86400 THEN 1 ELSE 0 END, 'o': 0.1 + 0.9 * s.o}) AS s FROM it)
-  SELECT user_id, CAST(frames AS BIGINT) AS frames, s.n AS transitions, s.n >= 2 AS dynamic, round(s.o, 6) AS occupancy FROM fo""")
-def w2_w4_t7_dynamic_status(spark, sf_dir):
+  SELECT user_id, CAST(frames AS BIGINT) AS frames, s.n AS transitions, s.n >= 2 AS dynamic, round(s.o, 6) AS occupancy, s.last AS last_change FROM fo""")
+def w2_t7_dynamic_status(spark, sf_dir):
     """Transitions of a key that follow another within a day, whether it is dynamic, and its occupancy average."""
     e = table(spark, sf_dir, "events")
     return folds.dynamic_status(e, "user_id", "event_type", "ts", ["event_id"], 86400.0)
 
 
-@query("""WITH h AS (SELECT user_id, ts, event_id, max(ts) OVER () AS now FROM events), k AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i FROM h WHERE ts > now - INTERVAL 20 DAY)
-  SELECT user_id, count(*) AS kept, min(event_id) AS first FROM k WHERE i <= 40 GROUP BY user_id""")
+STATUS = """it AS (SELECT user_id, list({'c': event_type, 't': epoch_us(ts) / 1e6, 'last': 0.0::DOUBLE, 'n': 0::BIGINT} ORDER BY ts, event_id) AS a FROM events GROUP BY user_id),
+  fo AS (SELECT user_id, list_reduce(a, lambda s, e: {'c': e.c, 't': e.t, 'last': CASE WHEN e.c <> s.c THEN e.t ELSE s.last END, 'n': s.n + CASE WHEN e.c <> s.c AND e.t - s.last < 86400 THEN 1 ELSE 0 END}) AS s FROM it), nw AS (SELECT epoch_us(max(ts)) / 1e6 + 864000 AS now FROM events)"""
+
+
+@query(f"""WITH {STATUS}, d AS (SELECT user_id, s.n AS n, greatest(s.n - greatest(ceil(now / 43200) - 1 - floor((s.last + 86400) / 43200), 0), 0)::BIGINT AS left_n FROM fo, nw)
+  SELECT user_id, left_n AS transitions, n >= 2 AND left_n >= 2 AS dynamic FROM d""")
+def w4_decayed_transitions(spark, sf_dir):
+    """Transitions ten days after the last event, when each half day without a change for a day takes one away."""
+    e = table(spark, sf_dir, "events")
+    status = folds.dynamic_status(e, "user_id", "event_type", "ts", ["event_id"], 86400.0)
+    now = e.agg((F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.max("ts").cast("timestamp_ntz")) / 1e6 + 864000).alias("now"))
+    return folds.decay_transitions(status, now.scalar(), 86400.0, 43200.0).select("user_id", "transitions", "dynamic")
+
+
+@query("""WITH l AS (SELECT user_id, max(ts) AS last FROM events GROUP BY user_id), k AS (SELECT user_id FROM l WHERE last >= (SELECT max(ts) FROM events) - INTERVAL 20 DAY ORDER BY last DESC, user_id DESC LIMIT 40)
+  SELECT user_id, count(*) AS kept, min(event_id) AS first FROM events WHERE user_id IN (SELECT user_id FROM k) GROUP BY user_id""")
 def o4_t6_history_eviction(spark, sf_dir):
-    """Histories after eviction: nothing older than twenty days, and at most the newest forty of a key."""
-    kept = folds.evict(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", "20 days", 40)
+    """Histories after eviction: those touched in the last twenty days, and of all of them the forty touched last."""
+    kept = folds.evict(table(spark, sf_dir, "events"), "user_id", "ts", "20 days", 40)
     return kept.groupBy("user_id").agg(F.count(F.lit(1)).alias("kept"), F.min("event_id").alias("first"))
 
 
+KIND = "SELECT event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_type = '{}'"
+NEAR = "{0} AS (SELECT l.event_id AS id_0, r.event_id AS {0}_id, abs(l.t - r.t) AS {0}_gap, row_number() OVER (PARTITION BY l.event_id ORDER BY abs(l.t - r.t), r.event_id) AS {0}_k FROM l JOIN ({1}) r ON l.user_id = r.user_id AND abs(l.t - r.t) <= 7200000000)"
+
+
+@query(f"WITH l AS ({KIND.format('click')}), {NEAR.format('v', KIND.format('view'))}, {NEAR.format('p', KIND.format('purchase'))} SELECT id_0, v_id AS id_1, p_id AS id_2, greatest(v_gap, p_gap) AS spread FROM v JOIN p USING (id_0) WHERE v_k = 1 AND p_k = 1")
+def j1_j2_three_way_sync(spark, sf_dir):
+    """Clicks with the nearest view and the nearest purchase of their user, both within two hours."""
+    e = table(spark, sf_dir, "events")
+    return folds.sync_many([e.where(F.col("event_type") == k) for k in ("click", "view", "purchase")], "user_id", "ts", "event_id", 7_200_000_000)
+
+
+@query("WITH b AS (SELECT user_id, to_timestamp(floor(epoch(ts) / 3600) * 3600) AS b, max({'ts': ts, 'e': event_id}) AS m, count(*) - 1 AS dropped FROM events GROUP BY 1, 2) SELECT user_id, m.e AS event_id, dropped FROM b")
+def t2_t3_latest_per_trigger(spark, sf_dir):
+    """With one trigger an hour and work on the newest row only: what is worked on, and how many rows go."""
+    return folds.latest_per_trigger(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3600).select("user_id", "event_id", "dropped")
+
+
+@query("""WITH c AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'click'), v AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY user_id, ts), o AS (SELECT user_id, arg_max(value, event_id) AS odo FROM events WHERE event_type = 'purchase' AND user_id % 2 = 0 GROUP BY user_id),
+  f AS (SELECT c.user_id, c.event_id, CASE WHEN epoch_us(c.ts) - epoch_us(v.ts) <= 86400000000 THEN v.value END AS value FROM c ASOF LEFT JOIN v ON c.user_id = v.user_id AND c.ts >= v.ts)
+  SELECT user_id, event_id, coalesce(value, odo) AS value FROM f LEFT JOIN o USING (user_id) WHERE coalesce(value, odo) IS NOT NULL""")
+def s15_s16_lookup(spark, sf_dir):
+    """Transforms at a frame's stamp if not older than a day, else the last odometry of the robot; frames without either are dropped."""
+    e = table(spark, sf_dir, "events")
+    odometry = e.where("event_type = 'purchase' AND user_id % 2 = 0").groupBy("user_id").agg(F.max_by("value", "event_id").alias("value"))
+    return folds.lookup(e.where("event_type = 'click'"), e.where("event_type = 'view'"), "user_id", "ts", "value", "event_id", 86400.0, odometry)
+
+
+@query("WITH k AS (SELECT user_id, arg_max(value, event_id) AS focal FROM events WHERE event_type = 'view' GROUP BY user_id) SELECT e.event_id, round(e.value / k.focal, 6) AS x FROM events e JOIN k USING (user_id) WHERE e.event_type = 'click' AND k.focal > 0")
+def s2_camera_info(spark, sf_dir):
+    """Frames with the camera info that came last; those of a camera without one wait."""
+    e = table(spark, sf_dir, "events")
+    info = frames.last_info(e.where("event_type = 'view'"), "user_id", ["event_id"]).select("user_id", F.col("value").alias("focal"))
+    return e.where("event_type = 'click'").join(info, "user_id").where("focal > 0").select("event_id", r(F.col("value") / F.col("focal"), "x"))
+
+
+@query("WITH t AS (SELECT user_id, ts, event_id, event_type, CAST(trunc(value) AS INT) % 4 AS c, last(CASE WHEN event_type = 'view' THEN CAST(trunc(value) AS INT) % 4 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gt FROM events) SELECT gt, c AS pred, count(*) AS n FROM t WHERE event_type = 'click' AND gt IS NOT NULL GROUP BY ALL")
+def s21_latest_truth(spark, sf_dir):
+    """Confusion of each prediction with the truth that came last before it, whatever its stamp."""
+    e = table(spark, sf_dir, "events").withColumn("c", F.col("value").cast("int") % 4)
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    both = e.withColumn("gt", F.last(F.when(F.col("event_type") == "view", F.col("c")), ignorenulls=True).over(w))
+    return metrics.confusion(both.where("event_type = 'click' AND gt IS NOT NULL").withColumnRenamed("c", "pred"))
+
+
 @query("WITH k AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events) SELECT user_id, event_id FROM k WHERE (i - 1) % 4 = 0")
 def w8_k4_every_fourth(spark, sf_dir):
     """Every fourth row of a key: the display's sampling."""

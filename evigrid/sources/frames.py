@@ -127,6 +127,12 @@ def replay(df: DataFrame, ts: str, start: float = 0.0, end: float | None = None,
     return out
 
 
+def last_info(info: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The row of each key that came last: a camera's intrinsics, a robot's pose."""
+    rest = [c for c in info.columns if c != key]
+    return info.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("row")).select(key, "row.*")
+
+
 def stream_frames(spark: SparkSession, folder: str, schema: str, per_trigger: int = 1) -> DataFrame:
     """Parquet frames of a folder as a stream, so many files a trigger."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)

@@ -44,8 +44,12 @@ def test_iou_of_five_labels(spark):
 
 
 def test_transitions_of_alternating_classes(spark):
-    df = spark.createDataFrame([("a", t, t % 2) for t in range(4)] + [("b", t, 1) for t in range(10)], "cell string, t int, class int")
-    assert {r["cell"]: r["dynamic"] for r in folds.transitions(df, "cell", "class", ["t"]).collect()} == {"a": True, "b": False}
+    df = spark.createDataFrame([("a", t, t % 2) for t in range(4)] + [("b", t, 1) for t in range(10)], "cell string, t int, class int").withColumn("ts", F.timestamp_seconds("t"))
+    status = folds.dynamic_status(df, "cell", "class", "ts", [], 10.0)
+    assert {r["cell"]: (r["dynamic"], r["transitions"]) for r in status.collect()} == {"a": (True, 3), "b": (False, 0)}
+    decayed = lambda now: folds.decay_transitions(status, F.lit(now), 10.0, 1.0).where("cell = 'a'").first()
+    assert decayed(13.0)["transitions"] == 3 and decayed(15.0)["transitions"] == 2 and decayed(15.0)["dynamic"]
+    assert decayed(16.0)["transitions"] == 1 and not decayed(16.0)["dynamic"] and decayed(100.0)["transitions"] == 0
 
 
 def test_three_separate_groups_make_three_clusters(spark):
