@@ -74,6 +74,20 @@ def confidence_weight(u: Column, beta: float = 2.0) -> Column:
     return F.pow(1 - u, F.lit(beta))
 
 
+def entropy_weight(u: Column, entropy_: Column, most: float, beta: float = 2.0, gamma: float = 1.0) -> Column:
+    """confidence_weight() times (1 - entropy / most) ** gamma."""
+    return confidence_weight(u, beta) * F.pow(1 - entropy_ / most, F.lit(gamma)) if most > 1e-10 else confidence_weight(u, beta)
+
+
+def filter_kernel(keep: Column) -> Column:
+    return F.when(keep, 1.0).otherwise(0.0)
+
+
+def semantic_uncertainty(given: Column, evidence: Column) -> Column:
+    """The given value if it lies in [0, 1], else the vacuity of the evidence, else 1."""
+    return F.when(given.between(0, 1), given).when(F.size(evidence) > 0, vacuity(evidence)).otherwise(1.0)
+
+
 def log_odds(p: Column, prior: float) -> Column:
     return F.ln(clamp(p, 1e-6, 1 - 1e-6) / prior)
 

@@ -55,27 +55,94 @@ def nearest(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return left.select("id").join(best, "id", "left").select("id", F.col("best.other_id").alias("nearest"), F.round(F.sqrt("best.d2"), 6).alias("distance"))
 
 
-def assign(df: DataFrame, centroids: list[tuple[float, float, float]]) -> DataFrame:
+Point = tuple[float, float, float]
+
+#: More centres than this stand in one constant array instead of one expression each.
+EXPRESSIONS = 16
+
+
+def distances(centroids: list[Point]) -> Column:
+    """Array of (d2, j): squared distances from x, y, z to each of a short list of points."""
+    d2 = lambda c: sum(((F.col(k) - c[i]) * (F.col(k) - c[i]) for i, k in enumerate("xyz")), F.lit(0.0))
+    if len(centroids) <= EXPRESSIONS:
+        return F.array(*(F.struct(d2(c).alias("d2"), F.lit(j).alias("j")) for j, c in enumerate(centroids)))
+    table = F.array(*(F.array(*map(F.lit, c)) for c in centroids))
+    return F.transform(table, lambda c, j: F.struct(d2(c).alias("d2"), j.alias("j")))
+
+
+def assign(df: DataFrame, centroids: list[Point]) -> DataFrame:
     """df with cluster: the nearest of a short list of centroids (the first of equals), without a shuffle."""
-    d = [F.struct(sum(((F.col(k) - c[i]) * (F.col(k) - c[i]) for i, k in enumerate("xyz")), F.lit(0.0)).alias("d2"), F.lit(j).alias("j")) for j, c in enumerate(centroids)]
-    return df.withColumn("cluster", F.array_min(F.array(*d))["j"])
-
-
-def kmeans(df: DataFrame, k: int, rounds: int = 15, tolerance: float = 0.01) -> tuple[DataFrame, list[tuple[float, float, float]]]:
-    """Lloyd's rounds with weights 1 / (u + 0.1); each is one aggregation to k rows. Seeds: the k points of smallest id hash."""
-    seeds = df.orderBy(F.xxhash64("id"), "id").limit(k).collect()
-    centroids = [(r["x"], r["y"], r["z"]) for r in seeds]
-    for _ in range(rounds):
-        w = 1 / (F.col("u") + 0.1)
-        rows = assign(df, centroids).groupBy("cluster").agg(*((F.sum(w * F.col(c)) / F.sum(w)).alias(c) for c in "xyz")).collect()
-        new = list(centroids)
-        for r in rows:
-            new[r["cluster"]] = (r["x"], r["y"], r["z"])
-        moved = max((sum((a - b) ** 2 for a, b in zip(p, q, strict=True)) for p, q in zip(new, centroids, strict=True)), default=0.0)
-        centroids = new
+    return df.withColumn("cluster", F.array_min(distances(centroids))["j"])
+
+
+def unit(key: Column, turn: int) -> Column:
+    """A number between 0 and 1 for a key and a turn, from an MD5."""
+    digits = F.substring(F.md5(F.concat(key.cast("string"), F.lit(f"-{turn}"))), 1, 8)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 32)
+
+
+def seeds(df: DataFrame, k: int, doubt: float = 1.0) -> list[Point]:
+    """k-means++ over rows (id, x, y, z, u): the first drawn by 1 / (u + 0.1), the others by squared distance to the nearest seed times (1 + doubt * u).
+
+    A weighted draw is the row with the smallest -ln(U) / weight, U being a hash of its id: one aggregation to one row for each
+    seed, over df, which should be cached or written. Fewer than k seeds come out if points don't differ.
+    """
+    chosen: list[Point] = []
+    for turn in range(1, k + 1):
+        weight = (1 + doubt * F.col("u")) * F.array_min(distances(chosen))["d2"] if chosen else 1 / (F.col("u") + 0.1)
+        draw = df.select("id", "x", "y", "z", weight.alias("w"), unit(F.col("id"), turn).alias("r")).where("w > 0")
+        best = draw.agg(F.min(F.struct((-F.ln("r") / F.col("w")).alias("wait"), "id", "x", "y", "z")).alias("b")).first()["b"]
+        if best is None:
+            break
+        chosen.append((best["x"], best["y"], best["z"]))
+    return chosen
+
+
+def kmeans(df: DataFrame, k: int, rounds: int = 15, tolerance: float = 0.01, start: list[Point] | None = None) -> tuple[DataFrame, list[Point]]:
+    """Lloyd's rounds with weights 1 / (u + 0.1) over rows (id, x, y, z, u); each is one aggregation to k rows.
+
+    A cluster that has lost all its points starts anew at the point farthest from its centre (the next farthest cluster's
+    point for the next such cluster). start: centres; by default seeds().
+    """
+    centroids = start or seeds(df, k)
+    for _ in range(rounds if centroids else 0):
+        w, near = 1 / (F.col("u") + 0.1), F.array_min(distances(centroids))
+        far = F.max(F.struct("near.d2", (-F.col("id")).alias("minus"), "x", "y", "z")).alias("far")
+        sums = [(F.sum(w * F.col(c)) / F.sum(w)).alias(c) for c in "xyz"]
+        rows = df.withColumn("near", near).groupBy(F.col("near.j").alias("cluster")).agg(*sums, far).collect()
+        new, moved = {r["cluster"]: (r["x"], r["y"], r["z"]) for r in rows}, 0.0
+        spare = sorted((r["far"] for r in rows if r["far"]["d2"] > 0), reverse=True)
+        for j, old in enumerate(centroids):
+            if j not in new and spare:
+                best = spare.pop(0)
+                new[j], moved = (best["x"], best["y"], best["z"]), float("inf")
+            moved = max(moved, sum((a - b) ** 2 for a, b in zip(new.get(j, old), old, strict=True)))
+        centroids = [new.get(j, old) for j, old in enumerate(centroids)]
         if moved < tolerance**2:
             break
-    return assign(df, centroids), centroids
+    return assign(df, centroids) if centroids else df.withColumn("cluster", F.lit(0)), centroids
+
+
+def primitive_count(n: int, target: int, least: int) -> int:
+    """Clusters for n points: the target, but so few that each can have `least` points; 1 at least."""
+    return max(1, min(target, n // least))
+
+
+def automatic_count(n: int, low: int = 16, high: int = 256) -> int:
+    """The root of n / 2, between low and high."""
+    return min(max(int((n / 2) ** 0.5), low), high)
+
+
+def gate(prims: DataFrame, least: int, conflict: float, most_u: float = 1.0) -> DataFrame:
+    """Primitives with enough points, little conflict and no more uncertainty than that."""
+    return prims.where((F.col("n") >= least) & (F.col("conflict") < conflict) & (F.col("u") <= most_u))
+
+
+def build(df: DataFrame, target: int | None, least: int, rounds: int = 15, tolerance: float = 0.01) -> DataFrame:
+    """primitives() of a frame's points (id, x, y, z, u) by `cluster`: as many as primitive_count() allows of target (None: automatic_count()), without those of fewer than least points. Too few points make none."""
+    n = df.count()
+    k = primitive_count(n, automatic_count(n) if target is None else target, least)
+    return primitives(kmeans(df, k if n >= least else 1, rounds, tolerance)[0], "cluster").where(F.col("n") >= (least if n >= least else n + 1))
 
 
 def primitives(df: DataFrame, by: str, ridge: float = 0.001) -> DataFrame:

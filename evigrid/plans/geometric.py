@@ -116,7 +116,17 @@ def a31_evidential_losses(spark, sf_dir):
     return v.where("label <> 255").agg(F.count(F.lit(1)).alias("n"), r(F.avg(E.mse_loss(hot, alpha)), "mse"), r(F.avg(E.squared_error(hot, mean)), "p_error"), r(F.avg(E.log_loss(hot, alpha)), "log"))
 
 
-@query()
+def _digamma(x: str) -> str:
+    z = f"({x} + 10)"
+    steps = " + ".join(f"1 / ({x} + {i})" for i in range(10))
+    return f"(ln({z}) - 1 / (2 * {z}) - 1 / (12 * {z} ** 2) + 1 / (120 * {z} ** 4) - 1 / (252 * {z} ** 6) - ({steps}))"
+
+
+@query(f"""WITH {VECTORS}, s AS (SELECT label, list_transform(logits, lambda v: greatest(v, 0) + ln(1 + exp(-abs(v))) + 1) AS alpha FROM vec WHERE label <> 255),
+  w AS (SELECT label, alpha, list_sum(alpha) AS s, list_transform(range(10), lambda k: CASE WHEN k = label THEN 1.0::DOUBLE ELSE alpha[k + 1] END) AS wrong FROM s),
+  e AS (SELECT {_digamma('s')} - {_digamma('alpha[label + 1]')} AS d, list_sum(wrong) AS t, wrong FROM w),
+  k AS (SELECT d, t, list_sum(list_transform(wrong, lambda a: (a - 1) * ({_digamma('a')} - {_digamma('t')}) - lgamma(a))) AS sp FROM e)
+  SELECT count(*) AS n, round(avg(d), 6) AS digamma, round(avg(lgamma(t) - lgamma(10.0) + sp), 6) AS kl FROM k""")
 def a31_digamma_losses(spark, sf_dir):
     """Losses that need the digamma and log-gamma functions, by series."""
     v, hot, alpha = losses(spark, sf_dir)

@@ -80,7 +80,7 @@ def q2_query_region(spark, sf_dir):
   round(exp(-0.5 * (d / 0.8) ** 2), 6) AS rbf, round(CASE WHEN d >= 0.7 THEN 0 ELSE exp(-2 * (d - 0.3) ** 2) END, 6) AS uncertainty,
   round(CASE WHEN p_size > 25 THEN 1 ELSE exp(-d) END, 6) AS reach,
   round(least(greatest((0.1 + 0.4 * least(greatest(cbrt(d / 2.0), 0), 1)) * least(greatest(exp(-1 + 3 * d), 0.5), 2.0), 0.1), 1.0), 6) AS length,
-  round((1 - d) ** 2, 6) AS weight, round(ln(least(greatest(d, 1e-6), 1 - 1e-6) / 0.1), 6) AS odds
+  round((1 - d) ** 2, 6) AS weight, round((1 - d) ** 2 * (1 - d * 0.9), 6) AS entropy_weight, CASE WHEN p_size % 3 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS filter, round(ln(least(greatest(d, 1e-6), 1 - 1e-6) / 0.1), 6) AS odds
   FROM (SELECT *, p_size / 50.0 AS d FROM part)"""
 )
 def m7_m18_kernels(spark, sf_dir):
@@ -94,6 +94,8 @@ def m7_m18_kernels(spark, sf_dir):
         r(S.reachability_kernel(F.col("p_size") > 25, d), "reach"),
         r(S.adaptive_length(d, 2.0, d), "length"),
         r(S.confidence_weight(d), "weight"),
+        r(S.entropy_weight(d, d * 1.8, 2.0), "entropy_weight"),
+        S.filter_kernel(F.col("p_size") % 3 == 0).alias("filter"),
         r(S.log_odds(d, 0.1), "odds"),
     )
 
@@ -141,13 +143,57 @@ def j6_nearest_centroid(spark, sf_dir):
     return spatial.nearest(v.select("id", "x", "y", "z"), c, 0.15)
 
 
-@query()
-def i2_kmeans(spark, sf_dir):
-    v = vectors(spark, sf_dir).select("id", "x", "y", "z", (F.col("label") / 10).alias("u"))
-    clustered, _ = spatial.kmeans(v, 8)
+def kmeans_sql(points: str, k: int, rounds: int = 15, tolerance: float = 0.01) -> str:
+    """CTEs (for WITH RECURSIVE) that cluster a CTE of id, x, y, z, u: `clustered` has its rows with `cluster`."""
+    chance = "((('0x' || substr(md5(id || '-' || {}), 1, 8))::UBIGINT + 0.5) / 4294967296.0::DOUBLE)"
+    d2 = "(p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z)"
+    at = "{'x': x, 'y': y, 'z': z}"
+    return f"""seeds AS (SELECT 1 AS k, [(SELECT arg_min({at}, -ln({chance.format(1)}) * (u + 0.1)) FROM {points})] AS c
+  UNION ALL SELECT k + 1, list_append(c, (SELECT arg_min({at}, -ln({chance.format('(s.k + 1)')}) / ((1 + u) * near)) FROM (SELECT p.*, list_min(list_transform(s.c, lambda q: {d2})) AS near FROM {points} p) WHERE near > 0)) FROM seeds s WHERE k < {k}),
+  lloyd AS (SELECT 0 AS r, c, FALSE AS done FROM seeds WHERE k = {k} UNION ALL SELECT r + 1, c,
+    list_max(list_transform(list_zip(c, old), lambda t: (t[1].x - t[2].x) ** 2 + (t[1].y - t[2].y) ** 2 + (t[1].z - t[2].z) ** 2)) < {tolerance} ** 2
+    FROM (SELECT r, l.c AS old, (SELECT list({at} ORDER BY j) FROM (SELECT list_position(d, list_min(d)) AS j, sum(x / (u + 0.1)) / sum(1 / (u + 0.1)) AS x, sum(y / (u + 0.1)) / sum(1 / (u + 0.1)) AS y, sum(z / (u + 0.1)) / sum(1 / (u + 0.1)) AS z
+      FROM (SELECT p.*, list_transform(l.c, lambda q: {d2}) AS d FROM {points} p) GROUP BY 1)) AS c FROM lloyd l WHERE NOT done AND r < {rounds})),
+  clustered AS (SELECT p.*, list_position(list_transform(c, lambda q: {d2}), list_min(list_transform(c, lambda q: {d2}))) - 1 AS cluster FROM {points} p, (SELECT c FROM lloyd ORDER BY r DESC LIMIT 1))"""
+
+
+def primitives_sql(rows: str, by: str) -> str:
+    """CTEs that summarise rows (x, y, z, u) by a column: `prims`."""
+    pairs = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
+    sums = ", ".join([f"sum(w * {a}) / sum(w) AS {a}" for a in "xyz"] + [f"sum(w * {a} * {b}) / sum(w) AS {a}{b}" for a, b in pairs])
+    spread = ", ".join(f"round({a}{b} - {a} * {b}{' + 0.001' if a == b else ''}, 4) AS c{a}{b}" for a, b in pairs)
+    return f"""weighed AS (SELECT *, 1 / (u + 0.1) AS w FROM {rows}), summed AS (SELECT {by}, count(*) AS n, avg(u) AS u, {sums} FROM weighed GROUP BY {by}),
+  prims AS (SELECT {by}, n, round(u, 6) AS u, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, {spread} FROM summed)"""
+
+
+FRAME = f"{VECTORS}, frame AS (SELECT id, x, y, z, label / 10.0::DOUBLE AS u FROM vec)"
+
+
+def frame(spark, sf_dir):
+    return vectors(spark, sf_dir).select("id", "x", "y", "z", (F.col("label") / 10).alias("u"))
+
+
+@query(f"WITH RECURSIVE {FRAME}, {kmeans_sql('frame', 8)}, {primitives_sql('clustered', 'cluster')} SELECT CAST(cluster AS INT) AS cluster, * EXCLUDE (cluster) FROM prims")
+def i1_i2_kmeans(spark, sf_dir):
+    """Primitives of eight clusters from weighted seeds."""
+    clustered, _ = spatial.kmeans(frame(spark, sf_dir).cache(), 8)
     return spatial.primitives(clustered, "cluster")
 
 
+@query(f"WITH RECURSIVE {FRAME}, {kmeans_sql('frame', 5)}, {primitives_sql('clustered', 'cluster')} SELECT CAST(cluster AS INT) AS cluster, * EXCLUDE (cluster) FROM prims WHERE n >= 20")
+def i3_f6_build(spark, sf_dir):
+    """A frame's primitives: five wanted, each of 20 points at least."""
+    return spatial.build(frame(spark, sf_dir).cache(), 5, 20)
+
+
+@query(f"WITH {VECTORS}, c AS (SELECT label, count(*) AS n FROM vec GROUP BY label) SELECT label, n, greatest(1, least(128, n // 5)) AS wanted, CAST(least(greatest(floor(sqrt(n / 2.0)), 16), 256) AS BIGINT) AS automatic FROM c")
+def i3_i4_counts(spark, sf_dir):
+    """Numbers of primitives for frames of so many points, by target and automatic."""
+    n = vectors(spark, sf_dir).groupBy("label").count().collect()
+    rows = [(r["label"], r["count"], spatial.primitive_count(r["count"], 128, 5), spatial.automatic_count(r["count"])) for r in n]
+    return spark.createDataFrame(rows, "label int, n long, wanted long, automatic long")
+
+
 @query(
     f"""WITH {POINTS}, w AS (SELECT *, 1 / (u + 0.1) AS w FROM pts), g AS (SELECT class, count(*) AS n, avg(u) AS u, sum(w) AS w, sum(w*x)/sum(w) AS x, sum(w*y)/sum(w) AS y, sum(w*z)/sum(w) AS z,
   sum(w*x*x)/sum(w) AS xx, sum(w*x*y)/sum(w) AS xy, sum(w*x*z)/sum(w) AS xz, sum(w*y*y)/sum(w) AS yy, sum(w*y*z)/sum(w) AS yz, sum(w*z*z)/sum(w) AS zz FROM w GROUP BY class)

@@ -11,7 +11,7 @@ from ..operators import folds, metrics, spatial
 from ..operators import primitives as P
 from ..sources import frames
 from ..sources.tables import table, vectors
-from .queries import VECTORS, probabilities, query
+from .queries import VECTORS, kmeans_sql, primitives_sql, probabilities, query
 
 
 def r(c, name, digits=6):
@@ -54,7 +54,15 @@ def a12_m23_primitive_summary(spark, sf_dir):
     return P.summary(gaussians(spark, sf_dir))
 
 
-@query()
+MERGING = f"""{GAUSSIANS}, od AS (SELECT *, id % 4 / 10.0 <= 0.2 AS calm, row_number() OVER (PARTITION BY class ORDER BY id) AS i FROM gs),
+  mg AS (SELECT class, 0 AS i, CAST([] AS STRUCT(id BIGINT, x DOUBLE, y DOUBLE, z DOUBLE, w DOUBLE)[]) AS roots, CAST([] AS STRUCT(id BIGINT, root BIGINT)[]) AS got FROM od GROUP BY class
+  UNION ALL SELECT class, i, CASE WHEN NOT calm THEN roots WHEN hit IS NULL THEN list_append(roots, {{'id': id, 'x': x, 'y': y, 'z': z, 'w': w}})
+      ELSE list_transform(roots, lambda q: CASE WHEN q.id = hit THEN {{'id': q.id, 'x': (q.x * q.w + x * w) / (q.w + w), 'y': (q.y * q.w + y * w) / (q.w + w), 'z': (q.z * q.w + z * w) / (q.w + w), 'w': q.w + w}} ELSE q END) END,
+    list_append(got, {{'id': id, 'root': coalesce(hit, id)}})
+    FROM (SELECT od.*, roots, got, CASE WHEN calm THEN list_filter(roots, lambda q: (q.x - x) ** 2 + (q.y - y) ** 2 + (q.z - z) ** 2 <= 0.3 * 0.3)[1].id END AS hit FROM mg JOIN od ON od.class = mg.class AND od.i = mg.i + 1))"""
+
+
+@query(f"WITH RECURSIVE {MERGING}, al AS (SELECT unnest(got) AS g FROM mg WHERE (class, i) IN (SELECT class, max(i) FROM mg GROUP BY class)) SELECT g.id AS id, g.root AS root FROM al")
 def j22_merge_near(spark, sf_dir):
     """Which primitives of a class absorb which."""
     return P.merge_near(gaussians(spark, sf_dir), 0.3, 0.2)
@@ -66,23 +74,50 @@ def j23_split_candidates(spark, sf_dir):
     return P.split_candidates(gaussians(spark, sf_dir), vectors(spark, sf_dir)).groupBy("prim").agg(F.count(F.lit(1)).alias("points"))
 
 
-@query()
+HALVES = f"""{GAUSSIANS}, nr AS (SELECT gs.id AS prim, v.id, v.x, v.y, v.z FROM gs JOIN vec v ON (v.x-gs.x)*(v.x-gs.x)+(v.y-gs.y)*(v.y-gs.y)+(v.z-gs.z)*(v.z-gs.z) < 9*(gs.cxx+gs.cyy+gs.czz)),
+  en AS MATERIALIZED (SELECT * FROM nr WHERE prim IN (SELECT prim FROM nr GROUP BY prim HAVING count(*) >= 10)),
+  hv AS (SELECT prim, 0 AS r, min({{'x': x, 'y': y, 'z': z}}) AS a, max({{'x': x, 'y': y, 'z': z}}) AS b FROM en GROUP BY prim
+  UNION ALL SELECT prim, r + 1, {{'x': coalesce(avg(x) FILTER (sd = 0), any_value(a.x)), 'y': coalesce(avg(y) FILTER (sd = 0), any_value(a.y)), 'z': coalesce(avg(z) FILTER (sd = 0), any_value(a.z))}},
+    {{'x': coalesce(avg(x) FILTER (sd = 1), any_value(b.x)), 'y': coalesce(avg(y) FILTER (sd = 1), any_value(b.y)), 'z': coalesce(avg(z) FILTER (sd = 1), any_value(b.z))}}
+    FROM (SELECT en.*, r, a, b, CASE WHEN (x-a.x)**2 + (y-a.y)**2 + (z-a.z)**2 <= (x-b.x)**2 + (y-b.y)**2 + (z-b.z)**2 THEN 0 ELSE 1 END AS sd FROM hv JOIN en USING (prim) WHERE r < 15) GROUP BY prim, r)"""
+
+
+@query(f"WITH RECURSIVE {HALVES} SELECT prim, CAST(CASE WHEN (x-a.x)**2 + (y-a.y)**2 + (z-a.z)**2 <= (x-b.x)**2 + (y-b.y)**2 + (z-b.z)**2 THEN 0 ELSE 1 END AS INT) AS side, count(*) AS points FROM hv JOIN en USING (prim) WHERE r = 15 GROUP BY 1, 2")
 def i6_split(spark, sf_dir):
     """Halves of each primitive's candidates."""
     return P.split(gaussians(spark, sf_dir), vectors(spark, sf_dir)).groupBy("prim", "side").agg(F.count(F.lit(1)).alias("points"))
 
 
-@query()
-def i5_update(spark, sf_dir):
+UPDATED = f"""{GAUSSIANS}, pt AS (SELECT id, x, y, z, label / 10.0::DOUBLE AS u FROM vec), ds AS (SELECT p.id, gs.id AS prim, (p.x-gs.x)*(p.x-gs.x)+(p.y-gs.y)*(p.y-gs.y)+(p.z-gs.z)*(p.z-gs.z) AS d2 FROM pt p, gs),
+  fd AS (SELECT id, arg_min(prim, d2) AS prim FROM ds WHERE d2 < 0.15 * 0.15 GROUP BY id), bg AS (SELECT prim FROM fd GROUP BY prim HAVING count(*) >= 5),
+  od AS MATERIALIZED (SELECT prim, pt.* FROM pt JOIN fd USING (id) WHERE prim IN (SELECT prim FROM bg)), rs AS MATERIALIZED (SELECT * FROM pt WHERE id NOT IN (SELECT id FROM od))"""
+
+
+@query(f"""WITH RECURSIVE {UPDATED}, {kmeans_sql('rs', 8)}, {primitives_sql('od', 'prim').replace('weighed', 'w1').replace('summed', 's1').replace('prims', 'p1')},
+  nw AS (SELECT CAST(-1 - cluster AS BIGINT) AS prim, * EXCLUDE (cluster) FROM clustered), {primitives_sql('nw', 'prim').replace('weighed', 'w2').replace('summed', 's2').replace('prims', 'p2')}
+  SELECT *, TRUE AS kept FROM p1 UNION ALL SELECT *, FALSE FROM p2 WHERE n >= 5""")
+def i5_o6_update(spark, sf_dir):
     """Primitives of the labels, renewed by all points as the next frame."""
     v = vectors(spark, sf_dir).select("id", "x", "y", "z", (F.col("label") / 10).alias("u"))
     return P.update(gaussians(spark, sf_dir), v, 0.15, 5, 8)
 
 
-@query()
+EIGEN = f"""{GAUSSIANS}, q AS (SELECT *, (cxx + cyy + czz) / 3 AS q FROM gs), s AS (SELECT *, sqrt(((cxx-q)**2 + (cyy-q)**2 + (czz-q)**2 + 2*(cxy*cxy+cxz*cxz+cyz*cyz))/6) AS s FROM q),
+  t AS (SELECT *, acos(least(greatest(((cxx-q)*((cyy-q)*(czz-q)-cyz*cyz)-cxy*(cxy*(czz-q)-cyz*cxz)+cxz*(cxy*cyz-cxz*(cyy-q)))/(s*s*s)/2, -1), 1))/3 AS t FROM s)"""
+
+
+@query(f"WITH {EIGEN} SELECT id, round(2*sqrt(greatest(0.01, q + 2*s*cos(t + 2*pi()/3))), 6) AS short, round(2*sqrt(greatest(0.01, 3*q - (q + 2*s*cos(t + 2*pi()/3)) - (q + 2*s*cos(t)))), 6) AS middle, round(2*sqrt(greatest(0.01, q + 2*s*cos(t))), 6) AS long, 0.0::DOUBLE AS off, 1.0::DOUBLE AS length FROM t")
 def k5_m22_markers(spark, sf_dir):
-    """Ellipsoids of the primitives."""
-    return P.markers(gaussians(spark, sf_dir))
+    """Ellipsoids of the primitives. off: how far the covariance is from diagonal in the marker's axes, as a part of its trace; length: of the quaternion."""
+    g = gaussians(spark, sf_dir)
+    m = P.markers(g).join(g.select("id", *P.COVARIANCE), "id")
+    q = [F.col("turn")[i] for i in range(4)]
+    axes = [G.rotate(q, [F.lit(float(i == j)) for i in range(3)]) for j in range(3)]
+    c = [F.col(k) for k in P.COVARIANCE]
+    times = lambda v: [c[0] * v[0] + c[1] * v[1] + c[2] * v[2], c[1] * v[0] + c[3] * v[1] + c[4] * v[2], c[2] * v[0] + c[4] * v[1] + c[5] * v[2]]
+    off = F.greatest(*(F.abs(G.dot(axes[i], times(axes[j]))) for i, j in ((0, 1), (0, 2), (1, 2)))) / (c[0] + c[3] + c[5])
+    size = F.sqrt(sum((x * x for x in q), F.lit(0.0)))
+    return m.select("id", *(r(F.col("scale")[i], n) for i, n in enumerate(("short", "middle", "long"))), r(off, "off"), r(size, "length"))
 
 
 @query(f"""WITH {VECTORS}, nb AS (SELECT v.id, v.label, unnest([v.id + 1, v.id + 7, v.id * 3 % 400, -1, v.id]) AS nid FROM vec v) SELECT nb.id, count(*) AS n, count(*) FILTER (nb.label = o.label) AS same FROM nb JOIN vec o ON o.id = nb.nid WHERE nid >= 0 AND nid <> nb.id GROUP BY nb.id""")
