@@ -47,6 +47,12 @@ def total_uncertainty(parts: list[Column], weights: list[float]) -> Column:
     return clamp(sum((p * w for p, w in zip(parts, weights, strict=True)), F.lit(0.0)))
 
 
+def normalised(weights: list[Column]) -> tuple[list[Column], Column]:
+    """Weights over their sum (as they are if that isn't above 0), and whether they summed to 1 before."""
+    whole = sum(weights[1:], weights[0])
+    return [F.when(whole > 0, w / whole).otherwise(w) for w in weights], F.abs(whole - 1) < 0.001
+
+
 def sparse_kernel(d: Column, length: Column, scale: float = 1.0) -> Column:
     """Compact kernel: 1 at 0, 0 from length on."""
     r, turn = d / length, 2 * math.pi

@@ -103,6 +103,11 @@ def inside(low: tuple[int, int, int], high: tuple[int, int, int]) -> Column:
     return reduce(lambda a, b: a & b, (F.col(f"i{k}").between(a, b) for k, a, b in zip("xyz", low, high, strict=True)))
 
 
+def within(origin: tuple[float, float, float], size: tuple[float, float, float]) -> Column:
+    """Points of a map: from its origin to, but not on, its far faces."""
+    return reduce(lambda a, b: a & b, ((F.col(k) >= o) & (F.col(k) < o + s) for k, o, s in zip("xyz", origin, size, strict=True)))
+
+
 def reset(cells: DataFrame, low: tuple[int, int, int], high: tuple[int, int, int]) -> DataFrame:
     """The map without a box."""
     return cells.where(~inside(low, high))

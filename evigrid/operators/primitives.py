@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, scalar
 from .influence import COVARIANCE
-from .spatial import kmeans, nearest, primitives, radius_pairs
+from .spatial import kmeans, nearest, primitive_count, primitives, radius_pairs
 
 
 def fuse_in_order(df: DataFrame, by: str, order: list[str], p: str, u: str) -> DataFrame:
@@ -105,7 +105,7 @@ def split(prims: DataFrame, points: DataFrame, rounds: int = 15, least: int = 5)
 
 
 def update(prior: DataFrame, points: DataFrame, most: float, least: int, k: int) -> DataFrame:
-    """Primitives after a frame: points (id, x, y, z, u) within `most` of a prior centre (id, x, y, z) renew it; the rest make up to k new ones.
+    """Primitives after a frame: points (id, x, y, z, u) within `most` of a prior centre (id, x, y, z) renew it; the rest make up to k new ones, as many as can have `least` points each.
 
     A prior with fewer than least points keeps nothing, its points join the rest. Columns as primitives(): id of the prior
     or, for new ones, -1 - cluster; kept is false for those.
@@ -115,9 +115,10 @@ def update(prior: DataFrame, points: DataFrame, most: float, least: int, k: int)
     found = found.join(size, "nearest", "left").checkpoint()
     old = primitives(found.where("size IS NOT NULL").withColumnRenamed("nearest", "prim"), "prim").withColumn("kept", F.lit(True))
     rest = found.where("size IS NULL").select("id", "x", "y", "z", "u")
-    if rest.isEmpty():
+    left = rest.count()
+    if left < least:
         return old
-    new = primitives(kmeans(rest, k)[0].withColumn("prim", (-1 - F.col("cluster")).cast("long")), "prim").where(F.col("n") >= least)
+    new = primitives(kmeans(rest, primitive_count(left, k, least))[0].withColumn("prim", (-1 - F.col("cluster")).cast("long")), "prim").where(F.col("n") >= least)
     return old.unionByName(new.withColumn("kept", F.lit(False)))
 
 

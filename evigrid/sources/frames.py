@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
-import io
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Layout of a packed point, 24 bytes. Fixed by the wire format.
 POINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("rgb", "<u4"), ("label", "<u4"), ("uncertainty", "<f4")])
 
+#: Codes of field types in the wire format. Fixed values.
+FLOAT32, UINT32 = 7, 6
+
+#: Name, offset and type of a packed point's fields.
+LAYOUT = tuple((name, POINT.fields[name][1], UINT32 if name in ("rgb", "label") else FLOAT32) for name in POINT.names)
+
 POINT_SCHEMA = "frame string, idx int, x double, y double, z double, rgb long, label int, uncertainty double"
 
 
+def known_layout(clouds: DataFrame) -> DataFrame:
+    """clouds (step int, fields array of (name, offset, type)) with `known`: whether points are packed as decode_points() reads them. Checked once per source; fields of other names don't matter."""
+    layout = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(o).alias("offset"), F.lit(t).alias("type")) for n, o, t in LAYOUT))
+    wrong = F.exists("fields", lambda f: F.exists(layout, lambda k: (k["name"] == f["name"]) & ((k["offset"] != f["offset"]) | (k["type"] != f["type"]))))
+    return clouds.withColumn("known", (F.col("step") == POINT.itemsize) & (F.size("fields") >= len(LAYOUT)) & ~wrong)
+
+
 def decode_points(clouds: DataFrame) -> DataFrame:
     """Points of packed clouds (frame, data binary): a row each, without points that aren't finite. A length that is no multiple of 24 is an error."""
 
@@ -74,23 +86,6 @@ def dataset(spark: SparkSession, root: str, rgb: str = "rgb", depth: str = "dept
     return out.join(files(spark, f"{root}/{label}", ("png", "npy", "mat")).select("stem", F.col("content").alias("label")), "stem", "left")
 
 
-def arrays(found: DataFrame, content: str = "content") -> DataFrame:
-    """Pixels (stem, v, u, value) of .npy arrays of two dimensions; of three, one row for each channel c. Null contents have no pixels."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for stem, data in zip(b["stem"], b[content], strict=True):
-                if data is None:
-                    continue
-                a = np.load(io.BytesIO(data), allow_pickle=False)
-                a = a[:, :, None] if a.ndim == 2 else a
-                for v in range(len(a)):  # a row of pixels at a time keeps batches small
-                    u, c = np.indices(a.shape[1:])
-                    yield pd.DataFrame({"stem": stem, "v": v, "u": u.ravel(), "c": c.ravel(), "value": a[v].astype(float).ravel()})
-
-    return found.select("stem", content).mapInPandas(read, "stem string, v int, u int, c int, value double")
-
-
 def infer(frames: DataFrame, backend: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """A segmentation model as an operator: backend maps a batch of frames to rows of schema (logits, labels, uncertainties)."""
     return frames.mapInPandas(lambda batches: (backend(b) for b in batches), schema)
@@ -112,8 +107,14 @@ def save_map(cells: DataFrame, path: str) -> None:
     cells.select(line).write.text(path)
 
 
-def replay(df: DataFrame, ts: str, start: float = 0.0, end: float | None = None, rate: float = 1.0, rename: dict[str, str] | None = None, topic: str | None = None) -> DataFrame:
-    """Rows between start and end seconds after the first, with play_at: seconds after the start at that rate. rename maps topics."""
+def replay(
+    df: DataFrame, ts: str, start: float = 0.0, end: float | None = None, rate: float = 1.0, rename: dict[str, str] | None = None, topic: str | None = None, loops: int = 1, pauses: tuple[tuple[float, float], ...] = (), now: str | None = None
+) -> DataFrame:
+    """Rows between start and end seconds after the first, with play_at: seconds after the start at that rate. rename maps topics.
+
+    loops: how often the window is played, one time after the other (a column `turn`). pauses: (played seconds, length), each
+    in every turn; a step is a pause that ends with the next row. now: the moment of the start; stamps are then those of playing.
+    """
     first = df.agg(F.min(ts)).scalar()
     at = F.timestamp_diff("MICROSECOND", first.cast("timestamp_ntz"), F.col(ts).cast("timestamp_ntz")) / 1e6
     out = df.withColumn("play_at", (at - start) / rate).where(at >= start)
@@ -124,9 +125,34 @@ def replay(df: DataFrame, ts: str, start: float = 0.0, end: float | None = None,
         for a, b in rename.items():
             new = F.when(F.col(topic) == a, b).otherwise(new)
         out = out.withColumn(topic, new)
+    played = F.col("play_at")
+    for after, length in pauses:
+        played = played + F.when(F.col("play_at") > after, length).otherwise(0.0)
+    out = out.withColumn("play_at", played)
+    if loops > 1:
+        length = out.agg(F.max("play_at")).scalar()
+        out = out.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(loops - 1)))).withColumn("play_at", F.col("play_at") + F.col("turn") * length)
+    if now:
+        out = out.withColumn(ts, F.timestamp_micros(F.unix_micros(F.lit(now).cast("timestamp")) + (F.col("play_at") * 1e6).cast("long")))
+    return out
+
+
+def display_points(cloud: DataFrame, nearest: Column | None = None) -> DataFrame:
+    """cloud as a display reads it: label by its field, else by `nearest` (the class of the nearest palette colour), else 0; confidence 0.8 and uncertainty 1 - confidence where they are missing; rows without a finite position go."""
+    has = lambda c: F.col(c) if c in cloud.columns else F.lit(None)
+    out = cloud.withColumn("label", F.coalesce(has("label").cast("int"), F.lit(None).cast("int") if nearest is None else nearest, F.lit(0)))
+    out = out.withColumn("confidence", F.coalesce(has("confidence").cast("double"), F.lit(0.8)))
+    out = out.withColumn("uncertainty", F.coalesce(has("uncertainty").cast("double"), 1 - F.col("confidence")))
+    for k in "xyz":
+        out = out.where(F.col(k).isNotNull() & ~F.isnan(k) & (F.abs(k) != float("inf")))
     return out
 
 
+def label_probabilities(label: Column, classes: int, hit: float = 0.9, miss: float = 0.01) -> Column:
+    """What a label alone says of each class (not a distribution: its sum isn't 1)."""
+    return F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda k: F.when(k == label, hit).otherwise(miss))
+
+
 def last_info(info: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The row of each key that came last: a camera's intrinsics, a robot's pose."""
     rest = [c for c in info.columns if c != key]
@@ -134,5 +160,5 @@ def last_info(info: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def stream_frames(spark: SparkSession, folder: str, schema: str, per_trigger: int = 1) -> DataFrame:
-    """Parquet frames of a folder as a stream, so many files a trigger."""
+    """Parquet frames of a folder as a stream, so many files a trigger; with a trigger every 1 / rate seconds (run()'s `every`), a replay at that rate."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)

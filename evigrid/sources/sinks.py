@@ -2,32 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry
 
 
-def write_cloud(cells: DataFrame, path: str, form: str = "ply") -> int:
-    """x, y, z, red, green, blue, class, confidence as the body of a PLY or PCD file in parts, with the header in `path`_header; returns the number of points. Rows without a position go."""
+def cloud_lines(cells: DataFrame, form: str) -> DataFrame:
+    """One text column: a point per row, as PLY or PCD write it. Rows without a position go; grey, class 0 and confidence 0.8 stand for what is missing."""
     points = cells.dropna(subset=["x", "y", "z"])
     rgb = [F.coalesce(c, F.lit(128)) for c in (F.col("r"), F.col("g"), F.col("b"))]
     rest = [F.coalesce("class", F.lit(0)), F.coalesce("confidence", F.lit(0.8))]
-    n = points.count()
     if form == "ply":
-        body = F.format_string("%s %s %s %d %d %d %d %s", "x", "y", "z", *rgb, *rest)
+        return points.select(F.format_string("%s %s %s %d %d %d %d %s", "x", "y", "z", *rgb, *rest).alias("value"))
+    if form == "pcd":
+        return points.select(F.format_string("%s %s %s %d %d %s", "x", "y", "z", geometry.pack_rgb(*rgb), *rest).alias("value"))
+    raise ValueError(f"no such form: {form}")
+
+
+def cloud_header(form: str, n: int) -> list[str]:
+    """The lines above n points."""
+    if form == "ply":
         fields = [f"property float {k}" for k in "xyz"] + [f"property uchar {k}" for k in ("red", "green", "blue")] + ["property int label", "property float confidence"]
-        header = ["ply", "format ascii 1.0", f"element vertex {n}", *fields, "end_header"]
-    elif form == "pcd":
-        body = F.format_string("%s %s %s %d %d %s", "x", "y", "z", geometry.pack_rgb(*rgb), *rest)
-        header = ["VERSION 0.7", "FIELDS x y z rgb label confidence", "SIZE 4 4 4 4 4 4", "TYPE F F F U U F", "COUNT 1 1 1 1 1 1", f"WIDTH {n}", "HEIGHT 1", "VIEWPOINT 0 0 0 1 0 0 0", f"POINTS {n}", "DATA ascii"]
-    else:
-        raise ValueError(f"no such form: {form}")
-    points.select(body).write.text(path)
-    points.sparkSession.createDataFrame([("\n".join(header),)], "value string").coalesce(1).write.text(f"{path}_header")
+        return ["ply", "format ascii 1.0", f"element vertex {n}", *fields, "end_header"]
+    return ["VERSION 0.7", "FIELDS x y z rgb label confidence", "SIZE 4 4 4 4 4 4", "TYPE F F F U U F", "COUNT 1 1 1 1 1 1", f"WIDTH {n}", "HEIGHT 1", "VIEWPOINT 0 0 0 1 0 0 0", f"POINTS {n}", "DATA ascii"]
+
+
+def write_cloud(cells: DataFrame, path: str, form: str = "ply", most: int = 1_000_000) -> int:
+    """A folder of PLY or PCD files of about `most` points, each with its own header, so that any reader opens each; returns the number of points."""
+    lines = cloud_lines(cells, form).cache()
+    n = lines.count()
+
+    def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(cloud_header(form, sum(b.num_rows for b in held)))], ["value"])
+            yield from (pa.RecordBatch.from_arrays([b.column(0)], ["value"]) for b in held)
+
+    lines.repartition(max(1, -(-n // most))).mapInArrow(head, "value string").write.text(path)
+    lines.unpersist()
     return n
 
 
+def read_cloud(spark: SparkSession, path: str) -> DataFrame:
+    """x, y, z, class and confidence of what write_cloud() wrote."""
+    fields = F.split("value", " ")
+    rows = spark.read.text(path).where(F.col("value").rlike(r"^-?[0-9.][^ ]* -?[0-9.]+[^ ]* -?[0-9.]")).select(fields.alias("p"))
+    return rows.select(*(F.col("p")[i].cast("double").alias(k) for i, k in enumerate("xyz")), F.element_at("p", -2).cast("int").alias("class"), F.element_at("p", -1).cast("double").alias("confidence"))
+
+
 def write_npz(cells: DataFrame, path: str, most: int = 10_000_000) -> None:
     """positions, labels and confidences as one numpy archive, made by the driver; more than `most` cells are an error (write Parquet instead)."""
     import numpy as np

@@ -1,13 +1,16 @@
 import glob
+import struct
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from evigrid import config
 from evigrid.functions import evidential as E
 from evigrid.functions import geometry as G
-from evigrid.operators import metrics, primitives, spatial, visibility
-from evigrid.sources import frames, sinks
+from evigrid.operators import folds, metrics, primitives, spatial, visibility
+from evigrid.sources import frames, images, sinks
 
 
 def one(spark, *columns):
@@ -118,10 +121,89 @@ def test_dataset_by_stem(spark, tmp_path):
     assert [(r["stem"], bytes(r["depth"]), r["label"]) for r in got] == [("1", b"1.png", None)]
     np.save(tmp_path / "label" / "a.npy", np.arange(6).reshape(2, 3))
     (tmp_path / "label" / "9.npy").unlink()
-    pixels = frames.arrays(frames.files(spark, str(tmp_path / "label"), ("npy",))).collect()
+    pixels = images.pixels(frames.files(spark, str(tmp_path / "label"), ("npy",))).collect()
     assert sorted((r["v"], r["u"], r["value"]) for r in pixels) == [(i // 3, i % 3, float(i)) for i in range(6)]
 
 
+def png(a, kinds):
+    """A PNG of an array (height, width, channels) of 8 or 16 bits, its lines filtered in turn by the kinds."""
+    bits, (height, width, channels) = a.dtype.itemsize * 8, a.shape
+    raw = a.astype(a.dtype.newbyteorder(">")).reshape(height, -1).view(np.uint8).reshape(height, -1).astype(int)
+    step, lines = channels * bits // 8, []
+    for y in range(height):
+        line, up = raw[y], raw[y - 1] if y else np.zeros_like(raw[0])
+        left, corner = np.concatenate([np.zeros(step, int), line[:-step]]), np.concatenate([np.zeros(step, int), up[:-step]])
+        rise = left + up - corner
+        near = np.where((abs(rise - left) <= abs(rise - up)) & (abs(rise - left) <= abs(rise - corner)), left, np.where(abs(rise - up) <= abs(rise - corner), up, corner))
+        kind = kinds[y % len(kinds)]
+        lines.append(bytes([kind]) + ((line - [0, left, up, (left + up) // 2, near][kind]) % 256).astype(np.uint8).tobytes())
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    colour = {1: 0, 3: 2, 4: 6}[channels]
+    head = struct.pack(">IIBBBBB", width, height, bits, colour, 0, 0, 0)
+    data = zlib.compress(b"".join(lines))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", data[:7]) + chunk(b"IDAT", data[7:]) + chunk(b"IEND", b"")
+
+
+def test_png_images(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    for dtype, channels in ((np.uint8, 1), (np.uint16, 1), (np.uint8, 3), (np.uint8, 4), (np.uint16, 3)):
+        a = rng.integers(0, np.iinfo(dtype).max, (11, 7, channels)).astype(dtype)
+        for kinds in ([0], [1], [2], [3], [4], [4, 3, 2, 1, 0]):
+            assert (images.read_image(png(a, kinds)) == a).all()
+    with pytest.raises(ValueError, match="neither"):
+        images.read_image(b"GIF89a")
+    (tmp_path / "rgb").mkdir()
+    (tmp_path / "depth").mkdir()
+    mm = np.array([[[0], [1000]], [[2500], [50]]], np.uint16)
+    (tmp_path / "depth" / "a.png").write_bytes(png(mm, [1]))
+    np.save(tmp_path / "depth" / "b.npy", np.array([[1.5, 0.0]]))
+    (tmp_path / "rgb" / "a.png").write_bytes(b"x")
+    (tmp_path / "rgb" / "b.jpg").write_bytes(b"x")
+    found = frames.dataset(spark, str(tmp_path), label=None).select("stem", "depth")
+    nyu = {(r["v"], r["u"]): r for r in images.depth_points(found.where("stem = 'a'"), "nyuv2").collect()}
+    assert {k: r["depth"] for k, r in nyu.items()} == {(0, 1): 1.0, (1, 0): 2.5, (1, 1): 0.05}
+    assert nyu[1, 0]["x"] == pytest.approx((0 - 325.5824) * 2.5 / 518.8579) and nyu[1, 0]["y"] == pytest.approx((1 - 253.7362) * 2.5 / 519.4696) and nyu[1, 0]["z"] == 2.5
+    sun = {(r["stem"], r["v"], r["u"]): r["depth"] for r in images.depth_points(found, "sunrgbd").collect()}
+    assert sun == {("a", 0, 1): 0.1, ("a", 1, 0): 0.25, ("a", 1, 1): 0.005, ("b", 0, 0): 1.5}  # over 100: tenths of millimetres
+    assert images.pixels(found, "depth", 2).where("stem = 'a'").count() == 1
+
+
+def test_parameters():
+    own = config.load("uncertainty:\n  w_semantic: 3\n  w_spatial: 1  # a comment\n  w_observation: 0\n  w_temporal: 0\nkernel:\n  traversable_classes: [2, 5]\n  unknown: 1\nother:\n  gamma: 9\nprocessing:\n  use_async_processing: false\nmap:\n  frame_id: \"odom\"\n")
+    assert (own.uncertainty.w_semantic, own.uncertainty.w_spatial) == (0.75, 0.25) and own.uncertainty.sigma_range == 0.5
+    assert own.kernel.traversable_classes == (2, 5) and own.kernel.gamma == 2.0 and not own.processing.use_async_processing and own.map.frame_id == "odom"
+    assert config.load(config.save(own)) == own and config.load("") == config.Config()
+    given = {"map/resolution": 0.1, "kernel/gamma": 1.0, "old_gamma": 4.0}
+    both = config.from_parameters(given, {"kernel/gamma": "old_gamma", "map/size_x": "old_size"})
+    assert both.map.resolution == 0.1 and both.kernel.gamma == 4.0 and both.map.size_x == 20.0
+    new, done, failed = config.update(own, {"kernel": {"gamma": 1.5, "none": 1, "uncertainty_low": "high"}, "map": {"resolution": 1.0}}, {"kernel"})
+    assert new.kernel.gamma == 1.5 and new.map.resolution == 0.05 and done == ["kernel.gamma"] and failed == ["kernel.none", "kernel.uncertainty_low"]
+
+
+def test_empty_cluster_starts_at_the_farthest_point(spark):
+    rows = [(i, float(i % 3), 0.0, 0.0, 0.1) for i in range(30)] + [(30, 100.0, 0.0, 0.0, 0.1)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double, u double")
+    _, centres = spatial.kmeans(df, 2, start=[(0.0, 0.0, 0.0), (-500.0, 0.0, 0.0)])
+    assert sorted(round(c[0]) for c in centres) == [1, 100]
+    assert len(spatial.seeds(df.where("id = 30"), 3)) == 1
+    assert spatial.build(df.limit(3), 4, 5).count() == 0 and spatial.build(df, None, 5).count() >= 1
+
+
+def test_folds_by_parts_are_folds(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(k), i, float(a)) for k in range(6) for i, a in enumerate(rng.normal(0, 4, 200))]
+    df = spark.createDataFrame(rows, "k long, i int, a double")
+    for part in (None, F.floor(F.col("i") / 7), F.col("i")):
+        got = {r["k"]: r["h"] for r in folds.clamped_fold(df, "k", ["i"], F.col("a"), 10.0, part).collect()}
+        ema = {r["k"]: r["ema"] for r in folds.moving_average(df, "k", ["i"], F.col("a"), 0.1, part).collect()}
+        for k in range(6):
+            h = m = 0.0
+            for key, _, a in rows:
+                if key == k:
+                    h, m = min(max(h + a, -10.0), 10.0), 0.9 * m + 0.1 * a
+            assert got[k] == pytest.approx(h, abs=1e-6) and ema[k] == pytest.approx(m, abs=1e-6)
+
+
 def test_saved_map_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1.0, 2.0, 0.5, 2, 0.75, 3), (0.0, -1.0, 0.5, 1, 0.5, 9)], "x double, y double, z double, class int, confidence double, observations long")
     frames.save_map(df, str(tmp_path / "m"))
@@ -135,7 +217,10 @@ def test_sinks(spark, tmp_path):
     assert sinks.coloured(df, "uncertainty").where("b >= 0").count() == 2
     for form in ("ply", "pcd"):
         assert sinks.write_cloud(c, str(tmp_path / form), form) == 2
-        assert spark.read.text(str(tmp_path / form)).count() == 2
+        (file,) = glob.glob(str(tmp_path / form / "part-*"))
+        lines = open(file).read().splitlines()
+        assert lines[0] == {"ply": "ply", "pcd": "VERSION 0.7"}[form] and {"ply": "element vertex 2", "pcd": "POINTS 2"}[form] in lines and len(lines) == {"ply": 14, "pcd": 12}[form]
+        assert sorted(sinks.read_cloud(spark, str(tmp_path / form)).collect()) == sorted(df.collect())
     sinks.write_npz(df, str(tmp_path / "map.npz"))
     assert np.load(tmp_path / "map.npz")["positions"].shape == (2, 3)
     counts = spark.createDataFrame([(0, 1, 5), (1, 1, 2)], "gt int, pred int, n long")

@@ -2,23 +2,62 @@ from pyspark.sql import functions as F
 
 from evigrid.operators.spatial import voxelise
 from evigrid.sources.tables import points
-from evigrid.streaming import state
+from evigrid.streaming import state, voxels
 from evigrid.streaming.voxels import keep_map
 
 SF, SIZE = "/root/testdata/sf0.001", (5.0, 10.0, 2.0)
 
 
-def test_stream_ends_with_the_counts_of_the_batch(spark, tmp_path):
+def halves(spark, tmp_path):
+    """All points, and a stream of them in two files."""
     batch = points(spark, SF).withColumn("ts", F.col("ts").cast("timestamp"))
     for k in range(2):
-        batch.where(F.col("u") <= 0.5 if k else F.col("u") > 0.5).write.parquet(str(tmp_path / "in" / f"k={k}"))
-    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "k=*"))
-    query = keep_map(stream, SIZE, "voxel_counts", str(tmp_path / "state"))
-    query.awaitTermination(120)
-    assert query.exception() is None
+        batch.where(F.col("u") <= 0.5 if k else F.col("u") > 0.5).coalesce(1).write.parquet(str(tmp_path / "in" / f"k={k}"))
+    return batch, spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "k=*"))
+
+
+def test_stream_ends_with_the_counts_of_the_batch(spark, tmp_path):
+    batch, stream = halves(spark, tmp_path)
+    path, seen = str(tmp_path / "map"), []
+    asked = iter([True, False])
+    query = keep_map(stream, SIZE, path, str(tmp_path / "state"), publish=lambda m: seen.append(m.count()), wanted=lambda: next(asked))
+    assert query.awaitTermination(120) and query.exception() is None
     want = voxelise(batch, SIZE).groupBy("ix", "iy", "iz", "class").agg(F.count(F.lit(1)).alias("n"))
-    got = spark.table("voxel_counts").select("ix", "iy", "iz", "class", "n")
+    got = voxels.current(spark, path)
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert voxels.versions(spark, path) == [0, 1] and len(seen) == 1  # published only when someone wanted it
+    assert voxels.current(spark, path, 0) is None
+    voxels.reset(spark, path)
+    assert voxels.current(spark, path) is None
+
+
+def test_running_counts_of_a_stream(spark, tmp_path):
+    batch, stream = halves(spark, tmp_path)
+    run(voxels.counts(stream, SIZE), "running_counts", tmp_path / "state", "complete")
+    assert spark.table("running_counts").agg(F.sum("n")).first()[0] == batch.count()
+
+
+def test_map_of_a_stream_stays_under_its_cap(spark, tmp_path):
+    """The surest voxels stay; those as sure as the last of them, too."""
+    rows = [(float(i), 0.0, 0.0, k) for i in range(20) for k in ([0] if i < 5 else [0, 1])]
+    spark.createDataFrame(rows, "x double, y double, z double, class int").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("x double, y double, z double, class int").parquet(str(tmp_path / "in"))
+    keep_map(stream, (1.0, 1.0, 1.0), str(tmp_path / "map"), str(tmp_path / "state"), most=5).awaitTermination(120)
+    assert sorted(r["ix"] for r in voxels.current(spark, str(tmp_path / "map")).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_primitives_of_frames(spark, tmp_path):
+    """The first frame makes primitives, later ones renew them or add some, and every second one starts anew."""
+    at = lambda frame, x: [(1000 * frame + i, x + i / 100, 0.0, 0.0, 0.1) for i in range(20)]
+    stream = feed(spark, tmp_path, "id long, x double, y double, z double, u double", at(0, 0.0), at(1, 0.1) + at(3, 50.0), at(2, 50.0))
+    for rebuild in (0, 2):
+        path = str(tmp_path.parent / f"primitives-{rebuild}")
+        voxels.keep_primitives(stream, path, str(tmp_path.parent / f"state-{rebuild}"), 1.0, 10, 1, rebuild).awaitTermination(120)
+        rows = voxels.current(spark, path).collect()
+        assert [(round(r["x"]), r["n"], r["kept"]) for r in rows] == [(50, 20, not rebuild)]
+        if not rebuild:  # the frame before: one renewed, one new
+            before = voxels.current(spark, path, 2).collect()
+            assert sorted((round(r["x"]), r["n"], r["kept"]) for r in before) == [(0, 20, True), (50, 20, False)] and len({r["prim"] for r in before}) == 2
 
 
 def run(stream, name, path, mode):
