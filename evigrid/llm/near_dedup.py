@@ -19,7 +19,9 @@ Work is kept linear in the documents and in the links between different texts:
   n - ceil(3/7 (n + m)) + 1. Sizes are put in classes 8 % wide, and each pair of classes has buckets of its own, so that
   m is known well; two members meet only if enough shingles follow the shared one in both. A common passage, or the text that near misses were made from, is rare enough for such a bucket only
   in documents that mostly consist of it. In these buckets a growing number of members (8, 64, 512, ... in a round)
-  meets the members of other components, until each pair of different components in a bucket has been tested;
+  meets the members of other components, until each pair of different components in a bucket has been tested. Two bits of each
+  signature's coordinate travel with the members, so that a pair goes on to the test on full sets only if its signatures are alike
+  enough: texts from one template that fill its gaps from small sets of phrases share rare shingles with many others;
 * texts are read again only for classes that share a band with another one;
 * joins on a bucket, a class that many others meet, or a class with many rows deal a hot key to many tasks (spread_join).
 
@@ -39,7 +41,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, bounded_batches, free_name, ship, spread_join
@@ -47,6 +49,13 @@ from .hashing import mix, utf8, word_hashes
 
 SHINGLE, ROWS, BANDS, PERCENT = 5, 5, 48, 75
 
+#: Coordinates that two sets of the wanted similarity may have unlike, judged by two bits of each: the mean, (1 - 0.75) * 3 / 4 of
+#: them, and 5.5 standard deviations. A link is taken for none with a chance of 2e-8.
+MOST_UNLIKE = int(ROWS * BANDS * 3 / 16 + 5.5 * math.sqrt(ROWS * BANDS * 3 / 16 * 13 / 16))
+
+#: 64-bit words that hold one bit of each coordinate.
+WORDS = -(-ROWS * BANDS // 64)
+
 #: Set sizes of one class differ by this factor at most.
 CLASS_WIDTH = 1.08
 
@@ -104,6 +113,22 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return mix((parts * _ODD[:ROWS]).sum(axis=2, dtype=np.uint64) + mix(np.arange(BANDS, dtype=np.uint64))).view(np.int64)
 
 
+def planes(signatures: np.ndarray) -> np.ndarray:
+    """For each signature two bits of every coordinate: WORDS words of first bits, then as many of second bits."""
+    out = np.zeros((len(signatures), 2, WORDS * 8), np.uint8)
+    for k in range(2):
+        bits = np.packbits((signatures >> np.uint32(k)) & np.uint32(1), axis=1)
+        out[:, k, : bits.shape[1]] = bits
+    return out.reshape(len(signatures), -1).view(np.int64)
+
+
+def may_link(a: str, b: str) -> Column:
+    """Whether two signatures' bit planes allow the wanted similarity."""
+    x, y = F.col(a), F.col(b)
+    unlike = lambda k: F.bit_count(x[k].bitwiseXOR(y[k]).bitwiseOR(x[k + WORDS].bitwiseXOR(y[k + WORDS])))
+    return sum((unlike(k) for k in range(1, WORDS)), unlike(0)) <= MOST_UNLIKE
+
+
 def _lists(rows: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *(len(r) for r in rows)]).astype(np.int32)
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
@@ -111,18 +136,19 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def sketch(batches):
-    """(key, text) to key, number of shingles, a 128-bit hash of the set (h1, h2) and the band keys."""
+    """(key, text) to key, number of shingles, a 128-bit hash of the set (h1, h2), the band keys and the bit planes."""
+    none = np.zeros((0, len(_SHIFTS)), np.uint32)
     for batch in batches:
         sets = list(shingle_sets(*utf8(batch.column(1))))
         n = np.array([len(s) for s in sets], np.int64)
         full = np.flatnonzero(n)
-        keys = band_keys(np.stack([signature(sets[j]) for j in full])) if len(full) else np.zeros((0, BANDS), np.int64)
-        bands = [np.zeros(0, np.int64)] * len(sets)
-        for j, k in zip(full, keys, strict=True):
-            bands[j] = k
+        signed = np.stack([signature(sets[j]) for j in full]) if len(full) else none
+        bands, bits = [np.zeros(0, np.int64)] * len(sets), [np.zeros(0, np.int64)] * len(sets)
+        for j, k, b in zip(full, band_keys(signed), planes(signed), strict=True):
+            bands[j], bits[j] = k, b
         h1 = np.array([np.sum(s, dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
         h2 = np.array([np.sum(mix(s ^ _ODD[1]), dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(h1), pa.array(h2), _lists(bands)], ["id", "n", "h1", "h2", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(h1), pa.array(h2), _lists(bands), _lists(bits)], ["id", "n", "h1", "h2", "bands", "bits"])
 
 
 def full_sets(batches):
@@ -171,14 +197,14 @@ def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * F.col("common") >= PERCENT * (F.size("set_a") + F.size("set_b") - F.col("common"))).select("a", "b")
 
 
-def rare_buckets(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(band, side, rep, n, pop, left): members dealt by pairs of size classes and the rarest of their shingles.
+def rare_buckets(members: DataFrame, sets: DataFrame, bits: DataFrame) -> DataFrame:
+    """(band, side, rep, n, pop, left, bits): members dealt by pairs of size classes and the rarest of their shingles.
 
     side: 0 for the smaller size class of the bucket's pair, 1 for the larger, 2 if both are the same; only different
     sides meet, but for 2. left: shingles from this one on, in order of frequency. Shingles that one class of texts alone
     has count among the rarest, but need no bucket.
     """
-    one = members.groupBy("rep").agg(F.first("n").alias("n"), F.first("pop").alias("pop"))
+    one = members.groupBy("rep").agg(F.first("n").alias("n"), F.first("pop").alias("pop")).join(bits, "rep")
     items = sets.join(one.select(F.col("rep").alias("id")), "id").select("id", F.explode("shingles").alias("shingle"))
     common = items.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     ranked = items.join(common, "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("size", "shingle"))).alias("common"))
@@ -189,10 +215,10 @@ def rare_buckets(members: DataFrame, sets: DataFrame) -> DataFrame:
     paired = paired.withColumn("other", F.explode(F.sequence(size_class(least), size_class(F.floor(F.col("n") * 100 / PERCENT)))))
     partner = F.greatest(least, F.floor(F.pow(F.lit(CLASS_WIDTH), F.col("other"))))
     paired = paired.withColumn("needed", (F.size("common") - _overlap(F.col("n"), partner) + 1).cast("int")).where("needed > 0")
-    dealt = paired.select("rep", "n", "pop", "own", "other", F.size("common").alias("k"), F.posexplode(F.slice("common", F.lit(1), F.col("needed"))).alias("i", "at"))
+    dealt = paired.select("rep", "n", "pop", "bits", "own", "other", F.size("common").alias("k"), F.posexplode(F.slice("common", F.lit(1), F.col("needed"))).alias("i", "at"))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     band = F.xxhash64("at.shingle", F.least("own", "other"), F.greatest("own", "other"))
-    return dealt.select(band.alias("band"), side.alias("side"), "rep", "n", "pop", (F.col("k") - F.col("i")).cast("long").alias("left"))
+    return dealt.select(band.alias("band"), side.alias("side"), "rep", "n", "pop", (F.col("k") - F.col("i")).cast("long").alias("left"), "bits")
 
 
 def _overlap(n, m):
@@ -211,8 +237,8 @@ def cluster(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str
     bounded_batches(spark)
     scratch = Scratch(spark, "near_dedup")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = scratch.save(texts.mapInArrow(sketch, "id long, n long, h1 long, h2 long, bands array<long>"))
-    classes = scratch.save(rows.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("key"), F.any_value("bands").alias("bands")).withColumn("rep", F.monotonically_increasing_id()))
+    rows = scratch.save(texts.mapInArrow(sketch, "id long, n long, h1 long, h2 long, bands array<long>, bits array<long>"))
+    classes = scratch.save(rows.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("key"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits")).withColumn("rep", F.monotonically_increasing_id()))
 
     banded = classes.select("rep", F.explode("bands").alias("band"))
     shared = scratch.save(sizes_of(banded, "band").where("size > 1"))
@@ -234,24 +260,24 @@ def cluster(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str
     labels = scratch.save(relabel(own, found))
 
     def unsettled(left: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Rows (band, side, rep, n, pop, left), with comp, of buckets that hold several components and can have pairs; and the buckets' sizes."""
+        """The rows (band, side, rep, n, pop, left, ...), with comp, of buckets that hold several components and can have pairs; and the buckets' sizes."""
         left = left.join(labels.select(F.col("id").alias("rep"), "comp"), "rep")
         mixed = left.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("side").alias("first"), F.max("side").alias("last"), F.count(F.lit(1)).alias("size"))
         mixed = scratch.save(mixed.where("low < high AND (first < last OR first = 2)").select("band", "size"))
-        return scratch.save(spread_join(left, mixed.select("band"), ["band"], mixed, "rep").select("band", "side", "rep", "n", "pop", "left", "comp")), mixed
+        return scratch.save(spread_join(left, mixed.select("band"), ["band"], mixed, "rep").select(*left.columns)), mixed
 
     mixed, sizes = unsettled(members.withColumn("side", F.lit(2)).withColumn("left", F.col("n")))
     scratch.drop(members, sizes)
-    (left, sizes), slots, turn = unsettled(scratch.save(rare_buckets(mixed, sets))), 8, 0
+    (left, sizes), slots, turn = unsettled(scratch.save(rare_buckets(mixed, sets, classes.select("rep", "bits")))), 8, 0
     scratch.drop(mixed)
     while left.limit(1).count():
         slot = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(slots))
-        chosen = F.max(F.struct("pop", (-F.col("rep")).alias("minus"), F.col("n").alias("m"), F.col("comp").alias("other"), F.col("left").alias("right"))).alias("top")
+        chosen = F.max(F.struct("pop", (-F.col("rep")).alias("minus"), F.col("n").alias("m"), F.col("comp").alias("other"), F.col("left").alias("right"), F.col("bits").alias("face"))).alias("top")
         centers = left.groupBy("band", "side", slot.alias("slot")).agg(chosen)
-        centers = scratch.save(centers.select("band", F.col("side").alias("facing"), (-F.col("top.minus")).alias("center"), "top.m", "top.other", "top.right"))
+        centers = scratch.save(centers.select("band", F.col("side").alias("facing"), (-F.col("top.minus")).alias("center"), "top.m", "top.other", "top.right", "top.face"))
         meets = (F.col("comp") != F.col("other")) & ((F.col("side") == 2) | (F.col("side") != F.col("facing"))) & _alike("n", "m")
         meets = meets & (F.least("left", "right") >= _overlap(F.col("n"), F.col("m")))  # else this is not their first common shingle, or they share too few
-        pairs = spread_join(left, centers, ["band"], sizes, "rep").where(meets).select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b")).distinct()
+        pairs = spread_join(left, centers, ["band"], sizes, "rep").where(meets & may_link("bits", "face")).select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b")).distinct()
         pairs = scratch.save(pairs)
         ends = [labels.select(F.col("id").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab"]
         edges = links(pairs, sets).join(ends[0], "a").join(ends[1], "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct()
@@ -264,7 +290,7 @@ def cluster(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str
         sizes, slots, turn = now, slots * 8, turn + 1
     scratch.drop(sets, left, sizes)
 
-    known = classes.drop("bands").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    known = classes.drop("bands", "bits").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     several = rows.where("id IS NOT NULL").groupBy("id").agg(*(f(c).alias(f"{k}_{c}") for k, f in (("low", F.min), ("high", F.max)) for c in ("n", "h1", "h2")))
     several = scratch.save(several.where("low_n < high_n OR low_h1 < high_h1 OR low_h2 < high_h2").select("id"))
     repeats = several.limit(1).count() > 0
