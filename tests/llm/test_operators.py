@@ -120,6 +120,29 @@ def test_near_duplicates_of_repeated_keys(spark):
     assert got == Counter((i, len(s), c) for (i, _), s, c in zip(texts, sets, comp, strict=True))
 
 
+def test_near_duplicates_among_filled_templates(spark, monkeypatch):
+    """Texts from one template whose gaps come from small sets share rare shingles with many others, yet few pairs are read in full."""
+    rng = random.Random(6)
+    gaps = [[f"p{j}_{k}" for k in range(6)] for j in range(15)]
+    texts = [(i, " ".join(" ".join([*(f"t{j}_{k}" for k in range(7)), rng.choice(gap)]) for j, gap in enumerate(gaps))) for i in range(400)]
+    texts += [(1000 + i, f"{texts[i][1]} and {i}") for i in range(0, 400, 40)]
+    read, links = [], near_dedup.links
+    monkeypatch.setattr(near_dedup, "links", lambda pairs, sets: (read.append(pairs.count()), links(pairs, sets))[1])
+    got = {r["id"]: (r["n"], r["component"]) for r in near_dedup.cluster(spark, spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == brute_components(texts)
+    assert sum(read) < 3 * len(texts)
+
+
+def test_signatures_of_links_pass(spark):
+    """Sets that just reach the similarity differ in fewer bits than the limit; unlike ones in more."""
+    rng = np.random.default_rng(2)
+    pool = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
+    alike, other = [near_dedup.planes(np.stack([near_dedup.signature(np.sort(x)) for x in (pool[:700], y)])) for y in (pool[100:700], pool[400:])]
+    rows = [(k, [int(v) for v in p[0]], [int(v) for v in p[1]]) for k, p in enumerate((alike, other))]
+    got = spark.createDataFrame(rows, "k int, a array<long>, b array<long>").select("k", near_dedup.may_link("a", "b").alias("ok")).collect()
+    assert {r["k"]: r["ok"] for r in got} == {0: True, 1: False}
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
