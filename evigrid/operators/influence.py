@@ -52,13 +52,22 @@ def influence(primitives: DataFrame, res: float, most: float = 0.7, ridge: float
     return near.select(*primitives.columns, "ix", "iy", "iz", scale.alias("scale"))
 
 
-def evidence_map(acting: DataFrame, classes: int, prior: float, bound: float = 10.0) -> DataFrame:
-    """Log-odds of each voxel: scale * ln(p / prior) of the primitives in order of id, clamped after each. At most one entry per primitive in a row."""
+def evidence_map(acting: DataFrame, classes: int, prior: float, bound: float = 10.0, part: int = 4096) -> DataFrame:
+    """Log-odds of each voxel: scale * ln(p / prior) of the primitives in order of id, clamped after each.
+
+    A run of such steps is itself a step h -> clamp(h + a, low, high), so a voxel's primitives are folded by parts of `part` ids
+    each, and then its parts: no row holds more.
+    """
     odds = F.transform("p", lambda p: scalar.log_odds(p, prior))
     items = F.sort_array(F.collect_list(F.struct("id", F.transform(odds, lambda o: o * F.col("scale")).alias("a"))))
-    fold = lambda k: F.aggregate(F.col("items"), F.lit(0.0), lambda h, e: scalar.clamp(h + e["a"][k], -bound, bound))
-    cells = acting.groupBy("ix", "iy", "iz").agg(items.alias("items"))
-    return cells.select("ix", "iy", "iz", F.size("items").alias("n"), F.array(*(fold(k) for k in range(classes))).alias("h"))
+    step = lambda k: lambda s, e: F.struct((s["a"] + e["a"][k]).alias("a"), scalar.clamp(s["low"] + e["a"][k], -bound, bound).alias("low"), scalar.clamp(s["high"] + e["a"][k], -bound, bound).alias("high"))
+    none = F.struct(F.lit(0.0).alias("a"), F.lit(-bound).alias("low"), F.lit(bound).alias("high"))
+    parts = acting.groupBy("ix", "iy", "iz", F.floor(F.col("id") / part).alias("part")).agg(items.alias("items"))
+    parts = parts.select("ix", "iy", "iz", "part", F.size("items").alias("n"), F.array(*(F.aggregate("items", none, step(k)) for k in range(classes))).alias("s"))
+    runs = F.sort_array(F.collect_list(F.struct("part", "s")))
+    fold = lambda k: F.aggregate(F.col("runs"), F.lit(0.0), lambda h, e: F.least(F.greatest(h + e["s"][k]["a"], e["s"][k]["low"]), e["s"][k]["high"]))
+    cells = parts.groupBy("ix", "iy", "iz").agg(runs.alias("runs"), F.sum("n").cast("int").alias("n"))
+    return cells.select("ix", "iy", "iz", "n", F.array(*(fold(k) for k in range(classes))).alias("h"))
 
 
 def attributes(cells: DataFrame, traversable: list[int], avoided: list[int]) -> DataFrame:

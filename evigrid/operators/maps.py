@@ -113,22 +113,48 @@ def reset(cells: DataFrame, low: tuple[int, int, int], high: tuple[int, int, int
     return cells.where(~inside(low, high))
 
 
-def moving_costs(points: DataFrame, size: tuple[float, float, float], costs: dict[int, int], alpha: float = 0.3) -> DataFrame:
-    """Cost, uncertainty and class of voxels, averaged in order of time (ts, class, u). A class replaces the last one if it is surer than the new average. A voxel's rows are folded in one row."""
+#: Uncertainties nearer than this are equal: averages of equal values differ in their last digits.
+TIE = 1e-9
+
+
+def moving_costs(points: DataFrame, size: tuple[float, float, float], costs: dict[int, int], alpha: float = 0.3, part: Column | None = None) -> DataFrame:
+    """Cost, uncertainty and class of voxels, averaged in order of time (ts, class, u). A class replaces the last one if it is surer than the average before it (and so than the new one).
+
+    A voxel's rows are folded part by part (part must rise with the order, e.g. a month), and its parts one after the other, so
+    no row holds more than one part. m steps take an average v to (1 - alpha)^m v + b. Which class a part ends with depends on
+    the uncertainty u before it: that of the last row whose own was below the average, a row that replaces the class wherever u
+    is above some threshold. Of these only those stay that a later row with a lower threshold doesn't hide.
+    """
     cost = F.lit(0.5)
     for k, c in costs.items():
         cost = F.when(F.col("class") == k, c / 100).otherwise(cost)
-    seen = F.sort_array(F.collect_list(F.struct("ts", "class", "u", cost.alias("cost"))))
-    grid = spatial.voxelise(points, size).groupBy("ix", "iy", "iz").agg(seen.alias("seen"), F.count(F.lit(1)).alias("n"))
-    state = lambda c, u, k: F.struct(c.alias("cost"), u.alias("u"), k.alias("class"))
+    rows = spatial.voxelise(points, size).withColumn("part", F.lit(0) if part is None else part)
+    items = F.sort_array(F.collect_list(F.struct("ts", "class", "u", cost.alias("cost"))))
+    parts = rows.groupBy("ix", "iy", "iz", "part").agg(items.alias("items"), F.count(F.lit(1)).alias("n"))
+    turns = "array<struct<above: double, class: int>>"
+    state = lambda m, cost, u, t: F.struct(m.alias("m"), cost.alias("cost"), u.alias("u"), t.alias("turns"))
 
     def step(s: Column, e: Column) -> Column:
-        u = alpha * e["u"] + (1 - alpha) * s["u"]
-        return state(alpha * e["cost"] + (1 - alpha) * s["cost"], u, F.when(e["u"] < u, e["class"]).otherwise(s["class"]))
-
-    first = F.col("seen")[0]
-    folded = F.aggregate(F.slice("seen", F.lit(2), F.size("seen")), state(first["cost"], first["u"], first["class"]), step)
-    return grid.withColumn("s", folded).select("ix", "iy", "iz", "n", "s.cost", "s.u", "s.class")
+        above = F.when(s["m"] > 1e-200, (e["u"] + TIE - s["u"]) / s["m"]).when(e["u"] + TIE < s["u"], float("-inf")).otherwise(float("inf"))
+        seen = F.filter(s["turns"], lambda t: t["above"] < above)
+        more = F.concat(seen, F.array(F.struct(above.alias("above"), e["class"].cast("int").alias("class"))))
+        keep = 1 - alpha
+        return state(keep * s["m"], alpha * e["cost"] + keep * s["cost"], alpha * e["u"] + keep * s["u"], F.when(above < 2, more).otherwise(s["turns"]).cast(turns))
+
+    folded = F.aggregate("items", state(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.array().cast(turns)), step)
+    # A voxel's first row sets the averages; taken as its state before, it changes nothing as the first step.
+    first = F.struct(F.col("items")[0]["cost"].alias("cost"), F.col("items")[0]["u"].alias("u"), F.col("items")[0]["class"].cast("int").alias("class"))
+    parts = parts.select("ix", "iy", "iz", "part", "n", first.alias("first"), folded.alias("s"))
+    runs = F.sort_array(F.collect_list(F.struct("part", "n", "first", "s")))
+    grid = parts.groupBy("ix", "iy", "iz").agg(runs.alias("runs"), F.sum("n").alias("n"))
+    start = F.col("runs")[0]["first"]
+
+    def join(v: Column, r: Column) -> Column:
+        hit = F.filter(r["s"]["turns"], lambda t: t["above"] < v["u"])
+        now = F.when(F.size(hit) > 0, F.element_at(hit, -1)["class"]).otherwise(v["class"])
+        return F.struct((r["s"]["m"] * v["cost"] + r["s"]["cost"]).alias("cost"), (r["s"]["m"] * v["u"] + r["s"]["u"]).alias("u"), now.alias("class"))
+
+    return grid.withColumn("v", F.aggregate("runs", start, join)).select("ix", "iy", "iz", "n", "v.cost", "v.u", "v.class")
 
 
 def project_costs(voxels: DataFrame, low: int, high: int, robot: int, ground: int, floor: int = 1) -> DataFrame:

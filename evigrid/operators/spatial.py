@@ -25,18 +25,30 @@ def class_evidence(df: DataFrame, size: tuple[float, float, float], classes: int
     return grid.select("ix", "iy", "iz", "n", scalar.argmax(each).alias("class"), F.round(F.array_max(each) / F.col("n"), 6).alias("confidence"))
 
 
+#: Rows of left that one task meets at most in a cell, about, and the number of cells that can be told to be dense: each holds
+#: more than 1 / DENSE of all rows.
+SHARE, DENSE = 4096, 1000
+
+
 def radius_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """Pairs of rows (id, x, y, z, and others) closer than radius: equi-join on cells of that size, of which right fills 27.
 
-    Columns of right get the prefix other_. A pair of different ids appears once.
+    Columns of right get the prefix other_. A pair of different ids appears once. The rows of a dense cell of left are dealt to
+    many tasks, each of which gets the cell's rows of right; the list of dense cells, DENSE at most, is broadcast.
     """
     grid = ["cx", "cy", "cz"]
     near = left.withColumns({f"c{k}": cell(F.col(k), radius) for k in "xyz"})
+    sizes = near.groupBy(*grid).agg(F.count(F.lit(1)).alias("size"))
+    most = sizes.agg(F.greatest(F.lit(SHARE), F.ceil(F.sum("size") / DENSE))).scalar()
+    dense = F.broadcast(sizes.withColumn("parts", F.ceil(F.col("size") / most).cast("int")).where("parts > 1").select(*grid, "parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    near = near.join(dense, grid, "left").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).drop("parts")
     far = right.select(*(F.col(c).alias(f"other_{c}") for c in right.columns)).withColumns({f"c{k}": cell(F.col(f"other_{k}"), radius) for k in "xyz"})
     for k in grid:
         far = far.withColumn(k, F.explode(F.array(*(F.col(k) + d for d in (-1, 0, 1)))))
+    far = far.join(dense, grid, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
     d2 = sum(((F.col(k) - F.col(f"other_{k}")) * (F.col(k) - F.col(f"other_{k}")) for k in "xyz"), F.lit(0.0))
-    return near.join(far, grid).withColumn("d2", d2).where(F.col("d2") < radius * radius).drop(*grid)
+    return near.join(far, [*grid, "part"]).withColumn("d2", d2).where(F.col("d2") < radius * radius).drop(*grid, "part")
 
 
 def spatial_uncertainty(df: DataFrame, radius: float, least: int = 3) -> DataFrame:
@@ -165,19 +177,41 @@ def order_statistic(df: DataFrame, by: str, value: str, share: float) -> DataFra
     return ranked.where("upto >= rank").groupBy(by).agg(F.min(value).alias("value"))
 
 
+#: Cells that a point's neighbourhood is cut into, along an axis, to leave out parts that can't hold the nearest point.
+FINE = 4
+
+
+def nearest_in_cells(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
+    """nearest(), but right's points are met by fine cells: one point of each cell bounds the distance, and only cells that can hold a nearer one are opened. Rows of left without a point in reach are left out."""
+    step = radius / FINE
+    fine = [cell(F.col(k), step).alias(f"f{k}") for k in "xyz"]
+    cells = right.select("id", "x", "y", "z", *fine)
+    stand_ins = cells.groupBy("fx", "fy", "fz").agg(F.min_by(F.struct("x", "y", "z"), "id").alias("p"), F.min("id").alias("id"))
+    near = radius_pairs(left.select("id", "x", "y", "z"), stand_ins.select("id", "p.x", "p.y", "p.z", "fx", "fy", "fz"), 2 * radius).checkpoint()
+    # The nearest point is no farther than the nearest stand-in; a cell's nearest corner or face says whether it can hold it.
+    gap = [F.greatest(F.col(f"other_f{k}") * step - F.col(k), F.col(k) - (F.col(f"other_f{k}") + 1) * step, F.lit(0.0)) for k in "xyz"]
+    bound = near.groupBy("id").agg(F.least(F.min("d2"), F.lit(radius * radius)).alias("bound"))
+    opened = near.join(bound, "id").where(sum((g * g for g in gap), F.lit(0.0)) <= F.col("bound") * (1 + 1e-9))
+    opened = opened.select("id", "x", "y", "z", *(F.col(f"other_f{k}").alias(f"f{k}") for k in "xyz"))
+    points = cells.select(F.col("id").alias("other_id"), *(F.col(k).alias(f"other_{k}") for k in "xyz"), "fx", "fy", "fz")
+    d2 = sum(((F.col(k) - F.col(f"other_{k}")) * (F.col(k) - F.col(f"other_{k}")) for k in "xyz"), F.lit(0.0))
+    best = opened.join(points, ["fx", "fy", "fz"]).withColumn("d2", d2).where(F.col("d2") < radius * radius).groupBy("id").agg(F.min(F.struct("d2", "other_id")).alias("best"))
+    return best.select("id", F.col("best.other_id").alias("nearest"), F.round(F.sqrt("best.d2"), 6).alias("distance"))
+
+
 def nearest_of_all(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """Each id of left with the nearest id of right (the smallest of equals), however far: id, nearest, distance.
 
-    Radius doubles each round for the points that met nothing yet; what meets something in a radius has its nearest there.
-    Ends when right's box lies within the radius of every point. Each round is cut by checkpoint().
+    Radius doubles each round for the points that met nothing yet; what meets something in a radius has its nearest there. A
+    point meets one stand-in per fine cell, and the points of few cells, so a far away crowd costs as much as a single point.
+    Ends when right's box lies within the radius of every point; without right there are no rows. Each round is cut by checkpoint().
     """
     span = lambda df: [f(k).alias(f"{n}{k}") for k in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]
     box = left.select("x", "y", "z").union(right.select("x", "y", "z")).agg(*span(left)).first()
     wide = sum((box[f"hi{k}"] - box[f"lo{k}"]) ** 2 for k in "xyz") ** 0.5 if box["lox"] is not None else 0.0
     done, rest = None, left.select("id", "x", "y", "z")
     while True:
-        found = nearest(rest, right, radius).checkpoint()
-        met = found.where("nearest IS NOT NULL")
+        met = nearest_in_cells(rest, right, radius).checkpoint()
         done = met if done is None else done.union(met)
         rest = rest.join(met, "id", "left_anti").checkpoint()
         if radius > wide or rest.isEmpty():

@@ -163,19 +163,19 @@ COST_CASE = "CASE class " + " ".join(f"WHEN {k} THEN {v / 100}::DOUBLE" for k, v
 #: Moving averages of short decimals often end in a 5 that the two engines round in different ways; this much decides it.
 NUDGE = 1e-9
 EMA3 = f"""{POINTS}, o AS (SELECT CAST(floor(x / 2.0) AS INT) AS ix, CAST(floor(y / 4.0) AS INT) AS iy, CAST(floor(z / 1.0) AS INT) AS iz, list({{'c': {COST_CASE}, 'u': u, 'k': class}} ORDER BY ts, class, u) AS a, count(*) AS n FROM pts GROUP BY ALL),
-  ema AS (SELECT ix, iy, iz, n, list_reduce(a, lambda s, e: {{'c': 0.3 * e.c + 0.7 * s.c, 'u': 0.3 * e.u + 0.7 * s.u, 'k': CASE WHEN e.u < 0.3 * e.u + 0.7 * s.u THEN e.k ELSE s.k END}}) AS s FROM o)"""
+  ema AS (SELECT ix, iy, iz, n, list_reduce(a, lambda s, e: {{'c': 0.3 * e.c + 0.7 * s.c, 'u': 0.3 * e.u + 0.7 * s.u, 'k': CASE WHEN e.u + 1e-9 < s.u THEN e.k ELSE s.k END}}) AS s FROM o)"""
 
 
 @query(f"WITH {EMA3} SELECT ix, iy, iz, n, round(s.c + 1e-9, 6) AS cost, round(s.u + 1e-9, 6) AS u, CAST(s.k AS INT) AS class FROM ema")
 def a16_moving_costs(spark, sf_dir):
     """3-D costs as moving averages per voxel, in order of time."""
-    return maps.moving_costs(points(spark, sf_dir), (2.0, 4.0, 1.0), COSTS).select("ix", "iy", "iz", "n", r(F.col("cost") + NUDGE, "cost"), r(F.col("u") + NUDGE, "u"), "class")
+    return maps.moving_costs(points(spark, sf_dir), (2.0, 4.0, 1.0), COSTS, part=F.year("ts")).select("ix", "iy", "iz", "n", r(F.col("cost") + NUDGE, "cost"), r(F.col("u") + NUDGE, "u"), "class")
 
 
 @query(f"WITH {EMA3} SELECT ix, iy, CAST(greatest(0, least(100, max(CAST(trunc(100 * least(1, greatest(0, (round(s.c + 1e-9, 6) + 0.2 * round(s.u + 1e-9, 6)) * CASE WHEN iz > 7 THEN 0.1 WHEN iz < 2 AND s.k = 1 THEN 0 ELSE 1 END))) AS INT)))) AS INT) AS cost FROM ema WHERE iz BETWEEN 1 AND 8 GROUP BY ix, iy")
 def a17_m26_project_costs(spark, sf_dir):
     """Highest 3-D cost of a column in the robot's band, as 0 to 100."""
-    v = maps.moving_costs(points(spark, sf_dir), (2.0, 4.0, 1.0), COSTS).select("ix", "iy", "iz", r(F.col("cost") + NUDGE, "cost"), r(F.col("u") + NUDGE, "u"), "class")
+    v = maps.moving_costs(points(spark, sf_dir), (2.0, 4.0, 1.0), COSTS, part=F.year("ts")).select("ix", "iy", "iz", r(F.col("cost") + NUDGE, "cost"), r(F.col("u") + NUDGE, "u"), "class")
     return maps.project_costs(v, 1, 8, 7, 2)
 
 

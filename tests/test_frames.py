@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from evigrid import config
 from evigrid.functions import evidential as E
 from evigrid.functions import geometry as G
-from evigrid.operators import folds, metrics, primitives, spatial, visibility
+from evigrid.operators import folds, influence, maps, metrics, primitives, spatial, visibility
 from evigrid.sources import frames, images, sinks
 
 
@@ -84,6 +84,59 @@ def test_nearest_of_all_has_no_radius(spark):
     assert spatial.nearest_of_all(a, b.limit(0), 1.0).count() == 0
 
 
+def cloud(spark, rng, n, first, *centres):
+    rows = [(first + i, *map(float, np.round(rng.normal(centres[i % len(centres)], 0.7, 3), 2))) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "id long, x double, y double, z double")
+
+
+def test_spatial_joins_against_brute_force(spark, monkeypatch):
+    """Dense cells dealt to several tasks, far groups, ties and equal points."""
+    rng = np.random.default_rng(8)
+    a, left = cloud(spark, rng, 150, 0, (0, 0, 0), (9, 0, 0))
+    b, right = cloud(spark, rng, 120, 1000, (0, 0, 0), (40, 0, 0))
+    b += [(5000 + i, *r[1:]) for i, r in enumerate(b[:10])]
+    right = spark.createDataFrame(b, right.schema)
+    d2 = lambda p, q: sum((u - v) * (u - v) for u, v in zip(p[1:], q[1:], strict=True))
+    for share in (4096, 8):
+        monkeypatch.setattr(spatial, "SHARE", share)
+        for radius in (0.8, 3.0):
+            pairs = spatial.radius_pairs(left, right, radius).select("id", "other_id").collect()
+            assert len(pairs) == len(set(pairs)) and set(map(tuple, pairs)) == {(p[0], q[0]) for p in a for q in b if d2(p, q) < radius * radius}
+    for radius in (0.3, 100.0):
+        got = {r["id"]: (r["nearest"], r["distance"]) for r in spatial.nearest_of_all(left, right, radius).collect()}
+        want = {p[0]: min((d2(p, q), q[0]) for q in b) for p in a}
+        assert {k: v[0] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
+        assert all(got[k][1] == pytest.approx(v[0] ** 0.5, abs=1e-6) for k, v in want.items())
+
+
+def test_voxel_folds_by_parts(spark):
+    """Evidence and moving costs are the same however their rows are parted."""
+    rng = np.random.default_rng(9)
+    rows = [(i, i % 3, 0, 0, float(s), [float(q) for q in rng.dirichlet([1, 1])]) for i, s in enumerate(rng.uniform(0, 9, 300))]
+    acting = spark.createDataFrame(rows, "id long, ix int, iy int, iz int, scale double, p array<double>")
+    for part in (1, 7, 4096):
+        h = np.zeros((3, 2))
+        for _, x, _, _, s, p in rows:
+            h[x] = np.clip(h[x] + s * np.log(np.clip(p, 1e-6, 1 - 1e-6) / 0.5), -10, 10)
+        got = {r["ix"]: (r["n"], r["h"]) for r in influence.evidence_map(acting, 2, 0.5, part=part).collect()}
+        assert all(got[x][0] == 100 and got[x][1] == pytest.approx(list(h[x]), abs=1e-9) for x in range(3))
+    seen = [(float(i % 3), 0.0, 0.0, float(np.round(u, 1)), int(k), i) for i, (u, k) in enumerate(zip(rng.random(300), rng.integers(0, 4, 300), strict=True))]
+    points = spark.createDataFrame(seen, "x double, y double, z double, u double, class int, ts int")
+    costs = {0: 0, 1: 80, 2: 60}
+    want = {}
+    for x, _, _, u, k, _ in seen:
+        c = costs.get(k, 50) / 100
+        if x in want:
+            m, v, old = want[x]
+            want[x] = (0.3 * c + 0.7 * m, 0.3 * u + 0.7 * v, k if u + maps.TIE < v else old)
+        else:
+            want[x] = (c, u, k)
+    for part in (None, F.floor(F.col("ts") / 7), F.col("ts")):
+        got = {float(r["ix"]): r for r in maps.moving_costs(points, (1.0, 1.0, 1.0), costs, part=part).collect()}
+        for x, (m, v, k) in want.items():
+            assert (got[x]["cost"], got[x]["u"]) == pytest.approx((m, v), abs=1e-9) and got[x]["class"] == k and got[x]["n"] == 100
+
+
 def test_auprc_against_brute_force(spark):
     rng = np.random.default_rng(3)
     gt, p = rng.integers(0, 3, 60), np.round(rng.random((60, 3)), 1)  # many ties
