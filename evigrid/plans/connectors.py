@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics, spatial
 from ..sources import frames, sinks
 from ..sources.tables import points, read_map, table, write_map
-from ..streaming import voxels
+from ..streaming import state, voxels
 from .queries import CELLS, JUDGED, POINTS, VOXEL, cells, judged, query
 
 
@@ -156,3 +156,38 @@ def t5_o3_capped_map(spark, sf_dir):
     stream = spark.readStream.schema(points(spark, sf_dir).schema).parquet(source)
     voxels.keep_map(stream, VOXEL, path, folder(spark, "state"), most=300).awaitTermination()
     return voxels.current(spark, path)
+
+
+@query("SELECT event_id, list_transform([0, 1, 2], lambda k: round(value / 100.0 * (k + 1) - k, 6)) AS logits, CAST(CASE WHEN value / 100.0 >= 1 THEN 2 ELSE 0 END AS INT) AS label FROM events WHERE event_type = 'view'")
+def s18_inference(spark, sf_dir):
+    """A model as a function over batches of frames; here a linear one of three classes."""
+
+    def model(batch):
+        import numpy as np
+        import pandas as pd
+
+        x = batch["value"].to_numpy()[:, None] / 100.0
+        logits = np.round(x * np.arange(1, 4) - np.arange(3), 6)
+        return pd.DataFrame({"event_id": batch["event_id"], "logits": list(logits), "label": np.where(x[:, 0] >= 1, 2, 0).astype("int32")})
+
+    e = table(spark, sf_dir, "events").where("event_type = 'view'").select("event_id", "value")
+    return frames.infer(e, model, "event_id long, logits array<double>, label int")
+
+
+TRIPLES = "SELECT l.event_id AS id_0, v.event_id AS id_1, p.event_id AS id_2, greatest(abs(epoch_us(l.ts) - epoch_us(v.ts)), abs(epoch_us(l.ts) - epoch_us(p.ts))) / 1e6 AS gap FROM events l JOIN events v ON l.user_id = v.user_id AND abs(epoch_us(l.ts) - epoch_us(v.ts)) <= 3600000000 JOIN events p ON l.user_id = p.user_id AND abs(epoch_us(l.ts) - epoch_us(p.ts)) <= 3600000000 WHERE l.event_type = 'click' AND v.event_type = 'view' AND p.event_type = 'purchase'"
+
+
+@query(TRIPLES)
+def j2_t4_s1_stream_sync(spark, sf_dir):
+    """Three streams of stamped frames, joined as they come: all tuples within an hour."""
+    kinds, streams = ("click", "view", "purchase"), []
+    for kind in kinds:
+        source = folder(spark, kind)
+        e = table(spark, sf_dir, "events").where(F.col("event_type") == kind)
+        e = e.select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"))
+        e.coalesce(1).write.parquet(source)
+        streams.append(frames.stream_frames(spark, source, e.schema))
+    path = folder(spark, "triples")
+    out = state.sync_all(streams, "user_id", "1 hour", "100 days").select("id_0", "id_1", "id_2", "gap")
+    out.writeStream.format("parquet").option("path", path).option("checkpointLocation", folder(spark, "state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(path)

@@ -77,3 +77,15 @@ def sync(left: DataFrame, right: DataFrame, key: str, skew: str, late: str) -> D
     near = (F.col(key) == F.col("right_key")) & F.col("right_ts").between(F.col("left_ts") - F.expr(f"INTERVAL {skew}"), F.col("left_ts") + F.expr(f"INTERVAL {skew}"))
     gap = F.abs(F.timestamp_diff("MICROSECOND", F.col("left_ts"), F.col("right_ts"))) / 1e6
     return a.join(b, near).select(key, "left_id", "right_id", gap.alias("gap"))
+
+
+def sync_all(streams: list[DataFrame], key: str, skew: str, late: str) -> DataFrame:
+    """Tuples of several streams (key, ts, id) whose stamps differ from the first one's by skew at most: key, id_0, id_1, ..., and gap (the largest, in seconds)."""
+    out = streams[0].withWatermark("ts", late).select(F.col(key), F.col("ts").alias("ts_0"), F.col("id").alias("id_0"), F.lit(0.0).alias("gap"))
+    for k, other in enumerate(streams[1:], 1):
+        b = other.withWatermark("ts", late).select(F.col(key).alias("other_key"), F.col("ts").alias("other_ts"), F.col("id").alias(f"id_{k}"))
+        near = F.col("other_ts").between(F.col("ts_0") - F.expr(f"INTERVAL {skew}"), F.col("ts_0") + F.expr(f"INTERVAL {skew}"))
+        gap = F.abs(F.timestamp_diff("MICROSECOND", F.col("ts_0"), F.col("other_ts"))) / 1e6
+        # The next join allows one event time on each side: the first stream's goes on.
+        out = out.join(b, (F.col(key) == F.col("other_key")) & near).select(key, "ts_0", *(f"id_{j}" for j in range(k + 1)), F.greatest("gap", gap).alias("gap"))
+    return out.drop("ts_0")
