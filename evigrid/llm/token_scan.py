@@ -44,8 +44,10 @@ def write_flat(spark: SparkSession, docs: DataFrame, path: str, ranks_path: str,
     """Encode texts and write flat files: ids of `width` bytes (little-endian), each document followed by `end`.
 
     Spark's text writer puts the bytes of a row down as they are, and the separator as it would a line's end, so files
-    can go to any store that Spark writes to.
+    can go to any store that Spark writes to. An `end` that a text's tokens may hold, or that `width` bytes can't, is an error.
     """
+    if end >= 1 << 8 * width or end in bpe.encoding(ranks_path, pattern)._mergeable_ranks.values():
+        raise ValueError(f"{end} can't separate documents")
     ship(spark)
     bounded_batches(spark)
 
