@@ -361,6 +361,8 @@ def test_token_files(spark, docs, rows, tmp_path):
     assert Counter((r["key"], r["n_tokens"]) for r in of_key.collect()) == Counter((r[0], len(bpe.encode_text(r[1] or "", path, pattern))) for r in rows)
     with pytest.raises(Exception, match="don't match"):
         token_scan.keyed(token_scan.count_tokens(spark, token_scan.blocks(spark, str(tmp_path / "flat")), queries.END), known.where("place <> 3")).collect()
+    with pytest.raises(ValueError, match="can't separate"):
+        token_scan.write_flat(spark, docs, str(tmp_path / "bad"), path, pattern, 7)
     token_scan.write_flat(spark, empty(spark), str(tmp_path / "none"), path, pattern, queries.END)
     assert token_scan.count_tokens(spark, token_scan.blocks(spark, str(tmp_path / "none")), queries.END).count() == 0
     (tmp_path / "raw").mkdir()
@@ -628,6 +630,36 @@ def test_pipeline(spark):
         assert stage(spark, docs, sf).columns == docs.columns, name
 
 
+def test_pipeline_keeps_what_its_rules_score(spark):
+    """keep_quality against the model's rules, one document at a time."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    learnt = [r["doc_id"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1]
+    bias, rules = rule_ensemble.train(spark, docs, labels.where(F.col("doc_id").isin(learnt)))
+    values = text_stats.with_stats(docs, "text", repeats=False).select("doc_id", *(c.alias(n) for n, c in rule_ensemble.features("stats").items()))
+    want = {r["doc_id"] for r in values.collect() if bias + sum(w for rule, w in rules if all((r[name] > cut) == above for name, above, cut in rule)) >= 0}
+    kept = corpus_pipeline.keep_quality(spark, docs, sf)
+    assert {tuple(r) for r in kept.collect()} == {tuple(r) for r in docs.collect() if r["doc_id"] in want}
+
+
+def test_pipeline_mixes_by_its_rates(spark):
+    """mix_sources against the fitted rates, each rounded with the draw of its document."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    model = mixing.train(spark, docs, queries.domains(labels))
+    out, _ = mixing.rates(spark, docs, model, queries.MIX)
+    drawn = out.withColumn("draw", F.xxhash64("doc_id", F.lit(17))).collect()
+    want = Counter({r["doc_id"]: math.floor(r["rate"]) + ((r["draw"] % (1 << 64) >> 11) / (1 << 53) < r["rate"] - math.floor(r["rate"])) for r in drawn})
+    got = corpus_pipeline.mix_sources(spark, docs, sf).collect()
+    assert Counter(r["doc_id"] for r in got) == +want
+    texts = {r["doc_id"]: tuple(r) for r in docs.collect()}
+    assert all(tuple(r) == texts[r["doc_id"]] for r in got)
+
+
 def test_pipeline_stages_that_drop_copies(spark, rows, docs):
     """Rows kept by the two dedup stages in turn, against plain Python, with null texts and keys, and copies."""
     import corpus_pipeline
