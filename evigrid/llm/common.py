@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 256
 
 #: Bytes of one such batch, about: a batch of long texts ends before its rows do.
-ARROW_BYTES = 1 << 24
+ARROW_BYTES = 1 << 22
 
 #: ASCII white space, as the contracts define it.
 SPACES = r"[ \t-\r]+"

@@ -83,7 +83,8 @@ def shapes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     keep = np.ones(len(kind), bool)
     keep[1:] = kind[1:] != kind[:-1]
     keep[offsets[:-1][offsets[:-1] < len(kind)]] = True
-    return word_hashes(kind[keep], np.concatenate([[0], np.cumsum(keep)])[offsets], lower=False)
+    kept = [np.count_nonzero(keep[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return word_hashes(kind[keep], np.cumsum([0, *kept]), lower=False)
 
 
 def buckets(array: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
