@@ -119,7 +119,7 @@ def planes(signatures: np.ndarray) -> np.ndarray:
     for k in range(2):
         bits = np.packbits((signatures >> np.uint32(k)) & np.uint32(1), axis=1)
         out[:, k, : bits.shape[1]] = bits
-    return out.reshape(len(signatures), -1).view(np.int64)
+    return out.reshape(len(signatures), 2 * WORDS * 8).view(np.int64)
 
 
 def may_link(a: str, b: str) -> Column:
