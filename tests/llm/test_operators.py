@@ -86,6 +86,8 @@ def test_near_duplicates(spark, docs, rows):
     want = Counter(r[0] for r in rows if r[0] is None or brute_components(rows)[r[0]][1] == r[0])
     assert Counter(r["doc_id"] for r in kept.collect()) == want
     assert near_dedup.cluster(spark, empty(spark)).count() == 0
+    blank = spark.createDataFrame([(1, None), (2, ""), (3, " ")], "doc_id long, text string")  # batches without a shingle
+    assert {(r["id"], r["n"], r["component"]) for r in near_dedup.cluster(spark, blank).collect()} == {(1, 0, 1), (2, 0, 2), (3, 0, 3)}
 
 
 def test_near_duplicates_that_only_a_chain_links(spark):
