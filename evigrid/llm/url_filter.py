@@ -6,7 +6,7 @@ the levels are built over every key that the corpus holds, a key of the corpus g
 
 Filters are built by native aggregation (bit_or of words) and read as scalar subqueries, so probing is part of the scan.
 Their size is known before they are built: bits are proportional to the keys of the level. Beyond MOST_BITS the list
-is met by a join instead, with the same result.
+is met by a join instead, with the same result; the rows of a hot host are then dealt to many tasks.
 
 Null urls and urls without :// have an empty host and path; no rule fits them, and the empty key is never listed. Repeated
 rows get the same verdict. An empty table gives an empty result; an empty list lists nothing.
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, Scratch, free_name, whole
+from .common import LOWER, UPPER, Scratch, free_name, spread_join, whole
 
 #: (verdict, rule): host and path, as the rule's first / divides them.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -88,9 +88,11 @@ class Cascade:
     def contains(self, df: DataFrame, key: str, name: str) -> DataFrame:
         """df and a boolean column."""
         if self.levels is None:
-            own = free_name(df, "_listed")
-            listed = self.keys.where("listed").select(F.col("key").alias(own))
-            return df.join(listed, df[key] == listed[own], "left").withColumn(name, F.col(own).isNotNull()).drop(own)
+            own, row = free_name(df, "_listed"), free_name(df, "_row")
+            listed = self.keys.where("listed").select(F.col("key").alias(key), F.lit(True).alias(own))
+            sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("size"))
+            met = spread_join(df.withColumn(row, F.monotonically_increasing_id()), listed, [key], sizes, row, "left")
+            return met.select(*df.columns, F.col(own).isNotNull().alias(name))
         inside = F.lit(len(self.levels) % 2 == 1)
         for level in reversed(range(len(self.levels))):
             filter_, bits = self.levels[level]

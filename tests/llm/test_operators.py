@@ -337,6 +337,15 @@ def test_url_filter(spark):
     assert url_filter.judge(spark, df.limit(0), listed).count() == 0
 
 
+def test_url_filter_beyond_its_size_deals_hot_hosts(spark, monkeypatch):
+    monkeypatch.setattr(common, "LEAST", 5)
+    pages = spark.createDataFrame([(i, "hot" if i % 3 else f"h{i % 70}", "x", i) for i in range(900)] + [(900, None, None, None)], "size long, key string, _listed string, _row long")
+    universe = spark.createDataFrame([("hot", True), *((f"h{i}", i % 2 == 0) for i in range(70))], "key string, listed boolean")
+    got = url_filter.Cascade(spark, universe, 64).contains(pages, "key", "hit")
+    assert got.columns == [*pages.columns, "hit"]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(url_filter.Cascade(spark, universe).contains(pages.where("key IS NOT NULL"), "key", "hit").collect() + [(900, None, None, None, False)], key=lambda r: r[0])
+
+
 def test_bpe(spark, docs, rows):
     path, pattern = queries.tokenizer()
     own = bpe.encoding(path, pattern)
