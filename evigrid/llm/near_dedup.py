@@ -23,7 +23,7 @@ Work is kept linear in the documents and in the links between different texts:
   signature's coordinate travel with the members, so that a pair goes on to the test on full sets only if its signatures are alike
   enough: texts from one template that fill its gaps from small sets of phrases share rare shingles with many others;
 * texts are read again only for classes that share a band with another one;
-* joins on a bucket, a class that many others meet, or a class with many rows deal a hot key to many tasks (spread_join).
+* joins on a bucket, a shingle, a class that many others meet, or a class with many rows deal a hot key to many tasks (spread_join).
 
 Every round is a written table in the shared folder, so lost executors recompute one round at most; links, labels and
 sets never visit the driver, which only learns counts.
@@ -197,7 +197,7 @@ def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * F.col("common") >= PERCENT * (F.size("set_a") + F.size("set_b") - F.col("common"))).select("a", "b")
 
 
-def rare_buckets(members: DataFrame, sets: DataFrame, bits: DataFrame) -> DataFrame:
+def rare_buckets(scratch: Scratch, members: DataFrame, sets: DataFrame, bits: DataFrame) -> DataFrame:
     """(band, side, rep, n, pop, left, bits): members dealt by pairs of size classes and the rarest of their shingles.
 
     side: 0 for the smaller size class of the bucket's pair, 1 for the larger, 2 if both are the same; only different
@@ -206,8 +206,8 @@ def rare_buckets(members: DataFrame, sets: DataFrame, bits: DataFrame) -> DataFr
     """
     one = members.groupBy("rep").agg(F.first("n").alias("n"), F.first("pop").alias("pop")).join(bits, "rep")
     items = sets.join(one.select(F.col("rep").alias("id")), "id").select("id", F.explode("shingles").alias("shingle"))
-    common = items.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    ranked = items.join(common, "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("size", "shingle"))).alias("common"))
+    common = scratch.save(sizes_of(items, "shingle").where("size > 1"))
+    ranked = spread_join(items, common, ["shingle"], common, "id").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("size", "shingle"))).alias("common"))
     ranked = ranked.join(one, F.col("id") == F.col("rep"))
     size_class = lambda n: F.floor(F.log(n) / math.log(CLASS_WIDTH)).cast("int")
     least = F.ceil(F.col("n") * PERCENT / 100)
@@ -268,7 +268,7 @@ def cluster(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str
 
     mixed, sizes = unsettled(members.withColumn("side", F.lit(2)).withColumn("left", F.col("n")))
     scratch.drop(members, sizes)
-    (left, sizes), slots, turn = unsettled(scratch.save(rare_buckets(mixed, sets, classes.select("rep", "bits")))), 8, 0
+    (left, sizes), slots, turn = unsettled(scratch.save(rare_buckets(scratch, mixed, sets, classes.select("rep", "bits")))), 8, 0
     scratch.drop(mixed)
     while left.limit(1).count():
         slot = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(slots))
