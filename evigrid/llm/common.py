@@ -72,9 +72,20 @@ class Scratch:
         delete(self.spark, self.path)
 
 
-def delete(spark: SparkSession, path: str) -> None:
+def _store(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    store, at = _store(spark, path)
+    store.delete(at, True)
+
+
+def ensure(spark: SparkSession, path: str) -> None:
+    """Make the folder if it isn't there."""
+    store, at = _store(spark, path)
+    store.mkdirs(at)
 
 
 def whole(text: Column) -> Column:

@@ -77,9 +77,9 @@ END = 50256
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens in flat files that are written from documents."""
     path, docs = f"{scratch_root(spark)}/tokens-{uuid.uuid4().hex}", table(spark, sf_dir, "documents")
-    token_scan.write_flat(spark, docs, path, *tokenizer(), END)
-    out = token_scan.count_tokens(spark, token_scan.blocks(spark, path), END)
-    out = token_scan.keyed(out, token_scan.writers(docs, "doc_id"))
+    flat = token_scan.write_flat(spark, docs, path, *tokenizer(), END, key="doc_id")
+    out = token_scan.count_tokens(spark, token_scan.blocks(spark, flat), END)
+    out = token_scan.keyed(out, token_scan.keys(spark, path, END, docs.schema["doc_id"].dataType))
     return out.select(F.col("key").alias("doc_id"), "n_tokens", "part", "place", F.col("start").alias("start_in_file"))
 
 

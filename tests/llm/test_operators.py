@@ -367,11 +367,16 @@ def test_token_files(spark, docs, rows, tmp_path):
         got = token_scan.count_tokens(spark, token_scan.blocks(spark, str(tmp_path / "flat"), block_tokens=block), queries.END).collect()
         assert Counter(r["n_tokens"] for r in got) == want
         assert sorted(r["document"] for r in got) == list(range(len(rows)))
-    known = token_scan.writers(docs.coalesce(1), "doc_id")
-    of_key = token_scan.keyed(token_scan.count_tokens(spark, token_scan.blocks(spark, str(tmp_path / "flat"), block_tokens=300), queries.END), known)
-    assert Counter((r["key"], r["n_tokens"]) for r in of_key.collect()) == Counter((r[0], len(bpe.encode_text(r[1] or "", path, pattern))) for r in rows)
+    want = Counter((r[0], len(bpe.encode_text(r[1] or "", path, pattern))) for r in rows)
+    for name, df in (("one", docs.coalesce(1)), ("many", docs.repartition(5))):
+        flat = token_scan.write_flat(spark, df, str(tmp_path / name), path, pattern, queries.END, key="doc_id")
+        known = token_scan.keys(spark, str(tmp_path / name), queries.END, df.schema["doc_id"].dataType)
+        counted = token_scan.count_tokens(spark, token_scan.blocks(spark, flat, block_tokens=300), queries.END)
+        assert Counter((r["key"], r["n_tokens"]) for r in token_scan.keyed(counted, known).collect()) == want
     with pytest.raises(Exception, match="don't match"):
-        token_scan.keyed(token_scan.count_tokens(spark, token_scan.blocks(spark, str(tmp_path / "flat")), queries.END), known.where("place <> 3")).collect()
+        token_scan.keyed(counted, known.where("place <> 3")).collect()
+    none = token_scan.write_flat(spark, empty(spark), str(tmp_path / "nobody"), path, pattern, queries.END, key="doc_id")
+    assert token_scan.keyed(token_scan.count_tokens(spark, token_scan.blocks(spark, none), queries.END), token_scan.keys(spark, str(tmp_path / "nobody"), queries.END, docs.schema["doc_id"].dataType)).count() == 0
     with pytest.raises(ValueError, match="can't separate"):
         token_scan.write_flat(spark, docs, str(tmp_path / "bad"), path, pattern, 7)
     token_scan.write_flat(spark, empty(spark), str(tmp_path / "none"), path, pattern, queries.END)
@@ -383,6 +388,57 @@ def test_token_files(spark, docs, rows, tmp_path):
     assert [(r["start"], r["n_tokens"]) for r in got] == [(0, 2), (3, 0), (4, 3), (8, 1)]
 
 
+def test_keys_of_token_files_by_any_names_and_types(spark, tmp_path, monkeypatch):
+    """Random parts of names that look like numbers of files; separators among hex digits; several files of a task; texts and dates as keys."""
+    monkeypatch.setattr(token_scan, "FILE_DOCUMENTS", 10)
+    file = spark.createDataFrame([(f"/a/part-9-c8/{n}",) for n in ("part-00000-ea2dbe4f-c5c7-4111-c000-c002.txt", "part-00003-c1111111-c5c7-c111.c001.txt", "part-00004-c7-c12-c000")], "file string")
+    got = [tuple(r) for r in file.select(*token_scan.place_of(F.col("file"), F.lit(4))).collect()]
+    assert got == [(0, 24), (3, 14), (4, 4)]
+    path, pattern = queries.tokenizer()
+    df = spark.range(60).repartition(3).select(F.concat(F.lit("Ä §0"), "id").alias("text"), F.to_json(F.struct("id")).alias("key"), F.date_add(F.lit("2020-01-01"), F.col("id").cast("int")).alias("day"))
+    for end in (50_256, 0x3030 + (1 << 16)):  # the second one's bytes are digits
+        for key in ("key", "day"):
+            flat = token_scan.write_flat(spark, df, at := str(tmp_path / f"{key}{end}"), path, pattern, end, width=4, key=key)
+            counted = token_scan.count_tokens(spark, token_scan.blocks(spark, flat, 4), end, 4)
+            got = token_scan.keyed(counted, token_scan.keys(spark, at, end, df.schema[key].dataType, 4)).collect()
+            assert Counter((r["key"], r["n_tokens"]) for r in got) == Counter((r[key], len(bpe.encode_text(r["text"], path, pattern))) for r in df.collect())
+
+
+def test_token_counts_with_other_splits_at_each_scan(spark, tmp_path):
+    """The settings that cut a table into partitions change between the call and the evaluation."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    path, pattern = queries.tokenizer()
+    want = {r["doc_id"]: len(bpe.encode_text(r["text"] or "", path, pattern)) for r in docs.collect()}
+    docs.repartition(7).write.option("parquet.block.size", 1 << 16).parquet(str(tmp_path / "documents.parquet"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        out = queries.op4_token_counts(spark, str(tmp_path))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        assert {r["doc_id"]: r["n_tokens"] for r in out.collect()} == want
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_prefix_scan_over_ranges(spark, monkeypatch):
+    """Small ranges of blocks against one loop over all of them."""
+    monkeypatch.setattr(token_scan, "RANGE", 3)
+    rng, rows, want = random.Random(4), [], []
+    for file in "ab":
+        at, done, begun, n = 0, 0, 0, 20
+        for block in range(n):
+            tokens, seps = rng.randint(1, 9), rng.choice([0, 0, 0, 1, 2])
+            last = rng.randrange(tokens) if seps else None
+            rows.append((file, block, tokens, seps, last))
+            want.append((file, block, at, done, begun, block == n - 1))
+            begun = begun if last is None else at + last + 1
+            at, done = at + tokens, done + seps
+    rng.shuffle(rows)
+    got = token_scan.scan(spark.createDataFrame(rows, "file string, block int, tokens long, seps long, last long")).orderBy("file", "block").collect()
+    assert [tuple(r) for r in got] == want
+
+
 @pytest.mark.parametrize("arrow", [True, False])
 def test_token_files_cut_into_ranges(spark, tmp_path, monkeypatch, arrow):
     """A file over 256 MB by Arrow's ranges; a short one, in more than one split, by records."""
