@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, license_scan, mixing, near_dedup, quality_rules, rule_ensemble, token_scan, url_filter
+from . import bpe, exact_dedup, fim, language_id, license_scan, mixing, near_dedup, quality_rules, rule_ensemble, token_scan, url_filter
 from .common import LOWER, UPPER, scratch_root, table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -209,6 +209,34 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_mixing, op4_token_counts, op5_url_filter, op6_license_scan, op7_quality_classifier, op8_language_id, op9_bpe, op10_exact_dedup)}
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    long = lambda name: F.char_length(name).cast("long").alias(f"{name}_chars")
+    restored = F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return out.select("doc_id", "n", "form", long("prefix"), long("middle"), F.sha2("output", 256).alias("output_sha256"), restored)
+
+
+#: Units by the grammar itself, pieces by places in the list of units.
+OP13_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), u AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[^
+]*
+|[^
+]+') AS u, CAST('0x' || h[1:8] AS UBIGINT) AS h1, CAST('0x' || h[9:16] AS UBIGINT) AS h2,
+    CAST('0x' || h[17:24] AS UBIGINT) AS h3, CAST('0x' || h[25:32] AS UBIGINT) AS h4 FROM t
+), c AS (
+  SELECT *, CAST(len(u) AS BIGINT) AS n, CAST(least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS BIGINT) AS low, CAST(greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS BIGINT) AS high,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u
+), p AS (
+  SELECT *, array_to_string(u[1:low], '') AS prefix, array_to_string(u[low + 1:high], '') AS middle, array_to_string(u[high + 1:n], '') AS suffix FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_mixing, op4_token_counts, op5_url_filter, op6_license_scan, op7_quality_classifier, op8_language_id, op9_bpe, op10_exact_dedup, op13_fim)}
 
-ORACLE_SQL = {"op2_near_dedup": OP2_SQL, "op5_url_filter": OP5_SQL, "op6_license_scan": OP6_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLE_SQL = {"op2_near_dedup": OP2_SQL, "op5_url_filter": OP5_SQL, "op6_license_scan": OP6_SQL, "op10_exact_dedup": OP10_SQL, "op13_fim": OP13_SQL}
