@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-#: Bytes hashed at once; a longer word is hashed in one longer piece.
+#: Bytes hashed at once.
 CHUNK = 1 << 17
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -47,47 +47,42 @@ def utf8(array: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _pieces(space: np.ndarray, starts: np.ndarray):
-    """Cuts of about CHUNK bytes that lie in no word."""
-    at, end = 0, len(space)
-    while at < end:
-        to = min(at + CHUNK, end)
-        while to < end:
-            back = np.flatnonzero(space[at + 1 : to] | starts[at + 1 : to])
-            if len(back):
-                to = at + 1 + int(back[-1])
-                break
-            to = min(to + CHUNK, end)
-        yield at, to
-        at = to
+def word_spans(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each word: bytes that are not blank, within one text."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    solid = ~blank[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[offsets] = True
+    cut[1:-1] |= ~solid[:-1] | ~solid[1:]
+    return np.flatnonzero(solid & cut[:-1]), np.flatnonzero(solid & cut[1:]) + 1
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word, and for each text the position of its first word (one more entry at the end)."""
-    space = IS_SPACE[data]
-    starts = np.zeros(len(data), bool)
-    starts[offsets[:-1][offsets[:-1] < len(data)]] = True
-    hashes, firsts = [], []
-    for a, b in _pieces(space, starts):
-        blank = space[a:b]
-        cut = np.empty(b - a, bool)
-        cut[0] = True
-        cut[1:] = blank[:-1] | starts[a + 1 : b]
-        begin = np.flatnonzero(cut & ~blank)
-        if not len(begin):
+def hash_spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
+    """A 64-bit hash of each of the spans, which follow each other. Memory is that of CHUNK bytes, however long a span is.
+
+    The hash is a polynomial, so the part of a span in one chunk is shifted by a power of the base to where it belongs.
+    """
+    total = np.zeros(len(begin), np.uint64)
+    for a in range(0, len(data), CHUNK):
+        b = min(a + CHUNK, len(data))
+        i, j = np.searchsorted(end, a, "right"), np.searchsorted(begin, b, "left")
+        if i >= j:
             continue
-        last = np.empty(b - a, bool)
-        last[-1] = True
-        last[:-1] = blank[1:] | starts[a + 1 : b]
-        end = np.flatnonzero(last & ~blank) + 1
         code = (TO_LOWER[data[a:b]] if lower else data[a:b]).astype(np.uint64)
         code += np.uint64(1)
         code *= _table("base", _BASE, b - a)
-        total = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(code, out=total[1:])
-        h = (total[end] - total[begin]) * _table("inverse", _INVERSE, b - a)[begin]
-        hashes.append(mix(h + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-        firsts.append(begin + a)
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(firsts), offsets, "left")
+        sums = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(code, out=sums[1:])
+        low, high = np.maximum(begin[i:j], a) - a, np.minimum(end[i:j], b) - a
+        part = (sums[high] - sums[low]) * _table("inverse", _INVERSE, b - a)[low]
+        if begin[i] < a:
+            part[:1] *= np.uint64(pow(int(_BASE), int(a - begin[i]), 1 << 64))
+        total[i:j] += part
+    return mix(total + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word, and for each text the position of its first word (one more entry at the end)."""
+    begin, end = word_spans(data, offsets)
+    return hash_spans(data, begin, end, lower), np.searchsorted(begin, offsets, "left")
