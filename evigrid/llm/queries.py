@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fim, language_id, license_scan, mixing, near_dedup, quality_rules, rule_ensemble, token_scan, url_filter
+from . import bpe, collocations, exact_dedup, fim, language_id, license_scan, mixing, near_dedup, quality_rules, rule_ensemble, token_scan, url_filter
 from .common import LOWER, UPPER, scratch_root, table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -209,6 +209,31 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
 """
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(spark, table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+#: All phrases of up to four words, counted without a sketch.
+OP11_SQL = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), g AS (
+  SELECT lang, m, unnest(list_transform(range(1, greatest(len(w) - m + 2, 1)), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM w, range(1, 5) t(m)
+), f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30
+), total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang
+), cut AS (SELECT lang, phrase, m, a, string_split(phrase, ' ') AS s, unnest(range(1, m)) AS k FROM f WHERE m > 1
+), scored AS (
+  SELECT cut.lang, cut.phrase, cut.m, cut.a, k, x.a AS l, y.a AS r, (2000000::HUGEINT * cut.a) // (x.a::HUGEINT + y.a) AS score FROM cut
+  JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(s[1:k], ' ') JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(s[k + 1:cut.m], ' ')
+), lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), kept AS (
+  SELECT * FROM lowest c WHERE NOT EXISTS (SELECT 1 FROM f q WHERE q.lang = c.lang AND q.m > c.m AND contains(' ' || q.phrase || ' ', ' ' || c.phrase || ' ') AND 100::HUGEINT * q.a >= 80::HUGEINT * c.a)
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
     long = lambda name: F.char_length(name).cast("long").alias(f"{name}_chars")
@@ -237,6 +262,6 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS pre
 FROM p
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_mixing, op4_token_counts, op5_url_filter, op6_license_scan, op7_quality_classifier, op8_language_id, op9_bpe, op10_exact_dedup, op13_fim)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_mixing, op4_token_counts, op5_url_filter, op6_license_scan, op7_quality_classifier, op8_language_id, op9_bpe, op10_exact_dedup, op11_collocations, op13_fim)}
 
-ORACLE_SQL = {"op2_near_dedup": OP2_SQL, "op5_url_filter": OP5_SQL, "op6_license_scan": OP6_SQL, "op10_exact_dedup": OP10_SQL, "op13_fim": OP13_SQL}
+ORACLE_SQL = {"op2_near_dedup": OP2_SQL, "op5_url_filter": OP5_SQL, "op6_license_scan": OP6_SQL, "op10_exact_dedup": OP10_SQL, "op11_collocations": OP11_SQL, "op13_fim": OP13_SQL}
