@@ -7,9 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from . import bpe, collocations, exact_dedup, fim, language_id, license_scan, mixing, near_dedup, quality_rules, rule_ensemble, token_scan, url_filter
-from .common import LOWER, UPPER, scratch_root, table
+from . import bpe, collocations, exact_dedup, fim, language_id, license_scan, mixing, near_dedup, quality_rules, rule_ensemble, token_scan, url_filter, warc
+from .common import LOWER, UPPER, Scratch, scratch_root, table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
@@ -234,6 +235,29 @@ SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN t
 """
 
 
+#: Payloads of fewer bytes are written out each time.
+LEAST_REVISIT = 0
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page in archives that hold each payload once, as read back from them."""
+    path, pages = f"{scratch_root(spark)}/warc-{uuid.uuid4().hex}", table(spark, sf_dir, "pages")
+    warc.write(spark, pages, path, "page_id", "html", "url", LEAST_REVISIT)
+    found = Scratch(spark, "warc").save(warc.read(spark, path, payloads=False))
+    key = lambda name: F.from_json(name, T.StructType([T.StructField("key", pages.schema["page_id"].dataType)]))["key"]
+    return warc.resolve(spark, found).select(key("key").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), key("original").alias("refers_to"))
+
+
+OP12_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+), b AS (SELECT page_id, html, min(page_id) OVER (PARTITION BY html) AS first, list_transform(range(4), lambda g: CAST('0x' || h[10 * g + 1:10 * g + 10] AS UBIGINT)) AS v FROM p)
+SELECT page_id, strlen(html) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[CAST((v[i // 8 + 1] >> (35 - 5 * (i % 8))) & 31 AS BIGINT) + 1]), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b
+"""
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
     long = lambda name: F.char_length(name).cast("long").alias(f"{name}_chars")
@@ -262,6 +286,6 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS pre
 FROM p
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_mixing, op4_token_counts, op5_url_filter, op6_license_scan, op7_quality_classifier, op8_language_id, op9_bpe, op10_exact_dedup, op11_collocations, op13_fim)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_mixing, op4_token_counts, op5_url_filter, op6_license_scan, op7_quality_classifier, op8_language_id, op9_bpe, op10_exact_dedup, op11_collocations, op12_warc, op13_fim)}
 
-ORACLE_SQL = {"op2_near_dedup": OP2_SQL, "op5_url_filter": OP5_SQL, "op6_license_scan": OP6_SQL, "op10_exact_dedup": OP10_SQL, "op11_collocations": OP11_SQL, "op13_fim": OP13_SQL}
+ORACLE_SQL = {"op2_near_dedup": OP2_SQL, "op5_url_filter": OP5_SQL, "op6_license_scan": OP6_SQL, "op10_exact_dedup": OP10_SQL, "op11_collocations": OP11_SQL, "op12_warc": OP12_SQL, "op13_fim": OP13_SQL}
