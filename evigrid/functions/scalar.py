@@ -12,6 +12,11 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
+def mean_of_millionths(x: Column) -> Column:
+    """Aggregate: the mean of values of at most six decimals, to six decimals. Whole millionths are summed, so the order of rows doesn't matter."""
+    return F.round(F.sum(F.round(x * 1e6).cast("long")) / F.count(x)) / 1e6
+
+
 def total(a: Column) -> Column:
     """Sum of an array of doubles."""
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
@@ -115,13 +120,22 @@ def utility(gain: Column, distance: Column, reduction: Column, most: float, weig
     return weights[0] * gain - weights[1] * distance / most + weights[2] * reduction
 
 
+#: Masses of no more than this sum are none.
+TINY = 1e-10
+
+
+def _shares(p: Column, otherwise: float | None = None) -> Column:
+    """p over its sum; where that isn't above TINY, p as it is or times `otherwise`."""
+    rest = lambda e: e["p"] if otherwise is None else F.transform(e["p"], lambda x: x * otherwise)
+    return F.transform(F.array(F.struct(p.alias("p"), total(p).alias("s"))), lambda e: F.when(e["s"] > TINY, F.transform(e["p"], lambda x: x / e["s"])).otherwise(rest(e)))[0]
+
+
 def fuse_masses(p: Column, u: Column, q: Column, v: Column) -> tuple[Column, Column]:
     """Dempster-Shafer fusion of beliefs scaled by their certainty: normalised masses, and the conflict."""
-    a, b = F.transform(p, lambda x: x * (1 - u)), F.transform(q, lambda x: x * (1 - v))
+    a, b = F.transform(_shares(p, 0.0), lambda x: x * (1 - u)), F.transform(_shares(q, 0.0), lambda x: x * (1 - v))
     agree = F.zip_with(a, b, lambda x, y: x * y)
-    conflict = total(a) * total(b) - total(agree)
-    joint = F.zip_with(a, b, lambda x, y: x * y + x * v + u * y)
-    return F.transform(joint, lambda x: x / total(joint)), conflict
+    conflict = F.least(total(a) * total(b) - total(agree), F.lit(1 - TINY))
+    return _shares(F.zip_with(a, b, lambda x, y: x * y + x * v + u * y)), conflict
 
 
 def remap(c: Column, relevant: list[int]) -> Column:

@@ -95,7 +95,7 @@ def region(cells: DataFrame, low: tuple[int, int, int], high: tuple[int, int, in
     inside = F.lit(True)
     for k, a, b in zip("xyz", low, high, strict=True):
         inside = inside & F.col(f"i{k}").between(a, b)
-    return cells.where(inside & (F.col("confidence") >= least)).groupBy("class").agg(F.count(F.lit(1)).alias("cells"), F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.sum("n").alias("observations"))
+    return cells.where(inside & (F.col("confidence") >= least)).groupBy("class").agg(F.count(F.lit(1)).alias("cells"), scalar.mean_of_millionths(F.col("confidence")).alias("mean_confidence"), F.sum("n").alias("observations"))
 
 
 def inside(low: tuple[int, int, int], high: tuple[int, int, int]) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import quantiles
 from .spatial import nearest_of_all
 
 
@@ -76,9 +77,35 @@ def timing(df: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def summary(df: DataFrame, by: str, value: str, threshold: float) -> DataFrame:
-    v = F.col(value)
-    q = [F.round(F.percentile(v, F.lit(p)), 6).alias(f"p{round(100 * p)}") for p in (0.05, 0.25, 0.5, 0.75, 0.95)]
-    return df.groupBy(by).agg(F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.avg((v > threshold).cast("double")), 6).alias("above"), *q)
+    """Per group: how many, mean, the share above a threshold, and exact percentiles."""
+    v, shares = F.col(value), (0.05, 0.25, 0.5, 0.75, 0.95)
+    moments = df.groupBy(by).agg(F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.avg((v > threshold).cast("double")), 6).alias("above"))
+    q = quantiles(df, [by], value, {f"p{round(100 * p)}": p for p in shares})
+    return moments.join(q.select(F.col(by).alias("_by"), *(F.round(c, 6).alias(c) for c in q.columns[1:])), F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
+
+
+def uncertainty_info(df: DataFrame, by: str, parts: dict[str, str], total: str, threshold: float, bins: int = 10) -> DataFrame:
+    """A frame's uncertainties (by: the frame) in one row: points, how many are above the threshold; minimum, maximum, mean, deviation and median of
+    each part (name: column) and of the total; a histogram of the total over [0, 1] in equal bins (the last with its upper end); percentiles of the
+    total; correlations between any two parts.
+
+    Moments, bins and correlations come from one aggregation that combines on the map side, ranks from exact selection.
+    """
+    columns = parts | {"total": total}
+    r = lambda c, name: F.round(c, 6).alias(name)
+    moments = [r(f(c), f"{name}_{label}") for name, c in columns.items() for label, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_pop))]
+    t = F.col(total)
+    at = F.least(F.floor(t * bins), F.lit(bins - 1))
+    histogram = F.array(*(F.count_if((at == k) & t.between(0, 1)) for k in range(bins))).alias("histogram")
+    names = list(parts)
+    pairs = [r(F.corr(parts[a], parts[b]), f"corr_{a}_{b}") for i, a in enumerate(names) for b in names[i + 1 :]]
+    out = df.groupBy(by).agg(F.count(F.lit(1)).alias("num_points"), F.count_if(t > threshold).alias("num_filtered"), *moments, histogram, *pairs)
+    long = df.select(by, F.explode(F.create_map(*(x for name, c in columns.items() for x in (F.lit(name), F.col(c).cast("double"))))).alias("what", "value"))
+    got = quantiles(long, [by, "what"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95})
+    of = lambda name, p: F.max(F.when(F.col("what") == name, F.round(p, 6)))
+    ranked = [of(name, "p50").alias(f"{name}_median") for name in columns] + [of("total", f"p{p}").alias(f"percentile_{p}") for p in (25, 50, 75, 90, 95)]
+    ranked = got.groupBy(F.col(by).alias("_by")).agg(*ranked)
+    return out.join(ranked, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
 
 
 #: Score ranges of the precision-recall curve; running sums are taken within one, after those of the ranges above.

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from . import ranks
 
 
 def cell(c: Column, size: float, origin: float = 0.0) -> Column:
@@ -170,11 +171,8 @@ def primitives(df: DataFrame, by: str, ridge: float = 0.001) -> DataFrame:
 
 
 def order_statistic(df: DataFrame, by: str, value: str, share: float) -> DataFrame:
-    """(by, value): the value of rank ceil(share * n) of each group. Equal values are counted first, so a group's window holds its different values only."""
-    counts = df.groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(by)
-    ranked = counts.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("rank", F.ceil(share * F.sum("c").over(w)))
-    return ranked.where("upto >= rank").groupBy(by).agg(F.min(value).alias("value"))
+    """(by, value): the value of rank ceil(share * n) of each group, by selection."""
+    return ranks.order_statistics(df, [by], value, lambda n: F.array(F.greatest(F.ceil(share * n) - 1, F.lit(0)))).select(by, "value")
 
 
 #: Cells that a point's neighbourhood is cut into, along an axis, to leave out parts that can't hold the nearest point.

@@ -119,7 +119,7 @@ def k9_clouds(spark, sf_dir):
     return out[0].unionByName(out[1])
 
 
-@query(f"WITH {CELLS}, g AS (SELECT class, count(*) AS points, round(avg(confidence), 6) AS mean_confidence FROM cells GROUP BY class) SELECT *, round(points / (SELECT sum(points) FROM g), 6) AS share FROM g")
+@query(f"WITH {CELLS}, g AS (SELECT class, count(*) AS points, round(sum(CAST(round(confidence * 1e6) AS BIGINT)) / count(*)) / 1e6 AS mean_confidence FROM cells GROUP BY class) SELECT *, round(points / (SELECT sum(points) FROM g), 6) AS share FROM g")
 def k11_a29_metadata(spark, sf_dir):
     """What stands in the metadata of a saved map."""
     return sinks.metadata(cells(spark, sf_dir))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import evidential as E
 from ..functions import geometry as G
 from ..functions import scalar as S
-from ..operators import spatial
+from ..operators import ranks, spatial
 from ..sources.tables import points, table, vectors
 from .queries import POINTS, VECTORS, VOXEL, query
 
@@ -174,7 +174,9 @@ def p10_voxel_index(spark, sf_dir):
 
 @query("SELECT round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS std, count(*) AS n, quantile_cont(l_quantity, 0.05) AS p5, quantile_cont(l_quantity, 0.95) AS p95, round(avg(least(greatest(l_quantity, 0), 25) / 25 * 255), 4) AS scaled FROM lineitem WHERE l_quantity > 0")
 def a25_o9_f17_p11_depth_statistics(spark, sf_dir):
-    """Mean, deviation and percentiles of valid depths in one pass, and their mean after clipping to a byte."""
+    """Mean, deviation and percentiles of valid depths, and their mean after clipping to a byte."""
     d = F.col("l_quantity")
     clipped = S.clamp(d, 0, 25) / 25 * 255
-    return table(spark, sf_dir, "lineitem").where(d > 0).agg(r(F.avg(d), "mean"), r(F.stddev_pop(d), "std"), F.count(F.lit(1)).alias("n"), F.percentile(d, F.lit(0.05)).alias("p5"), F.percentile(d, F.lit(0.95)).alias("p95"), r(F.avg(clipped), "scaled", 4))
+    depths = table(spark, sf_dir, "lineitem").where(d > 0).select(d, F.lit("all").alias("image"))
+    moments = depths.groupBy("image").agg(r(F.avg(d), "mean"), r(F.stddev_pop(d), "std"), F.count(F.lit(1)).alias("n"), r(F.avg(clipped), "scaled", 4))
+    return moments.join(ranks.quantiles(depths, ["image"], "l_quantity", {"p5": 0.05, "p95": 0.95}), "image").drop("image")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import folds, graph, maps, metrics, spatial
+from ..operators import folds, graph, maps, metrics, ranks, spatial
 from ..sources.tables import points, table, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,13 +64,13 @@ def voxel_map(spark, sf_dir):
     return cells(spark, sf_dir)
 
 
-@query(f"WITH {CELLS} SELECT count(*) AS cells, CAST(sum(n) AS BIGINT) AS observations, round(avg(confidence), 6) AS mean_confidence, min(confidence) AS low, max(confidence) AS high FROM cells")
+@query(f"WITH {CELLS} SELECT count(*) AS cells, CAST(sum(n) AS BIGINT) AS observations, round(sum(CAST(round(confidence * 1e6) AS BIGINT)) / count(*)) / 1e6 AS mean_confidence, min(confidence) AS low, max(confidence) AS high FROM cells")
 def q4_map_info(spark, sf_dir):
     c = F.col("confidence")
-    return cells(spark, sf_dir).agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("observations"), F.round(F.avg(c), 6).alias("mean_confidence"), F.min(c).alias("low"), F.max(c).alias("high"))
+    return cells(spark, sf_dir).agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("observations"), S.mean_of_millionths(c).alias("mean_confidence"), F.min(c).alias("low"), F.max(c).alias("high"))
 
 
-@query(f"WITH {CELLS} SELECT class, count(*) AS cells, round(avg(confidence), 6) AS mean_confidence, CAST(sum(n) AS BIGINT) AS observations FROM cells WHERE ix BETWEEN 2 AND 15 AND iy BETWEEN 1 AND 12 AND iz BETWEEN 0 AND 7 AND confidence >= 0.2 GROUP BY class")
+@query(f"WITH {CELLS} SELECT class, count(*) AS cells, round(sum(CAST(round(confidence * 1e6) AS BIGINT)) / count(*)) / 1e6 AS mean_confidence, CAST(sum(n) AS BIGINT) AS observations FROM cells WHERE ix BETWEEN 2 AND 15 AND iy BETWEEN 1 AND 12 AND iz BETWEEN 0 AND 7 AND confidence >= 0.2 GROUP BY class")
 def q2_query_region(spark, sf_dir):
     return maps.region(cells(spark, sf_dir), (2, 1, 0), (15, 12, 7), 0.2)
 
@@ -312,6 +312,26 @@ def a26_summary(spark, sf_dir):
     return metrics.summary(table(spark, sf_dir, "events"), "event_type", "value", 100.0)
 
 
+INFO = f"""{POINTS}, parts AS (SELECT class, u AS semantic, z / 10 AS spatial, least(greatest(0.5 * sqrt(x * x + y * y + z * z) / 120, 0), 1) AS observation, day(ts) / 31 AS temporal FROM pts),
+  info AS (SELECT *, least(greatest(0.35 * semantic + 0.25 * spatial + 0.25 * observation + 0.15 * temporal, 0), 1) AS total FROM parts)"""
+_PARTS = ("semantic", "spatial", "observation", "temporal")
+
+
+@query(
+    f"""WITH {INFO} SELECT class, count(*) AS num_points, count(*) FILTER (total > 0.6) AS num_filtered,
+  {", ".join(f"round(min({c}), 6) AS {c}_min, round(max({c}), 6) AS {c}_max, round(avg({c}), 6) AS {c}_mean, round(stddev_pop({c}), 6) AS {c}_std, round(quantile_cont({c}, 0.5), 6) AS {c}_median" for c in (*_PARTS, "total"))},
+  [{", ".join(f"count(*) FILTER (least(floor(total * 10), 9) = {k})" for k in range(10))}] AS histogram,
+  {", ".join(f"round(quantile_cont(total, {p / 100}), 6) AS percentile_{p}" for p in (25, 50, 75, 90, 95))},
+  {", ".join(f"round(corr({a}, {b}), 6) AS corr_{a}_{b}" for i, a in enumerate(_PARTS) for b in _PARTS[i + 1 :])} FROM info GROUP BY class"""
+)
+def a26_q9_uncertainty_info(spark, sf_dir):
+    """All statistics of a frame's uncertainties; the class stands for the frame."""
+    x, y, z = (F.col(k) for k in "xyz")
+    p = points(spark, sf_dir).select("class", F.col("u").alias("semantic"), (z / 10).alias("spatial"), S.observation_uncertainty(F.sqrt(x * x + y * y + z * z), 120).alias("observation"), (F.dayofmonth("ts") / 31).alias("temporal"))
+    p = p.withColumn("total", S.total_uncertainty([F.col(c) for c in _PARTS], [0.35, 0.25, 0.25, 0.15]))
+    return metrics.uncertainty_info(p, "class", {c: c for c in _PARTS}, "total", 0.6)
+
+
 COST_CASE = "CASE class " + " ".join(f"WHEN {k} THEN {v}" for k, v in COSTS.items()) + " END"
 FREE, BLOCKED = [0, 2], [3, 5]
 #: Points of a column in order of height.
@@ -399,7 +419,7 @@ def j16_o8_compare_maps(spark, sf_dir):
 @query(f"WITH {POINTS}, q AS (SELECT class, least(0.8, quantile_cont(u, 0.9)) AS gate FROM pts GROUP BY class) SELECT class, round(gate, 6) AS gate, count(*) AS kept FROM pts JOIN q USING (class) WHERE u <= gate GROUP BY class, gate")
 def f2_adaptive_gate(spark, sf_dir):
     p = points(spark, sf_dir)
-    gate = p.groupBy("class").agg(F.least(F.lit(0.8), F.percentile("u", F.lit(0.9))).alias("gate"))
+    gate = ranks.quantiles(p, ["class"], "u", {"gate": 0.9}).withColumn("gate", F.least(F.lit(0.8), "gate"))
     return p.join(F.broadcast(gate), "class").where("u <= gate").groupBy("class", F.round("gate", 6).alias("gate")).agg(F.count(F.lit(1)).alias("kept"))
 
 

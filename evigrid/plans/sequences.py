@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import scalar as S
-from ..operators import folds, metrics, spatial
+from ..operators import folds, fusion, metrics, spatial
 from ..operators import primitives as P
 from ..sources import frames
 from ..sources.tables import table, vectors
@@ -37,7 +37,7 @@ GAUSSIANS = f"""{VECTORS}, gs AS (SELECT CAST(label AS BIGINT) AS id, round(avg(
 def a5_fuse_in_order(spark, sf_dir):
     """Beliefs of each label fused in order of id."""
     v = probabilities(spark, sf_dir).withColumn("u", 0.2 + F.col("id") % 7 / 10)
-    out = P.fuse_in_order(v, "label", ["id"], "p", "u")
+    out = fusion.fuse_in_order(v, "label", ["id"], "p", "u", part=F.floor(F.col("id") / 64))
     return out.select("label", S.argmax(F.col("p")).alias("best"), r(F.array_max("p"), "mass"), r(F.col("u"), "u"), r(F.col("conflict"), "conflict"))
 
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geometry
+from ..functions import geometry, scalar
 
 
 def cloud_lines(cells: DataFrame, form: str) -> DataFrame:
@@ -76,7 +76,7 @@ def write_matrix(matrix: DataFrame, path: str) -> None:
 
 def metadata(cells: DataFrame) -> DataFrame:
     """Points and share of each class, and the mean confidence."""
-    g = cells.groupBy("class").agg(F.count(F.lit(1)).alias("points"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+    g = cells.groupBy("class").agg(F.count(F.lit(1)).alias("points"), scalar.mean_of_millionths(F.col("confidence")).alias("mean_confidence"))
     return g.withColumn("share", F.round(F.col("points") / F.lit(cells.select(F.count(F.lit(1))).scalar()), 6))
 
 
