@@ -80,24 +80,39 @@ def time_sync(left: DataFrame, right: DataFrame, key: str, ts: str, tie: str, mo
     return near.select("left_id", "m.right_id", "m.gap")
 
 
-def dynamic_status(df: DataFrame, key: str, item: str, ts: str, ties: list[str], window: float, alpha: float = 0.1) -> DataFrame:
+def dynamic_status(df: DataFrame, key: str, item: str, ts: str, ties: list[str], window: float, alpha: float = 0.1, part: Column | None = None) -> DataFrame:
     """Per key, in order: changes of item less than `window` seconds after the last change (the first change never counts, as time starts at 0), dynamic from two on, and the occupancy average.
 
-    The counter depends on the last change, so a key's rows are folded in one row.
+    Whether a change counts depends on the one before only, so a run of rows is summed up by its first and last item, its first row's time, its
+    first and last change and the count behind the first: a key's rows are folded part by part (as in clamped_fold()), then
+    its parts' sums. The average has a closed form.
     """
     seconds = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts).cast("timestamp_ntz")) / 1e6
     items = F.sort_array(F.collect_list(F.struct(F.col(ts), *ties, F.col(item).alias("c"), seconds.alias("t"))))
-    state = lambda c, last, n, o: F.struct(c.alias("c"), last.alias("last"), n.alias("n"), o.alias("o"))
+    none = F.lit(None).cast("double")
+    state = lambda c, first, last, n: F.struct(c.alias("c"), first.alias("first"), last.alias("last"), n.alias("n"))
 
     def step(s: Column, e: Column) -> Column:
         changed = e["c"] != s["c"]
-        near = changed & (e["t"] - s["last"] < window)
-        return state(e["c"], F.when(changed, e["t"]).otherwise(s["last"]), s["n"] + near.cast("long"), alpha + (1 - alpha) * s["o"])
-
-    g = df.groupBy(key).agg(items.alias("items"))
-    first = state(F.col("items")[0]["c"], F.lit(0.0), F.lit(0).cast("long"), F.lit(alpha))
-    s = g.withColumn("s", F.aggregate(F.slice("items", F.lit(2), F.size("items")), first, step))
-    return s.select(key, F.size("items").cast("long").alias("frames"), F.col("s.n").alias("transitions"), (F.col("s.n") >= 2).alias("dynamic"), F.round("s.o", 6).alias("occupancy"), F.col("s.last").alias("last_change"))
+        near = F.coalesce(changed & (e["t"] - s["last"] < window), F.lit(False))
+        return state(e["c"], F.when(changed, F.coalesce(s["first"], e["t"])).otherwise(s["first"]), F.when(changed, e["t"]).otherwise(s["last"]), s["n"] + near.cast("long"))
+
+    parts = df.groupBy(key, (F.lit(0) if part is None else part).alias("part")).agg(items.alias("items"))
+    first = F.col("items")[0]
+    inner = F.aggregate(F.slice("items", F.lit(2), F.size("items")), state(first["c"], none, none, F.lit(0).cast("long")), step)
+    parts = parts.select(key, "part", F.size("items").cast("long").alias("m"), first["c"].alias("begin"), first["t"].alias("t"), inner.alias("s"))
+    runs = F.sort_array(F.collect_list(F.struct("part", "begin", "t", F.col("s.c").alias("c"), "s.first", "s.last", "s.n")))
+
+    def join(s: Column, e: Column) -> Column:
+        met = F.coalesce(e["begin"] != s["c"], F.lit(False))
+        at = F.when(met, e["t"]).otherwise(s["last"])
+        n = s["n"] + (met & (e["t"] - s["last"] < window)).cast("long") + F.coalesce((e["first"] - at < window).cast("long"), F.lit(0)) + e["n"]
+        return state(e["c"], none, F.coalesce(e["last"], at), n)
+
+    begin = state(F.lit(None).cast(df.schema[item].dataType), none, F.lit(0.0), F.lit(0).cast("long"))
+    s = parts.groupBy(key).agg(runs.alias("runs"), F.sum("m").alias("frames")).withColumn("s", F.aggregate("runs", begin, join))
+    occupancy = 1 - F.pow(F.lit(1 - alpha), F.col("frames"))
+    return s.select(key, "frames", F.col("s.n").alias("transitions"), (F.col("s.n") >= 2).alias("dynamic"), F.round(occupancy, 6).alias("occupancy"), F.col("s.last").alias("last_change"))
 
 
 def decay_transitions(status: DataFrame, now: Column, window: float, period: float) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from . import ranks
+from . import neighbours, ranks
 
 
 def cell(c: Column, size: float, origin: float = 0.0) -> Column:
@@ -54,9 +54,7 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
 
 def spatial_uncertainty(df: DataFrame, radius: float, least: int = 3) -> DataFrame:
     """Per id: neighbours within radius, how many have the same label, 1 - their share (1.0 if fewer than least), and density."""
-    pairs = radius_pairs(df.select("id", "x", "y", "z", "label"), df.select("id", "x", "y", "z", "label"), radius).where("id <> other_id")
-    counted = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == F.col("other_label")).alias("same"))
-    out = df.select("id").join(counted, "id", "left").na.fill(0, ["n", "same"])
+    out = neighbours.neighbour_counts(df, radius)
     u = F.when(F.col("n") < least, 1.0).otherwise(1 - F.col("same") / F.col("n"))
     volume = 4 / 3 * 3.141592653589793 * radius**3
     return out.select("id", "n", "same", F.round(u, 6).alias("u_spatial"), F.round(F.col("n") / volume, 4).alias("density"))

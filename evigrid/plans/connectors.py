@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import metrics, spatial
+from ..operators import folds, metrics, spatial
 from ..sources import frames, sinks
 from ..sources.tables import points, read_map, table, write_map
 from ..streaming import state, voxels
@@ -67,13 +67,13 @@ def s4_f4_p4_semantic_points(spark, sf_dir):
     return frames.semantic_points(p).groupBy(F.col("label").alias("class")).agg(F.count(F.lit(1)).alias("n"), r(F.avg("range"), "range", 4), r(F.avg("confidence"), "confidence"))
 
 
-@query(f"""WITH {POINTS}, o AS (SELECT CAST(floor(x / 2.0) AS INT) AS ix, CAST(floor(y / 4.0) AS INT) AS iy, CAST(floor(z / 1.0) AS INT) AS iz, count(*) AS n, count(*) FILTER (class = 0) AS c0, count(*) FILTER (class = 3) AS c3 FROM pts GROUP BY ALL)
-  SELECT ix, iy, iz, n, round(least(greatest(c0 * ln(0.9 * 6) + (n - c0) * ln(0.01 * 6), -10), 10), 6) AS h0, round(least(greatest(c3 * ln(0.9 * 6) + (n - c3) * ln(0.01 * 6), -10), 10), 6) AS h3 FROM o WHERE n <= 2""")
+@query(f"""WITH {POINTS}, o AS (SELECT CAST(floor(x / 2.0) AS INT) AS ix, CAST(floor(y / 4.0) AS INT) AS iy, CAST(floor(z / 1.0) AS INT) AS iz, ts, CASE WHEN class = 0 THEN ln(0.9 * 6) ELSE ln(0.01 * 6) END AS a0, CASE WHEN class = 3 THEN ln(0.9 * 6) ELSE ln(0.01 * 6) END AS a3 FROM pts)
+  SELECT ix, iy, iz, count(*) AS n, {", ".join(f"round(list_reduce(list_prepend(0.0::DOUBLE, list(a{k} ORDER BY ts, a{k})), lambda h, a: least(greatest(h + a, -10), 10)), 6) AS h{k}" for k in (0, 3))} FROM o GROUP BY ix, iy, iz""")
 def s17_label_ingest(spark, sf_dir):
-    """Log-odds of voxels that labels alone made, where one or two points fell."""
-    p = spatial.voxelise(points(spark, sf_dir), VOXEL).withColumn("p", frames.label_probabilities(F.col("class"), 6))
-    odds = lambda k: F.least(F.greatest(F.sum(F.ln(F.col("p")[k] * 6)), F.lit(-10.0)), F.lit(10.0))
-    return p.groupBy("ix", "iy", "iz").agg(F.count(F.lit(1)).alias("n"), r(odds(0), "h0"), r(odds(3), "h3")).where("n <= 2")
+    """Log-odds of voxels that labels alone made, clamped after each point."""
+    p = spatial.voxelise(points(spark, sf_dir), VOXEL).withColumn("p", frames.label_probabilities(F.col("class"), 6)).withColumn("cell", F.struct("ix", "iy", "iz"))
+    odds = [folds.clamped_fold(p, "cell", ["ts"], F.ln(F.col("p")[k] * 6), part=F.year("ts")).withColumnRenamed("h", f"h{k}") for k in (0, 3)]
+    return odds[0].join(odds[1].drop("n"), "cell").select("cell.ix", "cell.iy", "cell.iz", "n", "h0", "h3")
 
 
 @query("""WITH f AS (SELECT event_id, event_type, (epoch_us(ts) - (SELECT epoch_us(min(ts)) FROM events)) / 1e6 AS sec FROM events), w AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'depth' ELSE event_type END AS topic, (sec - 86400) / 2 AS p FROM f WHERE sec >= 86400 AND sec <= 5 * 86400),

@@ -143,7 +143,7 @@ def a22_auprc(spark, sf_dir):
 def w2_t7_dynamic_status(spark, sf_dir):
     """Transitions of a key that follow another within a day, whether it is dynamic, and its occupancy average."""
     e = table(spark, sf_dir, "events")
-    return folds.dynamic_status(e, "user_id", "event_type", "ts", ["event_id"], 86400.0)
+    return folds.dynamic_status(e, "user_id", "event_type", "ts", ["event_id"], 86400.0, part=F.to_date("ts"))
 
 
 STATUS = """it AS (SELECT user_id, list({'c': event_type, 't': epoch_us(ts) / 1e6, 'last': 0.0::DOUBLE, 'n': 0::BIGINT} ORDER BY ts, event_id) AS a FROM events GROUP BY user_id),

@@ -48,3 +48,35 @@ def test_beliefs_that_contradict_each_other(spark):
     want = brute(rows, False)
     for r in fusion.fuse_in_order(df, "key", ["id"], "p", "u", part=F.floor(F.col("id") / 2)).collect():
         assert r["p"] == pytest.approx(want[r["key"]][0]) and r["conflict"] == pytest.approx(want[r["key"]][2])
+
+
+def test_changes_by_parts(spark):
+    """Parts of any width give the transitions of one loop; changes come at, before and behind the ends of parts."""
+    import random
+
+    from evigrid.operators import folds
+
+    rng = random.Random(8)
+    rows = [(k, t, rng.choice("ab") if rng.random() < 0.4 else "a") for k in "xyz" for t in sorted(rng.sample(range(4000), 300))] + [("one", 5, "a")]
+    want = {}
+    for key in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == key]
+        c, last, n = own[0][2], 0.0, 0
+        for _, t, x in own[1:]:
+            if x != c:
+                n, last = n + (t - last < 30), t
+            c = x
+        want[key] = (len(own), n, n >= 2, last, round(1 - 0.9 ** len(own), 6))
+    df = spark.createDataFrame(rows, "k string, t int, c string").withColumn("ts", F.timestamp_seconds("t"))
+    for part in (None, F.floor(F.col("t") / 7), F.floor(F.col("t") / 500)):
+        got = {r["k"]: (r["frames"], r["transitions"], r["dynamic"], r["last_change"], r["occupancy"]) for r in folds.dynamic_status(df, "k", "c", "ts", [], 30.0, part=part).collect()}
+        assert got == want
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    from evigrid.operators import graph
+
+    monkeypatch.setattr(graph, "SHARE", 20)
+    edges = [(0, k) for k in range(1, 150)] + [(k, k + 1) for k in range(200, 290)] + [(289, 500), (500, 501), (900, 899)] + [(700, 700)]
+    got = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(150)} | {k: 200 for k in [*range(200, 291), 500, 501]} | {899: 899, 900: 899, 700: 700}
