@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geometry
+from ..functions import geometry, scalar
+from .fusion import fuse_in_order, run
+from .graph import components
 from .influence import COVARIANCE
 from .spatial import kmeans, nearest, primitive_count, primitives, radius_pairs
 
@@ -27,28 +30,48 @@ def merge_groups(df: DataFrame, by: str) -> DataFrame:
     return g.select(by, *(v.alias(k) for k, v in mean.items()), *cov, "n", "w", (F.col("un") / F.col("n")).alias("u"))
 
 
+def merge_in_order(df: DataFrame, by: str, order: list[str], part: Column | None = None) -> DataFrame:
+    """merge_groups(), and what the order of merging decides: fused class probabilities p, their class, and the conflict of the last merge. Columns as there, and p."""
+    fused = fuse_in_order(df, by, order, "p", "u", part, "n").select(F.col(by).alias("_by"), "p", scalar.argmax(F.col("p")).alias("class"), F.col("last_conflict").alias("conflict"))
+    return merge_groups(df, by).join(fused, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
+
+
 def merge_near(df: DataFrame, most: float, calm: float) -> DataFrame:
-    """(id, root): primitives (id, class, x, y, z, w, conflict) of a class absorb later ones within `most` of their growing centre, in order of id.
+    """(id, root, class, conflict, u, n): primitives (id, class, x, y, z, w, n, u, conflict, p) absorb later ones, in order of id; class and others are those of the merged primitive.
 
-    Both must have a conflict of at most calm. The order matters, so a class is one group; the number of primitives is the
-    builder's target, not that of points.
+    A primitive absorbs one of its present class within `most` of its present centre while both have a conflict of at most calm. A merge renews
+    centre, class probabilities, class, conflict and uncertainty, and all of these decide what comes next. After a merge the centre lies within
+    `most` of what it absorbed, so whatever is merged hangs together by steps of 2 * most: components of that graph are
+    independent of each other, and each is one group.
     """
 
     def absorb(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values("id", ignore_index=True)
-        at, w, free = g[["x", "y", "z"]].to_numpy(), g["w"].to_numpy(), [True] * len(g)
-        root = g["id"].to_numpy().copy()
+        at, p, quiet = g[["x", "y", "z"]].to_numpy(float), [np.asarray(x, float) for x in g["p"]], (g["conflict"] <= calm).to_numpy()
+        classes, free, out = g["class"].to_numpy(), np.ones(len(g), bool), {}
         for i in range(len(g)):
-            if not free[i] or g["conflict"][i] > calm:
+            if not free[i]:
                 continue
-            centre, weight = at[i], w[i]
-            for j in range(i + 1, len(g)):
-                if free[j] and g["conflict"][j] <= calm and ((centre - at[j]) ** 2).sum() <= most * most:
-                    centre, weight = (centre * weight + at[j] * w[j]) / (weight + w[j]), weight + w[j]
-                    free[j], root[j] = False, root[i]
-        return pd.DataFrame({"id": g["id"], "root": root})
-
-    return df.select("id", "class", "x", "y", "z", "w", "conflict").groupBy("class").applyInPandas(absorb, "id long, root long")
+            centre, weight, q, u, n, c, conflict, members, j = at[i], g["w"][i], p[i], g["u"][i], g["n"][i], classes[i], g["conflict"][i], [i], i
+            while conflict <= calm:
+                near = free & quiet & (classes == c) & (((centre - at) ** 2).sum(1) <= most * most)
+                later = np.flatnonzero(near[j + 1 :])
+                if not len(later):
+                    break
+                j += 1 + int(later[0])
+                q, u, _, conflict, _ = run(p[j][None], [g["u"][j]], [g["n"][j]], q, u, n, True)
+                centre, weight, n, c = (centre * weight + at[j] * g["w"][j]) / (weight + g["w"][j]), weight + g["w"][j], n + g["n"][j], int(np.argmax(q))
+                free[j] = False
+                members.append(j)
+            out |= {k: (g["id"][i], c, conflict, u, n) for k in members}
+        rows = [(g["id"][k], *out[k]) for k in range(len(g))]
+        return pd.DataFrame(rows, columns=["id", "root", "class", "conflict", "u", "n"])
+
+    at = df.where(F.col("conflict") <= calm).select("id", "x", "y", "z")
+    pairs = radius_pairs(at, at, 2 * most * (1 + 1e-9)).where("id < other_id").select(F.col("id").alias("a"), F.col("other_id").alias("b"))
+    grouped = df.join(components(pairs), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    kind = df.schema["class"].dataType.simpleString()
+    return grouped.groupBy("component").applyInPandas(absorb, f"id long, root long, class {kind}, conflict double, u double, n long")
 
 
 def split_candidates(prims: DataFrame, points: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import scalar as S
-from ..operators import folds, fusion, metrics, spatial
+from ..operators import folds, fusion, metrics, spatial, sync
 from ..operators import primitives as P
 from ..sources import frames
 from ..sources.tables import table, vectors
@@ -54,18 +54,44 @@ def a12_m23_primitive_summary(spark, sf_dir):
     return P.summary(gaussians(spark, sf_dir))
 
 
-MERGING = f"""{GAUSSIANS}, od AS (SELECT *, id % 4 / 10.0 <= 0.2 AS calm, row_number() OVER (PARTITION BY class ORDER BY id) AS i FROM gs),
-  mg AS (SELECT class, 0 AS i, CAST([] AS STRUCT(id BIGINT, x DOUBLE, y DOUBLE, z DOUBLE, w DOUBLE)[]) AS roots, CAST([] AS STRUCT(id BIGINT, root BIGINT)[]) AS got FROM od GROUP BY class
-  UNION ALL SELECT class, i, CASE WHEN NOT calm THEN roots WHEN hit IS NULL THEN list_append(roots, {{'id': id, 'x': x, 'y': y, 'z': z, 'w': w}})
-      ELSE list_transform(roots, lambda q: CASE WHEN q.id = hit THEN {{'id': q.id, 'x': (q.x * q.w + x * w) / (q.w + w), 'y': (q.y * q.w + y * w) / (q.w + w), 'z': (q.z * q.w + z * w) / (q.w + w), 'w': q.w + w}} ELSE q END) END,
-    list_append(got, {{'id': id, 'root': coalesce(hit, id)}})
-    FROM (SELECT od.*, roots, got, CASE WHEN calm THEN list_filter(roots, lambda q: (q.x - x) ** 2 + (q.y - y) ** 2 + (q.z - z) ** 2 <= 0.3 * 0.3)[1].id END AS hit FROM mg JOIN od ON od.class = mg.class AND od.i = mg.i + 1))"""
+def pieces(spark, sf_dir):
+    """Primitives of parts of the labels, with class probabilities of their own."""
+    v = vectors(spark, sf_dir).withColumn("pid", (F.col("label") * 8 + F.col("id") % 8).cast("long"))
+    g = v.groupBy(F.col("pid").alias("id")).agg(*(r(F.avg(k), k) for k in "xyz"), F.count(F.lit(1)).alias("n"))
+    i = F.col("id")
+    parts = [1 + (i * 7 + k * k * 3) % 5 for k in range(3)]
+    p = F.array(*(x / sum(parts[1:], parts[0]) for x in parts))
+    return g.withColumns({"w": F.col("n") * (1 + i % 10 / 10), "u": i % 12 / 12, "class": (i % 3).cast("int"), "conflict": i % 4 / 10, "p": p})
+
+
+PIECES = f"""{VECTORS}, p0 AS (SELECT CAST(label * 8 + id % 8 AS BIGINT) AS id, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z, count(*) AS n FROM vec GROUP BY 1),
+  pc AS (SELECT id, x, y, z, n, n * (1 + id % 10 / 10) AS w, id % 12 / 12 AS u, CAST(id % 3 AS INT) AS class, id % 4 / 10 AS conflict, list_transform([1 + id * 7 % 5, 1 + (id * 7 + 3) % 5, 1 + (id * 7 + 12) % 5], lambda v: v / (3 + id * 7 % 5 + (id * 7 + 3) % 5 + (id * 7 + 12) % 5)) AS p FROM p0)"""
+#: Masses of a and e, fused but not yet of sum 1; and the conflict.
+JOINT = "list_transform(range(1, 4), lambda i: a.p[i]*(1-a.u)*e.p[i]*(1-e.u) + a.p[i]*(1-a.u)*e.u + a.u*e.p[i]*(1-e.u))"
+AGAINST = "(1 - a.u) * (1 - e.u) * (1 - list_sum(list_transform(range(1, 4), lambda i: a.p[i] * e.p[i])))"
+MERGED = f"""{{'id': a.id, 'x': (a.x*a.w + e.x*e.w) / (a.w + e.w), 'y': (a.y*a.w + e.y*e.w) / (a.w + e.w), 'z': (a.z*a.w + e.z*e.w) / (a.w + e.w), 'w': a.w + e.w, 'n': a.n + e.n, 'u': (a.u*a.n + e.u*e.n) / (a.n + e.n),
+  'class': CAST(list_position({JOINT}, list_max({JOINT})) - 1 AS INT), 'conflict': {AGAINST}, 'p': list_transform({JOINT}, lambda v: v / list_sum({JOINT})), 'got': list_concat(a.got, e.got)}}"""
+PIECE = "{'id': id, 'x': x, 'y': y, 'z': z, 'w': w, 'n': n, 'u': u, 'class': class, 'conflict': conflict, 'p': p, 'got': [id]}"
 
 
-@query(f"WITH RECURSIVE {MERGING}, al AS (SELECT unnest(got) AS g FROM mg WHERE (class, i) IN (SELECT class, max(i) FROM mg GROUP BY class)) SELECT g.id AS id, g.root AS root FROM al")
+@query(f"""WITH RECURSIVE {PIECES}, l0 AS (SELECT list({PIECE} ORDER BY id) AS l FROM pc), mg AS (SELECT l, l[1] AS done, 0 AS turn FROM l0
+  UNION ALL SELECT list_filter(l[2:], lambda e: NOT list_contains(acc.got, e.id)), acc, turn + 1 FROM (SELECT l, turn,
+    list_reduce(l, lambda a, e: CASE WHEN a.class = e.class AND (a.x-e.x)**2 + (a.y-e.y)**2 + (a.z-e.z)**2 <= 0.12 * 0.12 AND a.conflict <= 0.35 AND e.conflict <= 0.35 THEN {MERGED} ELSE a END) AS acc FROM mg WHERE len(l) > 0))
+  SELECT id, done.id AS root, done.class AS class, round(done.conflict, 6) AS conflict, round(done.u, 6) AS u, CAST(done.n AS BIGINT) AS n FROM (SELECT done, unnest(done.got) AS id FROM mg WHERE turn > 0)""")
 def j22_merge_near(spark, sf_dir):
-    """Which primitives of a class absorb which."""
-    return P.merge_near(gaussians(spark, sf_dir), 0.3, 0.2)
+    """Which primitives absorb which, and what becomes of them."""
+    out = P.merge_near(pieces(spark, sf_dir), 0.12, 0.35)
+    return out.select("id", "root", "class", r(F.col("conflict"), "conflict"), r(F.col("u"), "u"), "n")
+
+
+@query(f"""WITH {PIECES}, it AS (SELECT id % 5 AS part, list({PIECE} ORDER BY id) AS l FROM pc GROUP BY 1), mg AS (SELECT part, list_reduce(l, lambda a, e: {MERGED}) AS m FROM it)
+  SELECT part, CAST(m.n AS BIGINT) AS n, round(m.x, 6) AS x, round(m.w, 6) AS w, round(m.u, 6) AS u, m.class AS class, round(m.conflict, 6) AS conflict, round(m.p[1], 6) AS p0 FROM mg""")
+def a7_merge_in_order(spark, sf_dir):
+    """Primitives merged one after the other with their class probabilities, five groups."""
+    own = pieces(spark, sf_dir).withColumn("part", F.col("id") % 5)
+    zeros = {f"c{k}": F.lit(0.0) for k in G.ENTRIES}
+    m = P.merge_in_order(own.withColumns(zeros), "part", ["id"], F.floor(F.col("id") / 20))
+    return m.select("part", "n", r(F.col("x"), "x"), r(F.col("w"), "w"), r(F.col("u"), "u"), "class", r(F.col("conflict"), "conflict"), r(F.col("p")[0], "p0"))
 
 
 @query(f"WITH {GAUSSIANS} SELECT gs.id AS prim, count(*) AS points FROM gs JOIN vec v ON (v.x-gs.x)*(v.x-gs.x)+(v.y-gs.y)*(v.y-gs.y)+(v.z-gs.z)*(v.z-gs.z) < 9*(gs.cxx+gs.cyy+gs.czz) GROUP BY gs.id")
@@ -172,6 +198,21 @@ KIND = "SELECT event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_type
 NEAR = "{0} AS (SELECT l.event_id AS id_0, r.event_id AS {0}_id, abs(l.t - r.t) AS {0}_gap, row_number() OVER (PARTITION BY l.event_id ORDER BY abs(l.t - r.t), r.event_id) AS {0}_k FROM l JOIN ({1}) r ON l.user_id = r.user_id AND abs(l.t - r.t) <= 7200000000)"
 
 
+LISTS = ", ".join(f"list_sort(list({{'t': epoch_us(ts), 'id': event_id}}) FILTER (event_type = '{k}')) AS q{i}" for i, k in enumerate(("click", "view", "purchase", "error")))
+FIRSTS = ", ".join(f"q{i}[i{i}].t" for i in range(4))
+
+
+@query(f"""WITH RECURSIVE q AS (SELECT user_id % 3 AS robot, {LISTS} FROM events GROUP BY 1), go AS (SELECT robot, 1 AS i0, 1 AS i1, 1 AS i2, 1 AS i3, CAST(NULL AS BIGINT[]) AS ids, CAST(NULL AS BIGINT) AS spread FROM q
+  UNION ALL SELECT robot, {", ".join(f"i{k} + CASE WHEN hi - lo <= 1800000000 OR first = {k} THEN 1 ELSE 0 END" for k in range(4))}, CASE WHEN hi - lo <= 1800000000 THEN ids END, hi - lo
+    FROM (SELECT robot, i0, i1, i2, i3, greatest({FIRSTS}) AS hi, least({FIRSTS}) AS lo, list_position([{FIRSTS}], least({FIRSTS})) - 1 AS first, [{", ".join(f"q{k}[i{k}].id" for k in range(4))}] AS ids
+      FROM go JOIN q USING (robot) WHERE {" AND ".join(f"i{k} <= len(q{k})" for k in range(4))}))
+  SELECT robot, {", ".join(f"ids[{k + 1}] AS id_{k}" for k in range(4))}, spread FROM go WHERE ids IS NOT NULL""")
+def j2_sync_once(spark, sf_dir):
+    """Four streams put together within half an hour, each frame used once."""
+    e = table(spark, sf_dir, "events").withColumn("robot", F.col("user_id") % 3)
+    return sync.sync_once([e.where(F.col("event_type") == k) for k in ("click", "view", "purchase", "error")], "robot", "ts", "event_id", 1_800_000_000)
+
+
 @query(f"WITH l AS ({KIND.format('click')}), {NEAR.format('v', KIND.format('view'))}, {NEAR.format('p', KIND.format('purchase'))} SELECT id_0, v_id AS id_1, p_id AS id_2, greatest(v_gap, p_gap) AS spread FROM v JOIN p USING (id_0) WHERE v_k = 1 AND p_k = 1")
 def j1_j2_three_way_sync(spark, sf_dir):
     """Clicks with the nearest view and the nearest purchase of their user, both within two hours."""

@@ -66,7 +66,7 @@ def test_ray_behind_an_obstacle_is_blocked(spark):
 
 def test_later_primitives_join_the_first_of_their_class(spark):
     rows = [(1, 0, 0.0, 0.0, 0.0, 1.0, 0.0), (2, 0, 0.2, 0.0, 0.0, 1.0, 0.0), (3, 0, 0.35, 0.0, 0.0, 1.0, 0.0), (4, 1, 0.0, 0.0, 0.0, 1.0, 0.0), (5, 0, 0.1, 0.0, 0.0, 1.0, 0.9)]
-    df = spark.createDataFrame(rows, "id long, class int, x double, y double, z double, w double, conflict double")
+    df = spark.createDataFrame(rows, "id long, class int, x double, y double, z double, w double, conflict double").selectExpr("*", "10L AS n", "0.9D AS u", "if(class = 0, array(0.9D, 0.1D), array(0.1D, 0.9D)) AS p")
     assert {r["id"]: r["root"] for r in primitives.merge_near(df, 0.3, 0.3).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
 
 
