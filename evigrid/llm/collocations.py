@@ -12,7 +12,8 @@ score is the lowest, over its cuts into two parts, of 2,000,000 times its count
    ("the" is a part of very many) are dealt to many tasks.
 
 The sketch decides only what is counted, never a result: where its buckets are too few for the corpus (beyond about 2^35 phrase
-occurrences), more phrases are counted in vain, at most one row for each phrase and shard.
+occurrences), more phrases are counted in vain, at most one row for each phrase and shard. Within a shard phrases are told apart by 64-bit hashes:
+of 5 million different ones, two share a hash with a chance of 7e-7, and one of these would go uncounted there.
 
 Null texts count as empty, null languages as `und`; null and repeated keys don't matter, a repeated row counts again. Long texts are taken in
 parts that end with a piece. Equal scores are put in order by count, then by the phrase's bytes. A corpus without frequent phrases, or
@@ -95,7 +96,7 @@ class Grams:
         seeds = hashing.hash_spans(*_spans([n.encode() for n in names]), False)
         self.lang = code[self.text]
         self.hashes, self.whole = [], []
-        own = hashing.mix(words ^ seeds[self.lang])
+        own = hashing.mix(words + hashing.mix(~seeds)[self.lang])  # never the sum of a word and a name, or en and es would be one with es and en
         for n in range(1, LONGEST + 1):
             if n > 1:
                 own = hashing.mix(own[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[n - 1 :]) if len(own) else own

@@ -14,7 +14,7 @@ SCHEMA = "doc_id long, text string, lang string, phrase string, a long, salt str
 
 def texts(seed=1, n=120):
     rng = random.Random(seed)
-    words = ["of", "the", "The", "new", "york", "états", "unis", "a", "x\x00y", " ", "é", "ﬁ", "日本", *(f"w{k}" for k in range(30))]
+    words = ["of", "the", "en", "de", "und", "The", "new", "york", "états", "unis", "a", "x\x00y", " ", "é", "ﬁ", "日本", *(f"w{k}" for k in range(30))]
     fixed = ["new york city hall", "of the", "a a a a a", "états  unis", "of\tthe new"]
     piece = lambda: rng.choice([" ", "\t", "  "]).join(rng.choice(fixed) if rng.random() < 0.4 else rng.choice(words) for _ in range(rng.randint(0, 9)))
     return ["".join(piece() + rng.choice([". ", ",", "\n", "\r\n", "\x0b", "!?", "; ", ":"]) for _ in range(rng.randint(0, 20))) for _ in range(n)]
@@ -76,6 +76,13 @@ def test_sketch_bounds_counts_from_above(spark):
     assert len(exact) > 1000
 
 
+def test_words_that_are_names_of_languages(spark):
+    """The word en in texts of language es, and the other way round."""
+    own = [(0, " ".join(["es en", "en es", "es es"] * 40) + "\n", lang, "", 0, "") for lang in ("en", "es", "und", None)]
+    got = {(r["lang"], r["phrase"]): r["a"] for r in collocations.counts(spark, spark.createDataFrame(own, SCHEMA), 1).collect()}
+    assert got["es", "en"] == got["en", "en"] == 80 and got["es", "es"] == got["en", "es"] == 160 and got["und", "en"] == 160 and got["en", ""] == 240
+
+
 def test_long_texts_end_with_pieces():
     text = b"a b\nc d\n" * 1000 + b"x" * 500
     for size in (3, 10, 100, 10_000):
