@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, free_name, spread_join, whole
+from .common import Scratch, ascii_lower, delete, free_name, scratch_root, spread_join, whole
 
 
 def digest(text: Column) -> Column:
@@ -37,18 +37,21 @@ class DigestIndex:
     """The table `name`: digest, keep_id and the batch that brought it.
 
     rows: documents that the index is made for; it gets a bucket for each BUCKET_ROWS of them, and 24 at least. An index that
-    exists keeps its buckets.
+    exists keeps its buckets. Its files are in a folder of its name in root, by default the shared folder that spark.checkpoint.dir
+    names, never in a warehouse on some machine's own disk. Name a root that outlives the job for an index that later jobs use; where the catalog
+    has forgotten the table, the same name, root and rows take the files up again.
     """
 
-    def __init__(self, spark: SparkSession, name: str, rows: int = 0):
+    def __init__(self, spark: SparkSession, name: str, rows: int = 0, root: str | None = None):
         self.spark, self.name, self.buckets = spark, name, max(24, -(-rows // BUCKET_ROWS))
+        self.path = f"{(root or scratch_root(spark)).rstrip('/')}/{name}"
         if spark.catalog.tableExists(name):
             detail = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
             self.buckets = int(detail["Num Buckets"])
         else:
             buckets = self.buckets
             spark.sql(
-                f"CREATE TABLE {name} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS"
+                f"CREATE TABLE {name} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'"
             )
 
     def rows(self) -> DataFrame:
@@ -69,6 +72,7 @@ class DigestIndex:
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete(self.spark, self.path)
 
 
 def settle(spark: SparkSession, docs: DataFrame, index: DigestIndex, batch: str, key: str, text: str) -> tuple[DataFrame, DataFrame]:
