@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import connectors, geometric, mapping, sequences, services, streams  # noqa: F401  (registers its queries)
+from .plans import connectors, datasets, geometric, mapping, sequences, services, streams  # noqa: F401  (registers its queries)
 from .plans.queries import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "voxel_map"
