@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, bounded_batches, ensure, free_name, ship, spread_join
+from .common import LEAST, Scratch, bounded_batches, ensure, free_name, ship, spread_join
 from .token_scan import locate, opens
 
 FILE_RECORDS = 20_000
@@ -105,7 +105,9 @@ def write(spark: SparkSession, docs: DataFrame, path: str, key: str, payload: st
     content = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     stored = docs.select(F.sha2(content, 256).alias("sha"), pack()(content).alias("packed")).groupBy("sha").agg(F.first("packed").alias("packed"))
     sizes = responses.groupBy("sha").agg(F.count(F.lit(1)).alias("size"))
-    full = spread_join(responses, stored, ["sha"], sizes, "row")
+    # Unless many rows below `least` share a payload, the payloads stay where they were put together.
+    few = (sizes.agg(F.max("size")).first()[0] or 0) <= LEAST
+    full = responses.join(stored.hint("merge"), "sha") if few else spread_join(responses, stored, ["sha"], sizes, "row")
     records = full.unionByName(headers.where(F.col("first").isNotNull()).withColumn("packed", F.lit(None).cast("binary")))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     maybe = lambda name, value: F.coalesce(line(name, value), F.lit(""))
