@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.replaying import Replay
 from ..sources.tables import points, table
 from ..streaming import stateful
 from .connectors import folder
@@ -89,3 +90,16 @@ def t11_late_rows(spark, sf_dir):
     finally:
         spark.streams.removeListener(late)
     return spark.read.schema(out.schema).parquet(path).agg(F.lit(late.seen[name]).alias("seen"), F.count(F.lit(1)).alias("kept"), F.lit(late.dropped[name]).alias("dropped"))
+
+
+@query("""WITH e AS (SELECT event_id, user_id, (epoch_us(ts) - (SELECT epoch_us(min(ts)) FROM events)) AS p FROM events)
+  SELECT event_id, user_id, CAST(t AS INT) AS turn, round((p + t * (SELECT max(p) FROM e)) / 7200e6, 6) AS play_at FROM e, (SELECT unnest(range(2)) AS t)""")
+def s8_replay_stream(spark, sf_dir):
+    """Events played twice at two hours a second, as a stream that is stopped in the middle of the first turn and started again."""
+    spark.dataSource.register(Replay)
+    path, state = folder(spark, "played"), folder(spark, "state")
+    for until in (100, 1e9):
+        stream = spark.readStream.format("replay").options(path=f"{sf_dir}/events.parquet", ts="ts", rate=7200, turns=2, began=0, until=until).load()
+        out = stream.select("event_id", "user_id", "turn", F.round("play_at", 6).alias("play_at"))
+        stateful.run_to_end(out, path, state)
+    return spark.read.schema(out.schema).parquet(path)

@@ -113,3 +113,27 @@ def test_streams_pair_within_the_skew(spark, tmp_path):
     right = feed(spark, tmp_path / "r", schema, [("k", at(0.3), 7), ("k", at(9), 8), ("other", at(5), 9)])
     run(state.sync(left, right, "key", "500 milliseconds", "10 seconds"), "pairs", tmp_path / "ck", "append")
     assert [(r["left_id"], r["right_id"], r["gap"]) for r in spark.table("pairs").collect()] == [(1, 7, 0.3)]
+
+
+def test_replay_falls_due_by_the_clock(spark, tmp_path):
+    """Offsets are played time: what is due comes, once, and a later start goes on where the earlier one stopped."""
+    import time
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from evigrid.sources.replaying import ReplayReader
+    from pyspark.sql.types import DoubleType, IntegerType, LongType, StructType, TimestampNTZType
+
+    for k in range(2):  # two files; one row has no stamp
+        pq.write_table(pa.table({"id": [k, 2 + k, 9], "ts": pa.array([1_000_000 * (5 + k), 1_000_000 * (7 + k), None], pa.timestamp("us"))}), tmp_path / f"{k}.parquet")
+    schema = StructType().add("id", LongType()).add("ts", TimestampNTZType()).add("turn", IntegerType()).add("play_at", DoubleType())
+    reader = lambda **o: ReplayReader(schema, {"path": str(tmp_path), "rate": "2", "turns": "2", **o})
+    rows = lambda r, a, b: sorted((x["id"], x["turn"], x["play_at"]) for p in r.partitions(a, b) for batch in r.read(p) for x in batch.to_pylist())
+    full = reader(began="0")
+    end = full.latestOffset()
+    assert end == {"played": 6_000_000} and reader(began=str(time.time() + 99)).latestOffset() == {"played": -1}
+    every = rows(full, full.initialOffset(), end)
+    assert every == [(0, 0, 0.0), (0, 1, 1.5), (1, 0, 0.5), (1, 1, 2.0), (2, 0, 1.0), (2, 1, 2.5), (3, 0, 1.5), (3, 1, 3.0)]
+    middle = reader(began="0", until="1.0").latestOffset()
+    assert middle == {"played": 2_000_000} and sorted(rows(full, full.initialOffset(), middle) + rows(full, middle, end)) == every
