@@ -11,7 +11,7 @@ from ..functions import geometry, scalar
 from .fusion import fuse_in_order, run
 from .graph import components
 from .influence import COVARIANCE
-from .spatial import kmeans, nearest, primitive_count, primitives, radius_pairs
+from .spatial import by_reach, kmeans, nearest, primitive_count, primitives, radius_pairs
 
 
 def merge_groups(df: DataFrame, by: str) -> DataFrame:
@@ -75,19 +75,13 @@ def merge_near(df: DataFrame, most: float, calm: float) -> DataFrame:
 
 
 def split_candidates(prims: DataFrame, points: DataFrame) -> DataFrame:
-    """(prim, id): points nearer than three deviations (9 times the covariance's trace, squared) to primitives.
-
-    Primitives are joined by classes of reach, each twice as far as the one before, on cells of its own, so a wide primitive
-    doesn't coarsen the cells of narrow ones.
-    """
+    """(prim, id): points nearer than three deviations (9 times the covariance's trace, squared) to primitives, joined by classes of reach (by_reach())."""
     trace = F.col("cxx") + F.col("cyy") + F.col("czz")
-    p = prims.select("id", "x", "y", "z", trace.alias("trace"), F.ceil(F.log2(F.sqrt(9 * trace))).cast("int").alias("reach")).where("trace > 0")
-    found = None
-    for reach in sorted(r["reach"] for r in p.select("reach").distinct().collect()):  # one for each power of two
-        pairs = radius_pairs(points.select("id", "x", "y", "z"), p.where(F.col("reach") == reach).drop("reach"), 2.0**reach + 1e-9)
-        pairs = pairs.where("d2 < 9 * other_trace").select(F.col("other_id").alias("prim"), "id")
-        found = pairs if found is None else found.unionByName(pairs)
-    return found if found is not None else p.select(F.col("id").alias("prim"), "id").limit(0)
+    wide = prims.select("id", "x", "y", "z", trace.alias("trace"), F.sqrt(9 * trace).alias("reach")).where("trace > 0")
+    pairs = by_reach(points.select("id", "x", "y", "z"), wide)
+    if pairs is None:
+        return wide.select(F.col("id").alias("prim"), "id").limit(0)
+    return pairs.where("d2 < 9 * other_trace").select(F.col("other_id").alias("prim"), "id")
 
 
 def split(prims: DataFrame, points: DataFrame, rounds: int = 15, least: int = 5) -> DataFrame:

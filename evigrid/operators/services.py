@@ -159,12 +159,13 @@ def reset(cells: DataFrame, mode: str, box: Box | None = None) -> DataFrame:
 
 
 def support(prims: DataFrame, points: DataFrame, length: float) -> DataFrame:
-    """(id, prim): points whose Mahalanobis distance to a primitive is below the length, by cells as wide as the widest primitive reaches."""
-    entries = [F.col(c) for c in ("cxx", "cxy", "cxz", "cyy", "cyz", "czz")]
-    p = prims.select("id", "x", "y", "z", *(c for c in ("cxx", "cxy", "cxz", "cyy", "cyz", "czz")), geometry.eigenvalues(entries)[2].alias("widest"))
-    reach = p.agg(F.max(F.sqrt("widest"))).first()[0]
-    pairs = spatial.radius_pairs(points.select("id", "x", "y", "z"), p, length * (reach or 0.0) + 1e-9)
-    d = geometry.mahalanobis([F.col(f"other_{c}") for c in ("cxx", "cxy", "cxz", "cyy", "cyz", "czz")], [F.col(k) - F.col(f"other_{k}") for k in "xyz"])
+    """(id, prim): points whose Mahalanobis distance to a primitive is below the length. Primitives are joined by classes of reach (spatial.by_reach())."""
+    names = ("cxx", "cxy", "cxz", "cyy", "cyz", "czz")
+    reach = length * F.sqrt(geometry.eigenvalues([F.col(c) for c in names])[2])
+    pairs = spatial.by_reach(points.select("id", "x", "y", "z"), prims.select("id", "x", "y", "z", *names, reach.alias("reach")).where("reach > 0"))
+    if pairs is None:
+        return prims.select("id", F.col("id").alias("prim")).limit(0)
+    d = geometry.mahalanobis([F.col(f"other_{c}") for c in names], [F.col(k) - F.col(f"other_{k}") for k in "xyz"])
     return pairs.where(d < length).select("id", F.col("other_id").alias("prim"))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
@@ -52,6 +54,20 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return near.join(far, [*grid, "part"]).withColumn("d2", d2).where(F.col("d2") < radius * radius).drop(*grid, "part")
 
 
+def by_reach(points: DataFrame, wide: DataFrame) -> DataFrame | None:
+    """radius_pairs() of points with rows that have a reach of their own (above 0), or nothing if there are none: all pairs within reach, and some that are not.
+
+    Rows are joined by classes of reach, each twice as far as the one before, on cells of its own, so that a wide row doesn't
+    coarsen the cells of narrow ones. There is a join for each power of two.
+    """
+    power = wide.withColumn("_power", F.ceil(F.log2("reach")).cast("int"))
+    found = None
+    for k in sorted(r["_power"] for r in power.select("_power").distinct().collect()):
+        pairs = radius_pairs(points, power.where(F.col("_power") == k).drop("_power", "reach"), 2.0**k + 1e-9)
+        found = pairs if found is None else found.unionByName(pairs)
+    return found
+
+
 def spatial_uncertainty(df: DataFrame, radius: float, least: int = 3) -> DataFrame:
     """Per id: neighbours within radius, how many have the same label, 1 - their share (1.0 if fewer than least), and density."""
     out = neighbours.neighbour_counts(df, radius)
@@ -183,11 +199,11 @@ def nearest_in_cells(left: DataFrame, right: DataFrame, radius: float) -> DataFr
     fine = [cell(F.col(k), step).alias(f"f{k}") for k in "xyz"]
     cells = right.select("id", "x", "y", "z", *fine)
     stand_ins = cells.groupBy("fx", "fy", "fz").agg(F.min_by(F.struct("x", "y", "z"), "id").alias("p"), F.min("id").alias("id"))
-    near = radius_pairs(left.select("id", "x", "y", "z"), stand_ins.select("id", "p.x", "p.y", "p.z", "fx", "fy", "fz"), 2 * radius).checkpoint()
+    near = radius_pairs(left.select("id", "x", "y", "z"), stand_ins.select("id", "p.x", "p.y", "p.z", "fx", "fy", "fz"), 2 * radius)
     # The nearest point is no farther than the nearest stand-in; a cell's nearest corner or face says whether it can hold it.
     gap = [F.greatest(F.col(f"other_f{k}") * step - F.col(k), F.col(k) - (F.col(f"other_f{k}") + 1) * step, F.lit(0.0)) for k in "xyz"]
-    bound = near.groupBy("id").agg(F.least(F.min("d2"), F.lit(radius * radius)).alias("bound"))
-    opened = near.join(bound, "id").where(sum((g * g for g in gap), F.lit(0.0)) <= F.col("bound") * (1 + 1e-9))
+    bound = F.least(F.min("d2").over(Window.partitionBy("id")), F.lit(radius * radius))
+    opened = near.withColumn("bound", bound).where(sum((g * g for g in gap), F.lit(0.0)) <= F.col("bound") * (1 + 1e-9))
     opened = opened.select("id", "x", "y", "z", *(F.col(f"other_f{k}").alias(f"f{k}") for k in "xyz"))
     points = cells.select(F.col("id").alias("other_id"), *(F.col(k).alias(f"other_{k}") for k in "xyz"), "fx", "fy", "fz")
     d2 = sum(((F.col(k) - F.col(f"other_{k}")) * (F.col(k) - F.col(f"other_{k}")) for k in "xyz"), F.lit(0.0))
@@ -198,18 +214,24 @@ def nearest_in_cells(left: DataFrame, right: DataFrame, radius: float) -> DataFr
 def nearest_of_all(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """Each id of left with the nearest id of right (the smallest of equals), however far: id, nearest, distance.
 
-    Radius doubles each round for the points that met nothing yet; what meets something in a radius has its nearest there. A
-    point meets one stand-in per fine cell, and the points of few cells, so a far away crowd costs as much as a single point.
-    Ends when right's box lies within the radius of every point; without right there are no rows. Each round is cut by checkpoint().
+    The first radius is at least that of a cell which holds one point of right on average. It doubles each round for the points that met
+    nothing yet; what meets something in a radius has its nearest there. A point meets one stand-in per fine cell, and the points of few
+    cells, so a far away crowd costs as much as a single point. Ends when right's box lies within the radius of every point; without right
+    there are no rows. What a round has met is cut by checkpoint().
     """
-    span = lambda df: [f(k).alias(f"{n}{k}") for k in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]
-    box = left.select("x", "y", "z").union(right.select("x", "y", "z")).agg(*span(left)).first()
-    wide = sum((box[f"hi{k}"] - box[f"lo{k}"]) ** 2 for k in "xyz") ** 0.5 if box["lox"] is not None else 0.0
+    span = [f(k).alias(f"{n}{k}") for k in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]
+    box = left.select("x", "y", "z").union(right.select("x", "y", "z")).agg(*span).first()
+    own = right.agg(F.count(F.lit(1)).alias("n"), *span).first()
+    if not own["n"] or box["lox"] is None:
+        return left.select("id", F.col("id").alias("nearest"), F.lit(0.0).alias("distance")).limit(0)
+    wide = sum((box[f"hi{k}"] - box[f"lo{k}"]) ** 2 for k in "xyz") ** 0.5
+    sides = [s for k in "xyz" if (s := own[f"hi{k}"] - own[f"lo{k}"]) > 0]
+    radius = max(radius, (math.prod(sides) / own["n"]) ** (1 / len(sides)) if sides else 0.0)
     done, rest = None, left.select("id", "x", "y", "z")
     while True:
         met = nearest_in_cells(rest, right, radius).checkpoint()
         done = met if done is None else done.union(met)
-        rest = rest.join(met, "id", "left_anti").checkpoint()
+        rest = rest.join(met, "id", "left_anti")
         if radius > wide or rest.isEmpty():
             return done
         radius *= 2

@@ -61,3 +61,13 @@ def k10_arrays(spark, sf_dir):
     path = folder(spark, "arrays")
     parts.write_arrays(placed(spark, sf_dir).drop("observations").withColumnRenamed("class", "labels"), path)
     return parts.read_arrays(spark, path, "x double, y double, z double, labels int, confidence double").withColumnRenamed("labels", "class")
+
+
+@query(MAP)
+def s11_array_map(spark, sf_dir):
+    """The map as .npy arrays of a few hundred cells each, read back."""
+    path, numbers = folder(spark, "maps"), ("x", "y", "z", "class", "confidence")
+    cells = placed(spark, sf_dir).withColumn("file", F.pmod(F.xxhash64("x", "y", "z"), F.lit(20)))
+    rows = cells.groupBy("file").agg(F.flatten(F.collect_list(F.array(*(F.col(c).cast("double") for c in numbers)))).alias("a"))
+    parts.write_files(rows.select(F.format_string("%d.npy", "file").alias("name"), parts.array_file(F.col("a"), (-1, 5), "f8").alias("content")), path)
+    return parts.read_map_arrays(spark, path)

@@ -119,12 +119,17 @@ def q7_t10_reset_modes(spark, sf_dir):
     return out
 
 
-@query("SELECT * FROM (VALUES ('uncertainty.w_semantic', 0.6), ('uncertainty.w_spatial', 0.2), ('uncertainty.w_observation', 0.2), ('uncertainty.w_temporal', 0.0), ('kernel.gamma', 3.5), ('map.resolution', 0.1), ('primitives.target_primitives', 128.0)) t(name, value)")
+@query("""WITH c AS (SELECT count(*) FILTER (event_type = 'click') + 0.0 AS a, count(*) FILTER (event_type = 'view') + 0.0 AS b, count(*) FILTER (event_type = 'error') + 0.0 AS c, count(*) FILTER (event_type = 'signup') + 0.0 AS d, round(max(value), 3) AS top FROM events)
+  SELECT 'uncertainty.w_semantic' AS name, round(a / (a + b + c + d), 9)::DOUBLE AS value FROM c UNION ALL SELECT 'uncertainty.w_spatial', round(b / (a + b + c + d), 9) FROM c UNION ALL SELECT 'uncertainty.w_observation', round(c / (a + b + c + d), 9) FROM c
+  UNION ALL SELECT 'uncertainty.w_temporal', round(d / (a + b + c + d), 9) FROM c UNION ALL SELECT 'kernel.gamma', top FROM c UNION ALL SELECT 'map.resolution', 0.1 UNION ALL SELECT 'primitives.target_primitives', 128.0""")
 def q8_s13_k14_parameters(spark, sf_dir):
-    """Parameters that were saved, loaded with a change, and updated in some groups: what holds at the end."""
+    """Parameters that were saved, loaded with a change, and updated in some groups by what the events say: what holds at the end."""
     text = config.save(config.Config()).replace("resolution: 0.05", "resolution: 0.1  # metres")
-    own, _, _ = config.update(config.load(text), {"uncertainty": {"w_semantic": 1.2, "w_spatial": 0.4, "w_observation": 0.4, "w_temporal": 0.0}, "kernel": {"gamma": 3.5, "none": 1}, "primitives": {"target_primitives": 9}}, {"uncertainty", "kernel"})
-    names = ["uncertainty.w_semantic", "uncertainty.w_spatial", "uncertainty.w_observation", "uncertainty.w_temporal", "kernel.gamma", "map.resolution", "primitives.target_primitives"]
+    kinds = {"w_semantic": "click", "w_spatial": "view", "w_observation": "error", "w_temporal": "signup"}
+    seen = table(spark, sf_dir, "events").agg(*(F.count_if(F.col("event_type") == k).alias(n) for n, k in kinds.items()), F.round(F.max("value"), 3).alias("top")).first()
+    weights = {n: float(seen[n]) for n in kinds}
+    own, _, _ = config.update(config.load(text), {"uncertainty": weights, "kernel": {"gamma": seen["top"], "none": 1}, "primitives": {"target_primitives": 9}}, {"uncertainty", "kernel"})
+    names = [*(f"uncertainty.{n}" for n in kinds), "kernel.gamma", "map.resolution", "primitives.target_primitives"]
     rows = [(n, round(float(getattr(getattr(own, n.split(".")[0]), n.split(".")[1])), 9)) for n in names]
     return spark.createDataFrame(rows, "name string, value double")
 
@@ -169,10 +174,12 @@ def m34_m16_support(spark, sf_dir):
 RELEVANT = [5, 2, 9, 2, 0]
 
 
-@query("SELECT * FROM (VALUES (0, 0, 0, 0), (1, 0, 128, 0), (2, 200, 200, 200), (3, 255, 165, 0), (4, 255, 165, 0)) t(class, r, g, b)")
+@query(f"WITH {POINTS}, k AS (SELECT CASE class WHEN 0 THEN 0 WHEN 2 THEN 1 WHEN 5 THEN 2 ELSE 4 END AS class, count(*) AS points FROM pts GROUP BY 1) SELECT k.class, points, r, g, b FROM k JOIN (VALUES (0, 0, 0, 0), (1, 0, 128, 0), (2, 200, 200, 200), (3, 255, 165, 0), (4, 255, 165, 0)) t(class, r, g, b) USING (class)")
 def p6_o5_compact_palette(spark, sf_dir):
-    """Colours of the compact classes."""
-    return spark.createDataFrame([(k, *c) for k, c in enumerate(services.palette(RELEVANT, PALETTE))], "class int, r int, g int, b int")
+    """Points by compact class, and its colour."""
+    colours = F.array(*(F.array(*map(F.lit, c)) for c in services.palette(RELEVANT, PALETTE)))
+    counted = points(spark, sf_dir).groupBy(S.remap(F.col("class"), RELEVANT).alias("class")).agg(F.count(F.lit(1)).alias("points"))
+    return counted.select("class", "points", *(F.get(colours, F.col("class"))[i].alias(c) for i, c in enumerate("rgb")))
 
 
 NAMES = ["floor", "wall", "rug", "chair", "table", "door"]

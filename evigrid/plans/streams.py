@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.replaying import Replay
-from ..sources.tables import points, table
-from ..streaming import stateful
+from ..sources.tables import points, read_map, table, write_map
+from ..streaming import stateful, voxels
 from .connectors import folder
 from .queries import POINTS, VOXEL, query
 
@@ -103,3 +103,20 @@ def s8_replay_stream(spark, sf_dir):
         out = stream.select("event_id", "user_id", "turn", F.round("play_at", 6).alias("play_at"))
         stateful.run_to_end(out, path, state)
     return spark.read.schema(out.schema).parquet(path)
+
+
+@query(f"""WITH {POINTS}, k AS (SELECT CAST(floor(x / 2.0) AS INT) AS ix, CAST(floor(y / 4.0) AS INT) AS iy, CAST(floor(z / 1.0) AS INT) AS iz, class, count(*) AS n FROM pts WHERE u > 0.25 GROUP BY ALL)
+  SELECT ix + 0.0::DOUBLE AS x, iy + 0.0::DOUBLE AS y, iz + 0.0::DOUBLE AS z, class, n + 0.0::DOUBLE AS confidence FROM k""")
+def k12_t13_saved_map(spark, sf_dir):
+    """A streamed map that saves itself every second batch, by a clock that ticks with the batches, as text: what was saved last."""
+    p = points(spark, sf_dir)
+    stream = feed(spark, [p.where("u > 0.75"), p.where("u > 0.25 AND u <= 0.75"), p.where("u <= 0.25")])
+    ticks, saved = iter(range(9)), []
+
+    def save(cells):
+        saved.append(folder(spark, "saved"))
+        write_map(cells.select(*(F.col(f"i{k}").cast("double").alias(k) for k in "xyz"), "class", F.col("n").cast("double").alias("confidence")), saved[-1])
+
+    due = voxels.Due(2, lambda: next(ticks) * 1.0)
+    voxels.keep_map(stream, VOXEL, folder(spark, "map"), folder(spark, "state"), publish=save, wanted=due).awaitTermination()
+    return read_map(spark, saved[-1])

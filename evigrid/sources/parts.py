@@ -243,6 +243,20 @@ def array_file(values: Column, shape: tuple[int, ...], kind: str) -> Column:
     return encode(values)
 
 
+def read_map_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """Maps saved as .npy arrays of x, y, z, class and, if there is a fifth column, confidence (else 1): a row for each of theirs. A file is read by one task."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b["content"]:
+                a = np.load(io.BytesIO(content.as_buffer()), allow_pickle=False).astype(float)
+                sure = a[:, 4] if a.shape[1] > 4 else np.ones(len(a))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a[:, 0], a[:, 1], a[:, 2], a[:, 3].astype(np.int32), sure)], ["x", "y", "z", "class", "confidence"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("content")
+    return files.mapInArrow(rows, "x double, y double, z double, class int, confidence double")
+
+
 def write_files(rows: DataFrame, path: str) -> None:
     """rows (name, content) as files under path."""
     register(rows.sparkSession)

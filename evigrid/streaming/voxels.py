@@ -7,6 +7,7 @@ writes its own, so a batch that runs again after a failure writes the same; the
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,10 +72,26 @@ def cap(cells: DataFrame, most: int) -> DataFrame:
     return cells.join(ranked.where(F.col("confidence") >= least).select("ix", "iy", "iz"), ["ix", "iy", "iz"], "left_semi")
 
 
+class Due:
+    """True when `seconds` have passed since it last was, or when someone has asked: says when a kept map is saved or published."""
+
+    def __init__(self, seconds: float, clock: Callable[[], float] = time.monotonic):
+        self.seconds, self.clock, self.last, self.asked = seconds, clock, clock(), False
+
+    def ask(self) -> None:
+        self.asked = True
+
+    def __call__(self) -> bool:
+        due = self.asked or self.clock() - self.last >= self.seconds
+        if due:
+            self.last, self.asked = self.clock(), False
+        return due
+
+
 def keep_map(points: DataFrame, size: tuple[float, float, float], path: str, checkpoint: str, most: int = 1_000_000, every: str | None = None, publish: Callable[[DataFrame], None] | None = None, wanted: Callable[[], bool] = lambda: True) -> StreamingQuery:
     """Class counts (ix, iy, iz, class, n) of a stream's points as versions under path, with `most` voxels or a few more.
 
-    publish gets the map after each batch, if someone wants it.
+    publish gets the map after each batch, if someone wants it; with wanted=Due(60) it saves the map once a minute.
     """
 
     def step(batch: DataFrame, number: int) -> None:
