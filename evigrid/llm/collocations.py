@@ -42,7 +42,7 @@ BLANK = np.zeros(256, bool)
 BLANK[[10, 32]] = True
 
 #: Bytes of text that one automaton (or a few) is compiled for, and phrases of an automaton.
-SHARD, MOST_PHRASES = 1 << 24, 200_000
+SHARD, MOST_PHRASES = 1 << 23, 100_000
 
 #: Buckets that a task collects before it reports them, and bits of a bucket's number within its slice.
 REPORT, SLICE_BITS = 1 << 23, 16
