@@ -77,6 +77,17 @@ def attributes(cells: DataFrame, traversable: list[int], avoided: list[int]) ->
     return out.withColumn("entropy", scalar.entropy(F.col("p"))).withColumn("nav_cost", cost)
 
 
+def is_traversable(cls: Column, observations: Column, traversable: list[int]) -> Column:
+    """Whether a cell's class can be driven on; a cell that nothing was seen of, or that isn't there (null), can't."""
+    return F.coalesce((observations > 0) & (cls >= 0) & cls.isin(*traversable), F.lit(False))
+
+
+def is_obstacle(nav_cost: Column, observations: Column, confidence: Column | None = None, least: float = 0.5) -> Column:
+    """Whether a cell blocks: of a map, by its navigation cost alone; of a cell by itself, if it is also as sure as `least`."""
+    blocks = (observations > 0) & (nav_cost == 100)
+    return F.coalesce(blocks if confidence is None else blocks & (confidence >= least), F.lit(False))
+
+
 def dirichlet_map(observations: DataFrame, res: float, classes: int, base: float, beta: float = 0.5, gamma: float = 3.0, most: float = 0.7) -> DataFrame:
     """alpha = 1 + sum of kernel * p for each voxel near observations (x, y, z, u, p). A plain sum, combined on the map side."""
     length = scalar.observation_length(F.col("u"), base, beta, gamma)

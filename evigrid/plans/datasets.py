@@ -71,3 +71,12 @@ def s11_array_map(spark, sf_dir):
     rows = cells.groupBy("file").agg(F.flatten(F.collect_list(F.array(*(F.col(c).cast("double") for c in numbers)))).alias("a"))
     parts.write_files(rows.select(F.format_string("%d.npy", "file").alias("name"), parts.array_file(F.col("a"), (-1, 5), "f8").alias("content")), path)
     return parts.read_map_arrays(spark, path)
+
+
+@query(MAP.replace("confidence FROM cells", "confidence::FLOAT::DOUBLE AS confidence, class * 40 AS r, 128 AS g, 0 AS b FROM cells"))
+def k11_packed_map(spark, sf_dir):
+    """The map as packed binary points with colours, read back."""
+    path = folder(spark, "packed")
+    cells = placed(spark, sf_dir).drop("observations").withColumns({"r": F.col("class") * 40, "g": F.lit(128), "b": F.lit(None).cast("int")})
+    parts.write_packed(cells, path)
+    return parts.read_packed(spark, path, 500)

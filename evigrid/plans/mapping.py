@@ -71,6 +71,20 @@ def a9_cell_attributes(spark, sf_dir):
     return a.groupBy("class", "nav_cost").agg(F.count(F.lit(1)).alias("cells"), r(F.avg("confidence"), "confidence"), r(F.avg("entropy"), "entropy"))
 
 
+@query(f"""WITH {PRIMITIVES}, ex1 AS (SELECT *, list_transform(h, lambda v: exp(v - list_max(h))) AS x FROM map), so AS (SELECT *, list_transform(x, lambda v: v / list_sum(x)) AS p FROM ex1),
+  attr AS (SELECT *, CAST(list_position(p, list_max(p)) - 1 AS INT) AS class, list_max(p) AS conf FROM so),
+  cl AS (SELECT *, CASE WHEN class = 0 THEN 0 WHEN class = 1 OR conf > 0.5 THEN 100 ELSE -1 END AS nav FROM attr), q AS (SELECT p_partkey % 40 AS ix, p_size % 30 AS iy, p_partkey % 9 AS iz FROM part)
+  SELECT coalesce(n > 0 AND class IN (0, 2), FALSE) AS traversable, coalesce(n > 0 AND nav = 100, FALSE) AS obstacle, coalesce(n > 0 AND nav = 100 AND round(conf, 6) >= 0.6, FALSE) AS sure, n IS NOT NULL AS seen, count(*) AS places FROM q LEFT JOIN cl USING (ix, iy, iz) GROUP BY ALL""")
+def f16_cell_predicates(spark, sf_dir):
+    """What can be said of places, of which some have a cell of the map: traversable, an obstacle, and one of which the cell is sure."""
+    a = influence.attributes(evidence(spark, sf_dir), [0], [1]).select("ix", "iy", "iz", "n", "class", "nav_cost", F.round("confidence", 6).alias("confidence"))
+    k = F.col("p_partkey")
+    places = table(spark, sf_dir, "part").select((k % 40).alias("ix"), (F.col("p_size") % 30).alias("iy"), (k % 9).alias("iz"))
+    both, n = places.join(a, ["ix", "iy", "iz"], "left"), F.col("n")
+    said = both.select(influence.is_traversable(F.col("class"), n, [0, 2]).alias("traversable"), influence.is_obstacle(F.col("nav_cost"), n).alias("obstacle"), influence.is_obstacle(F.col("nav_cost"), n, F.col("confidence"), 0.6).alias("sure"), n.isNotNull().alias("seen"))
+    return said.groupBy("traversable", "obstacle", "sure", "seen").agg(F.count(F.lit(1)).alias("places"))
+
+
 @query(f"""WITH {VECTORS}, o AS (SELECT id, x, y, z, label / 12.0 AS u, p, greatest(0.1 * 0.5 * exp(1 - 3 * (label / 12.0)), 1e-3) AS l FROM soft WHERE label / 12.0 <= 0.7),
   ix AS (SELECT *, unnest(range(CAST(floor((x-l)/0.05) AS INT), CAST(floor((x+l)/0.05) AS INT) + 1)) AS ix FROM o), iy AS (SELECT *, unnest(range(CAST(floor((y-l)/0.05) AS INT), CAST(floor((y+l)/0.05) AS INT) + 1)) AS iy FROM ix),
   iz AS (SELECT *, unnest(range(CAST(floor((z-l)/0.05) AS INT), CAST(floor((z+l)/0.05) AS INT) + 1)) AS iz FROM iy), k AS (SELECT *, sqrt((ix*0.05-x)*(ix*0.05-x) + (iy*0.05-y)*(iy*0.05-y) + (iz*0.05-z)*(iz*0.05-z)) / l AS k FROM iz),

@@ -243,6 +243,44 @@ def array_file(values: Column, shape: tuple[int, ...], kind: str) -> Column:
     return encode(values)
 
 
+#: A point of a packed map, fixed by the format: little-endian, without gaps.
+PACKED = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("class", "<i4"), ("confidence", "<f4"), ("r", "u1"), ("g", "u1"), ("b", "u1")])
+
+
+def write_packed(cells: DataFrame, path: str) -> None:
+    """x, y, z, class, confidence, r, g and b as files of packed points, one or more for each task. Their metadata are sinks.metadata()."""
+    register(cells.sparkSession)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a = np.empty(b.num_rows, PACKED)
+            for n in PACKED.names:
+                a[n] = b[n].to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{uuid.uuid4().hex}.bin"]), pa.array([a.tobytes()], pa.binary())], ["name", "content"])
+
+    filled = cells.select(*(F.coalesce(F.col(n), F.lit(0)).alias(n) for n in PACKED.names))
+    write_files(filled.mapInArrow(pack, "name string, content binary"), path)
+
+
+def read_packed(spark: SparkSession, path: str, chunk: int = 1 << 16) -> DataFrame:
+    """The points of packed files of any size: tasks read a file by runs of `chunk` points. A length that is no whole number of points is an error."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path).select("path", "length").where("length > 0")
+    wrong = F.raise_error(F.format_string("%s: %d bytes are no whole number of points", "path", "length")).cast("long")
+    points = F.when(F.col("length") % PACKED.itemsize == 0, F.floor(F.col("length") / PACKED.itemsize)).otherwise(wrong)
+    runs = files.select("path", points.alias("points")).select("path", "points", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("points") - 1) / chunk))).alias("run"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, n, run in zip(*(b[c].to_pylist() for c in ("path", "points", "run")), strict=True):
+                where, at = store(name)
+                with where.open_input_file(at) as f:
+                    a = np.frombuffer(f.read_at(min(chunk, n - run * chunk) * PACKED.itemsize, run * chunk * PACKED.itemsize), PACKED)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a[c]).astype(np.int32 if c in ("class", *"rgb") else np.float64)) for c in PACKED.names], list(PACKED.names))
+
+    schema = "x double, y double, z double, class int, confidence double, r int, g int, b int"
+    return runs.repartition("path", "run").mapInArrow(read, schema)
+
+
 def read_map_arrays(spark: SparkSession, path: str) -> DataFrame:
     """Maps saved as .npy arrays of x, y, z, class and, if there is a fifth column, confidence (else 1): a row for each of theirs. A file is read by one task."""
 

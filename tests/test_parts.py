@@ -89,3 +89,10 @@ def test_a_task_that_fails_leaves_nothing_that_counts(tmp_path, monkeypatch):
     assert sorted(got) == list(range(30)) and len([f for f in os.listdir(tmp_path) if f.startswith("part-")]) == len(listed) + 1
     writer.abort(done)
     assert len([f for f in os.listdir(tmp_path) if f.startswith("part-")]) == 1
+
+
+def test_packed_points_of_a_broken_file(spark, tmp_path):
+    assert parts.PACKED.itemsize == 23
+    (tmp_path / "a.bin").write_bytes(b"x" * 24)
+    with pytest.raises(Exception, match="no whole number of points"):
+        parts.read_packed(spark, str(tmp_path)).collect()
