@@ -42,7 +42,7 @@ BLANK = np.zeros(256, bool)
 BLANK[[10, 32]] = True
 
 #: Bytes of text that one automaton (or a few) is compiled for, and phrases of an automaton.
-SHARD, MOST_PHRASES = 1 << 23, 100_000
+SHARD, MOST_PHRASES = 1 << 22, 100_000
 
 #: Buckets that a task collects before it reports them, and bits of a bucket's number within its slice.
 REPORT, SLICE_BITS = 1 << 23, 16
@@ -85,7 +85,8 @@ class Grams:
     """The phrases of a shard: for each length 1 to LONGEST the hashes at every word, and where they are phrases (within a piece)."""
 
     def __init__(self, shard: list[tuple[str, bytes]]):
-        self.data = np.frombuffer(b"".join(t for _, t in shard), np.uint8)
+        self.bytes = b"".join(t for _, t in shard)
+        self.data = np.frombuffer(self.bytes, np.uint8)
         offsets = np.cumsum([0, *(len(t) for _, t in shard)])
         self.begin, self.end = hashing.word_spans(self.data, offsets, BLANK)
         words = hashing.hash_spans(self.data, self.begin, self.end, False)
@@ -103,9 +104,6 @@ class Grams:
             self.hashes.append(own)
             self.whole.append(piece[: len(own)] == piece[n - 1 :] if len(own) else np.zeros(0, bool))
 
-    def phrase(self, i: int, n: int) -> bytes:
-        return b" ".join(self.data[self.begin[i] : self.end[i + n - 1]].tobytes().split())
-
 
 def _spans(names: list[bytes]):
     offsets = np.cumsum([0, *map(len, names)])
@@ -186,8 +184,10 @@ def candidates(grams: Grams, filled: np.ndarray, bits: int) -> dict[str, list[by
         if passed is not None and len(own):
             ok &= passed[:-1] & passed[1:]
         passed, at = ok, np.flatnonzero(ok)
-        for i in at[np.unique(own[at], return_index=True)[1]]:
-            out[grams.langs[grams.lang[i]]].append(grams.phrase(i, n))
+        at = at[np.unique(own[at], return_index=True)[1]]
+        for lang, a, b in zip(grams.lang[at].tolist(), grams.begin[at].tolist(), grams.end[at + n - 1].tolist(), strict=True):
+            phrase = grams.bytes[a:b]
+            out[grams.langs[lang]].append(b" ".join(phrase.split()) if b"  " in phrase else phrase)
     return out
 
 
@@ -200,7 +200,7 @@ def count_matches(text: bytes, phrases: list[bytes]) -> Counter:
     for k in range(0, len(phrases), MOST_PHRASES):
         own = ahocorasick.Automaton()
         for p in phrases[k : k + MOST_PHRASES]:
-            own.add_word(f" {p.decode('latin-1')} ", p)
+            own.add_word(f" {p.decode('latin-1')} ", p)  # bytes as characters: the library takes text only
         own.make_automaton()
         found.update(map(itemgetter(1), own.iter(guarded)))
     return found
