@@ -116,19 +116,19 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-#: A key is hot if it holds more than this part of all rows (so at most HOT keys are), and more rows than LEAST.
-HOT, LEAST = 1000, 256
+#: A key is hot if it holds more than a HOTth of all rows and more than LEAST; whatever the total, if it has more than MOST rows.
+HOT, LEAST, MOST = 1000, 256, 1 << 24
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: list[str], sizes: DataFrame, by: str, how: str = "inner") -> DataFrame:
     """left joined with right on columns, with the rows of a hot key dealt to many tasks.
 
     sizes: on and size, the number of rows of left for each key. Rows of left that have a hot key get one of several salts by a
-    hash of the column `by`; rows of right that have one are there once for each salt. Only the list of hot keys is broadcast,
-    which has HOT rows at most, since each holds more than 1 / HOT of all rows.
+    hash of the column `by`; rows of right that have one are there once for each salt. No task gets more than about MOST rows of a key. Only
+    the list of hot keys is broadcast, which has HOT rows at most or one for each MOST rows of left (60,000 for 10^12 rows).
     """
     salt, parts = (max((free_name(df, x) for df in (left, right)), key=len) for x in ("_salt", "_parts"))
-    cut = sizes.agg(F.greatest(F.lit(LEAST), F.ceil(F.sum("size") / HOT)).alias("cut")).scalar()
+    cut = sizes.agg(F.greatest(F.lit(LEAST), F.least(F.ceil(F.sum("size") / HOT), F.lit(MOST))).alias("cut")).scalar()
     hot = sizes.withColumn(parts, F.ceil(F.col("size") / cut).cast("int")).where(F.col(parts) > 1).select(*on, parts)
     dealt = left.join(F.broadcast(hot), on, "left").withColumn(salt, F.pmod(F.xxhash64(by), F.coalesce(parts, F.lit(1))).cast("int")).drop(parts)
     copied = right.join(F.broadcast(hot), on, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))).drop(parts)

@@ -205,9 +205,11 @@ def test_exact_dedup_in_batches(spark, docs, rows):
     assert len(exact_dedup.descending(docs.limit(0), 3)) == 1 and len(exact_dedup.descending(docs.where("doc_id = 3"), 3)) == 1
 
 
-def test_joins_of_hot_keys(spark, monkeypatch):
-    """Rows of a hot key are dealt to many tasks, and joins stay the same."""
-    monkeypatch.setattr(common, "LEAST", 5)
+@pytest.mark.parametrize(("hot", "most"), [(1000, 1 << 24), (1, 70)])
+def test_joins_of_hot_keys(spark, monkeypatch, hot, most):
+    """Rows of a key that is hot by its share, or by their number alone, are dealt to many tasks, and joins stay the same."""
+    for name, value in (("LEAST", 5), ("HOT", hot), ("MOST", most)):
+        monkeypatch.setattr(common, name, value)
     left = spark.createDataFrame([(i, 0 if i % 3 else i % 50, "x") for i in range(900)], "id long, k long, _salt string")
     right = spark.createDataFrame([(k, f"v{k}", j) for k in range(0, 40) for j in range(2)], "k long, v string, _parts long")
     sizes = left.groupBy("k").agg(F.count(F.lit(1)).alias("size"))
