@@ -78,8 +78,16 @@ def query_points(points: DataFrame, cells: DataFrame, free: list[int], avoided:
     )
 
 
+def share(part: Column, whole: Column) -> Column:
+    """part / whole, NaN of nothing."""
+    return F.when(whole > 0, part / whole).otherwise(float("nan"))
+
+
 def region(cells: DataFrame, box: Box, classes: int, free: list[int], avoided: list[int], only: list[int] | None = None, least: float = 0.0) -> DataFrame:
-    """One row about the cells of a box (both ends included) of the wanted classes and confidence: counts, dominant class (the lowest of equals) and its share, counts by class, means, coverage of the box, centroid."""
+    """One row about the cells of a box (both ends included) of the wanted classes and confidence: counts, dominant class (the lowest of equals) and its share, counts by class, means, coverage of the box, centroid.
+
+    Where no cell is wanted, all classes are equal (at 0), the share is NaN, and means and centroid are null.
+    """
     inside = cells.where(maps.inside(*box) & (F.col("confidence") >= least))
     if only is not None:
         inside = inside.where(F.col("class").isin(*only))
@@ -100,8 +108,8 @@ def region(cells: DataFrame, box: Box, classes: int, free: list[int], avoided: l
     most = F.array_max("class_counts")
     return g.select(
         "cells", "observed", "traversable", "obstacles",
-        F.when(most > 0, scalar.argmax(F.col("class_counts"))).alias("dominant"),
-        (most / F.col("cells")).alias("dominant_share"),
+        scalar.argmax(F.col("class_counts")).alias("dominant"),
+        share(most, F.col("cells")).alias("dominant_share"),
         "class_counts", "mean_confidence",
         (1 - F.col("mean_confidence")).alias("mean_uncertainty"),
         (F.col("observed") / volume).alias("coverage"),
@@ -133,7 +141,7 @@ def map_info(cells: DataFrame, grid: tuple[int, int, int], classes: int, free: l
         "min_confidence", "mean_confidence", "max_confidence",
         (1 - F.col("max_confidence")).alias("min_uncertainty"), (1 - F.col("mean_confidence")).alias("mean_uncertainty"), (1 - F.col("min_confidence")).alias("max_uncertainty"),
         "observations", "mean_observations", "max_observations", "class_counts",
-        F.transform("class_counts", lambda n: n / F.col("known")).alias("class_shares"),
+        F.transform("class_counts", lambda n: share(n, F.col("known"))).alias("class_shares"),
         (F.col("known") * (CELL_BYTES + 8 * classes)).alias("bytes"),
     )
 
