@@ -48,7 +48,7 @@ def s5_known_layouts(spark, sf_dir):
 def s3_k1_packed_points(spark, sf_dir):
     """Points packed into clouds of 24 bytes each, and read from them again."""
     line = table(spark, sf_dir, "lineitem")
-    idx = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("int")
+    idx = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     rows = line.select((F.col("l_orderkey") % 50).cast("string").alias("frame"), idx.alias("idx"), F.col("l_quantity").cast("double").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"), F.lit(0.0).alias("z"), F.lit(255).cast("long").alias("rgb"), F.col("l_linenumber").cast("int").alias("label"), F.col("l_tax").cast("double").alias("uncertainty"))
     back = frames.decode_points(frames.encode_points(rows))
     return back.groupBy("frame").agg(F.count(F.lit(1)).alias("n"), r(F.sum("x"), "x", 3), r(F.sum("y"), "y", 3), r(F.sum("uncertainty"), "u", 4))

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Layout of a packed point, 24 bytes. Fixed by the wire format.
@@ -28,30 +28,63 @@ def known_layout(clouds: DataFrame) -> DataFrame:
     return clouds.withColumn("known", (F.col("step") == POINT.itemsize) & (F.size("fields") >= len(LAYOUT)) & ~wrong)
 
 
+#: Points of one part of a packed cloud, and of one batch that is read from one.
+PART = 1 << 16
+
+
 def decode_points(clouds: DataFrame) -> DataFrame:
-    """Points of packed clouds (frame, data binary): a row each, without points that aren't finite. A length that is no multiple of 24 is an error."""
+    """Points of packed clouds (frame, data binary): a row each, without points that aren't finite. A length that is no multiple of 24 is an error.
+
+    idx is a point's place in its cloud; where clouds come in parts, their column `first` is the place of a part's first point.
+    """
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for frame, data in zip(b["frame"], b["data"], strict=True):
-                a = np.frombuffer(data or b"", POINT)
-                ok = np.isfinite(a["x"]) & np.isfinite(a["y"]) & np.isfinite(a["z"])
-                yield pd.DataFrame({"frame": frame, "idx": np.flatnonzero(ok), **{k: a[k][ok] for k in POINT.names}})
+            for frame, first, data in zip(b["frame"], b["first"], b["data"], strict=True):
+                points = np.frombuffer(data or b"", POINT)
+                for at in range(0, len(points), PART):
+                    a = points[at : at + PART]
+                    ok = np.isfinite(a["x"]) & np.isfinite(a["y"]) & np.isfinite(a["z"])
+                    yield pd.DataFrame({"frame": frame, "idx": np.flatnonzero(ok) + first + at, **{k: a[k][ok] for k in POINT.names}})
 
-    return clouds.select("frame", "data").mapInPandas(decode, POINT_SCHEMA)
+    first = F.col("first") if "first" in clouds.columns else F.lit(0).cast("long")
+    return clouds.select("frame", first.alias("first"), "data").mapInPandas(decode, POINT_SCHEMA)
 
 
 def encode_points(points: DataFrame) -> DataFrame:
-    """(frame, data): packed clouds, the points of a frame in order of idx. A frame must fit a task."""
+    """(frame, first, data): packed clouds in parts of at most PART points, a frame's points in order of idx. first: how many come before a part's; a frame's data joined in this order is its cloud.
 
-    def encode(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("idx")
-        a = np.zeros(len(g), POINT)
-        for k in POINT.names:
-            a[k] = g[k].to_numpy()
-        return pd.DataFrame({"frame": [g["frame"].iloc[0]], "data": [a.tobytes()]})
+    Spark sorts by frame and idx over all tasks, so a task holds one part at a time and a frame may have any size. The packed parts are cut by
+    checkpoint(); of each, one short row is counted and broadcast.
+    """
 
-    return points.groupBy("frame").applyInPandas(encode, "frame string, data binary")
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size, now, part = [], 0, None, 0
+        out = lambda: pd.DataFrame({"frame": [now], "task": [task], "part": [part], "n": [size], "data": [b"".join(held)]})
+        for b in batches:
+            frames, task = b["frame"].to_numpy(), int(b["task"].iloc[0]) if len(b) else 0
+            a = np.zeros(len(b), POINT)
+            for k in POINT.names:
+                a[k] = b[k].to_numpy()
+            at = 0
+            while at < len(a):
+                same = frames[at:] == frames[at]
+                end = at + (len(same) if same.all() else int(np.argmin(same)))
+                if size and (size == PART or frames[at] != now):
+                    yield out()
+                    held, size, part = [], 0, part + 1
+                now, end = frames[at], min(end, at + PART - size)
+                held.append(a[at:end].tobytes())
+                size, at = size + end - at, end
+        if size:
+            yield out()
+
+    rows = points.select("frame", "idx", *POINT.names).repartitionByRange("frame", "idx").sortWithinPartitions("frame", "idx")
+    packed = rows.withColumn("task", F.spark_partition_id()).mapInPandas(encode, "frame string, task int, part long, n long, data binary").checkpoint()
+    before = Window.partitionBy("frame").orderBy("task", "part").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("first")
+    firsts = packed.select("task", "part", first)
+    return packed.join(F.broadcast(firsts), ["task", "part"]).select("frame", "first", "data")
 
 
 def semantic_points(cloud: DataFrame) -> DataFrame:
