@@ -15,7 +15,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     checkpoint() cuts the lineage of each round, in the folder that spark.checkpoint.dir names.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    way = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    # Both ways by explode(): edges are computed once, and what Spark knows of them (a <> b and the like) doesn't grow from round to round.
+    both = edges.select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("e")).select("e.a", "e.b").distinct().checkpoint()
     hubs = both.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("parts")).where("parts > 1").checkpoint()
     hot = hubs.count()  # each has SHARE edges, so few are
     if hot:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import folds, graph, maps, metrics, ranks, spatial
+from ..operators import folds, maps, metrics, neighbours, ranks, spatial
 from ..sources.tables import points, table, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -435,9 +435,7 @@ def j1_time_sync(spark, sf_dir):
   r AS (SELECT a AS id, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON r.id = e.a) SELECT id, min(c) AS component FROM r GROUP BY id"""
 )
 def i7_components(spark, sf_dir):
-    v = vectors(spark, sf_dir).select("id", "x", "y", "z")
-    pairs = spatial.radius_pairs(v, v, 0.05).where("id < other_id")
-    return graph.components(pairs.select(F.col("id").alias("a"), F.col("other_id").alias("b")))
+    return neighbours.near_components(vectors(spark, sf_dir), 0.05)
 
 
 PALETTE = [(0, 0, 0), (128, 0, 0), (0, 128, 0), (0, 0, 128), (128, 128, 0), (200, 200, 200)]
