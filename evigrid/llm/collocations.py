@@ -196,13 +196,16 @@ def count_matches(text: bytes, phrases: list[bytes]) -> Counter:
     import ahocorasick
 
     guarded = re.sub(b" {2,}", b" ", b" " + text.replace(b"\n", b" \n ") + b" ").decode("latin-1")
+    phrases = sorted(phrases)  # neighbours share most of their way into the automaton, which is then built faster
     found: Counter = Counter()
     for k in range(0, len(phrases), MOST_PHRASES):
-        own = ahocorasick.Automaton()
-        for p in phrases[k : k + MOST_PHRASES]:
-            own.add_word(f" {p.decode('latin-1')} ", p)  # bytes as characters: the library takes text only
+        some = phrases[k : k + MOST_PHRASES]
+        own = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i, p in enumerate(some):
+            own.add_word(f" {p.decode('latin-1')} ", i)  # bytes as characters: the library takes text only
         own.make_automaton()
-        found.update(map(itemgetter(1), own.iter(guarded)))
+        n = np.bincount(np.fromiter(map(itemgetter(1), own.iter(guarded)), np.int32), minlength=len(some))
+        found.update({p: m for p, m in zip(some, n.tolist(), strict=True) if m})
     return found
 
 

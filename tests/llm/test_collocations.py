@@ -95,3 +95,14 @@ def test_products_pass_64_bits(spark):
     own = [("en", "a", big), ("en", "b", big), ("en", "a b", big - 10), ("en", "", 1)]
     got = collocations.score(spark.createDataFrame(own, "lang string, phrase string, a long").where("phrase <> ''")).first()
     assert got["score"] == 2_000_000 * (big - 10) // (2 * big)
+
+
+def test_matches_of_several_automata(monkeypatch):
+    """Overlapping matches, in pieces and languages' bytes, are counted alike however many automata hold the phrases."""
+    text = "a a a b\nb a a\né a  b a b\n" * 3 + "aa ab"
+    phrases = [p.encode() for p in ("a", "a a", "a b", "b a", "a a a", "é a b", "b", "aa", "x", "b b")]
+    padded = [f" {' '.join(piece.split())} ".replace(" ", "  ") for piece in text.split("\n")]
+    want = {p: n for p in phrases if (n := sum(piece.startswith(f"  {p.decode().replace(' ', '  ')}  ", i) for piece in padded for i in range(len(piece))))}
+    for most in (100_000, 3):
+        monkeypatch.setattr(collocations, "MOST_PHRASES", most)
+        assert collocations.count_matches(text.encode(), phrases) == want and collocations.count_matches(text.encode(), []) == {}
